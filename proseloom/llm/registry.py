@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, packing, sharding
+from . import media, packing, pieces, quality, sharding, topk
 
 QUERIES = {
     "op1_matroska": media.op1_matroska,
+    "op3_voronoi_top_k": topk.op3_voronoi_top_k,
+    "op4_factorisation_machine": quality.op4_factorisation_machine,
     "op6_feistel_shards": sharding.op6_feistel_shards,
     "op8_bounded_packing": packing.op8_bounded_packing,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_voronoi_top_k": topk.SQL}

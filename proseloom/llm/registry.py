@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import media, packing, pieces, quality, sharding, topk
+from . import katz, media, packing, pieces, quality, sharding, topk
 
 QUERIES = {
     "op1_matroska": media.op1_matroska,
+    "op2_katz": katz.op2_katz,
     "op3_voronoi_top_k": topk.op3_voronoi_top_k,
     "op4_factorisation_machine": quality.op4_factorisation_machine,
     "op6_feistel_shards": sharding.op6_feistel_shards,

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import katz, media, packing, pieces, quality, sharding, topk
+from . import katz, media, packing, pieces, quality, repeats, sharding, topk
 
 QUERIES = {
     "op1_matroska": media.op1_matroska,
     "op2_katz": katz.op2_katz,
     "op3_voronoi_top_k": topk.op3_voronoi_top_k,
     "op4_factorisation_machine": quality.op4_factorisation_machine,
+    "op5_sparse_suffix_array": repeats.op5_sparse_suffix_array,
     "op6_feistel_shards": sharding.op6_feistel_shards,
     "op8_bounded_packing": packing.op8_bounded_packing,
     "op9_sentencepiece": pieces.op9_sentencepiece,
+    "op10_fm_index": repeats.op10_fm_index,
 }
 SQL: dict[str, str] = {"op3_voronoi_top_k": topk.SQL}

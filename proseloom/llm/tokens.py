@@ -28,7 +28,7 @@ WORDS_A_BLOCK = 3_000_000
 NO_ID = np.iinfo(np.int64).max
 BLOCK = "block long, n_words long, doc_ids binary, lens binary, ids binary, words binary"
 _RUNS = re.compile(WORD)
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def words_of(text: str) -> list[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import katz, media, packing, pieces, quality, repeats, sharding, topk
+from . import katz, media, nearjoin, packing, pieces, quality, repeats, sharding, topk
 
 QUERIES = {
     "op1_matroska": media.op1_matroska,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_factorisation_machine": quality.op4_factorisation_machine,
     "op5_sparse_suffix_array": repeats.op5_sparse_suffix_array,
     "op6_feistel_shards": sharding.op6_feistel_shards,
+    "op7_chosen_path": nearjoin.op7_chosen_path,
     "op8_bounded_packing": packing.op8_bounded_packing,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_fm_index": repeats.op10_fm_index,

@@ -354,6 +354,11 @@ def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest id of their class, with the columns they came with; rows without an id stay."""
-    found = near_duplicates(docs).where("doc_id is not null and doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(found, docs["doc_id"] == F.col("__id")).drop("__id"))
+    """The documents whose id is the smallest of their class, with the columns they came with. Rows without an id stay;
+    of rows that repeat id and text, one."""
+    found = staged(near_duplicates(docs).select("doc_id", "class_id"), "classes")
+    first = found.where("doc_id = class_id").select(F.col("doc_id").alias("__id"))
+    kept = docs.join(first.distinct(), docs["doc_id"].cast("long") == F.col("__id")).drop("__id")
+    if first.count() > first.distinct().count():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -25,6 +25,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -347,7 +348,12 @@ def op5_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents"), suffix_solver, spans, SPANS)
 
 
-CUT = "doc_id long, kept string, n_removed long"
+CUT = "doc_id long, was long, kept string, n_removed long"
+
+
+def words_hash(text):
+    """Hash of a text's words joined by one space, as `cleaned` takes it of its blocks' words."""
+    return F.xxhash64(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")))
 
 
 def cleaned(docs: DataFrame, solver: Callable = fm_solver) -> DataFrame:
@@ -360,13 +366,15 @@ def cleaned(docs: DataFrame, solver: Callable = fm_solver) -> DataFrame:
             span = slice(b.starts[i], b.starts[i + 1])
             gone = f.repeated[span]
             if gone.any():
-                rows.append((b.doc_ids[i], " ".join(words[b.ids[span][~gone]]), int(gone.sum())))
-        out = pd.DataFrame(rows, columns=["doc_id", "kept", "n_removed"])
+                whole = xxhash.xxh64_intdigest(" ".join(words[b.ids[span]]).encode(), 42)
+                rows.append((whole - (1 << 64) if whole >> 63 else whole, " ".join(words[b.ids[span][~gone]]), int(gone.sum()), b.doc_ids[i]))
+        out = pd.DataFrame(rows, columns=["was", "kept", "n_removed", "doc_id"])
         out["doc_id"] = ids_out(out["doc_id"].to_numpy(np.int64))
-        return out
-
-    changed = repeats(docs, solver, texts, CUT).dropDuplicates(["doc_id"])
-    both = docs.join(changed.withColumnRenamed("doc_id", "__id"), docs["doc_id"].eqNullSafe(F.col("__id")), "left")
-    text = F.when(F.col("n_removed").isNotNull(), F.col("kept")).otherwise(docs["text"])
-    out = both.where("n_removed is null or kept <> ''").select(*[text.alias("text") if c == "text" else F.length(text).cast("long").alias("n_chars") if c == "n_chars" else docs[c] for c in docs.columns])
-    return out
+        return out[["doc_id", "was", "kept", "n_removed"]]
+
+    changed = repeats(docs, solver, texts, CUT).dropDuplicates(["doc_id", "was"]).select(F.col("doc_id").alias("__id"), F.col("was").alias("__was"), F.col("kept").alias("__kept"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (words_hash(docs["text"]) == F.col("__was"))
+    both = docs.join(changed, same, "left").where("__kept is null or __kept <> ''")
+    text = F.coalesce(F.col("__kept"), docs["text"])
+    length = F.when(F.col("__kept").isNull(), docs["n_chars"]).otherwise(F.length("__kept")).cast("long") if "n_chars" in docs.columns else None
+    return both.select(*[text.alias(c) if c == "text" else length.alias(c) if c == "n_chars" else docs[c] for c in docs.columns])

@@ -1,6 +1,6 @@
 """Blocks of tokenised documents, and the exchange by which blocks ask the whole corpus about their keys.
 
-A block is a bounded stretch of one input partition (about three million words): the documents' ids, lengths, word
+A block is a bounded stretch of one input partition (about a million words): the documents' ids, lengths, word
 numbers, and the block's own vocabulary, most frequent word first. A block sends each distinct key once to the bucket
 that owns the key's range and gets one answer back for it, in the order sent. A key that occurs in a third of all rows
 is thus one entry per block, nowhere a group of rows.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, pack, squeeze, staged, text_or_empty, unpack, unsqueeze
 
-WORDS_A_BLOCK = 3_000_000
+WORDS_A_BLOCK = 1_000_000
 NO_ID = np.iinfo(np.int64).max
 BLOCK = "block long, n_words long, doc_ids binary, lens binary, ids binary, words binary"
 _RUNS = re.compile(WORD)

@@ -92,7 +92,8 @@ class Windows:
         grams = self.rolling.all(GRAM)
         self.minimiser = sliding_argmin(grams, SPAN)[self.start] if n > 0 else np.zeros(0, np.int64)
         self.place = np.unique(self.minimiser)  # ascending positions of selected runs
-        self.key = grams[self.place] if len(self.place) else np.zeros(0, np.uint64)
+        # Mixed again: minima crowd at the low end of the hash range.
+        self.key = mix(grams[self.place] ^ np.uint64(0xA5A5A5A5A5A5A5A5)) if len(self.place) else np.zeros(0, np.uint64)
         self.keys, self.slot = np.unique(self.key, return_inverse=True)
         ids = b.doc_ids[self.doc[self.place]] if len(self.place) else np.zeros(0, np.int64)
         self.low, self.high = np.full(len(self.keys), np.iinfo(np.int64).max), np.full(len(self.keys), np.iinfo(np.int64).min)

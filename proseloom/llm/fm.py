@@ -98,7 +98,8 @@ def matching_windows(index: Index, runs: np.ndarray, texts: np.ndarray, lens: np
     the suffix array in its interval (-1: no match). runs: of length - 1 symbols.
 
     A lane goes over its text from the end. A match that has reached ``length`` is reported; before the next step it
-    drops its last symbol, which widens the interval to the run of length - 1. A step that fails starts anew."""
+    drops its last symbol, which widens the interval to the run of length - 1. A step that fails starts anew, one
+    symbol to the left of the failed match's end; that never happens to a text that the index holds itself."""
     starts = np.concatenate([[0], np.cumsum(lens)])
     windows = np.maximum(0, lens - length + 1)
     out_at = np.concatenate([[0], np.cumsum(windows)])
@@ -117,8 +118,19 @@ def matching_windows(index: Index, runs: np.ndarray, texts: np.ndarray, lens: np
         matched[wide] = length - 1
         low, high = index.back(np.where(known, c, index.shift), low, high)
         lost = ~known | (low >= high)
-        # Windows over a symbol that can't follow are no matches; start behind it.
-        low[lost], high[lost], matched[lost] = 0, len(index.array), -1
+        if lost.any():
+            # No match ends here any more: start anew one symbol to the left of where this one ended.
+            again = lost & (matched > 0)
+            position[again] += matched[again]
+            position[lost & ~again] -= 1
+            low[lost], high[lost], matched[lost] = 0, len(index.array), 0
+            matched[~lost] += 1
+            full = ~lost & (matched == length)
+            out[out_at[lanes[full]] + position[full]] = low[full]
+            position[again | ~lost] -= 1
+            on = position >= 0
+            lanes, low, high, matched, position = lanes[on], low[on], high[on], matched[on], position[on]
+            continue
         matched += 1
         full = matched == length
         out[out_at[lanes[full]] + position[full]] = low[full]

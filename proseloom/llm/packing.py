@@ -15,6 +15,7 @@ an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,9 @@ from .common import staged, table, text_or_empty
 
 LENGTH, OPEN, END, GROUP = 2048, 64, 1, 16
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: str.split() also splits at U+001C to U+001F, which are no white space to the tokenizer.
+_ODD = re.compile("[\x1c-\x1f]")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _CODERS: dict[str, "Coder"] = {}
 
 
@@ -49,7 +53,7 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() for t in texts]
+        split = [_SPACE.split(t) if _ODD.search(t) else t.split() for t in texts]
         known = self.known
         if len(known) > self.keep:
             known.clear()

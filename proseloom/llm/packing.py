@@ -45,7 +45,7 @@ class Coder:
     """Ids of a text by the tokenizer file, one white-space-delimited word at a time: its rules drop white space and
     never join across it. Ids of words seen are kept, up to a bound."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,11 +57,11 @@ class Coder:
         known = self.known
         if len(known) > self.keep:
             known.clear()
-        new = list({w for words in split for w in words if w not in known})
+        new = list(set().union(*split) - known.keys())
         if new:
             for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 known[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def coder(path: str) -> Coder:

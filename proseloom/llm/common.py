@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import zstandard
@@ -30,15 +32,43 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Staged tables written inside are deleted at the end, but for those that ask to be kept."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for name in _scratch.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def staged(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage ends there, and a lost
-    executor costs a reread, not a recomputation."""
+    executor costs a reread, not a recomputation. ``keep``: the table outlives a `scratch` around it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that `with_ids` sends to every executor at most: some 100 MB there.
+MOST_IDS = 2_000_000
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The documents whose doc_id is ("left_semi") or is not ("left_anti") among the distinct __id. Up to MOST_IDS ids
+    go to the documents, so that texts need not move; beyond, both are shuffled."""
+    few = ids.limit(MOST_IDS + 1).count() <= MOST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].cast("long") == F.col("__id"), how)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pack, staged, table, unpack
+from .common import pack, scratch, staged, table, unpack, with_ids
 from .components import components
 from .repeats import Rolling, _cut
 from .tokens import NO_ID, Block, blocks, bucket_count, dealt, hashes, ids_out, joined, mix, of_blocks, with_replies
@@ -356,9 +356,11 @@ def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents whose id is the smallest of their class, with the columns they came with. Rows without an id stay;
     of rows that repeat id and text, one."""
-    found = staged(near_duplicates(docs).select("doc_id", "class_id"), "classes")
-    first = found.where("doc_id = class_id").select(F.col("doc_id").alias("__id"))
-    kept = docs.join(first.distinct(), docs["doc_id"].cast("long") == F.col("__id")).drop("__id")
-    if first.count() > first.distinct().count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    with scratch(docs.sparkSession):
+        found = staged(near_duplicates(docs).select("doc_id", "class_id"), "classes", keep=True)
+    ids = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count_if(F.col("doc_id") == F.col("class_id")).alias("first"))
+    kept = with_ids(docs, ids.where("first = 0").select("__id"), "left_anti")
+    if not ids.where("first > 1").isEmpty():
+        known = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+        kept = known.unionByName(kept.where("doc_id is null"))
+    return kept

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fm
-from .common import pack, staged, table, unpack
+from .common import pack, scratch, staged, table, unpack, with_ids
 from .tokens import Block, blocks, bucket_count, dealt, hashes, ids_out, joined, mix, of_blocks, with_replies
 
 WINDOW, GRAM = 50, 20
@@ -373,9 +373,16 @@ def cleaned(docs: DataFrame, solver: Callable = fm_solver) -> DataFrame:
         out["doc_id"] = ids_out(out["doc_id"].to_numpy(np.int64))
         return out[["doc_id", "was", "kept", "n_removed"]]
 
-    changed = repeats(docs, solver, texts, CUT).dropDuplicates(["doc_id", "was"]).select(F.col("doc_id").alias("__id"), F.col("was").alias("__was"), F.col("kept").alias("__kept"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (words_hash(docs["text"]) == F.col("__was"))
-    both = docs.join(changed, same, "left").where("__kept is null or __kept <> ''")
-    text = F.coalesce(F.col("__kept"), docs["text"])
-    length = F.when(F.col("__kept").isNull(), docs["n_chars"]).otherwise(F.length("__kept")).cast("long") if "n_chars" in docs.columns else None
-    return both.select(*[text.alias(c) if c == "text" else length.alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
+    with scratch(docs.sparkSession):
+        changed = staged(repeats(docs, solver, texts, CUT), "changed", keep=True)
+    changed = changed.select(F.col("doc_id").alias("__id"), F.col("was").alias("__was"), F.col("kept").alias("__kept"))
+    ids = changed.select("__id").distinct()
+    # Only documents with an id among the changed move, and those without an id.
+    known = with_ids(docs, ids.where("__id is not null"), "left_semi").unionByName(docs.where("doc_id is null"))
+    same = known["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (words_hash(known["text"]) == F.col("__was"))
+    both = known.join(changed.dropDuplicates(["__id", "__was"]), same, "left").where("__kept is null or __kept <> ''")
+    text = F.coalesce(F.col("__kept"), known["text"])
+    length = F.when(F.col("__kept").isNull(), known["n_chars"]).otherwise(F.length("__kept")).cast("long") if "n_chars" in docs.columns else None
+    cut = both.select(*[text.alias(c) if c == "text" else length.alias(c) if c == "n_chars" else known[c] for c in docs.columns])
+    rest = with_ids(docs.where("doc_id is not null"), ids.where("__id is not null"), "left_anti")
+    return rest.select(*docs.columns).unionByName(cut)

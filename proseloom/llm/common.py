@@ -87,6 +87,17 @@ def crc_of_id(doc_id) -> int:
     return zlib.crc32(b"" if doc_id is None or doc_id != doc_id else str(int(doc_id)).encode())
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator's tasks keep in their Python worker. Spark uses workers again for other stages, so a call by
+    one operator drops what the others left there."""
+    for other in _caches.keys() - {owner}:
+        del _caches[other]
+    return _caches.setdefault(owner, {})
+
+
 _PRESS = zstandard.ZstdCompressor(level=1)
 _OPEN = zstandard.ZstdDecompressor()
 

@@ -25,14 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_or_empty
+from .common import staged, table, text_or_empty, worker_cache
 
 LENGTH, OPEN, END, GROUP = 2048, 64, 1, 16
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: str.split() also splits at U+001C to U+001F, which are no white space to the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_CODERS: dict[str, "Coder"] = {}
 
 
 def default_tokenizer() -> str:
@@ -65,9 +64,10 @@ class Coder:
 
 
 def coder(path: str) -> Coder:
-    if path not in _CODERS:
-        _CODERS[path] = Coder(path)
-    return _CODERS[path]
+    coders = worker_cache("packing")
+    if path not in coders:
+        coders[path] = Coder(path)
+    return coders[path]
 
 
 class Windows:

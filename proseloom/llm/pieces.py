@@ -24,10 +24,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, text_or_empty
+from .common import table, text_or_empty, worker_cache
 
 MARK = "▁"
-_READ: dict[str, "Pieces"] = {}
 
 
 class Pieces:
@@ -117,9 +116,10 @@ def pieces(path: str | None) -> Pieces:
         import public_tokenizers
 
         path = public_tokenizers.path("piece_bpe_32k.model")
-    if path not in _READ:
-        _READ[path] = Pieces(path)
-    return _READ[path]
+    read = worker_cache("pieces")
+    if path not in read:
+        read[path] = Pieces(path)
+    return read[path]
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:

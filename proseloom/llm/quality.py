@@ -22,11 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, table, text_or_empty
+from .common import crc_bucket, table, text_or_empty, worker_cache
 
 HASHED, FACTORS, SHAPE = 1 << 14, 8, 16
 SAMPLE, EPOCHS, BATCH, RATE = 8000, 6, 128, 0.05
-_SEEN: dict[str, int] = {}
 
 
 def shape(text: str, words: list[str]) -> list[float]:
@@ -50,7 +49,7 @@ def shape(text: str, words: list[str]) -> list[float]:
 
 def rows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers, feature numbers and values of the sparse feature matrix, ordered by row."""
-    seen = _SEEN
+    seen = worker_cache("quality")
     if len(seen) > 500_000:
         seen.clear()
     ids, lens, extra = [], [], []

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, pack, squeeze, staged, text_or_empty, unpack, unsqueeze
+from .common import WORD, pack, squeeze, staged, text_or_empty, unpack, unsqueeze, worker_cache
 
 WORDS_A_BLOCK = 1_000_000
 NO_ID = np.iinfo(np.int64).max
@@ -69,6 +69,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     """The staged blocks of whole documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("blocks")
         part, seq = TaskContext.get().partitionId(), 0
         ids, lens, flat = [], [], array("i")
         seen: defaultdict = defaultdict()
@@ -114,6 +115,7 @@ def of_blocks(block_table: DataFrame, f: Callable[[Block], list[dict]], schema:
     """f's rows for each block, without a shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("blocks")
         names = [c.split()[0] for c in schema.split(", ")]
         for b in batches:
             for row in b.itertuples(index=False):

@@ -292,5 +292,13 @@ def test_pieces(spark, docs, none):
         assert math.isclose(got, best[-1], rel_tol=1e-9)
 
 
+def test_a_worker_keeps_one_operators_cache():
+    from proseloom.llm.common import worker_cache
+
+    first = worker_cache("packing")
+    first["x"] = 1
+    assert worker_cache("packing") is first and worker_cache("quality") == {} and worker_cache("packing") == {}
+
+
 def test_blocks_and_words():
     assert tokens.words_of("a\x1cb c d\x85\n e") == WORD.findall("a\x1cb c d\x85\n e")

@@ -10,7 +10,8 @@ to their smallest node as candidates.
 
 Candidates only group nodes: in each connected group all pairs are then compared exactly on their whole shingle sets,
 groups of over TILE nodes in pairs of tiles spread over the cluster, and only counts and a spanning forest are kept.
-So links are exact, no pair is written out, and a group of thousands of near copies is no single task.
+So links are exact, no pair is written out, and a group of n near copies sends n * ceil(n / TILE) sets, about 2 TILE of
+them to each comparison.
 
 Result: one row per document with class_id (smallest doc_id of the documents it is linked with, directly or through
 others), text_class_id (smallest doc_id with the same words), n_copies (documents with the same words) and n_links
@@ -293,7 +294,18 @@ def verified(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"node": _EDGES, "links": _EDGES, "root": _EDGES, "tiled": np.array([], bool)})
 
 
-SET = "bin int, root long, low int, high int, tile int, node long, grams binary, tiled boolean"
+SET = "root long, tile int, tiles int, node long, grams binary"
+
+
+def dealt_out(sets: DataFrame, bins: int) -> DataFrame:
+    """Each node's set once for every pair of tiles of its group, with what the exact comparison is grouped by: groups
+    of one tile share the bins, of larger groups each pair of tiles is a group of its own."""
+    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = F.col("tiles") > 1
+    return pairs.select(
+        F.when(tiled, F.col("root")).alias("group"), F.when(tiled, -1).otherwise(F.pmod(F.xxhash64("root"), F.lit(bins))).cast("int").alias("bin"),
+        "root", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "grams", tiled.alias("tiled"),
+    )
 
 
 def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
@@ -320,7 +332,6 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     home = flat.groupBy("node").agg(F.min("block").alias("block"))
     told = group.join(home, "node").groupBy("block").agg(F.collect_list(F.struct("node", "root", "tiles")).alias("of"))  # at most a block's documents
     told = told.select(F.lit(0).alias("kind"), "block", F.lit(0).alias("bucket"), "of")
-    bins = max(16, -(-group.count() // 1000))
 
     def send(b: Block, a: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -328,15 +339,12 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
             s = Sets(b)
             for x in a["of"].iloc[0]:
                 at = int(np.searchsorted(s.node, x["node"]))
-                grams, tiles, root = pack(s.grams[s.start[at] : s.start[at + 1]]), x["tiles"], x["root"]
-                own = int(mix(np.array([x["node"]], np.int64).view(np.uint64))[0] % np.uint64(tiles))
-                for other in range(tiles):
-                    low, high = min(own, other), max(own, other)
-                    spot = mix(np.array([root], np.int64).view(np.uint64) + np.uint64(low * 1_000_003 + high))[0]
-                    rows.append((int(spot % np.uint64(bins)), root, low, high, own, x["node"], grams, tiles > 1))
+                own = int(mix(np.array([x["node"]], np.int64).view(np.uint64))[0] % np.uint64(x["tiles"]))
+                rows.append((x["root"], own, x["tiles"], x["node"], pack(s.grams[s.start[at] : s.start[at + 1]])))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SET.split(", ")])
 
-    links = staged(with_replies(parts, told, send, SET).groupBy("bin").applyInPandas(verified, LINKS), "links")
+    sets = dealt_out(with_replies(parts, told, send, SET), max(16, -(-group.where("tiles = 1").count() // 1000)))
+    links = staged(sets.groupBy("bin", "group", "low", "high").applyInPandas(verified, LINKS), "links")
     totals = links.groupBy("node").agg(F.sum("links").alias("n_links"), F.min("root").alias("root"))
     # Groups in one piece are done; those in tiles are joined over their forests.
     over = components(links.where("tiled and node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "joined")

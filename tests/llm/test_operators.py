@@ -226,6 +226,29 @@ def test_near_duplicates(docs, none, limit, monkeypatch):
     assert nearjoin.near_duplicates(none).count() == 0
 
 
+def test_large_group_is_dealt_out(spark, monkeypatch, tmp_path):
+    """No comparison holds more than two tiles of a large near-copy group, and none is left out."""
+    folder = str(tmp_path)
+
+    def watched(rows):
+        import uuid
+
+        from proseloom.llm.nearjoin import verified
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(rows)))
+        return verified(rows)
+
+    monkeypatch.setattr(nearjoin, "TILE", 16)
+    monkeypatch.setattr(nearjoin, "verified", watched)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join([*base[:at], f"x{i}", *base[at + 1 :]]), "", 0) for i in range(400) for at in [i % 200]]
+    got = nearjoin.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert by(got, "doc_id", "class_id", "n_links") == by([{"doc_id": i, "class_id": 0, "n_links": 399} for i in range(400)], "doc_id", "class_id", "n_links")
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert sum(sizes) >= 400 * 25 and max(sizes) <= 6 * 16
+
+
 def test_one_of_each(docs):
     kept = nearjoin.one_of_each(docs)
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)

@@ -5,8 +5,9 @@ probability 1 / (0.8 |x|), by a hash all nodes share; nodes that choose a common
 more than LIMIT nodes are split again: their nodes extend the path by further chosen shingles, up to DEPTH. Small
 buckets are compared outright, first by a sketch of 64 bytes that only drops pairs six standard deviations below the
 threshold. The number of runs follows from the target recall (`runs_for`), for the hardest pair at the threshold and
-three levels of splitting. Buckets still large at full depth hold nodes with many shingles in common; they are linked
-to their smallest node as candidates.
+three levels of splitting; split paths choose each shingle more often (`branch_for`), so that the target holds at full
+depth with the same runs. Buckets still large at full depth hold nodes with many shingles in common; they are linked to
+their smallest node as candidates.
 
 Candidates only group nodes: in each connected group all pairs are then compared exactly on their whole shingle sets,
 groups of over TILE nodes in pairs of tiles spread over the cluster, and only counts and a spanning forest are kept.
@@ -39,13 +40,26 @@ LIMIT, DEPTH, TILE, BINS = 64, 5, 512, 64
 _EDGES = np.array([], np.int64)
 
 
+def meets(levels: int, branch: float = 1.0) -> float:
+    """Probability that a pair at the threshold meets on a path of so many levels of one run. Its common chosen shingles
+    number 1 on average at the first level and ``branch`` at each further one (Poisson)."""
+    p = 1.0
+    for _ in range(levels - 1):
+        p = 1 - math.exp(-branch * p)
+    return 1 - math.exp(-p)
+
+
 def runs_for(recall: float, levels: int = 3) -> int:
-    """Runs until a pair at the threshold, whose common chosen shingles number 1 on average (Poisson), has met on a
-    path of so many levels with this probability."""
-    meets = 1.0
-    for _ in range(levels):
-        meets = 1 - math.exp(-meets)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meets))
+    """Runs until a pair at the threshold has met on a path of so many levels with this probability."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - meets(levels)))
+
+
+def branch_for(recall: float, runs: int, levels: int) -> float:
+    """How much oftener split paths choose a shingle, in steps of 1/64, so that these runs reach the recall."""
+    steps = 64
+    while (1 - meets(levels, steps / 64)) ** runs > 1 - recall:
+        steps += 1
+    return steps / 64
 
 
 class Sets:
@@ -84,15 +98,17 @@ class Sets:
             nodes.append(self.owner[pick])
         return np.concatenate([*keys, np.zeros(0, np.uint64)]), np.concatenate([*nodes, np.zeros(0, np.int64)])
 
-    def deeper(self, keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def deeper(self, keys: np.ndarray, nodes: np.ndarray, branch: float) -> tuple[np.ndarray, np.ndarray]:
         """The paths one level longer, of the given paths."""
+        with np.errstate(divide="ignore"):
+            bar = np.minimum(branch * 2.0**64 / (SIMILAR * self.size), 2.0**64 - 2048).astype(np.uint64)
         out, whose = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for at in range(0, len(keys), 2000):
             k, n = keys[at : at + 2000], nodes[at : at + 2000]
             size = self.size[n]
             index = np.repeat(self.start[n] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
             path, g = np.repeat(k, size), self.grams[index]
-            pick = mix(g ^ path) < np.repeat(self.bar[n], size)
+            pick = mix(g ^ path) < np.repeat(bar[n], size)
             out.append(mix(path[pick] * np.uint64(3) + g[pick]))
             whose.append(np.repeat(n, size)[pick])
         return np.concatenate(out), np.concatenate(whose)
@@ -162,7 +178,7 @@ class Known:
 PARTS = "part string, block long, bucket int, depth binary, keys binary, nodes binary, sketches binary, low binary, copies binary, docs binary"
 
 
-def members(b: Block, answers: pd.DataFrame, buckets: int, runs: int) -> pd.DataFrame:
+def members(b: Block, answers: pd.DataFrame, buckets: int, runs: int, branch: float) -> pd.DataFrame:
     """Rows 'docs': the documents and their nodes; 'meet': nodes at buckets they share, with sketches."""
     k = Known(b, answers)
     s = k.sets
@@ -177,7 +193,7 @@ def members(b: Block, answers: pd.DataFrame, buckets: int, runs: int) -> pd.Data
     hot = speaks & (count > LIMIT)
     path, whose = keys[hot], nodes[hot]
     for depth in range(2, DEPTH + 1):
-        path, whose = s.deeper(path, whose)
+        path, whose = s.deeper(path, whose, branch)
         found.append((path, whose, np.full(len(path), depth, np.int8)))
     keys, nodes, depth = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(keys)
@@ -312,11 +328,12 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, text_class_id, n_copies, n_links for every document."""
     spark = docs.sparkSession
     runs = runs_for(recall)
+    branch = branch_for(recall, runs, DEPTH)
     parts = blocks(docs)
     buckets = bucket_count(parts)
     asks = of_blocks(parts, lambda b: asked(b, buckets, runs), ASK)
     replies = staged(asks.groupBy("kind", "bucket").applyInPandas(counted, REPLY), "nodes")
-    meet = staged(with_replies(parts, replies, lambda b, a: members(b, a, buckets, runs), PARTS), "members")
+    meet = staged(with_replies(parts, replies, lambda b, a: members(b, a, buckets, runs, branch), PARTS), "members")
     edges = meet.where("part = 'meet'").groupBy("bucket").applyInPandas(met, "a long, b long")
     group = staged(components(edges), "groups")
     sizes = group.groupBy("root").agg(F.count("*").alias("n"))

@@ -226,6 +226,26 @@ def test_near_duplicates(docs, none, limit, monkeypatch):
     assert nearjoin.near_duplicates(none).count() == 0
 
 
+def test_recall_at_full_depth():
+    """Of 6,000 pairs at the threshold (40 of 50 shingles) hardly one never meets on a path of full depth."""
+    pairs = 6000
+    lens = np.tile([44, 54], pairs)
+    ids = np.concatenate([np.concatenate([np.arange(44), np.arange(54)]) + 54 * k for k in range(pairs)])
+    row = {"block": 0, "doc_ids": tokens.pack(np.arange(2 * pairs)), "lens": tokens.pack(lens.astype(np.int32)), "ids": tokens.pack(ids.astype(np.int32)), "words": tokens.squeeze("\n".join(map(str, range(54 * pairs))).encode())}
+    s = nearjoin.Sets(tokens.Block(type("Row", (), row)))
+    runs = nearjoin.runs_for(nearjoin.RECALL)
+    more = [nearjoin.branch_for(nearjoin.RECALL, runs, nearjoin.DEPTH)] if hasattr(nearjoin, "branch_for") else []
+    keys, nodes = s.chosen(runs)
+    for _ in range(nearjoin.DEPTH - 1):
+        keys, nodes = s.deeper(keys, nodes, *more)
+    pair = np.empty(len(s.node), np.int64)
+    pair[s.of] = np.arange(2 * pairs) // 2
+    seen = np.unique(np.stack([keys, nodes.astype(np.uint64)], 1), axis=0)
+    same = seen[1:, 0] == seen[:-1, 0]
+    met = np.unique(pair[seen[1:, 1][same].astype(np.int64)])
+    assert pairs - len(met) <= 3
+
+
 def test_large_group_is_dealt_out(spark, monkeypatch, tmp_path):
     """No comparison holds more than two tiles of a large near-copy group, and none is left out."""
     folder = str(tmp_path)

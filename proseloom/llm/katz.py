@@ -1,18 +1,21 @@
 """Operator 2: Katz backoff language model with Good-Turing discounts.
 
-Training counts all n-grams up to pairs of the documents with crc32(doc_id as text) mod 10 other than 0, sentence start
-included as a context. Counts r <= 5 are discounted by Good-Turing (Katz's formula), larger ones by a constant of 0.01
-counts, so that every context keeps some mass. P(w | v) = d(c) c / c(v) if the pair was seen, else alpha(v) P(w), with
-alpha(v) = (1 - sum of seen P(. | v)) / (1 - sum of P over the words seen after v): the probabilities of a context,
-the one unknown word included, sum to exactly 1. An unseen context backs off with weight 1. Where counts of counts are
-too thin for Good-Turing (a zero, or a discount outside (0, 1)), that discount is absolute: n1 / (n1 + 2 n2) counts.
-
-The corpus side: blocks of documents send each distinct word and pair, with its training count, to the bucket of its
-key. The buckets write count tables partitioned by kind (1 words, 2 pairs) and bucket, as answers to each block, plus
-counts of counts. Backing-off sums per context are gathered the same way. Each block then evaluates its tokens
-recursively: pair, else alpha and word, else alpha and the unknown word. Nothing of corpus size reaches one task.
-
-Keys are 64-bit hashes of words and pairs. Nulls: a null text is empty (its only token is the end); a null id has the
+Training counts all n-grams up to the order (3 in the query) of the documents with crc32(doc_id as text) mod 10 other
+than 0, sentence start included as a context; the first tokens of a text have contexts as short as their history.
+Counts r <= 5 are discounted by Good-Turing (Katz's formula), larger ones by a constant of 0.01 counts, so that every
+context keeps some mass. P(w | h) = d(c) c / c(h) if the n-gram h w was seen, else alpha(h) P(w | h'), where h' is h
+without its first token and alpha(h) = (1 - sum of seen P(. | h)) / (1 - sum of P(. | h') over the words seen after h):
+the probabilities of a context, the one unknown word included, sum to exactly 1. An unseen context backs off with
+weight 1. Where counts of counts are too thin for Good-Turing (a zero, or a discount outside (0, 1)), that discount is
+absolute: n1 / (n1 + 2 n2) counts.
+
+The corpus side: blocks of documents send each distinct n-gram, with its training count, to the bucket of its key. The
+buckets write count tables partitioned by kind (the n of the n-grams) and bucket, as answers to each block, plus counts
+of counts. Backing-off sums per context are gathered the same way. Each block then evaluates its tokens recursively:
+the longest n-gram, else alpha and the next shorter one, down to the unknown word. Nothing of corpus size reaches one
+task.
+
+Keys are 64-bit hashes of n-grams. Nulls: a null text is empty (its only token is the end); a null id has the
 crc of the empty string, so it is held out. Repeated rows train as often as they occur. Empty table: empty result. No
 training rows: every token is unknown with probability 1. Extra columns are ignored.
 """
@@ -27,17 +30,28 @@ from pyspark.sql import functions as F
 from .common import crc_of_id, pack, staged, table, unpack
 from .tokens import NO_ID, Block, blocks, bucket_count, dealt, hashes, ids_out, joined, mix, of_blocks, with_replies
 
-K, FLOOR = 5, 0.01
+K, FLOOR, ORDER = 5, 0.01, 3
 END, START = hashes(["\n</s>", "\n<s>"])  # no word has a line feed
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 COUNTS = [f"n{r}" for r in range(1, K + 2)] + ["over", "types", "tokens"]
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-class Pairs:
-    """A block's tokens as (context, word) pairs, and its distinct words and pairs in key order."""
+class Gram:
+    """A block's distinct n-grams of one n. ``at``: the tokens that end one, ``of``: which; ``context`` and ``lower``:
+    the n-grams of one less without the last and the first token; ``sent``: twice the training count, plus 1 if a
+    document held out has it."""
 
-    def __init__(self, b: Block):
+    def __init__(self, at: np.ndarray, of: np.ndarray, context, lower, raw: np.ndarray, counts: np.ndarray, held: np.ndarray):
+        self.at, self.of, self.context, self.lower, self.raw = at, of, context, lower, raw
+        self.order = np.argsort(raw)
+        self.keys, self.sent = raw[self.order], (counts * 2 + held)[self.order].astype(np.uint32)
+
+
+class Grams:
+    """A block's tokens and its distinct n-grams up to the order; ``grams[0]`` are the words."""
+
+    def __init__(self, b: Block, order: int):
         low, number = [w.translate(_UPPER) for w in b.words], {}
         to = np.array([number.setdefault(w, len(number)) for w in low], np.int64)
         v = len(number)
@@ -49,34 +63,36 @@ class Pairs:
         inside[ends] = False
         if len(b.ids):
             self.word[inside] = to[b.ids]
-        self.context = np.concatenate([[v + 1], self.word[:-1]])[: len(self.word)]
-        self.context[ends[:-1] + 1] = v + 1
         self.doc = np.repeat(np.arange(n), b.lens + 1)
         self.held = np.array([crc_of_id(None if i == NO_ID else i) % 10 == 0 for i in b.doc_ids], bool)
         self.train = ~self.held[self.doc]
-        # Words in key order.
-        key = mix(self.hash)
-        self.word_order = np.argsort(key)
-        self.word_keys = key[self.word_order]
         counts = np.bincount(self.word[self.train], minlength=v + 2)
         counts[v + 1] = (~self.held).sum()
-        self.word_counts = counts[self.word_order].astype(np.uint32)
-        # Distinct pairs in key order.
-        both, self.pair = np.unique(self.context * (v + 2) + self.word, return_inverse=True)
-        self.pair_context, self.pair_word = both // (v + 2), both % (v + 2)
-        key = mix(mix(self.hash[self.pair_context]) + self.hash[self.pair_word] * np.uint64(0x9E3779B97F4A7C15))
-        self.pair_order = np.argsort(key)
-        self.pair_keys = key[self.pair_order]
-        self.pair_counts = np.bincount(self.pair[self.train], minlength=len(both))[self.pair_order].astype(np.uint32)
+        held = np.bincount(self.word[~self.train], minlength=v + 2) > 0
+        held[v + 1] = self.held.any()
+        everywhere = np.arange(len(self.word))
+        self.grams = [Gram(everywhere, self.word, None, None, mix(self.hash), counts, held)]
+        place = everywhere - np.repeat(ends - b.lens, b.lens + 1)
+        ending = self.word
+        for k in range(2, order + 1):
+            at = np.nonzero(place >= k - 2)[0]
+            context = np.where(place[at] > 0, ending[at - 1], v + 1)  # the start comes before a first token
+            own, first, of = np.unique(context * (v + 2) + self.word[at], return_index=True, return_inverse=True)
+            context = own // (v + 2)
+            raw = mix(self.grams[-1].raw[context] + self.hash[own % (v + 2)] * np.uint64(0x9E3779B97F4A7C15))
+            counts, held = (np.bincount(of[x[at]], minlength=len(own)) for x in (self.train, ~self.train))
+            self.grams.append(Gram(at, of, context, ending[at[first]], raw, counts, held > 0))
+            ending = np.full(len(self.word), -1, np.int64)
+            ending[at] = of
 
 
 ASK = "kind int, block long, bucket int, keys binary, counts binary"
 
 
-def asked(b: Block, buckets: int) -> list[dict]:
-    p = Pairs(b)
+def asked(b: Block, buckets: int, order: int) -> list[dict]:
     rows = []
-    for kind, keys, counts in ((1, p.word_keys, p.word_counts), (2, p.pair_keys, p.pair_counts)):
+    for kind, g in enumerate(Grams(b, order).grams, 1):
+        keys, counts = g.keys, g.sent
         cut = dealt(keys, buckets)
         rows += [{"kind": kind, "block": b.block, "bucket": i, "keys": pack(keys[s:e]), "counts": pack(counts[s:e])} for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
     return rows
@@ -87,16 +103,18 @@ _START_KEY = mix(np.array([START], np.uint64))[0]
 
 
 def counted(rows: pd.DataFrame) -> pd.DataFrame:
-    """The corpus counts of a bucket's keys, for each block that asked; the first block that asked owns a pair."""
+    """The corpus counts of a bucket's keys, for each block that asked; the first block that asked owns an n-gram."""
     rows = rows.sort_values("block")
     kind, bucket = int(rows["kind"].iloc[0]), int(rows["bucket"].iloc[0])
     keys = [unpack(k, np.uint64) for k in rows["keys"]]
     flat = np.concatenate(keys)
     own, first, inverse = np.unique(flat, return_index=True, return_inverse=True)
-    totals = np.bincount(inverse, np.concatenate([unpack(c, np.uint32) for c in rows["counts"]]).astype(np.float64), len(own)).astype(np.int64)
+    sent = np.concatenate([unpack(c, np.uint32) for c in rows["counts"]])
+    totals = np.bincount(inverse, (sent >> np.uint32(1)).astype(np.float64), len(own)).astype(np.int64)
+    held = np.bincount(inverse, sent & np.uint32(1), len(own)) > 0
     owner = np.zeros(len(flat), np.uint64)
     owner[first] = 1
-    sent = totals[inverse].astype(np.uint64) * np.uint64(2) + owner
+    sent = (totals * 4 + held * 2)[inverse].astype(np.uint64) + owner
     cut = np.cumsum([0, *map(len, keys)])
     out = pd.DataFrame({"kind": kind, "block": rows["block"].to_numpy(), "bucket": bucket, "answer": [pack(sent[s:e]) for s, e in zip(cut, cut[1:], strict=False)]})
     real = totals[(totals > 0) & ~((own == _START_KEY) & (kind == 1))]
@@ -120,15 +138,15 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 class Model:
-    """Fixed-size part of the model: totals and the two sets of discounts."""
+    """Fixed-size part of the model: totals and the discounts of each order."""
 
-    def __init__(self, stats: dict[int, dict]):
+    def __init__(self, stats: dict[int, dict], order: int):
         none = dict.fromkeys(COUNTS, 0)
-        one, two = stats.get(1, none), stats.get(2, none)
+        one = stats.get(1, none)
         self.tokens, self.types = one["tokens"], one["types"]
         n = [one[f"n{r}"] for r in range(1, K + 2)]
-        self.one, self.two = discounts(n), discounts([two[f"n{r}"] for r in range(1, K + 2)])
-        kept_back = sum(n[r - 1] * r * (1 - self.one[r]) for r in range(1, K + 1)) + FLOOR * one["over"]
+        self.of = {k: discounts([stats.get(k, none)[f"n{r}"] for r in range(1, K + 2)]) for k in range(1, order + 1)}
+        kept_back = sum(n[r - 1] * r * (1 - self.of[1][r]) for r in range(1, K + 1)) + FLOOR * one["over"]
         self.unknown = kept_back / self.tokens if self.tokens else 1.0
 
     @staticmethod
@@ -137,48 +155,72 @@ class Model:
         return np.where(c > K, c - FLOOR, d[np.minimum(c, K)] * c)
 
     def word(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, self.shrunk(c, self.one) / max(1, self.tokens), self.unknown)
-
-
-SCORED = "part string, block long, bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
-
-
-def scored(b: Block, answers: pd.DataFrame, model: Model, buckets: int) -> pd.DataFrame:
-    """Rows of three parts: the block's documents with what their seen pairs and words give, sums per context of the
-    pairs the block owns, and the contexts whose backoff weight it needs."""
-    p = Pairs(b)
-    count = np.empty(len(p.hash), np.int64)
-    count[p.word_order] = (joined(answers, 1, "answer", np.uint64) >> np.uint64(1)).astype(np.int64)
-    reply = joined(answers, 2, "answer", np.uint64)
-    both, owned = np.empty(len(reply), np.int64), np.empty(len(reply), bool)
-    both[p.pair_order], owned[p.pair_order] = (reply >> np.uint64(1)).astype(np.int64), (reply & np.uint64(1)).astype(bool)
-    prior = model.word(count)
-    of_context = count[p.pair_context]
-    seen = both > 0
-    value = np.where(seen, model.shrunk(both, model.two) / np.maximum(1, of_context), prior[p.pair_word])
-    n, docs = len(b.lens), p.doc
-    part = np.bincount(docs, np.log10(value)[p.pair], n)
+        return np.where(c > 0, self.shrunk(c, self.of[1]) / max(1, self.tokens), self.unknown)
+
+
+SCORED = "part string, block long, kind int, bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
+
+
+def scored(b: Block, answers: pd.DataFrame, model: Model, buckets: int, order: int) -> pd.DataFrame:
+    """Rows of three parts: the block's documents with what their seen n-grams give, sums per context of the n-grams
+    the block owns, and the contexts whose backoff weight it needs."""
+    p = Grams(b, order)
+    counts, owned, held = [], [], []
+    for kind, g in enumerate(p.grams, 1):
+        reply = joined(answers, kind, "answer", np.uint64)
+        answer = np.empty(len(reply), np.int64)
+        answer[g.order] = reply.astype(np.int64)
+        counts.append(answer >> 2)
+        held.append((answer & 2).astype(bool))
+        owned.append((answer & 1).astype(bool))
+    # What an n-gram gives where it was seen; of words, the unknown one too.
+    value = [model.word(counts[0])]
+    for k in range(2, order + 1):
+        value.append(model.shrunk(counts[k - 1], model.of[k]) / np.maximum(1, counts[k - 2][p.grams[k - 1].context]))
+    n, docs, count = len(b.lens), p.doc, counts[0]
     known = np.bincount(docs, count[p.word] > 0, n)
     base = np.bincount(docs, np.log10((count + 0.1) / (model.tokens + 0.1 * (model.types + 1)))[p.word], n)
-    backs = ~seen & (of_context > 0)
-    at = np.nonzero(backs[p.pair])[0]
-    need, where = np.unique(p.context[at], return_inverse=True)
-    keys = mix(p.hash[need])
-    order = np.argsort(keys)
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order))
-    rows = [{"part": "docs", "block": b.block, "a": pack(b.doc_ids), "b": pack(b.lens + 1), "c": pack(np.stack([known, base, part], 1).reshape(-1)), "d": pack(docs[at].astype(np.int32)), "e": pack(rank[where]), "f": pack(count[need][order])}]
-    cut = dealt(keys[order], buckets)
-    rows += [{"part": "ask", "block": b.block, "bucket": i, "a": pack(keys[order][s:e])} for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
-    mine = owned & seen
-    have, slot = np.unique(p.pair_context[mine], return_inverse=True)
-    used = np.bincount(slot, model.shrunk(both, model.two)[mine], len(have))
-    below = np.bincount(slot, prior[p.pair_word][mine], len(have))
-    keys = mix(p.hash[have])
-    order = np.argsort(keys)
-    cut = dealt(keys[order], buckets)
-    rows += [{"part": "sum", "block": b.block, "bucket": i, "a": pack(keys[order][s:e]), "b": pack(used[order][s:e]), "c": pack(below[order][s:e])} for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in SCORED.split(", ")]).astype({"bucket": "Int32"})
+    given = np.zeros(len(p.word))
+    left = np.ones(len(p.word), bool)
+    needs = {}
+    for k in range(order, 1, -1):
+        g = p.grams[k - 1]
+        seen = counts[k - 1][g.of] > 0
+        now = left[g.at] & seen
+        given[g.at[now]] = value[k - 1][g.of[now]]
+        left[g.at[now]] = False
+        backs = left[g.at] & (counts[k - 2][g.context] > 0)[g.of]
+        needs[k] = (g.at[backs], g.context[g.of[backs]])
+    given[left] = value[0][p.word[left]]
+    part = np.bincount(docs, np.log10(given), n)
+    rows, whose, place, totals, base_rank = [], [], [], [], 0
+    for k in range(2, order + 1):
+        raw = p.grams[k - 2].raw
+        at, context = needs[k]
+        need, where = np.unique(context, return_inverse=True)
+        keys = raw[need]
+        by_key = np.argsort(keys)
+        rank = np.empty(len(by_key), np.int32)
+        rank[by_key] = np.arange(len(by_key))
+        whose.append(docs[at].astype(np.int32))
+        place.append((rank[where] + base_rank).astype(np.int32))
+        totals.append(counts[k - 2][need][by_key])
+        base_rank += len(need)
+        cut = dealt(keys[by_key], buckets)
+        rows += [{"part": "ask", "block": b.block, "kind": k, "bucket": i, "a": pack(keys[by_key][s:e])} for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
+        g = p.grams[k - 1]
+        # All n-grams of training documents are seen, so only contexts in documents held out are asked for.
+        mine = owned[k - 1] & (counts[k - 1] > 0) & held[k - 2][g.context]
+        have, slot = np.unique(g.context[mine], return_inverse=True)
+        used = np.bincount(slot, model.shrunk(counts[k - 1], model.of[k])[mine], len(have))
+        below = np.bincount(slot, value[k - 2][g.lower[mine]], len(have))
+        keys = raw[have]
+        by_key = np.argsort(keys)
+        cut = dealt(keys[by_key], buckets)
+        rows += [{"part": "sum", "block": b.block, "kind": k, "bucket": i, "a": pack(keys[by_key][s:e]), "b": pack(used[by_key][s:e]), "c": pack(below[by_key][s:e])} for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
+    whose, place, totals = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((whose, np.int32), (place, np.int32), (totals, np.int64)))
+    rows.append({"part": "docs", "block": b.block, "a": pack(b.doc_ids), "b": pack(b.lens + 1), "c": pack(np.stack([known, base, part], 1).reshape(-1)), "d": pack(whose), "e": pack(place), "f": pack(totals)})
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in SCORED.split(", ")]).astype({"kind": "Int32", "bucket": "Int32"})
 
 
 SUMS = "block long, kind int, bucket int, used binary, below binary"
@@ -195,7 +237,7 @@ def summed(rows: pd.DataFrame) -> pd.DataFrame:
     out = []
     for r in asks.itertuples(index=False):
         at = np.searchsorted(own, unpack(r.a, np.uint64))
-        out.append((r.block, 0, r.bucket, pack(total[0][at]), pack(total[1][at])))
+        out.append((r.block, r.kind, r.bucket, pack(total[0][at]), pack(total[1][at])))
     return pd.DataFrame(out, columns=["block", "kind", "bucket", "used", "below"])
 
 
@@ -206,29 +248,29 @@ def finished(docs: pd.DataFrame, sums: pd.DataFrame, tokens: int) -> pd.DataFram
     r = next(docs.itertuples(index=False))
     ids, lens = unpack(r.a, np.int64), unpack(r.b, np.int64)
     known, base, part = unpack(r.c, np.float64).reshape(-1, 3).T
-    sums = sums.sort_values("bucket")
-    used, below = joined(sums, 0, "used", np.float64), joined(sums, 0, "below", np.float64)
+    sums = sums.sort_values(["kind", "bucket"])
+    used, below = (np.concatenate([np.zeros(0), *[unpack(x, np.float64) for x in sums[c]]]) for c in ("used", "below"))
     alpha = np.maximum(1 - used / unpack(r.f, np.int64), 1e-300) / np.maximum(1 - below, 1e-300)
     part = part + np.bincount(unpack(r.d, np.int32), np.log10(alpha)[unpack(r.e, np.int32)], len(ids))
     held = [crc_of_id(None if i == NO_ID else i) % 10 == 0 for i in ids]
     return pd.DataFrame({"doc_id": ids_out(ids), "held_out": held, "n_tokens": lens, "n_known": known.astype(np.int64), "train_tokens": tokens, "base_score": base, "score": part})
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
+def score(docs: DataFrame, order: int = 2) -> DataFrame:
+    """By n-grams up to the order: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     spark = docs.sparkSession
     parts = blocks(docs)
     buckets = bucket_count(parts)
-    asks = of_blocks(parts, lambda b: asked(b, buckets), ASK)
+    asks = of_blocks(parts, lambda b: asked(b, buckets, order), ASK)
     tables = staged(asks.groupBy("kind", "bucket").applyInPandas(counted, ANSWER), "ngram-counts")
-    stats = tables.where("block = -1").groupBy("kind").agg(*[F.sum(c).alias(c) for c in COUNTS]).collect()  # two rows
-    model = Model({r["kind"]: {c: int(r[c]) for c in COUNTS} for r in stats})
+    stats = tables.where("block = -1").groupBy("kind").agg(*[F.sum(c).alias(c) for c in COUNTS]).collect()  # a row for each n
+    model = Model({r["kind"]: {c: int(r[c]) for c in COUNTS} for r in stats}, order)
     answers = tables.where("block >= 0").select("kind", "block", "bucket", "answer")
-    first = staged(with_replies(parts, answers, lambda b, a: scored(b, a, model, buckets), SCORED), "scored")
-    sums = first.where("part <> 'docs'").groupBy("bucket").applyInPandas(summed, SUMS)
+    first = staged(with_replies(parts, answers, lambda b, a: scored(b, a, model, buckets, order), SCORED), "scored")
+    sums = first.where("part <> 'docs'").groupBy("kind", "bucket").applyInPandas(summed, SUMS)
     tokens = model.tokens
     return first.where("part = 'docs'").groupBy("block").cogroup(sums.groupBy("block")).applyInPandas(lambda d, s: finished(d, s, tokens), RESULT)
 
 
 def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    return score(table(spark, sf_dir, "documents"), ORDER)

@@ -109,6 +109,41 @@ def test_katz(docs, none):
     assert got == want and katz.score(none).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_of_any_order(spark, order):
+    r = random.Random(9)
+    texts = [(i, " ".join(r.choice("abcdefgh" if i % 3 else "abcdefghijk") for _ in range(r.randint(0, 40)))) for i in range(120)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    toks = [(i, [*t.split(), "\n"]) for i, t in texts]
+    seen, after = [Counter() for _ in range(order + 1)], {}
+    histories = lambda t, j: ["\n<", *t][max(0, j + 2 - order) : j + 1] if order > 1 else []
+    ctx = Counter()
+    for i, t in toks:
+        for j, w in enumerate(t if not held(i) else []):
+            h = histories(t, j)
+            for k in range(len(h) + 1):
+                g = (*h[k:], w)
+                seen[len(g)][g] += 1
+                ctx[g[:-1]] += 1
+                after.setdefault(g[:-1], set()).add(w)
+    d = [None] + [katz.discounts([sum(c == x for c in s.values()) for x in range(1, 7)]) for s in seen[1:]]
+    cut = lambda g: seen[len(g)][g] - 0.01 if seen[len(g)][g] > 5 else d[len(g)][seen[len(g)][g]] * seen[len(g)][g]
+
+    def prob(h, w):
+        g = (*h, w)
+        if seen[len(g)][g]:
+            return cut(g) / ctx[h]
+        if not h:
+            return 1 - sum(cut((x,)) for x in after[()]) / ctx[()]
+        if not ctx[h]:
+            return prob(h[1:], w)
+        return (1 - sum(cut((*h, x)) for x in after[h]) / ctx[h]) / (1 - sum(prob(h[1:], x) for x in after[h])) * prob(h[1:], w)
+
+    got = {q.doc_id: q.score for q in katz.score(spark.createDataFrame(texts, "doc_id long, text string"), order).collect()}
+    want = {i: sum(math.log10(prob(tuple(histories(t, j)), w)) for j, w in enumerate(t)) for i, t in toks}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=1e-6) for i in got)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(400)]

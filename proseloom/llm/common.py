@@ -78,6 +78,16 @@ def text_or_empty(df: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> Data
     return df.select(*columns, F.coalesce("text", F.lit("")).alias("text"))
 
 
+def keyed_texts(df: DataFrame) -> DataFrame:
+    """has_id, doc_id (0 for null), text: nothing is null, so that pandas keeps every 64-bit id as it is."""
+    return df.select(F.col("doc_id").isNotNull().alias("has_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def with_nulls(df: DataFrame) -> DataFrame:
+    """Without has_id, with doc_id null where has_id is false."""
+    return df.select(*[F.when(F.col("has_id"), F.col(c)).alias(c) if c == "doc_id" else F.col(c) for c in df.columns if c != "has_id"])
+
+
 def crc_bucket(column: str, modulus: int):
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

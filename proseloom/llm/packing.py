@@ -14,6 +14,7 @@ an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -25,13 +26,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_or_empty, worker_cache
+from .common import keyed_texts, staged, table, with_nulls, worker_cache
 
 LENGTH, OPEN, END, GROUP = 2048, 64, 1, 16
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECE = "has_id boolean, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: str.split() also splits at U+001C to U+001F, which are no white space to the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+# What a tokenizer file must say of white space and splitting for words to be encoded one by one.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Words whose parts that rule gives can be told without Unicode tables: printable ASCII and Latin-1 letters.
+_PLAIN = re.compile(r"[\x21-\x7e\xc0-\xff]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
 def default_tokenizer() -> str:
@@ -41,25 +48,69 @@ def default_tokenizer() -> str:
 
 
 class Coder:
-    """Ids of a text by the tokenizer file, one white-space-delimited word at a time: its rules drop white space and
-    never join across it. Ids of words seen are kept, up to a bound."""
+    """Ids of a text by the tokenizer file. Where the file's rules drop white space and split words by the rule above,
+    words are encoded one by one and kept up to a bound; new words are put together from their parts, and new parts go
+    through the tokenizer many at once. Any other file encodes whole texts."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_word = (
+            (rules.get("normalizer") or {}).get("normalizers") == _NORMAL and steps[0].get("pattern") == {"Regex": _SPLIT}
+            and (steps[0].get("behavior"), steps[0].get("invert")) == ("Removed", True) and [x["type"] for x in steps[1:]] == ["ByteLevel"] and not steps[1].get("use_regex")
+        )
+        self.special = [t["content"] for t in rules.get("added_tokens") or []]
+        ends = rules["model"].get("end_of_word_suffix")
+        vocab = rules["model"].get("vocab") or {}
+        self.last = np.zeros(max([0, *vocab.values()]) + 1, bool) if ends and isinstance(vocab, dict) else None
+        if self.last is not None:
+            self.last[[i for piece, i in vocab.items() if piece.endswith(ends)]] = True
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_parts(self, new: list[str]) -> None:
+        """Parts that are encoded in one text end with a piece of their own each, which tells where to cut."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4") if self.last is not None else np.zeros(0, "<u4")
+        cuts = np.nonzero(self.last[ids])[0] + 1 if len(ids) else ids
+        if len(cuts) == len(new) and cuts[-1] == len(ids):
+            raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            self.parts.update(zip(new, [raw[s:e] for s, e in zip(cuts, cuts[1:], strict=False)], strict=True))
+        else:
+            self.parts.update(zip(new, self._whole(new), strict=True))
+
+    def _learn(self, new: set[str]) -> None:
+        known, parts = self.known, self.parts
+        plain = [w for w in new if _PLAIN.fullmatch(w) and not ("<" in w and any(t in w for t in self.special))]
+        if len(plain) < len(new):
+            odd = list(new.difference(plain))
+            known.update(zip(odd, self._whole(odd), strict=True))
+        split = [_PARTS.findall(w.lower()) for w in plain]
+        if len(parts) > self.keep:
+            parts.clear()
+        if missing := list(set().union(*split) - parts.keys()):
+            self._learn_parts(missing)
+        get = parts.__getitem__
+        for word, own in zip(plain, split, strict=True):
+            known[word] = get(own[0]) if len(own) == 1 else b"".join(map(get, own))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.by_word:
+            return self._whole(texts)
         split = [_SPACE.split(t) if _ODD.search(t) else t.split() for t in texts]
         known = self.known
         if len(known) > self.keep:
             known.clear()
-        new = list(set().union(*split) - known.keys())
-        if new:
-            for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
+        if new := set().union(*split) - known.keys():
+            self._learn(new)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
@@ -125,9 +176,9 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
             for at in range(0, len(batch), 512):
                 some = batch.iloc[at : at + 512]
                 out = []
-                for doc_id, ids in zip(some["doc_id"], coder(path).encode(some["text"].tolist()), strict=True):
+                for has, doc_id, ids in zip(some["has_id"].tolist(), some["doc_id"].tolist(), coder(path).encode(some["text"].tolist()), strict=True):
                     ids += tail
-                    _put(w, held, out, (doc_id, 0, len(ids) // 4, ids))
+                    _put(w, held, out, (has, doc_id, 0, len(ids) // 4, ids))
                 yield _frame(out, -1)
         yield _frame([r for rows in held.values() for r in rows], part // group, True)
 
@@ -136,36 +187,36 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
         held: dict[int, list[tuple]] = {}
         out: list[tuple] = []
         for r in left.sort_values(["sequence_id", "offset"]).itertuples(index=False):  # a fixed order
-            _put(w, held, out, (r.doc_id, r.start, r.doc_tokens, r.ids))
+            _put(w, held, out, (r.has_id, r.doc_id, r.start, r.doc_tokens, r.ids))
         # What is open now is joined end to end; only the last sequence is padded.
         seq, used = w.next, 0
-        for doc_id, start, _, _, total, _, _, ids in (r for rows in held.values() for r in rows):
+        for has, doc_id, start, _, _, total, _, _, ids in (r for rows in held.values() for r in rows):
             at = 0
             while at < len(ids) // 4:
                 n = min(length - used, len(ids) // 4 - at)
                 cut = ids[4 * at : 4 * (at + n)]
-                out.append((doc_id, start + at, n, zlib.crc32(cut), total, seq, used, cut))
+                out.append((has, doc_id, start + at, n, zlib.crc32(cut), total, seq, used, cut))
                 at, used = at + n, used + n
                 if used == length:
                     seq, used = seq + 1, 0
-        return _frame(out, -1)[COLUMNS]
+        return _frame(out, -1)[["has_id", *COLUMNS]]
 
-    pieces = staged(text_or_empty(docs).mapInPandas(first, PIECE + ", left int, ids binary"), "packed")
+    pieces = staged(keyed_texts(docs).mapInPandas(first, PIECE + ", left int, ids binary"), "packed")
     merged = pieces.where("left >= 0").groupBy("left").applyInPandas(merge, PIECE)
-    return pieces.where("left < 0").select(*COLUMNS).unionByName(merged)
+    return with_nulls(pieces.where("left < 0").select("has_id", *COLUMNS).unionByName(merged))
 
 
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 def _put(w: Windows, held: dict[int, list[tuple]], out: list[tuple], piece: tuple) -> None:
-    """Place a piece (doc_id, start, tokens of its document, ids); finished windows go to out."""
-    doc_id, start, total, ids = piece
+    """Place a piece (has_id, doc_id, start, tokens of its document, ids); finished windows go to out."""
+    has, doc_id, start, total, ids = piece
     count, at = len(ids) // 4, 0
     total = total if total else count
     for seq, offset, n in w.place(count):
         cut = ids[4 * at : 4 * (at + n)]
-        row = (doc_id, start + at, n, zlib.crc32(cut), total, seq, offset, cut)
+        row = (has, doc_id, start + at, n, zlib.crc32(cut), total, seq, offset, cut)
         at += n
         if n == w.size:
             out.append(row)
@@ -177,10 +228,9 @@ def _put(w: Windows, held: dict[int, list[tuple]], out: list[tuple], piece: tupl
 
 
 def _frame(rows: list[tuple], left: int, with_ids: bool = False) -> pd.DataFrame:
-    out = pd.DataFrame([r[:7] for r in rows], columns=COLUMNS)
-    out["doc_id"] = out["doc_id"].astype("Int64")
+    out = pd.DataFrame([r[:8] for r in rows], columns=["has_id", *COLUMNS])
     out["left"] = left
-    out["ids"] = [r[7] for r in rows] if with_ids else None
+    out["ids"] = [r[8] for r in rows] if with_ids else None
     return out
 
 

@@ -22,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder of our own only where that is unset."""
+    """The cluster's ``spark.checkpoint.dir``; where that is unset, a local folder of our own, in local mode only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = tempfile.mkdtemp(prefix="spark-")
@@ -43,6 +45,9 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for name in _scratch.pop():
+            if name.startswith("table "):
+                spark.sql(f"DROP TABLE IF EXISTS `{name[6:]}`")
+                continue
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -58,6 +63,19 @@ def staged(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, tag: str, column: str) -> DataFrame:
+    """As `staged`, in buckets of a column: what is grouped or joined by it later need not move this table again."""
+    spark = df.sparkSession
+    name = f"{tag}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    buckets = min(most, max(16, 2 * df.rdd.getNumPartitions()))
+    df.write.bucketBy(buckets, column).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+    if _scratch:
+        _scratch[-1] += [f"table {name}", path]
+    return spark.table(name)
+
+
 #: Ids that `with_ids` sends to every executor at most: some 100 MB there.
 MOST_IDS = 2_000_000
 

@@ -5,17 +5,21 @@ repeated if a window over it also starts in a document with a smaller id. Candid
 31 runs of 20 words in a window, the one with the smallest hash. Equal windows have equal minimisers, so
 
 1. each block of documents asks which of its minimisers occur in more than one document (see tokens.py); a window
-   whose minimiser is not repeated can't be;
+   whose minimiser is not repeated can't be. Minimisers of more than HOT occurrences would bring every document that
+   merely starts or ends a common passage into one shard; their windows ask once more, by a hash of the whole window,
+   and only those that may be in two documents go on;
 2. the stretches of remaining windows that share a minimiser go to that minimiser's shard, equal ones of a block once.
    There a solver answers with the smallest doc_id of each window:
-   - operator 10 (`fm_solver`): an FM-index of the shard's stretches (fm.py), searched backward for all of them;
+   - operator 10 (`fm_solver`): a compressed FM-index (fm.py) of first occurrences only. The stretches of the smallest
+     document of each minimiser are indexed, all others are streamed through backward search; windows it doesn't find
+     are first occurrences themselves and make the next, larger index, until none is left;
    - operator 5 (`suffix_solver`): a sparse suffix array of the suffixes at the minimisers, sorted; neighbours are
-     compared and matches extended to the left and right.
-   Minimisers of more than HOT blocks' stretches would fill a shard, so their windows are compared by 128-bit hashes
-   in buckets of the hashes: exact as well, and spread evenly.
+     compared and matches extended to the left and right, word by word.
+   A window that all documents share is one entry a block in its shard.
 
-Document ids decide by value; rows with equal ids are one document. A null id counts as larger than any other; a null
-text has no words. Texts under 50 words have no window. Empty table: empty result. Extra columns are ignored.
+Document ids decide by value; rows with equal ids are one document. A null id counts as the largest long and comes back
+null; a null text has no words. Texts under 50 words have no window. Empty table: empty result. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -118,67 +122,85 @@ def _cut(values: np.ndarray, lens: list[int]) -> list[bytes]:
 
 
 def shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """0: in one document only, 1: in more, 2: in more, and so often that stretches would fill a shard."""
+    """0: in one document only, 1: in more, 2: in more, and so often that its windows are to ask themselves."""
     keys = [unpack(k, np.uint64) for k in rows["keys"]]
     own, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     low, high = np.full(len(own), np.iinfo(np.int64).max), np.full(len(own), np.iinfo(np.int64).min)
     np.minimum.at(low, inverse, np.concatenate([unpack(x, np.int64) for x in rows["low"]]))
     np.maximum.at(high, inverse, np.concatenate([unpack(x, np.int64) for x in rows["high"]]))
     count = np.bincount(inverse, np.concatenate([unpack(x, np.int32) for x in rows["count"]]), len(own))
-    flag = np.where(low == high, 0, np.where(count > HOT, 2, 1)).astype(np.uint8)[inverse]
-    return pd.DataFrame({"kind": 0, "block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "answer": _cut(flag, [len(k) for k in keys])})
+    kind = int(rows["kind"].iloc[0])
+    flag = np.where(low == high, 0, np.where((count > HOT) & (kind == 0), 2, 1)).astype(np.uint8)[inverse]
+    return pd.DataFrame({"kind": kind, "block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "answer": _cut(flag, [len(k) for k in keys])})
 
 
-class Candidates:
-    """What a block sends to the shards: distinct stretches by minimiser, and distinct windows of hot ones."""
+class Asking:
+    """The windows of a block whose minimiser is repeated; of those with a hot one, the distinct windows by hash."""
 
-    def __init__(self, b: Block, answers: pd.DataFrame, buckets: int):
+    def __init__(self, b: Block, answers: pd.DataFrame):
         w = self.windows = Windows(b)
         flag = joined(answers, 0, "answer", np.uint8)[w.slot] if len(w.place) else np.zeros(0, np.uint8)
-        keep = flag[np.searchsorted(w.place, w.minimiser)] > 0 if len(w.place) else np.zeros(0, bool)
-        self.start = w.start[keep]
-        mini = w.minimiser[keep]
-        spot = np.searchsorted(w.place, mini)
-        hot = flag[spot] == 2 if len(spot) else np.zeros(0, bool)
-        own = b.doc_ids[w.doc[self.start]] if len(self.start) else np.zeros(0, np.int64)
-        # Cold: stretches of consecutive windows with one minimiser.
-        self.cold = np.nonzero(~hot)[0]
-        s, m = self.start[self.cold], mini[self.cold]
+        spot = np.searchsorted(w.place, w.minimiser)
+        keep = flag[spot] > 0 if len(spot) else np.zeros(0, bool)
+        self.start, self.mini, self.spot = w.start[keep], w.minimiser[keep], spot[keep]
+        self.own = b.doc_ids[w.doc[self.start]] if len(self.start) else np.zeros(0, np.int64)
+        self.hot = np.nonzero(flag[self.spot] == 2)[0] if len(self.spot) else np.zeros(0, np.int64)
+        self.keys, self.slot = np.unique(w.rolling.at(self.start[self.hot], WINDOW), return_inverse=True)
+
+
+def asked_again(b: Block, answers: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    a = Asking(b, answers)
+    low, high = np.full(len(a.keys), np.iinfo(np.int64).max), np.full(len(a.keys), np.iinfo(np.int64).min)
+    np.minimum.at(low, a.slot, a.own[a.hot])
+    np.maximum.at(high, a.slot, a.own[a.hot])
+    cut, once = dealt(a.keys, buckets), np.ones(len(a.keys), np.int32)
+    rows = [(2, b.block, i, pack(a.keys[s:e]), pack(low[s:e]), pack(high[s:e]), pack(once[s:e])) for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in ASK.split(", ")])
+
+
+class Candidates:
+    """What a block sends to the shards: distinct stretches by minimiser."""
+
+    def __init__(self, b: Block, answers: pd.DataFrame, buckets: int):
+        a = Asking(b, answers)
+        w = self.windows = a.windows
+        on = np.ones(len(a.start), bool)
+        on[a.hot] = joined(answers, 2, "answer", np.uint8)[a.slot] > 0
+        s, m, own, spot = a.start[on], a.mini[on], a.own[on], a.spot[on]
+        self.start = s
+        # Stretches of consecutive windows with one minimiser.
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1] + 1) | (m[1:] != m[:-1])
         first = np.nonzero(new)[0]
         count = np.diff(np.concatenate([first, [len(s)]]))
         begin, length = s[first], count + WINDOW - 1
         content = w.rolling.at(begin, length) ^ mix(length.astype(np.uint64)) if len(first) else np.zeros(0, np.uint64)
-        key = w.key[spot[self.cold][first]] if len(first) else np.zeros(0, np.uint64)
-        _, at, self.of = np.unique(content, return_index=True, return_inverse=True)
-        order = np.argsort(key[at], kind="stable")
-        at = at[order]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.of, self.count = rank[self.of], count
-        self.begin, self.length, self.key = begin[at], length[at], key[at]
+        second = w.other.at(begin, length) if len(first) else np.zeros(0, np.uint64)
+        order = np.lexsort((second, content))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (content[order][1:] != content[order][:-1]) | (second[order][1:] != second[order][:-1])
+        slot = np.empty(len(order), np.int64)
+        slot[order] = np.cumsum(fresh) - 1
+        at = order[fresh]
+        key = w.key[spot[first]][at] if len(first) else np.zeros(0, np.uint64)
+        by_key = np.argsort(key, kind="stable")
+        rank = np.empty(len(by_key), np.int64)
+        rank[by_key] = np.arange(len(by_key))
+        at = at[by_key]
+        self.of, self.count = rank[slot], count
+        self.begin, self.length = begin[at], length[at]
         self.offset = m[first][at] - self.begin
         self.doc = np.full(len(at), np.iinfo(np.int64).max)
-        np.minimum.at(self.doc, self.of, own[self.cold][first])
-        # Hot: windows by their hashes.
-        self.hot = np.nonzero(hot)[0]
-        s = self.start[self.hot]
-        one, two = w.rolling.at(s, WINDOW), w.other.at(s, WINDOW)
-        order = np.lexsort((two, one))
-        one, two = one[order], two[order]
-        fresh = np.ones(len(s), bool)
-        fresh[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        slot = np.cumsum(fresh) - 1
-        self.hot_of = np.empty(len(s), np.int64)
-        self.hot_of[order] = slot
-        self.one, self.two = one[fresh], two[fresh]
-        self.hot_doc = np.full(int(fresh.sum()), np.iinfo(np.int64).max)
-        np.minimum.at(self.hot_doc, self.hot_of, own[self.hot])
-        self.bounds, self.hot_bounds = dealt(self.key, buckets), dealt(self.one, buckets)
-
-
-SENT = "kind int, block long, bucket int, words binary, lens binary, offsets binary, docs binary"
+        np.minimum.at(self.doc, self.of, own[first])
+        self.bounds = dealt(key[by_key], buckets)
+
+
+SENT = "kind int, block long, bucket int, words binary, ids binary, lens binary, offsets binary, docs binary"
+
+
+def places(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers begin..begin+length-1 of each stretch, end to end."""
+    return np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
 
 
 def sent(b: Block, answers: pd.DataFrame, buckets: int) -> pd.DataFrame:
@@ -186,29 +208,48 @@ def sent(b: Block, answers: pd.DataFrame, buckets: int) -> pd.DataFrame:
     rows = []
     for i, (s, e) in enumerate(zip(c.bounds, c.bounds[1:], strict=False)):
         if e > s:
-            inside = np.concatenate([np.arange(x, x + n) for x, n in zip(c.begin[s:e], c.length[s:e], strict=True)])
-            rows.append((1, b.block, i, pack(c.windows.hash[inside]), pack(c.length[s:e].astype(np.int32)), pack(c.offset[s:e].astype(np.int32)), pack(c.doc[s:e])))
-    for i, (s, e) in enumerate(zip(c.hot_bounds, c.hot_bounds[1:], strict=False)):
-        if e > s:
-            rows.append((2, b.block, i, pack(np.concatenate([c.one[s:e], c.two[s:e]])), None, None, pack(c.hot_doc[s:e])))
+            inside = places(c.begin[s:e], c.length[s:e])
+            own, at, ids = np.unique(b.ids[inside], return_index=True, return_inverse=True)
+            words = c.windows.hash[inside[at]]
+            rows.append((1, b.block, i, pack(words), pack(ids.astype(np.int32)), pack(c.length[s:e].astype(np.int32)), pack(c.offset[s:e].astype(np.int32)), pack(c.doc[s:e])))
     return pd.DataFrame(rows, columns=[x.split()[0] for x in SENT.split(", ")])
 
 
 def fm_solver(words: np.ndarray, lens: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """The smallest doc of each window of the stretches, by backward search in an FM-index of them."""
-    symbols = np.unique(words, return_inverse=True)[1]
-    index = fm.Index(symbols, lens)
-
-    def prefix(text: np.ndarray, length: int) -> np.ndarray:
-        h = Rolling(mix(text.astype(np.uint64) + np.uint64(1)))
-        start = np.arange(len(text))
-        return h.at(start, np.minimum(length, len(text) - start))
-
-    found = fm.matching_windows(index, index.runs(WINDOW - 1, prefix), symbols, lens, WINDOW)
-    runs = index.runs(WINDOW, prefix)
-    least = np.full(int(runs[-1]) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, runs, docs[index.of[index.array]])
-    return least[runs[found]]
+    """The smallest doc of each window of the stretches, by backward search in FM-indexes of first occurrences.
+
+    Windows that are equal have one minimiser, so the smallest document of a minimiser holds first occurrences, and what
+    is not found there is one itself. The n-th index holds, of each minimiser, the 4^n smallest stretches still open."""
+    vocabulary, symbols = np.unique(words, return_inverse=True)
+    symbols, sigma = symbols.astype(np.int32), len(vocabulary)
+    starts = np.concatenate([[0], np.cumsum(lens)])
+    gram = Rolling(words).at(starts[:-1] + offsets, GRAM)
+    windows = lens - WINDOW + 1
+    out_at = np.concatenate([[0], np.cumsum(windows)])
+    out = np.full(out_at[-1], np.iinfo(np.int64).max)
+    unsolved = np.ones(out_at[-1], bool)
+    left, share = np.lexsort((docs, gram)), 1
+    while len(left):
+        new = np.ones(len(left), bool)
+        new[1:] = gram[left][1:] != gram[left][:-1]
+        first = np.nonzero(new)[0]
+        rank = np.arange(len(left)) - np.repeat(first, np.diff(np.append(first, len(left))))
+        chosen = left[rank < share]
+        index = fm.Index(symbols[places(starts[chosen], lens[chosen])], lens[chosen], docs[chosen], sigma, WINDOW)
+        # All that is open is streamed; alone in the first index, a stretch need not be looked for in itself.
+        stream = left[rank >= share] if share == 1 else left
+        if share == 1:
+            at = places(out_at[chosen], windows[chosen])
+            out[at], unsolved[at] = np.repeat(docs[chosen], windows[chosen]), False
+        matched, least = index.matching(symbols[places(starts[stream], lens[stream])], lens[stream])
+        at = places(out_at[stream], windows[stream])
+        begin = places(np.cumsum(lens[stream]) - lens[stream], windows[stream])
+        found = (matched[begin] == WINDOW) & unsolved[at]
+        out[at[found]], unsolved[at[found]] = least[begin[found]], False
+        some = np.zeros(len(lens), bool)
+        some[np.repeat(np.arange(len(lens)), windows)[unsolved]] = True
+        left, share = left[some[left]], share * 4
+    return out
 
 
 def suffix_solver(words: np.ndarray, lens: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -216,16 +257,18 @@ def suffix_solver(words: np.ndarray, lens: np.ndarray, offsets: np.ndarray, docs
     for each number of words a that a window starts before the minimiser, the runs of neighbours that share the
     WINDOW - a words to the right, split by the a words to the left."""
     n, starts = len(lens), np.concatenate([[0], np.cumsum(lens)])
-    symbols = (np.unique(words, return_inverse=True)[1] + 1).astype(">u4")
-    right, left = np.zeros((n, WINDOW), ">u4"), np.zeros((n, SPAN - 1), np.uint64)
+    symbols = np.unique(words, return_inverse=True)[1] + 1
+    right, left = np.zeros((n, WINDOW), ">u4"), np.zeros((n, SPAN - 1), np.int32)
     for j in range(WINDOW):
         have = offsets + j < lens
         right[have, j] = symbols[starts[:-1][have] + offsets[have] + j]
-    rolling = np.zeros(n, np.uint64)
-    for j in range(SPAN - 1):
+    before = np.zeros(n, np.int64)
+    for j in range(SPAN - 1):  # the numbers of the distinct j + 1 words to the left
         have = offsets > j
-        rolling[have] = mix(rolling[have] + words[starts[:-1][have] + offsets[have] - 1 - j])
-        left[:, j] = rolling
+        word = np.zeros(n, np.int64)
+        word[have] = symbols[starts[:-1][have] + offsets[have] - 1 - j]
+        before = np.unique(before * (len(words) + 2) + word, return_inverse=True)[1]
+        left[:, j] = before
     order = np.argsort(np.ascontiguousarray(right).view(f"V{4 * WINDOW}").reshape(-1), kind="stable")
     near = right[order]
     differs = near[1:] != near[:-1]
@@ -240,7 +283,7 @@ def suffix_solver(words: np.ndarray, lens: np.ndarray, offsets: np.ndarray, docs
         if not have.any():
             continue
         member, run = order[have], run[have]
-        side = left[member, a - 1] if a else np.zeros(len(member), np.uint64)
+        side = left[member, a - 1] if a else np.zeros(len(member), np.int32)
         split = np.lexsort((side, run))
         new = np.ones(len(split), bool)
         new[1:] = (run[split][1:] != run[split][:-1]) | (side[split][1:] != side[split][:-1])
@@ -252,25 +295,28 @@ def suffix_solver(words: np.ndarray, lens: np.ndarray, offsets: np.ndarray, docs
 
 
 def answered(rows: pd.DataFrame, solver: Callable) -> pd.DataFrame:
+    """The solver's answers to a shard's stretches, for the blocks that sent them. Stretches that several blocks sent
+    are one."""
     rows = rows.sort_values("block")
-    kind = int(rows["kind"].iloc[0])
-    docs = [unpack(d, np.int64) for d in rows["docs"]]
-    if kind == 2:
-        both = [unpack(x, np.uint64).reshape(2, -1) for x in rows["words"]]
-        one, two = np.concatenate(both, axis=1)
-        order = np.lexsort((two, one))
-        new = np.ones(len(one), bool)
-        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-        group = np.empty(len(one), np.int64)
-        group[order] = np.cumsum(new) - 1
-        least = np.full(int(new.sum()), np.iinfo(np.int64).max)
-        np.minimum.at(least, group, np.concatenate(docs))
-        blobs = _cut(least[group], [len(d) for d in docs])
-    else:
-        lens = [unpack(x, np.int32).astype(np.int64) for x in rows["lens"]]
-        found = solver(np.concatenate([unpack(x, np.uint64) for x in rows["words"]]), np.concatenate(lens), np.concatenate([unpack(x, np.int32) for x in rows["offsets"]]).astype(np.int64), np.concatenate(docs))
-        blobs = _cut(found, [int((x - WINDOW + 1).sum()) for x in lens])
-    return pd.DataFrame({"kind": kind, "block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "answer": blobs})
+    lens = [unpack(x, np.int32).astype(np.int64) for x in rows["lens"]]
+    words = np.concatenate([unpack(w, np.uint64)[unpack(i, np.int32)] for w, i in zip(rows["words"], rows["ids"], strict=True)])
+    length, offset, doc = np.concatenate(lens), np.concatenate([unpack(x, np.int32) for x in rows["offsets"]]).astype(np.int64), np.concatenate([unpack(d, np.int64) for d in rows["docs"]])
+    start = np.concatenate([[0], np.cumsum(length)])[:-1]
+    one, two = Rolling(words).at(start, length), Rolling(mix(words ^ np.uint64(0xD1B54A32D192ED03))).at(start, length)
+    order = np.lexsort((offset, length, two, one))
+    new = np.ones(len(order), bool)
+    for x in (one, two, length, offset):
+        new[1:] &= x[order][1:] == x[order][:-1]
+    new[1:] = ~new[1:]
+    slot = np.empty(len(order), np.int64)
+    slot[order] = np.cumsum(new) - 1
+    at = order[new]
+    least = np.full(len(at), np.iinfo(np.int64).max)
+    np.minimum.at(least, slot, doc)
+    found = solver(words[places(start[at], length[at])], length[at], offset[at], least)
+    out_at = np.concatenate([[0], np.cumsum(length[at] - WINDOW + 1)])[:-1]
+    every = found[places(out_at[slot], length - WINDOW + 1)]
+    return pd.DataFrame({"kind": 1, "block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "answer": _cut(every, [int((x - WINDOW + 1).sum()) for x in lens])})
 
 
 class Found:
@@ -278,12 +324,9 @@ class Found:
 
     def __init__(self, b: Block, answers: pd.DataFrame, buckets: int):
         c = Candidates(b, answers, buckets)
-        least = np.empty(len(c.start), np.int64)
         reply = joined(answers, 1, "answer", np.int64)
         at = np.concatenate([[0], np.cumsum(c.length - WINDOW + 1)])[c.of]
-        if len(c.count):
-            least[c.cold] = reply[np.repeat(at - np.concatenate([[0], np.cumsum(c.count)[:-1]]), c.count) + np.arange(c.count.sum())]
-        least[c.hot] = joined(answers, 2, "answer", np.int64)[c.hot_of]
+        least = reply[places(at, c.count)] if len(c.count) else np.zeros(0, np.int64)
         doc = c.windows.doc[c.start] if len(c.start) else np.zeros(0, np.int64)
         again = least < b.doc_ids[doc]
         self.start, self.least, self.doc = c.start[again], least[again], doc[again]
@@ -299,9 +342,11 @@ def repeats(docs: DataFrame, solver: Callable, result: Callable[[Block, Found],
     buckets = bucket_count(parts, buckets_of)
     asks = of_blocks(parts, lambda b: asked(b, buckets), ASK)
     first = staged(asks.groupBy("kind", "bucket").applyInPandas(shared, REPLY), "minimisers")
-    out = with_replies(parts, first, lambda b, a: sent(b, a, buckets), SENT)
-    second = out.groupBy("kind", "bucket").applyInPandas(lambda rows: answered(rows, solver), REPLY)
-    return with_replies(parts, first.unionByName(second), lambda b, a: result(b, Found(b, a, buckets)), schema)
+    again = with_replies(parts, first, lambda b, a: asked_again(b, a, buckets), ASK)
+    flags = first.unionByName(staged(again.groupBy("kind", "bucket").applyInPandas(shared, REPLY), "windows"))
+    out = with_replies(parts, flags, lambda b, a: sent(b, a, buckets), SENT)
+    answers = out.groupBy("bucket").applyInPandas(lambda rows: answered(rows, solver), REPLY)
+    return with_replies(parts, flags.unionByName(answers), lambda b, a: result(b, Found(b, a, buckets)), schema)
 
 
 REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -315,7 +360,7 @@ def kept(b: Block, f: Found) -> pd.DataFrame:
         text = " ".join(words[b.ids[span][keep]])
         rows.append((int(b.lens[i]), int(len(keep) - keep.sum()), hashlib.sha256(text.encode()).hexdigest()))
     out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
-    out.insert(0, "doc_id", ids_out(b.doc_ids))
+    out.insert(0, "doc_id", ids_out(b.doc_ids, b.has_id))
     return out
 
 
@@ -342,7 +387,7 @@ def spans(b: Block, f: Found) -> pd.DataFrame:
     for s, e, d, first in zip(begin, end, doc, least, strict=True):
         found[d].append({"start": int(s - b.starts[d]), "length": int(e - s), "first_doc_id": int(first)})
     total = [sum(x["length"] for x in one) for one in found]
-    return pd.DataFrame({"doc_id": ids_out(b.doc_ids), "n_words": b.lens, "n_repeated": total, "n_spans": list(map(len, found)), "spans": found})
+    return pd.DataFrame({"doc_id": ids_out(b.doc_ids, b.has_id), "n_words": b.lens, "n_repeated": total, "n_spans": list(map(len, found)), "spans": found})
 
 
 def op5_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,9 +413,9 @@ def cleaned(docs: DataFrame, solver: Callable = fm_solver) -> DataFrame:
             gone = f.repeated[span]
             if gone.any():
                 whole = xxhash.xxh64_intdigest(" ".join(words[b.ids[span]]).encode(), 42)
-                rows.append((whole - (1 << 64) if whole >> 63 else whole, " ".join(words[b.ids[span][~gone]]), int(gone.sum()), b.doc_ids[i]))
-        out = pd.DataFrame(rows, columns=["was", "kept", "n_removed", "doc_id"])
-        out["doc_id"] = ids_out(out["doc_id"].to_numpy(np.int64))
+                rows.append((whole - (1 << 64) if whole >> 63 else whole, " ".join(words[b.ids[span][~gone]]), int(gone.sum()), b.doc_ids[i], b.has_id[i]))
+        out = pd.DataFrame(rows, columns=["was", "kept", "n_removed", "doc_id", "has_id"])
+        out["doc_id"] = ids_out(out["doc_id"].to_numpy(np.int64), out["has_id"].to_numpy(bool))
         return out[["doc_id", "was", "kept", "n_removed"]]
 
     with scratch(docs.sparkSession):

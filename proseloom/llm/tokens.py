@@ -5,7 +5,8 @@ numbers, and the block's own vocabulary, most frequent word first. A block sends
 that owns the key's range and gets one answer back for it, in the order sent. A key that occurs in a third of all rows
 is thus one entry per block, nowhere a group of rows.
 
-Null ids are held as NO_ID, the largest long, and come back as nulls; null texts have no words.
+Null ids are ordered as NO_ID, the largest long, and come back as nulls; null texts have no words. The table of blocks
+is bucketed by block, so that an exchange moves keys and answers only.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, pack, squeeze, staged, text_or_empty, unpack, unsqueeze, worker_cache
+from .common import WORD, bucketed, keyed_texts, pack, squeeze, unpack, unsqueeze, worker_cache
 
-WORDS_A_BLOCK = 1_000_000
+WORDS_A_BLOCK, DOCS_A_BLOCK = 1_000_000, 100_000
 NO_ID = np.iinfo(np.int64).max
-BLOCK = "block long, n_words long, doc_ids binary, lens binary, ids binary, words binary"
+BLOCK = "block long, n_words long, has_id binary, doc_ids binary, lens binary, ids binary, words binary"
 _RUNS = re.compile(WORD)
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -41,6 +42,7 @@ class Block:
 
     def __init__(self, row):
         self.block = int(row.block)
+        self.has_id = unpack(row.has_id, np.bool_)
         self.doc_ids = unpack(row.doc_ids, np.int64)
         self.lens = unpack(row.lens, np.int32).astype(np.int64)
         self.ids = unpack(row.ids, np.int32)
@@ -71,7 +73,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker_cache("blocks")
         part, seq = TaskContext.get().partitionId(), 0
-        ids, lens, flat = [], [], array("i")
+        has, ids, lens, flat = [], [], [], array("i")
         seen: defaultdict = defaultdict()
         seen.default_factory = seen.__len__
 
@@ -81,22 +83,23 @@ def blocks(docs: DataFrame) -> DataFrame:
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order), dtype=np.int32)
             names = list(seen)
-            return pd.DataFrame([{"block": (part << 20) + seq, "n_words": len(numbers), "doc_ids": pack(np.array(ids, np.int64)), "lens": pack(np.array(lens, np.int32)), "ids": pack(rank[numbers]), "words": squeeze("\n".join([names[i] for i in order]).encode("utf-8", "surrogatepass"))}])
+            return pd.DataFrame([{"block": (part << 20) + seq, "n_words": len(numbers), "has_id": pack(np.array(has, np.bool_)), "doc_ids": pack(np.array(ids, np.int64)), "lens": pack(np.array(lens, np.int32)), "ids": pack(rank[numbers]), "words": squeeze("\n".join([names[i] for i in order]).encode("utf-8", "surrogatepass"))}])
 
         for b in batches:
-            for doc_id, text in zip(b["doc_id"].astype("Int64").fillna(NO_ID).to_numpy(np.int64), b["text"], strict=True):
+            for known, doc_id, text in zip(b["has_id"].tolist(), b["doc_id"].tolist(), b["text"], strict=True):
                 words = words_of(text)
-                ids.append(doc_id)
+                has.append(known)
+                ids.append(doc_id if known else NO_ID)
                 lens.append(len(words))
                 flat.extend(map(seen.__getitem__, words))
-                if len(flat) >= WORDS_A_BLOCK:
+                if len(flat) >= WORDS_A_BLOCK or len(ids) >= DOCS_A_BLOCK:
                     yield row()
-                    ids, lens, flat, seq = [], [], array("i"), seq + 1
+                    has, ids, lens, flat, seq = [], [], [], array("i"), seq + 1
                     seen.clear()
         if ids:
             yield row()
 
-    return staged(text_or_empty(docs).mapInPandas(run, BLOCK), "blocks")
+    return bucketed(keyed_texts(docs).mapInPandas(run, BLOCK), "blocks", "block")
 
 
 def bucket_count(block_table: DataFrame, words_each: int = 1_000_000) -> int:
@@ -141,6 +144,6 @@ def joined(answers: pd.DataFrame, kind: int, column: str, dtype) -> np.ndarray:
     return np.concatenate([*found, np.zeros(0, dtype)])
 
 
-def ids_out(values) -> pd.Series:
-    out = pd.Series(np.asarray(values, np.int64)).astype("Int64")
-    return out.mask(out == NO_ID)
+def ids_out(values, has: np.ndarray) -> pd.Series:
+    """Ids, null where ``has`` is false."""
+    return pd.Series(pd.arrays.IntegerArray(np.asarray(values, np.int64), ~np.asarray(has, bool)))

@@ -208,7 +208,7 @@ def _repeated():
     return out
 
 
-@pytest.mark.parametrize("hot", [0, 1000])
+@pytest.mark.parametrize("hot", [0, 1, 1000])
 def test_repeats(docs, none, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
     want = sorted(((i, len(w), sum(g), hashlib.sha256(" ".join(x for x, y in zip(w, g, strict=True) if not y).encode()).hexdigest()) for i, w, g in _repeated()), key=repr)
@@ -225,21 +225,45 @@ def test_cleaned(docs):
     assert got.columns == docs.columns and sorted((r.doc_id, r.text) for r in got.collect() if r.doc_id is not None and r.text is not None) == want
 
 
-def test_fm_index_matching():
-    rng = np.random.default_rng(3)
-    lens = np.array([30, 50, 0, 20])
-    text = rng.integers(0, 3, lens.sum())
-    index = fm.Index(text, lens)
-    assert sorted(index.array) == list(range(len(index.joined)))
-    flat = [tuple(index.joined[i:]) for i in index.array]
-    assert flat == sorted(flat)
-    runs = np.concatenate([[0], np.cumsum([a[:3] != b[:3] for a, b in zip(flat, flat[1:], strict=False)])])
-    other = np.array([0, 1, 2, 0, 1, 2, 2, 9, 1, 0, 1, 2])
-    found = fm.matching_windows(index, runs, other, np.array([12]), 4)
-    for j, at in enumerate(found):
-        pattern = tuple(other[j : j + 4] + index.shift)
-        assert (at >= 0) == any(f[:4] == pattern for f in flat)
-        assert at < 0 or flat[at][:4] == pattern
+def _statistics(held, text, most):
+    """By trying: the longest match of each place of a text in the held texts, and the texts that hold a whole window."""
+    out = []
+    for j in range(len(text)):
+        n = max([m for m in range(min(most, len(text) - j) + 1) if m == 0 or any(tuple(text[j : j + m]) == tuple(h[k : k + m]) for h in held for k in range(len(h) - m + 1))])
+        out.append((n, [i for i, h in enumerate(held) if n == most and any(tuple(text[j : j + n]) == tuple(h[k : k + n]) for k in range(len(h) - n + 1))]))
+    return out
+
+
+@pytest.mark.parametrize("symbols, most", [(2, 8), (3, 4), (6, 5), (40, 3)])
+def test_fm_index_matching_statistics(symbols, most):
+    rng = np.random.default_rng(symbols)
+    held = [rng.integers(0, symbols, n) for n in (30, 50, 1, 20, 12)]
+    held.append(held[1][5:25].copy())
+    marks = np.array([7, 5, 9, 3, 8, 2])
+    index = fm.Index(np.concatenate(held).astype(np.int32), np.array(list(map(len, held))), marks, symbols, most)
+    other = [np.concatenate([held[0][4:20], [symbols + 3], rng.integers(0, symbols, 30), held[1][10:30], [-1]]), np.zeros(0, int), rng.integers(0, symbols, 25), held[5]]
+    length, least = index.matching(np.concatenate(other).astype(np.int32), np.array(list(map(len, other))))
+    at = 0
+    for text in other:
+        for n, who in _statistics(held, text, most):
+            assert length[at] == n and (n < most or least[at] == min(marks[who]))
+            at += 1
+    assert index.common.max() <= most and index.common.dtype == np.uint8
+
+
+def test_the_index_decides(docs, monkeypatch):
+    """Without what the streamed search finds, copies would be first occurrences: the answer comes through the index."""
+    monkeypatch.setattr(fm.Index, "_lanes", lambda self, texts, start, lens, length, mark: None)
+    words = np.repeat(np.arange(60, dtype=np.uint64)[None], 2, 0).reshape(-1)
+    lens, offsets, ids = np.array([60, 60]), np.array([20, 20]), np.array([3, 9])
+    found = []
+
+    def once(self, texts, lens_):
+        found.append(len(lens_))
+        return np.full(len(texts), 50, np.uint8), np.full(len(texts), 4)
+
+    monkeypatch.setattr(fm.Index, "matching", once)
+    assert repeats.fm_solver(words, lens, offsets, ids).tolist() == [3] * 11 + [4] * 11 and found == [1]
 
 
 @pytest.mark.parametrize("limit", [64, 2])

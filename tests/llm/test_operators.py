@@ -290,7 +290,7 @@ def test_recall_at_full_depth():
     pairs = 6000
     lens = np.tile([44, 54], pairs)
     ids = np.concatenate([np.concatenate([np.arange(44), np.arange(54)]) + 54 * k for k in range(pairs)])
-    row = {"block": 0, "doc_ids": tokens.pack(np.arange(2 * pairs)), "lens": tokens.pack(lens.astype(np.int32)), "ids": tokens.pack(ids.astype(np.int32)), "words": tokens.squeeze("\n".join(map(str, range(54 * pairs))).encode())}
+    row = {"block": 0, "has_id": tokens.pack(np.ones(2 * pairs, bool)), "doc_ids": tokens.pack(np.arange(2 * pairs)), "lens": tokens.pack(lens.astype(np.int32)), "ids": tokens.pack(ids.astype(np.int32)), "words": tokens.squeeze("\n".join(map(str, range(54 * pairs))).encode())}
     s = nearjoin.Sets(tokens.Block(type("Row", (), row)))
     runs = nearjoin.runs_for(nearjoin.RECALL)
     more = [nearjoin.branch_for(nearjoin.RECALL, runs, nearjoin.DEPTH)] if hasattr(nearjoin, "branch_for") else []
@@ -373,25 +373,69 @@ def test_word_by_word_ids_are_the_tokenizers():
     assert packing.Coder(path).encode(texts) == [np.array(coder.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
-def test_pieces(spark, docs, none):
-    p = pieces.pieces(None)
-    back = pieces.decode(pieces.encode(docs)).collect()
-    assert by(back, "doc_id", "text") == sorted(((i, t or "") for i, t in TEXTS), key=repr)
-    assert all(r.exact for r in pieces.digests(docs).collect()) and pieces.digests(none).count() == 0
-    score = {}
+def _message(*parts):
+    """A protocol buffer message of (field, value): whole numbers, bytes, floats."""
+    import struct
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for field, v in parts:
+        v = v.encode() if isinstance(v, str) else v
+        out += number(field << 3 | (0 if isinstance(v, int) else 5 if isinstance(v, float) else 2))
+        out += number(v) if isinstance(v, int) else struct.pack("<f", v) if isinstance(v, float) else number(len(v)) + v
+    return out
+
+
+def _unigram(scores, squeeze):
+    """A model file written by hand: unknown, ends, byte pieces, then the given pieces."""
+    listed = [_message((1, "<unk>"), (2, 0.0), (3, 2)), _message((1, "<s>"), (2, 0.0), (3, 3)), _message((1, "</s>"), (2, 0.0), (3, 3))]
+    listed += [_message((1, f"<0x{i:02X}>"), (2, 0.0), (3, 6)) for i in range(256)] + [_message((1, p), (2, s)) for p, s in scores.items()]
+    return _message(*[(1, x) for x in listed], (2, _message((3, 1), (35, 1))), (3, _message((1, "identity"), (2, b""), (3, 1), (4, int(squeeze)), (5, 1))))
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_unigram_ids_are_the_librarys(squeeze):
+    import sentencepiece
+
+    r = random.Random(6)
+    scores = {"\u2581": -3.0, **{c: -4.0 - k / 8 for k, c in enumerate("abcdeé")}}
+    while len(scores) < 150:
+        p = r.choice(["", "", "\u2581"]) + "".join(r.choice("abcdeé") for _ in range(r.randint(1, 5)))
+        scores.setdefault(p, -3.0 - r.randint(0, 64) / 8)
+    proto = _unigram(scores, squeeze)
+    p, sp = pieces.Pieces(proto=proto), sentencepiece.SentencePieceProcessor(model_proto=proto)
+    texts = ["", " ", "a", "  abc  de ", "xyz 漢字 abé", "a\nb\u2581c"] + ["".join(r.choice("abcdeé  x") for _ in range(r.randint(1, 80))) for _ in range(1500)]
+    for t in texts:
+        ids = p.encode(t)
+        assert np.frombuffer(ids, "<u4").tolist() == sp.encode(t) and p.decode(ids) == sp.decode(sp.encode(t))
+
+
+def test_bpe_ids_are_the_librarys(spark):
     import public_tokenizers
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    score = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
-    for word in ("▁abcde", "▁hello▁world", "▁xéz漢", "▁the"):
-        best = [0.0] + [-math.inf] * len(word)
-        for e in range(1, len(word) + 1):
-            best[e] = max([best[s] + score[word[s:e]] for s in range(e) if word[s:e] in score], default=best[e - 1] + p.byte_score * len(word[e - 1].encode()))
-        got = 0.0
-        for i in p.best(word):
-            got += p.byte_score if i in p.bytes.values() else sp.get_score(int(i))
-        assert math.isclose(got, best[-1], rel_tol=1e-9)
+    p, sp = pieces.pieces(None), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(8)
+    texts = [t or "" for _, t in TEXTS] + ["   ", "a  b ", "\u2581\u2581 x", "\x00 漢字 𝔘", "Elle a dit"] + ["".join(r.choice("etaoinshr ETA.,'é1\n") for _ in range(60)) for _ in range(1500)]
+    texts += [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if x.text]
+    for t in texts:
+        ids = p.encode(t)
+        assert np.frombuffer(ids, "<u4").tolist() == sp.encode(t) and p.decode(ids) == sp.decode(sp.encode(t)) and p.decode(p.encode(t, True)) == t
+
+
+def test_pieces(spark, docs, none):
+    back = pieces.decode(pieces.encode(docs, lossless=True)).collect()
+    assert by(back, "doc_id", "text") == sorted(((i, t or "") for i, t in TEXTS), key=repr)
+    p = pieces.pieces(None)
+    want = sorted(((i, zlib.crc32(p.encode(t or "")), hashlib.sha256((t or "").replace("\u2581", " ").encode()).hexdigest(), "\u2581" not in (t or "")) for i, t in TEXTS), key=repr)
+    assert by(pieces.digests(docs).collect(), "doc_id", "ids_crc32", "decoded_sha256", "exact") == want and pieces.digests(none).count() == 0
+    empty = spark.createDataFrame([(2**60 + 1, None), (None, [265])], "doc_id long, ids array<int>")
+    assert by(pieces.decode(empty).collect(), "doc_id")[0] == (2**60 + 1,) and {r.text is None for r in pieces.decode(empty).collect()} == {True, False}
 
 
 def test_a_worker_keeps_one_operators_cache():

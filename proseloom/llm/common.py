@@ -76,15 +76,42 @@ def bucketed(df: DataFrame, tag: str, column: str) -> DataFrame:
     return spark.table(name)
 
 
-#: Ids that `with_ids` sends to every executor at most: some 100 MB there.
+#: Keys that `with_pairs` sends to every executor at most: some 100 MB there.
 MOST_IDS = 2_000_000
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The documents whose doc_id is ("left_semi") or is not ("left_anti") among the distinct __id. Up to MOST_IDS ids
-    go to the documents, so that texts need not move; beyond, both are shuffled."""
-    few = ids.limit(MOST_IDS + 1).count() <= MOST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].cast("long") == F.col("__id"), how)
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def words_hash(text):
+    """Hash of a text's words joined by one space."""
+    return F.xxhash64(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")))
+
+
+def with_pairs(docs: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
+    """The documents whose id and hash of words are ("left_semi"), or are not ("left_anti"), among the distinct pairs
+    (doc_id, words). Up to MOST_IDS pairs go to the documents, so that texts need not move, and words are only hashed
+    where the id is met; beyond, both sides are shuffled."""
+    names = {c: fresh(docs, f"{c}_of_pair") for c in ("doc_id", "words")}
+    pairs = pairs.select(*[F.col(c).alias(n) for c, n in names.items()])
+    few = pairs.limit(MOST_IDS + 1).count() <= MOST_IDS
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(names["doc_id"]))
+    own, other = words_hash(docs["text"]), F.col(names["words"])
+    return docs.join(F.broadcast(pairs), same & (own.bitwiseXOR(other) == 0), how) if few else docs.join(pairs, same & (own == other), how)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int, count: str = "n") -> DataFrame:
+    """Inner join with a table of one row a key that counts the left rows of it. Keys of many rows (at most 100,000 keys,
+    by their number) are sent to the rows; the others are shuffled as usual."""
+    bar = max(64, rows // 100_000)
+    hot, cold = right.where(F.col(count) > bar), right.where(F.col(count) <= bar)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -111,8 +138,8 @@ def crc_bucket(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def crc_of_id(doc_id) -> int:
-    return zlib.crc32(b"" if doc_id is None or doc_id != doc_id else str(int(doc_id)).encode())
+def crc_of_id(doc_id: int | None) -> int:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
 
 
 _caches: dict[str, dict] = {}

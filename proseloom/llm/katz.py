@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, pack, staged, table, unpack
-from .tokens import NO_ID, Block, blocks, bucket_count, dealt, hashes, ids_out, joined, mix, of_blocks, with_replies
+from .tokens import Block, blocks, bucket_count, dealt, hashes, ids_out, joined, mix, of_blocks, with_replies
 
 K, FLOOR, ORDER = 5, 0.01, 3
 END, START = hashes(["\n</s>", "\n<s>"])  # no word has a line feed
@@ -37,6 +37,10 @@ COUNTS = [f"n{r}" for r in range(1, K + 2)] + ["over", "types", "tokens"]
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def held_out(ids: np.ndarray, has_id: np.ndarray) -> np.ndarray:
+    return np.array([crc_of_id(i if known else None) % 10 == 0 for i, known in zip(ids.tolist(), has_id.tolist(), strict=True)], bool)
+
+
 class Gram:
     """A block's distinct n-grams of one n. ``at``: the tokens that end one, ``of``: which; ``context`` and ``lower``:
     the n-grams of one less without the last and the first token; ``sent``: twice the training count, plus 1 if a
@@ -64,7 +68,7 @@ class Grams:
         if len(b.ids):
             self.word[inside] = to[b.ids]
         self.doc = np.repeat(np.arange(n), b.lens + 1)
-        self.held = np.array([crc_of_id(None if i == NO_ID else i) % 10 == 0 for i in b.doc_ids], bool)
+        self.held = held_out(b.doc_ids, b.has_id)
         self.train = ~self.held[self.doc]
         counts = np.bincount(self.word[self.train], minlength=v + 2)
         counts[v + 1] = (~self.held).sum()
@@ -158,7 +162,7 @@ class Model:
         return np.where(c > 0, self.shrunk(c, self.of[1]) / max(1, self.tokens), self.unknown)
 
 
-SCORED = "part string, block long, kind int, bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
+SCORED = "part string, block long, kind int, bucket int, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
 
 
 def scored(b: Block, answers: pd.DataFrame, model: Model, buckets: int, order: int) -> pd.DataFrame:
@@ -219,7 +223,7 @@ def scored(b: Block, answers: pd.DataFrame, model: Model, buckets: int, order: i
         cut = dealt(keys[by_key], buckets)
         rows += [{"part": "sum", "block": b.block, "kind": k, "bucket": i, "a": pack(keys[by_key][s:e]), "b": pack(used[by_key][s:e]), "c": pack(below[by_key][s:e])} for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
     whose, place, totals = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((whose, np.int32), (place, np.int32), (totals, np.int64)))
-    rows.append({"part": "docs", "block": b.block, "a": pack(b.doc_ids), "b": pack(b.lens + 1), "c": pack(np.stack([known, base, part], 1).reshape(-1)), "d": pack(whose), "e": pack(place), "f": pack(totals)})
+    rows.append({"part": "docs", "block": b.block, "a": pack(b.doc_ids), "b": pack(b.lens + 1), "c": pack(np.stack([known, base, part], 1).reshape(-1)), "d": pack(whose), "e": pack(place), "f": pack(totals), "g": pack(b.has_id)})
     return pd.DataFrame(rows, columns=[c.split()[0] for c in SCORED.split(", ")]).astype({"kind": "Int32", "bucket": "Int32"})
 
 
@@ -246,14 +250,13 @@ def finished(docs: pd.DataFrame, sums: pd.DataFrame, tokens: int) -> pd.DataFram
     if not len(docs):
         return pd.DataFrame(columns=names)
     r = next(docs.itertuples(index=False))
-    ids, lens = unpack(r.a, np.int64), unpack(r.b, np.int64)
+    ids, lens, has_id = unpack(r.a, np.int64), unpack(r.b, np.int64), unpack(r.g, np.bool_)
     known, base, part = unpack(r.c, np.float64).reshape(-1, 3).T
     sums = sums.sort_values(["kind", "bucket"])
     used, below = (np.concatenate([np.zeros(0), *[unpack(x, np.float64) for x in sums[c]]]) for c in ("used", "below"))
     alpha = np.maximum(1 - used / unpack(r.f, np.int64), 1e-300) / np.maximum(1 - below, 1e-300)
     part = part + np.bincount(unpack(r.d, np.int32), np.log10(alpha)[unpack(r.e, np.int32)], len(ids))
-    held = [crc_of_id(None if i == NO_ID else i) % 10 == 0 for i in ids]
-    return pd.DataFrame({"doc_id": ids_out(ids), "held_out": held, "n_tokens": lens, "n_known": known.astype(np.int64), "train_tokens": tokens, "base_score": base, "score": part})
+    return pd.DataFrame({"doc_id": ids_out(ids, has_id), "held_out": held_out(ids, has_id), "n_tokens": lens, "n_known": known.astype(np.int64), "train_tokens": tokens, "base_score": base, "score": part})
 
 
 def score(docs: DataFrame, order: int = 2) -> DataFrame:

@@ -17,8 +17,12 @@ them to each comparison.
 Result: one row per document with class_id (smallest doc_id of the documents it is linked with, directly or through
 others), text_class_id (smallest doc_id with the same words), n_copies (documents with the same words) and n_links
 (other word sequences with similarity of 0.8 or more). Documents under five words have no shingles and only match equal
-words; so do null and empty texts, which count as equal. A null id is larger than any other: it is a class id only if
-all its documents have none (then null). Repeated rows are copies. Empty table: empty result. Extra columns ignored.
+words; so do null and empty texts, which count as equal. A null id is ordered as the largest long; where that is the
+smallest of a class, its rows without an id get null as their class. Repeated rows are copies. Empty table: empty
+result. Extra columns are ignored.
+
+Nothing here gathers a hot key: a block sends at most LIMIT + 1 nodes of a shingle or path, equal texts are one node of
+a block, and joins on a class send classes of many nodes to the rows instead (`spread_join`).
 """
 
 from __future__ import annotations
@@ -27,10 +31,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pack, scratch, staged, table, unpack, with_ids
+from .common import fresh, pack, scratch, spread_join, staged, table, unpack, with_pairs, words_hash
 from .components import components
 from .repeats import Rolling, _cut
 from .tokens import NO_ID, Block, blocks, bucket_count, dealt, hashes, ids_out, joined, mix, of_blocks, with_replies
@@ -123,6 +128,12 @@ class Sets:
         return out[nodes]
 
 
+def ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys: where each distinct one begins, and each entry's rank among those of its key."""
+    first = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.zeros(0, np.int64)
+    return first, np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
+
+
 ASK = "kind int, block long, bucket int, keys binary, nodes binary, low binary, copies binary"
 REPLY = "kind int, block long, bucket int, answer binary, copies binary"
 
@@ -136,6 +147,8 @@ def asked(b: Block, buckets: int, runs: int) -> list[dict]:
     keys, nodes = s.chosen(runs)
     order = np.argsort(keys)
     keys, nodes = keys[order], s.node[nodes[order]]
+    some = ranks(keys)[1] <= LIMIT  # more would not change the answer
+    keys, nodes = keys[some], nodes[some]
     cut = dealt(keys, buckets)
     return rows + [{"kind": 1, "block": b.block, "bucket": i, "keys": pack(keys[x:y]), "nodes": pack(nodes[x:y])} for i, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
 
@@ -175,18 +188,30 @@ class Known:
         self.low[order], self.copies[order], self.speaks[order] = low, copies >> 1, (copies & 1).astype(bool)
 
 
-PARTS = "part string, block long, bucket int, depth binary, keys binary, nodes binary, sketches binary, low binary, copies binary, docs binary"
+PARTS = "part string, block long, bucket int, depth binary, keys binary, nodes binary, sketches binary, low binary, copies binary, docs binary, has_id binary, words binary"
 
 
-def members(b: Block, answers: pd.DataFrame, buckets: int, runs: int, branch: float) -> pd.DataFrame:
-    """Rows 'docs': the documents and their nodes; 'meet': nodes at buckets they share, with sketches."""
+def word_hashes(b: Block, s: Sets) -> np.ndarray:
+    """For each document the hash of its words as `words_hash` takes it of the text, one computation a node."""
+    words = np.array(b.words, object)
+    _, first = np.unique(s.of, return_index=True)
+    h = np.array([xxhash.xxh64_intdigest(" ".join(words[b.ids[b.starts[i] : b.starts[i + 1]]]).encode("utf-8", "surrogatepass"), 42) for i in first], np.uint64)
+    return h[s.of] if len(s.of) else h
+
+
+def members(b: Block, answers: pd.DataFrame, buckets: int, runs: int, branch: float, keyed: bool) -> pd.DataFrame:
+    """Rows 'docs': the documents and their nodes; 'meet': nodes at buckets they share, with sketches; 'edge': links of
+    nodes that share a path of full depth with more than LIMIT others of the block."""
     k = Known(b, answers)
     s = k.sets
-    rows = [{"part": "docs", "block": b.block, "docs": pack(b.doc_ids), "nodes": pack(s.node[s.of]), "low": pack(k.low[s.of]), "copies": pack(k.copies[s.of])}]
+    rows = [{"part": "docs", "block": b.block, "docs": pack(b.doc_ids), "has_id": pack(b.has_id), "nodes": pack(s.node[s.of]), "low": pack(k.low[s.of]), "copies": pack(k.copies[s.of]), "words": pack(word_hashes(b, s)) if keyed else None}]
     keys, nodes = s.chosen(runs)
     order = np.argsort(keys)
     keys, nodes = keys[order], nodes[order]
-    count = joined(answers, 1, "answer", np.uint8)
+    first, rank = ranks(keys)
+    sent = rank <= LIMIT
+    count = joined(answers, 1, "answer", np.uint8)[(np.cumsum(sent) - 1)[first]] if len(keys) else np.zeros(0, np.uint8)
+    count = np.repeat(count, np.diff(np.append(first, len(keys))))
     speaks = k.speaks[nodes] if len(nodes) else np.zeros(0, bool)
     some = speaks & (count > 1) & (count <= LIMIT)
     found = [(keys[some], nodes[some], np.ones(int(some.sum()), np.int8))]
@@ -196,8 +221,22 @@ def members(b: Block, answers: pd.DataFrame, buckets: int, runs: int, branch: fl
         path, whose = s.deeper(path, whose, branch)
         found.append((path, whose, np.full(len(path), depth, np.int8)))
     keys, nodes, depth = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(keys)
+    order = np.lexsort((nodes, keys))
     keys, nodes, depth = keys[order], nodes[order], depth[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes, depth = keys[new], nodes[new], depth[new]
+    # Paths crowded in this block alone: at full depth one node goes on for all, before that longer paths do.
+    first, rank = ranks(keys)
+    size = np.repeat(np.diff(np.append(first, len(keys))), np.diff(np.append(first, len(keys))))
+    crowd, last = size > LIMIT, depth == DEPTH
+    speaker = nodes[np.repeat(first, np.diff(np.append(first, len(keys))))] if len(keys) else nodes
+    local = crowd & last & (rank > 0)
+    if local.any():
+        rows.append({"part": "edge", "block": b.block, "nodes": pack(s.node[nodes[local]]), "docs": pack(s.node[speaker[local]])})
+    depth = np.where(crowd & last, DEPTH + 1, depth).astype(np.int8)
+    on = ~crowd | last & (rank == 0)
+    keys, nodes, depth = keys[on], nodes[on], depth[on]
     cut = dealt(keys, buckets)
     # A node's sketch goes once to each bucket range it meets others in.
     for i, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
@@ -243,17 +282,19 @@ def met(rows: pd.DataFrame) -> pd.DataFrame:
     keys, depth, who = keys[new], depth[new], who[new]
     first = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
     size = np.diff(np.concatenate([first, [len(keys)]]))
-    two = first[size == 2]
+    hot = np.maximum.reduceat(depth, first) > DEPTH
+    two = first[(size == 2) & ~hot]
     a, b = who[two], who[two + 1]
     yes = likely(sketch[a], sketch[b]) if len(a) else np.zeros(0, bool)
     left, right = [node[a[yes]]], [node[b[yes]]]
-    for f, n in zip(first[size > 2], size[size > 2], strict=True):
+    more = hot | (size > 2)
+    for f, n, full in zip(first[more], size[more], hot[more], strict=True):
         w = who[f : f + n]
-        if n <= LIMIT:
+        if n <= LIMIT and not full:
             label = forest(likely(sketch[w][:, None], sketch[w][None]))
             left.append(node[w])
             right.append(node[w[label]])
-        elif depth[f] == DEPTH:
+        elif full or depth[f] == DEPTH:
             left.append(node[w])
             right.append(np.full(n, node[w[0]]))
     pairs = pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
@@ -324,30 +365,56 @@ def dealt_out(sets: DataFrame, bins: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, text_class_id, n_copies, n_links for every document."""
-    spark = docs.sparkSession
+def unpacked_edges(batches):
+    for x in batches:
+        for r in x.itertuples(index=False):
+            yield pd.DataFrame({"a": unpack(r.nodes, np.int64), "b": unpack(r.docs, np.int64)})
+
+
+def unpacked_nodes(batches):
+    for x in batches:
+        for r in x.itertuples(index=False):
+            node, at = np.unique(unpack(r.nodes, np.int64), return_index=True)
+            yield pd.DataFrame({"block": r.block, "node": node, "low": unpack(r.low, np.int64)[at]})
+
+
+FOUND = "doc_id long, class_id long, text_class_id long, n_copies long, n_links long, first boolean, words long"
+
+
+def told_documents(docs: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a block, given the classes of its nodes. first: the row decides for its class."""
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    if not len(docs):
+        return pd.DataFrame(columns=names)
+    r = next(docs.itertuples(index=False))
+    ids, has, low = unpack(r.docs, np.int64), unpack(r.has_id, np.bool_), unpack(r.low, np.int64)
+    nodes = nodes.sort_values("node")
+    at = np.searchsorted(nodes["node"].to_numpy(), unpack(r.nodes, np.int64))
+    top = nodes["class_low"].to_numpy()[at]
+    first = nodes["first"].to_numpy()[at] & (ids == low)
+    words = np.zeros(len(ids), np.int64) if r.words is None else unpack(r.words, np.uint64).view(np.int64)
+    return pd.DataFrame({"doc_id": ids_out(ids, has), "class_id": ids_out(top, has | (top != NO_ID)), "text_class_id": ids_out(low, has | (low != NO_ID)), "n_copies": unpack(r.copies, np.int64), "n_links": nodes["n_links"].to_numpy()[at], "first": first, "words": words})[names]
+
+
+def classified(docs: DataFrame, recall: float, keyed: bool) -> DataFrame:
+    """FOUND of every document; words is 0 unless keyed."""
     runs = runs_for(recall)
     branch = branch_for(recall, runs, DEPTH)
     parts = blocks(docs)
     buckets = bucket_count(parts)
     asks = of_blocks(parts, lambda b: asked(b, buckets, runs), ASK)
     replies = staged(asks.groupBy("kind", "bucket").applyInPandas(counted, REPLY), "nodes")
-    meet = staged(with_replies(parts, replies, lambda b, a: members(b, a, buckets, runs, branch), PARTS), "members")
+    meet = staged(with_replies(parts, replies, lambda b, a: members(b, a, buckets, runs, branch, keyed), PARTS), "members")
     edges = meet.where("part = 'meet'").groupBy("bucket").applyInPandas(met, "a long, b long")
+    edges = edges.unionByName(meet.where("part = 'edge'").select("nodes", "docs").mapInPandas(unpacked_edges, "a long, b long"))
     group = staged(components(edges), "groups")
     sizes = group.groupBy("root").agg(F.count("*").alias("n"))
-    group = group.join(sizes, "root").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-
-    def unpacked(batches):
-        for x in batches:
-            for r in x.itertuples(index=False):
-                yield pd.DataFrame({"doc_id": ids_out(unpack(r.docs, np.int64)), "node": unpack(r.nodes, np.int64), "text_class_id": ids_out(unpack(r.low, np.int64)), "n_copies": unpack(r.copies, np.int64), "block": r.block})
+    group = spread_join(group, sizes, "root", group.count()).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
 
-    # Every block learns the groups of nodes it speaks for.
-    flat = staged(meet.where("part = 'docs'").select("block", "docs", "nodes", "low", "copies").mapInPandas(unpacked, "doc_id long, node long, text_class_id long, n_copies long, block long"), "documents")
-    home = flat.groupBy("node").agg(F.min("block").alias("block"))
-    told = group.join(home, "node").groupBy("block").agg(F.collect_list(F.struct("node", "root", "tiles")).alias("of"))  # at most a block's documents
+    # A node is one row for each block that has it; the first of these speaks for it.
+    flat = staged(meet.where("part = 'docs'").select("block", "nodes", "low").mapInPandas(unpacked_nodes, "block long, node long, low long"), "block-nodes")
+    homes = staged(flat.groupBy("node").agg(F.min("block").alias("block"), F.min("low").alias("low")), "node-homes")
+    told = group.join(homes, "node").groupBy("block").agg(F.collect_list(F.struct("node", "root", "tiles")).alias("of"))  # at most a block's documents
     told = told.select(F.lit(0).alias("kind"), "block", F.lit(0).alias("bucket"), "of")
 
     def send(b: Block, a: pd.DataFrame) -> pd.DataFrame:
@@ -366,12 +433,19 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     # Groups in one piece are done; those in tiles are joined over their forests.
     over = components(links.where("tiled and node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "joined")
     nodes = totals.join(over, "node", "left").select("node", "n_links", F.coalesce("joined", "root").alias("root"))
-    lows = flat.groupBy("node").agg(F.min("text_class_id").alias("low"))
-    nodes = lows.join(nodes, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    nodes = homes.join(nodes, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     nodes = staged(nodes, "linked")
-    classes = nodes.groupBy("root").agg(F.min("low").alias("class_id"))
-    of_node = nodes.join(classes, "root").select("node", "class_id", "n_links")
-    return flat.join(of_node, "node").select("doc_id", "class_id", "text_class_id", "n_copies", "n_links")
+    classes = nodes.groupBy("root").agg(F.min(F.struct("low", "node")).alias("best"), F.count("*").alias("n"))
+    joined_up = spread_join(nodes, classes, "root", nodes.count())
+    of_node = joined_up.select("node", F.col("best.low").alias("class_low"), (F.col("node") == F.col("best.node")).alias("first"), "n_links")
+    of_block = flat.select("block", "node").join(of_node, "node")
+    return meet.where("part = 'docs'").select("block", "docs", "has_id", "nodes", "low", "copies", "words").groupBy("block").cogroup(of_block.groupBy("block")).applyInPandas(told_documents, FOUND)
+
+
+def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, text_class_id, n_copies, n_links for every document."""
+    with scratch(docs.sparkSession):
+        return staged(classified(docs, recall, False).drop("first", "words"), "near-duplicates", keep=True)
 
 
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,13 +453,14 @@ def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id is the smallest of their class, with the columns they came with. Rows without an id stay;
-    of rows that repeat id and text, one."""
+    """One document of each class, with the columns it came with: of the rows with the smallest id (null: last) those of
+    one text, and of rows that repeat both id and words one."""
     with scratch(docs.sparkSession):
-        found = staged(near_duplicates(docs).select("doc_id", "class_id"), "classes", keep=True)
-    ids = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count_if(F.col("doc_id") == F.col("class_id")).alias("first"))
-    kept = with_ids(docs, ids.where("first = 0").select("__id"), "left_anti")
-    if not ids.where("first > 1").isEmpty():
-        known = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-        kept = known.unionByName(kept.where("doc_id is null"))
+        found = staged(classified(docs, RECALL, True).select("doc_id", "words", "first"), "classes", keep=True)
+    kept = with_pairs(docs, found.where("not first").select("doc_id", "words").distinct(), "left_anti")
+    again = found.where("first").groupBy("doc_id", "words").count().where("count > 1").select("doc_id", "words")
+    if not again.isEmpty():
+        hash_ = fresh(docs, "words")
+        one = with_pairs(kept, again, "left_semi").withColumn(hash_, words_hash(F.col("text"))).dropDuplicates(["doc_id", hash_]).drop(hash_)
+        kept = with_pairs(kept, again, "left_anti").unionByName(one)
     return kept

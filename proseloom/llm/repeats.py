@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fm
-from .common import pack, scratch, staged, table, unpack, with_ids
+from .common import fresh, pack, scratch, staged, table, unpack, with_pairs, words_hash
 from .tokens import Block, blocks, bucket_count, dealt, hashes, ids_out, joined, mix, of_blocks, with_replies
 
 WINDOW, GRAM = 50, 20
@@ -397,11 +397,6 @@ def op5_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 CUT = "doc_id long, was long, kept string, n_removed long"
 
 
-def words_hash(text):
-    """Hash of a text's words joined by one space, as `cleaned` takes it of its blocks' words."""
-    return F.xxhash64(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")))
-
-
 def cleaned(docs: DataFrame, solver: Callable = fm_solver) -> DataFrame:
     """The documents with repeated words removed (kept words joined by one space; texts without any stay as they are)
     and the columns they came with; n_chars, if there, follows the text. Documents with nothing left are dropped."""
@@ -412,7 +407,7 @@ def cleaned(docs: DataFrame, solver: Callable = fm_solver) -> DataFrame:
             span = slice(b.starts[i], b.starts[i + 1])
             gone = f.repeated[span]
             if gone.any():
-                whole = xxhash.xxh64_intdigest(" ".join(words[b.ids[span]]).encode(), 42)
+                whole = xxhash.xxh64_intdigest(" ".join(words[b.ids[span]]).encode("utf-8", "surrogatepass"), 42)
                 rows.append((whole - (1 << 64) if whole >> 63 else whole, " ".join(words[b.ids[span][~gone]]), int(gone.sum()), b.doc_ids[i], b.has_id[i]))
         out = pd.DataFrame(rows, columns=["was", "kept", "n_removed", "doc_id", "has_id"])
         out["doc_id"] = ids_out(out["doc_id"].to_numpy(np.int64), out["has_id"].to_numpy(bool))
@@ -420,14 +415,10 @@ def cleaned(docs: DataFrame, solver: Callable = fm_solver) -> DataFrame:
 
     with scratch(docs.sparkSession):
         changed = staged(repeats(docs, solver, texts, CUT), "changed", keep=True)
-    changed = changed.select(F.col("doc_id").alias("__id"), F.col("was").alias("__was"), F.col("kept").alias("__kept"))
-    ids = changed.select("__id").distinct()
-    # Only documents with an id among the changed move, and those without an id.
-    known = with_ids(docs, ids.where("__id is not null"), "left_semi").unionByName(docs.where("doc_id is null"))
-    same = known["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (words_hash(known["text"]) == F.col("__was"))
-    both = known.join(changed.dropDuplicates(["__id", "__was"]), same, "left").where("__kept is null or __kept <> ''")
-    text = F.coalesce(F.col("__kept"), known["text"])
-    length = F.when(F.col("__kept").isNull(), known["n_chars"]).otherwise(F.length("__kept")).cast("long") if "n_chars" in docs.columns else None
-    cut = both.select(*[text.alias(c) if c == "text" else length.alias(c) if c == "n_chars" else known[c] for c in docs.columns])
-    rest = with_ids(docs.where("doc_id is not null"), ids.where("__id is not null"), "left_anti")
-    return rest.select(*docs.columns).unionByName(cut)
+    pairs = changed.select("doc_id", F.col("was").alias("words")).distinct()
+    id_, was, kept = (fresh(docs, f"{c}_of_change") for c in ("doc_id", "was", "kept"))
+    one = changed.groupBy(F.col("doc_id").alias(id_), F.col("was").alias(was)).agg(F.min("kept").alias(kept))
+    touched = with_pairs(docs, pairs, "left_semi")  # only these texts move
+    cut = touched.join(one, touched["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (words_hash(touched["text"]) == F.col(was))).where(F.col(kept) != "")
+    columns = [F.col(kept).alias(c) if c == "text" else F.length(kept).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return with_pairs(docs, pairs, "left_anti").unionByName(cut.select(*columns))

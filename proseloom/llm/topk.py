@@ -1,20 +1,31 @@
 """Operator 3: exact top-k by a Voronoi join on integer inner products.
 
-Data and queries are grouped by their nearest pivot. A cell's summary is its pivot, radius and row count. For a query q
-and a cell (pivot p, radius r): score <= q.p + |q| r. Each query first meets its home cell, whose k-th score is its
-threshold; it is then copied only to cells whose bound reaches that. Queries are the small side (one row in a hundred),
-so they are what is copied; data moves once, cut into blocks of at most BLOCK rows within a cell, hot cells too. The
-blocks are solved locally and the local tops merged.
+Data and queries belong to the cell of their nearest pivot; pivots are rows, sqrt(N) of them (16 to MOST_PIVOTS). A
+cell's summary is its row count, largest norm, smallest and largest distance to the pivot, and the k + 1 smallest
+distances. From summaries alone a query q has
 
-Components become floor(1024 x); products are exact in doubles below 2^53, which is checked.
+* a floor: k rows besides q's own surely score at least q.p - |q| d, d being the (k + 1)-th distance of some cell;
+* for each cell a ceiling, the least of q.p + |q| r, |q| times the largest norm, and (|q|^2 + norm^2 - d^2) / 2, where d
+  is the least distance that the ring around the pivot and the bisector towards q's own pivot allow.
+
+Cells are solved in groups of near pivots, of some BLOCK rows. Each query first meets its home group, which raises its
+floor; it is then copied only to groups with a cell whose ceiling reaches the floor. Queries are the small side (one row
+in a hundred), so they are what is copied; data moves once, and groups are cut into blocks of at most BLOCK rows or so.
+The blocks are solved locally and the local tops merged. Where vectors are spread evenly over many dimensions no bound
+can tell cells apart, and every block is met; `cells_reached` tells how many are.
+
+Components become floor(1024 x), held within the range of a long. Products are exact: pairs whose norms allow sums of
+2^53 or more are computed in whole numbers of any size; scores outside the range of a long are held at its ends.
 
 Nulls: vectors that are null, or hold a null or non-finite component, take no part; nor does a null vec_id. Shorter
-vectors count as padded with zeros. Repeated rows all take part; rows with the query's own vec_id are its own row.
-An empty table, or one without queries, gives an empty result. Extra columns are ignored.
+vectors count as padded with zeros. Repeated rows all take part; rows with the query's own vec_id are its own row. Of
+several vectors of one query id the smallest (compared component by component) asks. An empty table, or one without
+queries, gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +33,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import scratch, staged, table
 
-PIVOTS, BLOCK = 128, 2048
+MOST_PIVOTS, BLOCK = 16_384, 8192
+EXACT, LONG = 2.0**53, 2**63
 
 
 def integers(vectors: DataFrame) -> DataFrame:
@@ -47,8 +59,8 @@ def _matrix(vectors, width: int) -> np.ndarray:
 def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """For each query the places of its best k of a block that reach its floor, ties to smaller ids."""
     for i in range(len(scores)):
-        s = np.where(ids == own[i], -np.inf, scores[i])
-        at = np.nonzero((s >= floor[i]) & (s > -np.inf))[0]
+        s = scores[i]
+        at = np.nonzero((ids != own[i]) & (s >= floor[i] - 1e-9 * abs(floor[i]) if np.isfinite(floor[i]) else ids != own[i]))[0]
         if len(at) > k:
             least = np.partition(s[at], len(at) - k)[len(at) - k]
             at = at[s[at] >= least]
@@ -56,39 +68,156 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, floor: n
         yield i, at
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows whose vec_id is divisible by ``every``."""
-    spark = vectors.sparkSession
-    result = "query_id long, rank int, vec_id long, score long"
-    data = staged(integers(vectors), "vectors")
-    size = data.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
-    if size[0] is None:
-        return spark.createDataFrame([], result)
-    width = max(1, size[0])
-    if width * float(size[1] or 0) ** 2 >= 2**53:
-        raise ValueError("inner products would leave the exact range of doubles")
-    chosen = data.select("vec_id", "v").distinct().orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(pivots).collect()  # a fixed number
-    centre = np.unique(_matrix([r["v"] for r in chosen], width), axis=0)
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers, exact; longs."""
+    scores = q @ d.T
+    large = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((d * d).sum(1)) >= EXACT
+    if not large.any():
+        return scores.astype(np.int64)
+    out = np.where(large, 0, scores).astype(np.int64)
+    whole = {}
+    for i, j in np.argwhere(large):
+        for side, m, n in (("q", q, i), ("d", d, j)):
+            if (side, n) not in whole:
+                whole[side, n] = [int(x) for x in m[n]]
+        out[i, j] = min(LONG - 1, max(-LONG, sum(a * b for a, b in zip(whole["q", i], whole["d", j], strict=True))))
+    return out
+
+
+class Summary:
+    """Pivots and what is known of their cells, a fixed number of numbers each."""
+
+    def __init__(self, centre: np.ndarray, rows: list, k: int):
+        self.centre, self.k = centre, k
+        n = len(centre)
+        self.count, self.norm, self.low, self.high = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.full(n, -np.inf)
+        self.near = np.full((n, k + 1), np.inf)
+        for r in rows:
+            c = r["cell"]
+            self.count[c], self.norm[c], self.low[c], self.high[c] = r["n"], r["norm"], r["low"], r["high"]
+            self.near[c, : len(r["near"])] = sorted(r["near"])
+        self.between = None
+
+    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query its floor, and the ceiling of each cell (minus infinity: empty)."""
+        size = np.sqrt((q * q).sum(1))[:, None]
+        dot = q @ self.centre.T
+        own = (self.centre * self.centre).sum(1)
+        away = np.sqrt(np.maximum(0, size**2 - 2 * dot + own))
+        home = away.argmin(1)
+        slack = 1e-9 * (size * (self.norm + np.sqrt(own)) + size**2 + self.norm**2) + 1e-3
+        with np.errstate(invalid="ignore", divide="ignore"):
+            bisector = (away**2 - away[np.arange(len(q)), home][:, None] ** 2) / (2 * np.sqrt(np.maximum(0, own[home][:, None] - 2 * self.centre[home] @ self.centre.T + own)))
+            far = np.maximum(np.maximum(away - self.high, self.low - away), np.nan_to_num(bisector, nan=0.0, posinf=0.0, neginf=0.0))
+            far = np.maximum(0, far - 1e-6 * (size + np.sqrt(own)))
+            ceiling = np.minimum(np.minimum(dot + size * self.high, size * self.norm), (size**2 + self.norm**2 - far**2) / 2) + slack
+            sure = dot - size * self.near[:, -1] - slack
+            one = dot - size * self.near[:, 0] - slack
+        floor = np.where(np.isnan(sure), -np.inf, sure).max(1)
+        if one.shape[1] > self.k:  # one row each of k + 1 cells
+            floor = np.maximum(floor, np.partition(np.where(np.isnan(one), -np.inf, one), -self.k - 1, axis=1)[:, -self.k - 1])
+        return floor, np.where(self.count > 0, ceiling, -np.inf)
+
+
+class Join:
+    """The staged vectors in their cells, the summary, and the groups that cells are solved in."""
+
+    def __init__(self, vectors: DataFrame, k: int, every: int, pivots: int | None, block: int):
+        data = staged(integers(vectors), "vectors")
+        size = data.agg(F.max(F.size("v")), F.count("*")).first()
+        self.any = size[1] > 0
+        if not self.any:
+            return
+        width = self.width = max(1, size[0])
+        count = pivots or min(MOST_PIVOTS, max(16, math.isqrt(size[1])))
+        chosen = data.select("vec_id", "v").distinct().orderBy(F.xxhash64("vec_id", "v"), "vec_id", "v").limit(count).collect()  # a bounded number
+        centre = np.unique(_matrix([r["v"] for r in chosen], width), axis=0)
+        centre = centre[np.random.default_rng(3).permutation(len(centre))]
+
+        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = (centre * centre).sum(1)
+            for b in batches:
+                for at in range(0, len(b), 1024):
+                    some = b.iloc[at : at + 1024]
+                    m = _matrix(some["v"].tolist(), width)
+                    norm = (m * m).sum(1)
+                    d = norm[:, None] - 2 * m @ centre.T + own
+                    cell = d.argmin(1)
+                    yield some.assign(cell=cell.astype(np.int32), far=np.sqrt(((m - centre[cell]) ** 2).sum(1)), norm=np.sqrt(norm))
+
+        self.celled = staged(data.mapInPandas(assign, "vec_id long, v array<double>, cell int, far double, norm double"), "celled")
+        nearest = self.celled.select("cell", "far", F.row_number().over(Window.partitionBy("cell").orderBy("far")).alias("r")).where(F.col("r") <= k + 1)
+        nearest = nearest.groupBy("cell").agg(F.collect_list("far").alias("near"))  # k + 1 a cell
+        cells = self.celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("norm").alias("norm"), F.min("far").alias("low"), F.max("far").alias("high"))
+        self.summary = Summary(centre, cells.join(nearest, "cell").collect(), k)  # one row a pivot
+        # Groups: pivots by the nearest of the first few.
+        few = centre[: max(1, -(-size[1] // block))]
+        self.group = ((few * few).sum(1) - 2 * centre @ few.T).argmin(1).astype(np.int32)
+        rows = np.bincount(self.group, self.summary.count, len(few)).astype(np.int64)
+        self.parts = np.maximum(1, -(-rows // block))
+        maps = self.celled.sparkSession.createDataFrame(pd.DataFrame({"cell": np.arange(len(centre), dtype=np.int32), "group": self.group, "cuts": self.parts[self.group].astype(np.int32)}))
+        grouped = self.celled.join(F.broadcast(maps), "cell")  # one row a pivot
+        self.dealt = grouped.select("vec_id", "v", "cell", "group", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("cuts")).cast("int").alias("part"))
+        asking = self.celled.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))  # the smallest vector asks
+        self.queries = staged(asking, "queries")
+
+
+ASKED = "vec_id long, v array<double>, group int, cuts int, floor double"
+
+
+def reached(join: Join, known: DataFrame, home: bool) -> DataFrame:
+    """ASKED: queries (vec_id, v, floor) with each group they need: their home group, or all others with a cell whose
+    ceiling reaches the floor."""
+    summary, group, parts, width = join.summary, join.group, join.parts, join.width
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), 4096):
-                some = b.iloc[at : at + 4096]
+            for at in range(0, len(b), 256):
+                some = b.iloc[at : at + 256].reset_index(drop=True)
                 m = _matrix(some["v"].tolist(), width)
-                d = (m * m).sum(1)[:, None] - 2 * m @ centre.T + (centre * centre).sum(1)
-                cell = d.argmin(1)
-                yield some.assign(cell=cell.astype(np.int32), far=np.sqrt(np.maximum(0, d[np.arange(len(some)), cell])))
-
-    celled = staged(data.mapInPandas(assign, "vec_id long, v array<double>, cell int, far double"), "celled")
-    summary = celled.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")).collect()  # one row a pivot
-    radius = np.full(len(centre), -np.inf)
-    parts = np.ones(len(centre), np.int64)
-    for r in summary:
-        radius[r["cell"]], parts[r["cell"]] = r["radius"], -(-r["n"] // block)
-    cuts = F.element_at(F.array(*[F.lit(int(n)) for n in parts]), F.col("cell") + 1)
-    dealt = celled.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id", F.lit(3)), cuts).cast("int").alias("part"))
-    queries = celled.where(F.col("vec_id") % every == 0).select("vec_id", "v", "cell", F.lit(float("-inf")).alias("floor"))
-    solved = "query_id long, vec_id long, score long"
+                floor, ceiling = summary.bounds(m)
+                floor = np.maximum(floor, some["floor"].to_numpy())
+                own = group[((m * m).sum(1)[:, None] - 2 * m @ summary.centre.T + (summary.centre**2).sum(1)).argmin(1)]
+                if home:
+                    yield some.assign(group=own, cuts=parts[own].astype(np.int32), floor=floor)[["vec_id", "v", "group", "cuts", "floor"]]
+                    continue
+                need = np.zeros((len(some), len(parts)), bool)
+                i, c = np.nonzero(ceiling >= floor[:, None])
+                need[i, group[c]] = True
+                need[np.arange(len(some)), own] = False
+                i, g = np.nonzero(need)
+                yield some.iloc[i].assign(group=g.astype(np.int32), cuts=parts[g].astype(np.int32), floor=floor[i])[["vec_id", "v", "group", "cuts", "floor"]]
+
+    return known.select("vec_id", "v", "floor").mapInPandas(run, ASKED)
+
+
+def cells_reached(vectors: DataFrame, k: int = 10, every: int = 100, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
+    """query_id, cells, cells_reached by the summaries alone: what the bounds spare before any vector is compared."""
+    join = Join(vectors, k, every, pivots, block)
+    schema = "query_id long, cells int, cells_reached int"
+    if not join.any:
+        return vectors.sparkSession.createDataFrame([], schema)
+    summary, width = join.summary, join.width
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            floor, ceiling = summary.bounds(_matrix(b["v"].tolist(), width))
+            yield pd.DataFrame({"query_id": b["vec_id"], "cells": np.int32((summary.count > 0).sum()), "cells_reached": (ceiling >= floor[:, None]).sum(1).astype(np.int32)})
+
+    return join.queries.mapInPandas(run, schema)
+
+
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score for the rows whose vec_id is divisible by ``every``."""
+    with scratch(vectors.sparkSession):
+        return _top_k(vectors, k, every, pivots, block)
+
+
+def _top_k(vectors: DataFrame, k: int, every: int, pivots: int | None, block: int) -> DataFrame:
+    join = Join(vectors, k, every, pivots, block)
+    if not join.any:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    width = join.width
 
     def solve(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)]
@@ -97,39 +226,23 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOT
             for at in range(0, len(q), 256):
                 some = q.iloc[at : at + 256]
                 own = some["vec_id"].to_numpy()
-                scores = _matrix(some["v"].tolist(), width) @ m.T
+                scores = products(_matrix(some["v"].tolist(), width), m)
                 for i, best in _best(scores, ids, own, k, some["floor"].to_numpy()):
-                    out.append(pd.DataFrame({"query_id": np.full(len(best), own[i]), "vec_id": ids[best], "score": scores[i, best].astype(np.int64)}))
+                    out.append(pd.DataFrame({"query_id": np.full(len(best), own[i]), "vec_id": ids[best], "score": scores[i, best]}))
         return pd.concat(out)
 
     def local(asked: DataFrame) -> DataFrame:
-        """Asked (vec_id, v, cell, floor) meet every block of their cell."""
-        each = asked.withColumn("part", F.explode(F.sequence(F.lit(0), cuts - 1)))
-        return each.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInPandas(solve, solved)
+        """The asked queries meet every block of their group."""
+        each = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        return each.groupBy("group", "part").cogroup(join.dealt.groupBy("group", "part")).applyInPandas(solve, "query_id long, vec_id long, score long")
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # Queries of one id: repeated rows of it ask once.
-    queries = queries.dropDuplicates(["vec_id"])
-    home = staged(local(queries), "home")
+    first = join.queries.withColumn("floor", F.lit(float("-inf")))
+    home = staged(local(reached(join, first, True)), "home")
     kth = home.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
-    known = queries.drop("floor").join(kth, "vec_id", "left").fillna(float("-inf"), ["floor"])
-
-    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 1024):
-                some = b.iloc[at : at + 1024].reset_index(drop=True)
-                m = _matrix(some["v"].tolist(), width)
-                with np.errstate(invalid="ignore"):
-                    bound = m @ centre.T + np.sqrt((m * m).sum(1))[:, None] * radius + 1e-3
-                need = (bound >= some["floor"].to_numpy()[:, None]) & (radius >= 0)
-                need[np.arange(len(some)), some["cell"]] = False
-                i, c = np.nonzero(need)
-                yield some.iloc[i].assign(cell=c.astype(np.int32))
-
-    others = known.mapInPandas(reach, "vec_id long, v array<double>, cell int, floor double")
-    return (
-        home.unionByName(local(others)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    )
+    known = join.queries.join(kth, "vec_id", "left").fillna(float("-inf"), ["floor"])
+    every_ = home.unionByName(local(reached(join, known, False))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return staged(every_.select("query_id", "rank", "vec_id", "score"), "top-k", keep=True)
 
 
 def op3_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

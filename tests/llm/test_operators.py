@@ -144,20 +144,48 @@ def test_katz_of_any_order(spark, order):
     assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=1e-6) for i in got)
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("pivots, block", [(8, 50), (None, 8192), (3, 1)])
+def test_top_k(spark, pivots, block):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(400)]
-    rows += [(i, [0.5] * 8) for i in range(400, 520)] + [(600, None), (700, [1.0, None]), (800, [float("nan")] * 8), (None, [0.1] * 8), (900, [0.25, -0.5])]
+    rows += [(i, [0.5] * 8) for i in range(400, 520)] + [(600, None), (700, [1.0, None]), (800, [float("nan")] * 8), (None, [0.1] * 8), (900, [0.25, -0.5]), (1000, []), (2**60 + 1, [0.3] * 8), (3, [0.4] * 8), (200, [9.0] * 8)]
+    rows += [(1100, [3e9, 1.0]), (1101, [-2e9] * 8), (1102, [1e300] * 8)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    ok = {i: [math.floor(1024 * x) for x in v] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    held = lambda x: max(-(2**63), min(2**63 - 1, math.floor(1024 * x)))
+    ok = [(i, [int(float(held(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in (i for i in ok if i % 100 == 0):
-        best = sorted((-sum(a * b for a, b in zip(ok[q], v, strict=False)), i) for i, v in ok.items() if i != q)[:10]
+    for q in {i for i, _ in ok if i % 100 == 0}:
+        ask = min(v for i, v in ok if i == q)
+        best = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(ask, v, strict=False)))), i) for i, v in ok if i != q)[:10]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    assert by(topk.top_k(table, pivots=8, block=50).collect(), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+    assert by(topk.top_k(table, pivots=pivots, block=block).collect(), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
     assert topk.top_k(table.where("vec_id < 0")).count() == 0
 
 
+def test_bounds_prune_clustered_vectors(spark):
+    rng = np.random.default_rng(2)
+    centre = rng.normal(0, 1, (20, 16))
+    rows = [(i, [float(x) for x in centre[i % 20] + rng.normal(0, 0.02, 16)]) for i in range(3000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    share = [r.cells_reached / r.cells for r in topk.cells_reached(table, pivots=60).collect()]
+    assert len(share) == 30 and max(share) < 0.5
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(5)
+    for scale in (1, 100):
+        v = np.floor(1024 * rng.normal(0, scale, (600, 5)) * rng.choice([0.01, 1, 1], (600, 1)))
+        centre = v[:25]
+        d = np.sqrt(((v[:, None] - centre) ** 2).sum(2))
+        cell, far, norm = d.argmin(1), d.min(1), np.sqrt((v * v).sum(1))
+        rows = [{"cell": c, "n": int((cell == c).sum()), "norm": norm[cell == c].max(), "low": far[cell == c].min(), "high": far[cell == c].max(), "near": sorted(far[cell == c])[:5]} for c in range(25) if (cell == c).any()]
+        floor, ceiling = topk.Summary(centre, rows, 4).bounds(v)
+        scores = v @ v.T
+        for q in range(len(v)):
+            others = np.delete(scores[q], q)
+            assert np.sort(others)[-4] >= floor[q] and all(scores[q][cell == c].max() <= ceiling[q, c] for c in range(25) if (cell == c).any())
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(VOCAB) for _ in range(60)) + "." if i % 3 else " | ".join(rng.choice(VOCAB) for _ in range(60)), "x", 0) for i in range(600)]

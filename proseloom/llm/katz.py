@@ -216,22 +216,22 @@ def scored(b: Block, answers: pd.DataFrame, model: Model, buckets: int, order: i
         # All n-grams of training documents are seen, so only contexts in documents held out are asked for.
         mine = owned[k - 1] & (counts[k - 1] > 0) & held[k - 2][g.context]
         have, slot = np.unique(g.context[mine], return_inverse=True)
-        used = np.bincount(slot, model.shrunk(counts[k - 1], model.of[k])[mine], len(have))
+        spare = np.bincount(slot, (counts[k - 1] - model.shrunk(counts[k - 1], model.of[k]))[mine], len(have))
         below = np.bincount(slot, value[k - 2][g.lower[mine]], len(have))
         keys = raw[have]
         by_key = np.argsort(keys)
         cut = dealt(keys[by_key], buckets)
-        rows += [{"part": "sum", "block": b.block, "kind": k, "bucket": i, "a": pack(keys[by_key][s:e]), "b": pack(used[by_key][s:e]), "c": pack(below[by_key][s:e])} for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
+        rows += [{"part": "sum", "block": b.block, "kind": k, "bucket": i, "a": pack(keys[by_key][s:e]), "b": pack(spare[by_key][s:e]), "c": pack(below[by_key][s:e])} for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
     whose, place, totals = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((whose, np.int32), (place, np.int32), (totals, np.int64)))
     rows.append({"part": "docs", "block": b.block, "a": pack(b.doc_ids), "b": pack(b.lens + 1), "c": pack(np.stack([known, base, part], 1).reshape(-1)), "d": pack(whose), "e": pack(place), "f": pack(totals), "g": pack(b.has_id)})
     return pd.DataFrame(rows, columns=[c.split()[0] for c in SCORED.split(", ")]).astype({"kind": "Int32", "bucket": "Int32"})
 
 
-SUMS = "block long, kind int, bucket int, used binary, below binary"
+SUMS = "block long, kind int, bucket int, spare binary, below binary"
 
 
 def summed(rows: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's contexts: discounted counts and lower-order mass of the words seen after each, for who asked."""
+    """A bucket's contexts: what discounts spare and lower-order mass of the words seen after each, for who asked."""
     rows = rows.sort_values(["part", "block"])
     given, asks = rows[rows["part"] == "sum"], rows[rows["part"] == "ask"]
     none = np.zeros(0, np.uint64)
@@ -242,7 +242,7 @@ def summed(rows: pd.DataFrame) -> pd.DataFrame:
     for r in asks.itertuples(index=False):
         at = np.searchsorted(own, unpack(r.a, np.uint64))
         out.append((r.block, r.kind, r.bucket, pack(total[0][at]), pack(total[1][at])))
-    return pd.DataFrame(out, columns=["block", "kind", "bucket", "used", "below"])
+    return pd.DataFrame(out, columns=["block", "kind", "bucket", "spare", "below"])
 
 
 def finished(docs: pd.DataFrame, sums: pd.DataFrame, tokens: int) -> pd.DataFrame:
@@ -253,8 +253,9 @@ def finished(docs: pd.DataFrame, sums: pd.DataFrame, tokens: int) -> pd.DataFram
     ids, lens, has_id = unpack(r.a, np.int64), unpack(r.b, np.int64), unpack(r.g, np.bool_)
     known, base, part = unpack(r.c, np.float64).reshape(-1, 3).T
     sums = sums.sort_values(["kind", "bucket"])
-    used, below = (np.concatenate([np.zeros(0), *[unpack(x, np.float64) for x in sums[c]]]) for c in ("used", "below"))
-    alpha = np.maximum(1 - used / unpack(r.f, np.int64), 1e-300) / np.maximum(1 - below, 1e-300)
+    spare, below = (np.concatenate([np.zeros(0), *[unpack(x, np.float64) for x in sums[c]]]) for c in ("spare", "below"))
+    # Every discount spares something, and the unknown word is never among those seen, so neither side is 0.
+    alpha = spare / unpack(r.f, np.int64) / (1 - below)
     part = part + np.bincount(unpack(r.d, np.int32), np.log10(alpha)[unpack(r.e, np.int32)], len(ids))
     return pd.DataFrame({"doc_id": ids_out(ids, has_id), "held_out": held_out(ids, has_id), "n_tokens": lens, "n_known": known.astype(np.int64), "train_tokens": tokens, "base_score": base, "score": part})
 

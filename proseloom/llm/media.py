@@ -4,9 +4,10 @@
 Clusters with SimpleBlock and BlockGroup, all four lacings (none, Xiph, fixed, EBML), and Cues. A packet has its track,
 timestamp in nanoseconds, duration, flags and its byte range in the stored file, so a reader can fetch it alone.
 
-Malformed bytes: ``parse`` raises ValueError; ``packets`` gives one row with the error and null packet columns.
-Null media: no packets. Empty texts: a payload of 64 zero bytes. Repeated rows keep their own packets. Extra columns
-are ignored, or carried by name where asked for.
+Malformed bytes: ``parse`` raises ValueError; ``packets`` gives one row with the error and null packet columns, and
+``features`` a row whose feature is the error. Null media: no packets, and a row of nulls in ``features``. Null or empty
+texts: a payload of 64 zero bytes. Repeated rows keep their own packets. Empty table: empty result. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_or_empty
+from .common import keyed_texts, staged, table, with_nulls
 
 RATE, FRAME, LACED, BLOCKS, UNIT = 8000, 256, 8, 4, 64
 # Element ids of the public Matroska specification (RFC 9559), fixed values.
@@ -183,11 +184,14 @@ def parse(data: bytes) -> dict:
     """tracks: {number: {codec, default_ns}}; packets: (track, timestamp_ns, duration_ns, flags, cluster, start, end);
     cues: (timestamp_ns, track, position of the cluster in the file, whether a cluster is there)."""
     out = {"scale": 1_000_000, "duration_ns": None, "tracks": {}, "packets": [], "cues": [], "clusters": []}
-    if len(data) < 4 or _id(data, 0)[0] != EBML:
-        raise ValueError("no EBML header")
-    for i, _, a, b in elements(data, 0, len(data)):
-        if i == SEGMENT:
-            _segment(data, a, b, out)
+    try:
+        if len(data) < 4 or _id(data, 0)[0] != EBML:
+            raise ValueError("no EBML header")
+        for i, _, a, b in elements(data, 0, len(data)):
+            if i == SEGMENT:
+                _segment(data, a, b, out)
+    except (IndexError, KeyError) as fault:  # bytes or elements that are not there
+        raise ValueError(f"cut short: {fault}") from fault
     places = set(out["clusters"])
     out["cues"] = [(t * out["scale"], track, pos, pos in places) for t, track, pos in out["cues"]]
     return out
@@ -250,31 +254,37 @@ def media_column(docs: DataFrame) -> DataFrame:
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            raw = [t.encode() for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_bytes": [len(r) for r in raw], "media": [mux(r + bytes(-len(r) % UNIT if r else UNIT)) for r in raw]})
+            raw = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
+            yield b[["has_id", "doc_id"]].assign(n_bytes=[len(r) for r in raw], media=[mux(r + bytes(-len(r) % UNIT if r else UNIT)) for r in raw])
 
-    return text_or_empty(docs).mapInPandas(write, "doc_id long, n_bytes long, media binary")
+    return with_nulls(keyed_texts(docs).mapInPandas(write, "has_id boolean, doc_id long, n_bytes long, media binary"))
 
 
 PACKET = "track long, timestamp_ns long, duration_ns long, keyframe boolean, lacing int, cluster int, start long, length long, error string"
 
 
+def _keyed(media: DataFrame, key: str) -> DataFrame:
+    size = F.coalesce(F.col("n_bytes"), F.lit(-1)).cast("long").alias("n_bytes") if "n_bytes" in media.columns else F.lit(-1).cast("long").alias("n_bytes")
+    return media.select(F.col(key).isNotNull().alias("has_id"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("doc_id"), size, "media")
+
+
 def packets(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The packet table of a media column: key, packet, track, timestamps, flags, cluster, byte range."""
+    """The packet table of a media column: a whole-number key, packet, track, timestamps, flags, cluster, byte range."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for k, data in zip(b[key], b["media"], strict=True):
+            for has, k, data in zip(b["has_id"].tolist(), b["doc_id"].tolist(), b["media"], strict=True):
                 if data is None:
                     continue
                 try:
-                    rows += [(k, n, t, at, each, bool(f & 0x80), f >> 1 & 3, c, s, e - s, None) for n, (t, at, each, f, c, s, e) in enumerate(parse(bytes(data))["packets"])]
-                except (ValueError, IndexError, KeyError) as fault:
-                    rows.append((k, *[None] * 9, str(fault) or type(fault).__name__))
-            yield pd.DataFrame(rows, columns=[key, "packet", *[c.split()[0] for c in PACKET.split(", ")]]).astype({c: "Int64" for c in (key, "packet", "track", "timestamp_ns", "duration_ns", "lacing", "cluster", "start", "length")})
+                    rows += [(has, k, n, t, at, each, bool(f & 0x80), f >> 1 & 3, c, s, e - s, None) for n, (t, at, each, f, c, s, e) in enumerate(parse(bytes(data))["packets"])]
+                except ValueError as fault:
+                    rows.append((has, k, *[None] * 9, str(fault)))
+            yield pd.DataFrame(rows, columns=["has_id", "doc_id", "packet", *[c.split()[0] for c in PACKET.split(", ")]]).astype({c: "Int64" for c in ("packet", "track", "timestamp_ns", "duration_ns", "lacing", "cluster", "start", "length")})
 
-    return media.select(key, "media").mapInPandas(read, f"{key} long, packet int, {PACKET}")
+    found = _keyed(media, key).select("has_id", "doc_id", "media").mapInPandas(read, f"has_id boolean, doc_id long, packet int, {PACKET}")
+    return with_nulls(found).withColumnRenamed("doc_id", key)
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -284,20 +294,28 @@ def features(media: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc_id, n, data in zip(b["doc_id"], b["n_bytes"], b["media"], strict=True):
+            for has, doc_id, n, data in zip(b["has_id"].tolist(), b["doc_id"].tolist(), b["n_bytes"].tolist(), b["media"], strict=True):
+                if data is None:
+                    rows.append((has, doc_id, n, *[None] * 6))
+                    continue
                 data = bytes(data)
-                m = parse(data)
+                try:
+                    m = parse(data)
+                except ValueError as fault:
+                    rows.append((has, doc_id, n, None, None, None, len(data), hashlib.sha256(data).hexdigest(), f"error: {fault}"))
+                    continue
                 payload = b"".join([data[s:e] for *_, s, e in m["packets"]])
-                share = np.bincount(np.frombuffer(payload, np.uint8), minlength=256) / len(payload)
+                share = np.bincount(np.frombuffer(payload, np.uint8), minlength=256) / max(1, len(payload))
                 level = np.arange(256)
                 mean = float(share @ level)
                 some = share[share > 0]
                 lacings = np.bincount([p[3] >> 1 & 3 for p in m["packets"]], minlength=4)
                 text = f"tracks={len(m['tracks'])};clusters={len(m['clusters'])};packets={len(m['packets'])};lacing={','.join(map(str, lacings))};duration_ns={m['duration_ns']};cues={sum(c[3] for c in m['cues'])};mean={mean:.4f};dev={float(share @ (level - mean) ** 2) ** 0.5:.4f};entropy={float(-(some * np.log2(some)).sum()):.4f}"
-                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), text))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype({"doc_id": "Int64"})
+                rows.append((has, doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), text))
+            yield pd.DataFrame(rows, columns=["has_id", "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype({c: "Int64" for c in ("payload_bytes", "tail_crc32", "media_bytes")})
 
-    return media.mapInPandas(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    found = _keyed(media, "doc_id").mapInPandas(read, "has_id boolean, doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return with_nulls(found).withColumn("n_bytes", F.when(F.col("n_bytes") >= 0, F.col("n_bytes")))
 
 
 def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,10 @@ Training is a documented bounded sample: of the labelled rows whose crc32(doc_id
 ``sample`` (8,000) with the smallest hash of doc_id, fitted in one task on features of fixed size. The fitted model has
 a fixed size (2^14 + SHAPE rows of 9 numbers) and is what travels to the tasks. Everything else covers all documents.
 
-Nulls: a null text is empty; empty texts get the score of the structure part alone. Null or repeated labels: nulls are
-left out, a repeated label counts as often as it occurs. No labels at all: score 0.5. Extra columns are ignored.
+Nulls: a null text is empty; empty texts get the score of the structure part alone. Labels that are null or neither 0
+nor 1 are left out, equal ones count once; of several texts with a labelled id the smallest is learned from. No labels
+at all: score 0.5. Repeated rows get equal scores, an empty table an empty result. Extra columns are carried by
+`reject`, whatever their names, and ignored else.
 """
 
 from __future__ import annotations
@@ -111,11 +113,11 @@ def fit(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, seed:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
     """The model, from a bounded sample; None if there is nothing to learn from (no rows of either class)."""
-    good = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("y"))
-    good = good.where(crc_bucket("id", 3) != 1)
+    good = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y"))
+    good = good.where(crc_bucket("id", 3) != 1).distinct()
     few = good.withColumn("o", F.xxhash64("id", "y")).orderBy("o", "id").limit(sample).drop("o")
     texts = text_or_empty(docs)
-    found = texts.join(F.broadcast(few), texts["doc_id"] == few["id"]).select("id", "y", "text")
+    found = texts.join(F.broadcast(few), texts["doc_id"] == few["id"]).groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -134,31 +136,34 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     return np.frombuffer(learned[0]["model"], np.float32).reshape(HASHED + SHAPE, -1) if learned else None
 
 
-def score(docs: DataFrame, model: np.ndarray | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score in [0, 1], and the columns named in keep."""
+def scorer(model: np.ndarray | None):
+    """A Column function of texts: the score in [0, 1]. Only texts reach Python, so other columns stay as they are."""
     packed = None if model is None else model.tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights = None if packed is None else np.frombuffer(packed, np.float32).reshape(HASHED + SHAPE, -1)
         for b in batches:
             z = [np.zeros(0)]
             for at in range(0, len(b), 256):
-                texts = b["text"].iloc[at : at + 256].fillna("").tolist()
+                texts = b.iloc[at : at + 256].tolist()
                 z.append(np.zeros(len(texts)) if weights is None else margins(weights, *rows_of(texts), len(texts))[0].astype(np.float64))
-            z = np.concatenate(z)
-            yield b.assign(score=1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(np.concatenate(z), -30, 30))))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", "text", *keep).schema)
-    return docs.select("doc_id", "text", *keep).mapInPandas(run, schema + ", score double")
+    return lambda text: of(F.coalesce(text, F.lit("")))
+
+
+def score(docs: DataFrame, model: np.ndarray | None) -> DataFrame:
+    """doc_id, score of every document."""
+    return docs.select("doc_id", scorer(model)(F.col("text")).alias("score"))
 
 
 def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = score(text_or_empty(docs), train(docs, labels)).drop("text")
+    scored = score(docs, train(docs, labels))
     return scored.select("doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents kept (score at least threshold), with the columns they came with."""
-    scored = score(docs, train(docs, labels), tuple(c for c in docs.columns if c not in ("doc_id", "text")))
-    return scored.where(F.col("score") >= threshold).select(*docs.columns)
+    return docs.where(scorer(train(docs, labels))(docs["text"]) >= threshold)

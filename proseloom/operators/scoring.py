@@ -1,28 +1,42 @@
-"""Grounding, density, findings, scores and bands."""
+"""Grounding, density, findings, scores and bands, each of one row's blocks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proseloom.functions import text as T
 from proseloom.functions.patterns import Options
+from proseloom.operators import structure
+from proseloom.operators.structure import let
 
+CLAIM = ["block_index", "sent_index", "text", "start_char", "end_char", "kinds", "grounded", "reason"]
 
-def grounding(sentence_rows: DataFrame) -> DataFrame:
-    """Claims with grounded and reason: own source signal, else the preceding, else the following sentence of the block."""
-    order = Window.partitionBy("doc_id", "block_index").orderBy("sent_index")
-    signal = sentence_rows.withColumn("own", T.source_signal(F.col("text")))
-    near = signal.select(
-        "*",
-        F.coalesce("own", F.concat(F.lit("preceding sentence "), F.lag("own").over(order)), F.concat(F.lit("following sentence "), F.lead("own").over(order))).alias("why"),
-        T.claim_kinds(F.col("text")).alias("kinds"),
-    )
-    claims = near.where((F.size("kinds") > 0) & ~T.self_reported(F.col("text")))
-    return claims.select(
-        "doc_id", "block_index", "sent_index", "text", "start_char", "end_char", "kinds", F.col("why").isNotNull().alias("grounded"),
-        F.coalesce("why", F.lit("no source signal near the claim")).alias("reason"),
-    )
+
+def claims_of(block: Column) -> Column:
+    """Claims of a block with grounded and reason: own source signal, else the preceding, else the following sentence."""
+
+    def judged(found: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            near = lambda j, words: F.concat(F.lit(words), T.source_signal(F.get(found, j)["text"]))
+            return F.struct(s.alias("s"), T.claim_kinds(s["text"]).alias("kinds"), i.alias("i"), near(i, "").alias("own"), near(i - 1, "preceding sentence ").alias("before"), near(i + 1, "following sentence ").alias("after"))
+
+        # Signals are looked for only beside claims.
+        some = F.filter(F.transform(found, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: (F.size(T.claim_kinds(x["s"]["text"])) > 0) & ~T.self_reported(x["s"]["text"]))
+        each = F.transform(some, lambda x: one(x["s"], x["i"]))
+        why = lambda c: F.coalesce(c["own"], c["before"], c["after"])
+        return F.transform(each, lambda c: let(why(c), lambda w: F.struct(
+            block["block_index"].alias("block_index"), c["s"]["sent_index"].alias("sent_index"), c["s"]["text"].alias("text"), c["s"]["start_char"].alias("start_char"), c["s"]["end_char"].alias("end_char"),
+            c["kinds"].alias("kinds"), w.isNotNull().alias("grounded"), F.coalesce(w, F.lit("no source signal near the claim")).alias("reason"),
+        )))
+
+    return let(structure.sentences_of(block["text"], block["start_char"]), judged)
+
+
+def grounding(prose_rows: DataFrame) -> DataFrame:
+    """doc_id and CLAIM of prose blocks."""
+    block = F.struct("block_index", "text", "start_char")
+    return structure.rows(prose_rows, claims_of(block), "doc_id")
 
 
 def grounding_gap(claims: DataFrame, docs: DataFrame, keys: list[str], min_claims: int = 3) -> DataFrame:
@@ -32,21 +46,37 @@ def grounding_gap(claims: DataFrame, docs: DataFrame, keys: list[str], min_claim
     return every.select(*keys, "total", "ungrounded", F.when(F.col("total") == 0, 0.0).otherwise(F.col("ungrounded") / F.col("total")).alias("gap"), (F.col("total") < min_claims).alias("low_reliability"))
 
 
-def density(prose_rows: DataFrame, options: Options | None = None) -> DataFrame:
-    """Per prose block: heading_overlap, prev_overlap, novel_ratio, filler_hits, flagged, fact_override.
-
-    novel_ratio is the share of the block's distinct tokens that no earlier prose block of the document has."""
-    o = options or Options()
-    order = Window.partitionBy("doc_id").orderBy("block_index")
-    sets = prose_rows.select("doc_id", "block_index", "start_line", "end_line", "start_char", "end_char", "text", F.array_distinct(T.tokens(F.col("text"))).alias("own"), F.array_distinct(T.tokens(F.coalesce("heading", F.lit("")))).alias("head"))
-    first = F.min("block_index").over(Window.partitionBy("doc_id", "token"))
-    novel = sets.select("doc_id", "block_index", F.explode("own").alias("token")).withColumn("first", first).groupBy("doc_id", "block_index").agg(F.avg((F.col("first") == F.col("block_index")).cast("double")).alias("novel_ratio"))
-    near = sets.withColumn("before", F.lag("own").over(order)).join(novel, ["doc_id", "block_index"], "left")
-    scored = near.select(
-        "doc_id", "block_index", "start_line", "end_line", "start_char", "end_char", "text", T.jaccard(F.col("own"), F.col("head")).alias("heading_overlap"), T.jaccard(F.col("own"), F.col("before")).alias("prev_overlap"),
-        F.coalesce("novel_ratio", F.lit(0.0)).alias("novel_ratio"), T.filler_hits(F.col("text"), o.filler).alias("filler_hits"),
-    )
-    restates = (F.greatest("heading_overlap", "prev_overlap") >= o.high_overlap) & (F.col("novel_ratio") <= o.low_novelty)
-    padded = restates | (F.size("filler_hits") >= o.min_filler_hits)
-    fact = padded & T.concrete_fact(F.col("text"))
-    return scored.withColumn("fact_override", fact).withColumn("flagged", padded & ~F.col("fact_override"))
+def density_of(prose: Column, options: Options) -> Column:
+    """Of a document's prose blocks: where they are, heading_overlap, prev_overlap, novel_ratio, filler_hits, flagged,
+    fact_override. novel_ratio is the share of a block's distinct tokens that no earlier prose block has."""
+    o = options
+    words = lambda t: F.array_distinct(T.tokens(t))
+    sets = F.transform(prose, lambda b: F.struct(b.alias("b"), words(b["text"]).alias("own"), words(F.coalesce(b["heading"], F.lit(""))).alias("head"), T.filler_hits(b["text"], o.filler).alias("hits")))
+
+    def scored(s: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<double>").alias("out"))
+        new = lambda a, x: F.when(F.size(x["own"]) == 0, 0.0).otherwise(F.size(F.array_except(x["own"], a["seen"])) / F.size(x["own"]))
+        novel = F.aggregate(s, start, lambda a, x: F.struct(F.array_union(a["seen"], x["own"]).alias("seen"), F.concat(a["out"], F.array(new(a, x))).alias("out")), lambda a: a["out"])
+
+        def one(x: Column, i: Column, ratio: Column) -> Column:
+            heading, before = T.jaccard(x["own"], x["head"]), T.jaccard(x["own"], F.get(s, i - 1)["own"])
+
+            def flags(h: Column) -> Column:
+                restates = (F.greatest(h["heading"], h["before"]) >= o.high_overlap) & (ratio <= o.low_novelty)
+                padded = restates | (F.size(x["hits"]) >= o.min_filler_hits)
+                return let(F.struct(padded.alias("padded"), (padded & T.concrete_fact(x["b"]["text"])).alias("fact")), lambda f: F.struct(
+                    *[x["b"][c].alias(c) for c in ("block_index", "start_line", "end_line", "start_char", "end_char", "text")], h["heading"].alias("heading_overlap"), h["before"].alias("prev_overlap"),
+                    ratio.alias("novel_ratio"), x["hits"].alias("filler_hits"), f["fact"].alias("fact_override"), (f["padded"] & ~f["fact"]).alias("flagged"),
+                ))
+
+            return let(F.struct(heading.alias("heading"), before.alias("before")), flags)
+
+        return let(novel, lambda n: F.transform(s, lambda x, i: one(x, i, F.get(n, i))))
+
+    return let(sets, scored)
+
+
+def density(docs: DataFrame, options: Options | None = None) -> DataFrame:
+    """doc_id and `density_of` of documents, a row for each prose block."""
+    found = docs.select("doc_id", F.filter(structure.blocks_of(F.col("text")), lambda b: b["is_prose"]).alias("prose"))
+    return structure.rows(found, density_of(F.col("prose"), options or Options()), "doc_id")

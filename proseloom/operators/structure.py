@@ -1,43 +1,128 @@
-"""Blocks, sentences, citations and DOIs of documents (doc_id, text). Offsets count code points. Null texts have none."""
+"""Blocks, sentences, citations and DOIs of documents (doc_id, text). Offsets count code points. Null texts have none.
+
+Nothing here looks beyond its own row: each function of a Column turns a text into an array of structs, with running
+offsets by ``aggregate``, and the relations below explode those arrays. So documents are parsed where they are read,
+without a shuffle, and rows with equal or null ids stay apart."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proseloom.functions import patterns as P
 from proseloom.functions import text as T
 
+BLOCK = "block_index int, kind string, start_line int, end_line int, start_char int, end_char int, text string, heading_level int, heading string, is_prose boolean"
+SENTENCE = "sent_index int, text string, start_char int, end_char int"
+SPAN = "value string, start_char int, end_char int"
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, block_index, kind, start_line, end_line, start_char, end_char, text, heading_level, heading, is_prose."""
-    body = F.regexp_replace("text", "^﻿", "")
-    pieces = docs.select("doc_id", F.posexplode(F.regexp_extract_all(body, F.lit(P.PIECES), 0)).alias("pos", "piece"))
-    lines = F.length("piece") - F.length(F.replace("piece", F.lit("\n"), F.lit("")))
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.select(
-        "doc_id", "pos", "piece",
-        F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("int").alias("start_char"),
-        (F.coalesce(F.sum(lines).over(before), F.lit(0)) + 1).cast("int").alias("start_line"),
-    ).where(F.col("piece").rlike(r"(?U)\S"))
-    flat = F.regexp_replace("piece", r"(?U)^\s+", "")
-    kind = (
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def feeds(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def _none(schema: str) -> Column:
+    return F.array().cast(f"array<struct<{', '.join(c.replace(' ', ': ', 1) for c in schema.split(', '))}>>")
+
+
+def _running(items: Column, schema: str, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The structs that ``step`` appends to ``out`` while it goes over the items."""
+    return F.aggregate(items, F.struct(*start, _none(schema).alias("out")), step, lambda s: s["out"])
+
+
+def _kind(flat: Column) -> Column:
+    return (
         F.when(flat.rlike("^(```|~~~)"), "CodeFence").when(flat.rlike(r"^#{1,6}( |\s*$)"), "Heading").when(flat.startswith(">"), "BlockQuote")
         .when(flat.rlike(r"^([-*+] |\d+[.)] )"), "ListItem").otherwise("Paragraph")
     )
-    # No phantom last line in an open fence; one carriage return before the line end is not text.
-    kept = placed.withColumn("kind", kind).withColumn("text", F.regexp_replace(F.when(F.col("kind") == "CodeFence", F.regexp_replace("piece", r"\n\z", "")).otherwise(F.col("piece")), r"\r\z", ""))
-    title = F.when(F.col("kind") == "Heading", T.trimmed(F.regexp_replace(F.regexp_replace("text", r"(?U)^\s+", ""), "^#+", "")))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    prose = F.col("kind").isin("Paragraph", "ListItem")
-    above = F.last(title, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    inner = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    return kept.select(
-        "doc_id", (F.row_number().over(order) - 1).alias("block_index"), "kind", "start_line", (F.col("start_line") + inner).cast("int").alias("end_line"),
-        "start_char", (F.col("start_char") + F.length("text")).cast("int").alias("end_char"), "text",
-        F.when(F.col("kind") == "Heading", F.length(F.regexp_extract("text", r"(?U)^\s*(#+)", 1))).otherwise(0).alias("heading_level"),
-        F.when(prose | (F.col("kind") == "BlockQuote"), above).alias("heading"), prose.alias("is_prose"),
-    )
+
+
+def _piece(p: Column) -> Column:
+    """A piece of the text as kind (null: blank), length, line feeds, block text, heading level and title."""
+
+    def shaped(flat: Column) -> Column:
+        kind = F.when(flat != "", _kind(flat))
+        return let(kind, lambda k: F.struct(
+            F.length(p).alias("size"), feeds(p).alias("lines"), k.alias("kind"),
+            # No phantom last line in an open fence; one carriage return before the line end is not text.
+            F.when(k.isNotNull(), F.regexp_replace(F.when(k == "CodeFence", F.regexp_replace(p, r"\n\z", "")).otherwise(p), r"\r\z", "")).alias("text"),
+            F.when(k == "Heading", F.length(F.regexp_extract(flat, "^#+", 0))).otherwise(0).alias("level"),
+            F.when(k == "Heading", T.trimmed(F.regexp_replace(flat, "^#+", ""))).alias("title"),
+        ))
+
+    return let(F.regexp_replace(p, r"(?U)^\s+", ""), shaped)
+
+
+def blocks_of(text: Column) -> Column:
+    """array<struct<BLOCK>> of a text."""
+    pieces = F.transform(F.regexp_extract_all(F.regexp_replace(text, "^﻿", ""), F.lit(P.PIECES), 0), _piece)
+    start = [F.lit(0).alias("char"), F.lit(1).alias("line"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("above")]
+
+    def step(s: Column, p: Column) -> Column:
+        prose = p["kind"].isin("Paragraph", "ListItem")
+        block = F.struct(
+            s["n"].alias("block_index"), p["kind"].alias("kind"), s["line"].alias("start_line"), (s["line"] + feeds(p["text"])).alias("end_line"), s["char"].alias("start_char"),
+            (s["char"] + F.length(p["text"])).alias("end_char"), p["text"].alias("text"), p["level"].alias("heading_level"), F.when(prose | (p["kind"] == "BlockQuote"), s["above"]).alias("heading"), prose.alias("is_prose"),
+        )
+        some = p["kind"].isNotNull()
+        return F.struct(
+            (s["char"] + p["size"]).alias("char"), (s["line"] + p["lines"]).alias("line"), (s["n"] + some.cast("int")).alias("n"),
+            F.when(p["kind"] == "Heading", p["title"]).otherwise(s["above"]).alias("above"), F.when(some, F.concat(s["out"], F.array(block))).otherwise(s["out"]).alias("out"),
+        )
+
+    return _running(pieces, BLOCK, start, step)
+
+
+def sentences_of(text: Column, base: Column) -> Column:
+    """array<struct<SENTENCE>> of a block that starts at ``base``."""
+    raw = F.regexp_extract_all(text, F.lit(P.SENTENCES), 0)
+    shaped = F.transform(raw, lambda r: F.struct(F.length(r).alias("size"), F.length(F.regexp_extract(r, r"(?U)^\s*", 0)).alias("lead"), T.trimmed(r).alias("text")))
+
+    def step(s: Column, r: Column) -> Column:
+        at = s["char"] + r["lead"]
+        sentence = F.struct(s["n"].alias("sent_index"), r["text"].alias("text"), at.alias("start_char"), (at + F.length(r["text"])).alias("end_char"))
+        some = r["text"] != ""
+        return F.struct((s["char"] + r["size"]).alias("char"), (s["n"] + some.cast("int")).alias("n"), F.when(some, F.concat(s["out"], F.array(sentence))).otherwise(s["out"]).alias("out"))
+
+    return _running(shaped, SENTENCE, [base.cast("int").alias("char"), F.lit(0).alias("n")], step)
+
+
+def spans_of(text: Column, base: Column, pattern: str, group: int, trim: str) -> Column:
+    """array<struct<SPAN>> of the matches in a block: each is taken with the gap before it."""
+    gap = pattern.replace("(?Ui)", "(?sUi)(.*?)(", 1) + ")"
+    part = lambda g: F.regexp_extract_all(text, F.lit(gap), g)
+    found = F.arrays_zip(part(1).alias("gap"), part(2).alias("all"), part(group + 2).alias("value"))
+
+    def step(s: Column, m: Column) -> Column:
+        cut = F.rtrim(m["value"], F.lit(trim))
+        at = s["char"] + F.length(m["gap"])
+        end = at + F.length(m["all"])
+        span = F.struct(cut.alias("value"), at.alias("start_char"), (end - F.length(m["value"]) + F.length(cut)).alias("end_char"))
+        return F.struct(end.alias("char"), F.concat(s["out"], F.array(span)).alias("out"))
+
+    return _running(found, SPAN, [base.cast("int").alias("char")], step)
+
+
+def line_of(text: Column, offset: Column) -> Column:
+    """1 + line feeds before an offset of a text."""
+    return 1 + feeds(F.substring(text, F.lit(1), offset))
+
+
+def rows(df: DataFrame, column: Column, *keep: str) -> DataFrame:
+    """The structs of an array column as rows, after the columns to keep."""
+    return df.select(*keep, F.explode(column).alias("one_")).select(*keep, "one_.*")
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """doc_id, block_index, kind, start_line, end_line, start_char, end_char, text, heading_level, heading, is_prose."""
+    return rows(docs, blocks_of(F.col("text")), "doc_id")
 
 
 def prose(block_rows: DataFrame) -> DataFrame:
@@ -46,45 +131,30 @@ def prose(block_rows: DataFrame) -> DataFrame:
 
 def sentences(block_rows: DataFrame) -> DataFrame:
     """Of the given blocks: doc_id, block_index, sent_index, text, start_char, end_char (in the document)."""
-    found = block_rows.select("doc_id", "block_index", F.col("start_char").alias("base"), F.posexplode(F.regexp_extract_all("text", F.lit(P.SENTENCES), 0)).alias("pos", "raw"))
-    order = Window.partitionBy("doc_id", "block_index").orderBy("pos")
-    at = F.coalesce(F.sum(F.length("raw")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lead = F.length(F.regexp_extract("raw", r"(?U)^\s*", 0))
-    spanned = found.select("doc_id", "block_index", "pos", T.trimmed(F.col("raw")).alias("text"), (F.col("base") + at + lead).cast("int").alias("start_char")).where("text <> ''")
-    return spanned.select("doc_id", "block_index", (F.row_number().over(order) - 1).alias("sent_index"), "text", "start_char", (F.col("start_char") + F.length("text")).cast("int").alias("end_char"))
+    return rows(block_rows, sentences_of(F.col("text"), F.col("start_char")), "doc_id", "block_index")
 
 
-def line_of(text, offset):
-    """1 + line feeds before an offset of a text."""
-    left = F.substring(text, F.lit(1), offset)
-    return 1 + F.length(left) - F.length(F.replace(left, F.lit("\n"), F.lit("")))
-
-
-def _found(block_rows: DataFrame, pattern: str, group: int, trim: str) -> DataFrame:
-    """Matches in the blocks that are no fences, with offsets: each match is taken with the gap before it."""
-    gap = pattern.replace("(?Ui)", "(?sUi)(.*?)(", 1) + ")"
-    texts = block_rows.where("kind <> 'CodeFence'")
-    every = texts.select(
-        "doc_id", "block_index", F.col("start_char").alias("base"),
-        F.posexplode(F.arrays_zip(F.regexp_extract_all("text", F.lit(gap), 1).alias("gap"), F.regexp_extract_all("text", F.lit(gap), 2).alias("all"), F.regexp_extract_all("text", F.lit(gap), group + 2).alias("value"))).alias("pos", "m"),
-    )
-    order = Window.partitionBy("doc_id", "block_index").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.length("m.gap") + F.length("m.all")).over(order), F.lit(0)) + F.length("m.gap")
-    cut = F.rtrim(F.col("m.value"), F.lit(trim))
-    return every.select("doc_id", "block_index", cut.alias("value"), (F.col("base") + at).cast("int").alias("start_char"), (F.col("base") + at + F.length("m.all") - F.length("m.value") + F.length(cut)).cast("int").alias("end_char"))
+def _found(block_rows: DataFrame, name: str, pattern: str, group: int, trim: str) -> DataFrame:
+    found = spans_of(F.col("text"), F.col("start_char"), pattern, group, trim)
+    return rows(block_rows.where("kind <> 'CodeFence'"), found, "doc_id", "block_index").withColumnRenamed("value", name)
 
 
 def citations(block_rows: DataFrame) -> DataFrame:
     """doc_id, block_index, url, start_char, end_char; repeats kept."""
-    return _found(block_rows, P.URL, 0, ".,;:!?'\"").withColumnRenamed("value", "url")
+    return _found(block_rows, "url", P.URL, 0, ".,;:!?'\"")
 
 
 def dois(block_rows: DataFrame) -> DataFrame:
     """doc_id, block_index, doi (lower-cased), start_char, end_char; the span includes a resolver or doi: prefix."""
-    return _found(block_rows, P.DOI, 1, ".,;:!?'\")]}").select("doc_id", "block_index", F.lower("value").alias("doi"), "start_char", "end_char")
+    return _found(block_rows, "doi", P.DOI, 1, ".,;:!?'\")]}").withColumn("doi", F.lower("doi"))
+
+
+def distinct_dois_of(blocks_: Column) -> Column:
+    """array<struct<doi, place>> of a document's blocks: each once, in order of first appearance."""
+    each = F.flatten(F.transform(F.filter(blocks_, lambda b: b["kind"] != "CodeFence"), lambda b: F.transform(spans_of(b["text"], b["start_char"], P.DOI, 1, ".,;:!?'\")]}"), lambda s: F.lower(s["value"]))))
+    return F.transform(F.array_distinct(each), lambda d, i: F.struct(d.alias("doi"), (i + 1).alias("place")))
 
 
-def distinct_dois(doi_rows: DataFrame) -> DataFrame:
-    """doc_id, doi, place: each once, in order of first appearance."""
-    first = doi_rows.groupBy("doc_id", "doi").agg(F.min("start_char").alias("first"))
-    return first.select("doc_id", "doi", F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "doi")).alias("place"))
+def distinct_dois(docs: DataFrame) -> DataFrame:
+    """doc_id, doi, place of documents."""
+    return rows(docs, distinct_dois_of(blocks_of(F.col("text"))), "doc_id")

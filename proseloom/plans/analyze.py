@@ -1,57 +1,90 @@
-"""The flagship plan: documents to findings, score and band; reports; evaluation against labels."""
+"""The flagship plan: documents to findings, score and band; reports; evaluation against labels.
+
+A document's blocks, claims and densities are arrays of its own row, parsed once; relations are exploded from them and
+scores are computed beside them. Nothing is shuffled before labels are joined."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proseloom.functions import text as T
 from proseloom.functions.patterns import RULES, Options
 from proseloom.operators import scoring, structure
 
-FINDING = ["doc_id", "rule_id", "severity", "block_index", "start_line", "end_line", "start_char", "end_char", "message"]
+FINDING = ["rule_id", "severity", "block_index", "start_line", "end_line", "start_char", "end_char", "message"]
+
+
+def _bare(blocks: Column) -> Column:
+    """Ungrounded claims of prose blocks as findings."""
+
+    def one(b: Column, c: Column) -> Column:
+        line = lambda at: (b["start_line"] - 1 + structure.line_of(b["text"], c[at] - b["start_char"])).cast("int")
+        return F.struct(
+            F.lit("GROUND001").alias("rule_id"), F.lit("Warning").alias("severity"), b["block_index"].alias("block_index"), line("start_char").alias("start_line"), line("end_char").alias("end_line"),
+            c["start_char"].alias("start_char"), c["end_char"].alias("end_char"), F.concat(F.lit("specific claim: "), c["reason"]).alias("message"),
+        )
+
+    return F.flatten(F.transform(blocks, lambda b: F.transform(F.filter(b["claims"], lambda c: ~c["grounded"]), lambda c: one(b, c))))
+
+
+def _padded(density: Column) -> Column:
+    """Flagged blocks as findings."""
+
+    def one(d: Column) -> Column:
+        hits = F.size(d["filler_hits"]) > 0
+        return F.struct(
+            F.when(hits, "FILLER001").otherwise("DENSITY001").alias("rule_id"), F.lit("Info").alias("severity"), *[d[c].alias(c) for c in ("block_index", "start_line", "end_line", "start_char", "end_char")],
+            F.when(hits, F.concat(F.lit("filler phrasing: "), F.array_join(d["filler_hits"], ", "))).otherwise("restates prior content with little novel detail").alias("message"),
+        )
+
+    return F.transform(F.filter(density, lambda d: d["flagged"]), one)
+
+
+def _share(part: Column, whole: Column) -> Column:
+    return F.when(F.size(whole) == 0, 0.0).otherwise(F.size(part) / F.size(whole))
 
 
 class Analysis:
-    """The relations of one collection of documents (doc_id, text), all lazy and derived from one parse."""
+    """The relations of one collection of documents (doc_id, text), all lazy and derived from one parse. A null text has
+    no blocks and scores 0; rows with equal or null ids are documents of their own."""
 
     def __init__(self, docs: DataFrame, options: Options | None = None):
-        self.docs, self.options = docs, options or Options()
-        self.blocks = structure.blocks(docs)
-        self.prose = structure.prose(self.blocks)
+        o = self.options = options or Options()
+        self.docs = docs
+        self.parsed = docs.select("doc_id", F.coalesce(structure.blocks_of(F.col("text")), structure._none(structure.BLOCK)).alias("blocks"))
+        judged = lambda b: F.struct(*[b[c].alias(c) for c in ("block_index", "start_line", "end_line", "start_char", "end_char", "text", "heading")], scoring.claims_of(b).alias("claims"))
+        self.prosed = self.parsed.select("doc_id", F.filter("blocks", lambda b: b["is_prose"]).alias("prose"))
+        self.judged = self.prosed.select("doc_id", F.transform("prose", judged).alias("prose"), scoring.density_of(F.col("prose"), o).alias("density"))
+        self.blocks = structure.rows(self.parsed, F.col("blocks"), "doc_id")
+        self.prose = structure.rows(self.prosed, F.col("prose"), "doc_id")
         self.sentences = structure.sentences(self.prose)
-        self.claims = scoring.grounding(self.sentences)
-        self.density = scoring.density(self.prose, self.options)
+        self.claims = structure.rows(self.prosed.select("doc_id", F.flatten(F.transform("prose", scoring.claims_of)).alias("claims")), F.col("claims"), "doc_id")
+        self.density = structure.rows(self.prosed.select("doc_id", scoring.density_of(F.col("prose"), o).alias("density")), F.col("density"), "doc_id")
+
+    def summary(self) -> DataFrame:
+        """doc_id, gap, rate, score, band, findings (sorted by block, start, rule); documents without prose score 0."""
+        o = self.options
+        claims = F.flatten(F.transform("prose", lambda b: b["claims"]))
+        keyed = F.transform(F.concat(_bare(F.col("prose")), _padded(F.col("density"))), lambda f: F.struct(*[f[c].alias(c) for c in ("block_index", "start_char", "rule_id", "severity", "start_line", "end_line", "end_char", "message")]))
+        both = self.judged.select(
+            "doc_id", _share(F.filter(claims, lambda c: ~c["grounded"]), claims).alias("gap"), _share(F.filter("density", lambda d: d["flagged"]), F.col("density")).alias("rate"), F.array_sort(keyed).alias("findings"),
+        )
+        score = F.lit(o.grounding_weight) * F.col("gap") + F.lit(o.density_weight) * F.col("rate")
+        return both.withColumn("score", score).withColumn("band", T.band(F.col("score"), o)).select("doc_id", "gap", "rate", "score", "band", "findings")
 
     def findings(self) -> DataFrame:
         """Ungrounded claims (Warning) and flagged blocks (Info), one row each."""
-        lines = self.prose.select("doc_id", "block_index", F.col("start_line").alias("top"), F.col("start_char").alias("base"), F.col("text").alias("block"))
-        bare = self.claims.where("not grounded").join(lines, ["doc_id", "block_index"])
-        first = F.col("top") - 1 + structure.line_of(F.col("block"), F.col("start_char") - F.col("base"))
-        last = F.col("top") - 1 + structure.line_of(F.col("block"), F.col("end_char") - F.col("base"))
-        one = bare.select("doc_id", F.lit("GROUND001").alias("rule_id"), F.lit("Warning").alias("severity"), "block_index", first.cast("int").alias("start_line"), last.cast("int").alias("end_line"), "start_char", "end_char", F.concat(F.lit("specific claim: "), F.col("reason")).alias("message"))
-        hits = F.size("filler_hits") > 0
-        two = self.density.where("flagged").select(
-            "doc_id", F.when(hits, "FILLER001").otherwise("DENSITY001").alias("rule_id"), F.lit("Info").alias("severity"), "block_index", "start_line", "end_line", "start_char", "end_char",
-            F.when(hits, F.concat(F.lit("filler phrasing: "), F.array_join("filler_hits", ", "))).otherwise("restates prior content with little novel detail").alias("message"),
-        )
-        return one.unionByName(two).select(*FINDING)
+        return structure.rows(self.judged, F.concat(_bare(F.col("prose")), _padded(F.col("density"))), "doc_id").select("doc_id", *FINDING)
 
     def scores(self) -> DataFrame:
-        """doc_id, gap, rate, score, band; documents without prose score 0."""
-        gap = self.claims.groupBy("doc_id").agg(F.avg((~F.col("grounded")).cast("double")).alias("gap"))
-        rate = self.density.groupBy("doc_id").agg(F.avg(F.col("flagged").cast("double")).alias("rate"))
-        both = self.docs.select("doc_id").join(gap, "doc_id", "left").join(rate, "doc_id", "left").fillna(0.0, ["gap", "rate"])
-        score = F.lit(self.options.grounding_weight) * F.col("gap") + F.lit(self.options.density_weight) * F.col("rate")
-        return both.withColumn("score", score).withColumn("band", T.band(F.col("score"), self.options))
+        """doc_id, gap, rate, score, band."""
+        return self.summary().drop("findings")
 
     def reports(self) -> DataFrame:
         """doc_id, score, band, findings (sorted by block, start, rule), report (text), json."""
-        each = F.struct("block_index", "start_char", "rule_id", "severity", "start_line", "end_line", "end_char", "message")
-        listed = self.findings().groupBy("doc_id").agg(F.array_sort(F.collect_list(each)).alias("findings"))
-        empty = F.array().cast(listed.schema["findings"].dataType)
-        full = self.scores().join(listed, "doc_id", "left").withColumn("findings", F.coalesce("findings", empty))
-        name = F.col("doc_id").cast("string")
+        full = self.summary()
+        name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
         line = lambda f: F.concat(F.lit("    "), name, F.lit(":"), f["start_line"], F.lit("  "), F.lower(f["severity"]), F.lit("  "), f["rule_id"], F.lit("  "), f["message"], F.lit("\n"))
         body = F.transform("findings", lambda f, i: F.concat(F.when((i == 0) | (F.get("findings", i - 1)["block_index"] != f["block_index"]), F.concat(F.lit("  block "), f["block_index"], F.lit("\n"))).otherwise(""), line(f)))
         text = F.concat(
@@ -62,15 +95,18 @@ class Analysis:
         return full.select("doc_id", "score", "band", "findings", text.alias("report"), F.to_json(F.struct("score", "band", camel.alias("findings"))).alias("json"))
 
 
-def outcomes(cases: DataFrame, scores: DataFrame, fired: DataFrame) -> DataFrame:
-    """cases (file, band, rules, known_gap, known_false_positives) against scores (file, band, score) and fired rules
-    (file, rule_id): band_matched, false_positives, missed, regressed."""
-    rules = fired.groupBy("file").agg(F.collect_set("rule_id").alias("fired"))
-    both = cases.join(scores.select("file", F.col("band").alias("actual"), "score"), "file").join(rules, "file", "left")
+def outcomes(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """cases (file, band, rules, known_gap, known_false_positives) against results (file, band, score, fired):
+    band_matched, false_positives, missed, regressed. A case without a result, or a result without a case, raises when
+    the rows are read. Both are one row a file; a null file is a file of its own name."""
     none = F.array().cast("array<string>")
-    both = both.withColumn("fired", F.coalesce("fired", none)).withColumn("known", F.coalesce("known_false_positives", none))
+    own = results.select(F.col("file").alias("of"), F.col("band").alias("actual"), "score", F.array_distinct("fired").alias("fired"), F.lit(True).alias("scored"))
+    both = cases.withColumn("labelled", F.lit(True)).join(own, F.col("file").eqNullSafe(F.col("of")), "full")
+    alone = F.when(F.col("scored").isNull(), F.raise_error(F.concat(F.lit("no result for the case "), F.coalesce("file", F.lit("null"))))).when(F.col("labelled").isNull(), F.raise_error(F.concat(F.lit("no case for the result "), F.coalesce(F.col("of").cast("string"), F.lit("null")))))
+    both = both.withColumn("file", F.coalesce(alone.cast(cases.schema["file"].dataType), "file")).withColumn("fired", F.coalesce("fired", none)).withColumn("rules", F.coalesce("rules", none)).withColumn("known", F.coalesce("known_false_positives", none))
+    place = ["position"] if "position" in cases.columns else []
     out = both.select(
-        "file", "band", "actual", "score", "rules", "fired", "known_gap", "known", (F.col("band") == F.col("actual")).alias("band_matched"),
+        *place, "file", "band", "actual", "score", "rules", "fired", "known_gap", "known", (F.col("band") == F.col("actual")).alias("band_matched"),
         F.array_sort(F.array_except("fired", "rules")).alias("false_positives"), F.array_sort(F.array_except("rules", "fired")).alias("missed"),
     )
     unexpected = F.size(F.array_except("false_positives", "known")) > 0
@@ -89,3 +125,34 @@ def evaluation(results: DataFrame) -> DataFrame:
     m = m.withColumn("f1", F.when(s == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / s))
     c = results.agg(count(F.col("band_matched")).alias("bands_matched"), count(F.col("known_gap").isNotNull()).alias("known_gaps"), count(F.col("regressed")).alias("regressions"), F.count("*").alias("cases"))
     return m.crossJoin(c)  # one row each
+
+
+def fired(summary: DataFrame) -> DataFrame:
+    """file, band, score, fired of `Analysis.summary`: what `outcomes` takes as results."""
+    return summary.select(F.col("doc_id").alias("file"), "band", "score", F.array_distinct(F.transform("findings", lambda f: f["rule_id"])).alias("fired"))
+
+
+def bench_report(results: DataFrame) -> str:
+    """The evaluation as text: ratios, bands, known gaps, regressions. Reads one row of totals, and of the labelled
+    cases those that are gaps or regressions."""
+    e = evaluation(results).first()
+    told = results.where("known_gap is not null or regressed").orderBy(*(["position"] if "position" in results.columns else []), "file").collect()
+    share = lambda x: f"{x * 100:5.1f}%"
+    said = lambda r: f"labeled {r['band']}, scored {r['actual']} ({r['score']:.2f})"
+    lines = [
+        f"corpus: {e['cases']} cases, {len(RULES)} rules", "", f"  precision  {share(e['precision'])}   ({e['tp']} hit, {e['fp']} false)", f"  recall     {share(e['recall'])}   ({e['fn']} missed)",
+        f"  fp rate    {share(e['fpr'])}   (of {e['fp'] + e['tn']} that should stay quiet)", f"  f1         {share(e['f1'])}", f"  bands      {e['bands_matched']}/{e['cases']}",
+    ]
+    gaps, bad = [r for r in told if r["known_gap"] is not None], [r for r in told if r["regressed"]]
+    if gaps:
+        lines += ["", "known gaps (not counted against the run)", *[f"  {r['file']}  {said(r)}" for r in gaps]]
+    lines += ["", f"{len(bad)} regression(s)" if bad else "no regressions"]
+    for r in bad:
+        lines.append(f"  {r['file']}")
+        if not r["band_matched"] and r["known_gap"] is None:
+            lines.append(f"    band      {said(r)}")
+        if r["false_positives"]:
+            lines.append(f"    fired     {', '.join(r['false_positives'])} - not labeled")
+        if r["missed"]:
+            lines.append(f"    silent    {', '.join(r['missed'])} - labeled but never fired")
+    return "\n".join(lines) + "\n"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from proseloom.functions import patterns as P
 from proseloom.functions import text as T
 from proseloom.operators import scoring, structure
-from proseloom.plans.analyze import Analysis, evaluation, outcomes
+from proseloom.plans.analyze import Analysis, evaluation, fired, outcomes
 
 _PARTS = {
     "title": "'Order ' || CAST(k AS STRING) || ' notes'",
@@ -190,15 +190,14 @@ def dois(spark, sf_dir):
 
 @query("SELECT k AS doc_id, '10.1234/ab' || (k % 5) AS doi, 1 AS place FROM cuts WHERE s2 LIKE 'It was noted%'")
 def doi_distinct(spark, sf_dir):
-    return structure.distinct_dois(structure.dois(structure.blocks(notes(spark, sf_dir))))
+    return structure.distinct_dois(notes(spark, sf_dir))
 
 
 def _results(spark, sf_dir) -> DataFrame:
-    a = Analysis(notes(spark, sf_dir))
-    scores = a.scores().withColumnRenamed("doc_id", "file")
+    scores = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("file"))
     rule = F.when(F.col("file") % 4 == 0, F.array(F.lit("GROUND001"))).when(F.col("file") % 4 == 1, F.array(F.lit("FILLER001"))).otherwise(F.array().cast("array<string>"))
     cases = scores.select("file", F.element_at(F.array(F.lit("Clean"), F.lit("Watch"), F.lit("Slop")), (F.col("file") % 3 + 1).cast("int")).alias("band"), rule.alias("rules"), F.lit(None).cast("string").alias("known_gap"), F.lit(None).cast("array<string>").alias("known_false_positives"))
-    return outcomes(cases, scores, a.findings().select(F.col("doc_id").alias("file"), "rule_id"))
+    return outcomes(cases, fired(Analysis(notes(spark, sf_dir)).summary()))
 
 
 @query("""SELECT tp, fp, fn, tn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(fp / (fp + tn), 6) AS fpr, (SELECT count(*) FROM cases JOIN banded USING (doc_id) WHERE want_band = band) AS bands_matched

@@ -108,7 +108,7 @@ def test_small_predicates(spark):
 
 def test_grounding(spark):
     text = "We grew 5%. See https://a.b/c now.\n\nIt cost 7 units. Fine.\n\n- item 3"
-    rows = scoring.grounding(structure.sentences(structure.prose(structure.blocks(docs(spark, text))))).orderBy("block_index").collect()
+    rows = scoring.grounding(structure.prose(structure.blocks(docs(spark, text)))).orderBy("block_index").collect()
     assert [(r.block_index, r.grounded, r.reason) for r in rows] == [(0, True, "following sentence carries a link or URL"), (1, False, "no source signal near the claim"), (2, False, "no source signal near the claim")]
     gap = scoring.grounding_gap(spark.createDataFrame(rows), docs(spark, text, "x"), ["doc_id"]).orderBy("doc_id").collect()
     assert [(g.total, g.ungrounded, round(g.gap, 4), g.low_reliability) for g in gap] == [(3, 2, 0.6667, False), (0, 0, 0.0, True)]
@@ -133,7 +133,7 @@ def test_citations_and_dois(spark):
     assert all(text[c.start_char : c.end_char] == c.url for c in cites)
     found = structure.dois(b)
     assert [(d.doi, text[d.start_char : d.end_char]) for d in found.orderBy("start_char").collect()] == [("10.1234/ab.c", "doi:10.1234/AB.c"), ("10.1234/ab.c", "https://doi.org/10.1234/ab.C")]
-    assert [(d.doi, d.place) for d in structure.distinct_dois(found).collect()] == [("10.1234/ab.c", 1)]
+    assert [(d.doi, d.place) for d in structure.distinct_dois(docs(spark, text)).collect()] == [("10.1234/ab.c", 1)]
 
 
 @pytest.mark.parametrize(
@@ -179,9 +179,8 @@ def test_options(spark):
 def test_evaluation_and_manifest(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"cases": [{"file": "a", "band": "Slop", "rules": ["GROUND001"]}, {"file": "b", "knownGap": "later", "rules": []}, {"file": "c", "band": "Watch"}]}')
     cases = files.read_manifest(spark, str(tmp_path / "m.json"))
-    scores = spark.createDataFrame([("a", "Slop", 0.6), ("b", "Watch", 0.2), ("c", "Clean", 0.0)], "file string, band string, score double")
-    fired = spark.createDataFrame([("a", "GROUND001"), ("a", "FILLER001")], "file string, rule_id string")
-    r = outcomes(cases, scores, fired)
+    results = spark.createDataFrame([("a", "Slop", 0.6, ["GROUND001", "FILLER001"]), ("b", "Watch", 0.2, []), ("c", "Clean", 0.0, [])], "file string, band string, score double, fired array<string>")
+    r = outcomes(cases, results)
     assert {x.file: x.regressed for x in r.collect()} == {"a": True, "b": False, "c": True}
     e = evaluation(r).first()
     assert (e.tp, e.fp, e.fn, e.tn, e.precision, e.recall, e.bands_matched, e.known_gaps, e.regressions) == (1, 1, 0, 7, 0.5, 1.0, 1, 1, 2)

@@ -118,14 +118,14 @@ class Sets:
             whose.append(np.repeat(n, size)[pick])
         return np.concatenate(out), np.concatenate(whose)
 
-    def sketches(self, nodes: np.ndarray) -> np.ndarray:
-        """For each bin of the hash range a byte of the smallest shingle in it; 0 for none."""
+    def sketches(self) -> np.ndarray:
+        """For each node and bin of the hash range a byte of the smallest shingle in it; 0 for none."""
         out = np.zeros((len(self.node), BINS), np.uint8)
         bin_ = (self.grams >> np.uint64(64 - int(math.log2(BINS)))).astype(np.int64)
         new = np.ones(len(bin_), bool)
         new[1:] = (bin_[1:] != bin_[:-1]) | (self.owner[1:] != self.owner[:-1])
         out[self.owner[new], bin_[new]] = (mix(self.grams[new] + np.uint64(77)) % np.uint64(255)).astype(np.uint8) + 1
-        return out[nodes]
+        return out
 
 
 def ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,12 +237,12 @@ def members(b: Block, answers: pd.DataFrame, buckets: int, runs: int, branch: fl
     depth = np.where(crowd & last, DEPTH + 1, depth).astype(np.int8)
     on = ~crowd | last & (rank == 0)
     keys, nodes, depth = keys[on], nodes[on], depth[on]
-    cut = dealt(keys, buckets)
+    cut, sketches = dealt(keys, buckets), s.sketches()
     # A node's sketch goes once to each bucket range it meets others in.
     for i, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
         if y > x:
             own, at = np.unique(nodes[x:y], return_inverse=True)
-            rows.append({"part": "meet", "block": b.block, "bucket": i, "depth": pack(depth[x:y]), "keys": pack(keys[x:y]), "nodes": pack(s.node[own]), "docs": pack(at.astype(np.int32)), "sketches": pack(s.sketches(own).reshape(-1)), "low": pack(s.size[own])})
+            rows.append({"part": "meet", "block": b.block, "bucket": i, "depth": pack(depth[x:y]), "keys": pack(keys[x:y]), "nodes": pack(s.node[own]), "docs": pack(at.astype(np.int32)), "sketches": pack(sketches[own].reshape(-1)), "low": pack(s.size[own])})
     return pd.DataFrame(rows, columns=[c.split()[0] for c in PARTS.split(", ")]).astype({"bucket": "Int32"})
 
 

@@ -54,6 +54,8 @@ FILLER = [
     "in the world of",
 ]
 PRIVATE_SUFFIXES = [".local", ".localhost", ".internal", ".intranet", ".lan", ".home.arpa"]
+#: Digits, letters and dots that some readers of URLs take for plain ones; percent signs.
+DISGUISED = r"%|[\uff01-\uff5e\u3002\uff61]|[\p{Nd}&&[^0-9]]"
 RULES = ["GROUND001", "DENSITY001", "FILLER001"]
 
 # Block pieces: every character of a text belongs to one match; groups that repeat are possessive (no deep recursion).

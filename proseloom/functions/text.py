@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,41 +84,103 @@ def ratio(n: Column, d: Column) -> Column:
     return F.when(d == 0, F.lit(1.0)).otherwise(n / d)
 
 
-def url_refusal(url: Column) -> Column:
-    """Why a URL must not be fetched; null if it may be."""
-    parts = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?", 1)
-    scheme = F.lower(parts)
-    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(authority, "^[^@]*@", ""), r":\d*$", ""), r"^\[|\]$", ""))
-    mapped = F.regexp_extract(host, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
-    address = F.when(mapped != "", mapped).otherwise(host)
-    octets = F.split(address, r"\.")
-    first, second = F.get(octets, F.lit(0)).try_cast("int"), F.get(octets, F.lit(1)).try_cast("int")
-    v4 = address.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    v6 = address.contains(":")
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def v4_number(host: Column) -> Column:
+    """The 32-bit number of an IPv4 host in any spelling that URLs know: one to four numbers, decimal, octal (0...) or
+    hexadecimal (0x...), the last of which fills what is left. Null if it is none."""
+
+    def whole(x: Column) -> Column:
+        hexa, octal = F.conv(F.concat(F.lit("0"), F.substring(x, 3, 99)), 16, 10), F.conv(x, 8, 10)
+        return F.when(x.rlike("^0x[0-9a-f]{0,15}$"), hexa).when(x.rlike("^0[0-7]{0,20}$"), octal).when(x.rlike("^[1-9][0-9]*$"), x).try_cast("bigint")
+
+    def joined(n: Column) -> Column:
+        count, last = F.size(n), F.element_at(n, -1)
+        head = F.slice(n, F.lit(1), count - 1)
+        fits = ~F.exists(n, lambda x: x.isNull()) & F.forall(head, lambda x: x <= 255) & (last < F.pow(F.lit(256), 5 - count).cast("bigint"))
+        moved = F.transform(head, lambda x, i: x * F.pow(F.lit(256), 3 - i).cast("bigint"))
+        return F.when(count.between(1, 4) & fits, F.aggregate(moved, F.lit(0).cast("bigint"), lambda t, x: t + x) + last)
+
+    return let(F.transform(F.split(host, r"\."), whole), joined)
+
+
+def v6_groups(host: Column) -> Column:
+    """The eight numbers of an IPv6 address in any spelling, without brackets; null if it is none."""
+    tail = F.regexp_extract(host, r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1)
+
+    def spelt(v4: Column) -> Column:
+        pair = F.concat(F.hex(F.floor(v4 / 65536)), F.lit(":"), F.hex(v4 % 65536))
+        return F.when(tail == "", host).when(v4.isNotNull(), F.concat(F.substring(host, F.lit(1), F.length(host) - F.length(tail)), pair))
+
+    def groups(text: Column) -> Column:
+        listed = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ":"))
+
+        def padded(sides: Column) -> Column:
+            left, right = listed(F.get(sides, F.lit(0))), listed(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+            missing = 8 - F.size(left) - F.size(right)
+            full = F.when((F.size(sides) == 2) & (missing > 0), F.concat(left, F.array_repeat(F.lit("0"), missing), right)).when((F.size(sides) == 1) & (missing == 0), left)
+            return F.when(F.forall(full, lambda g: g.rlike("^[0-9a-fA-F]{1,4}$")), F.transform(full, lambda g: F.conv(g, 16, 10).cast("int")))
+
+        return let(F.split(text, "::"), padded)
+
+    return let(spelt(F.when(tail != "", v4_number(tail))), groups)
+
+
+def _v4_refusal(n: Column) -> Column:
+    first, second = F.floor(n / 2**24), F.floor(n / 2**16) % 256
+    return (
+        F.when(first == 127, "loopback address").when(first == 0, "unspecified address").when((first == 169) & (second == 254), "link-local address")
+        .when((first == 10) | ((first == 172) & second.between(16, 31)) | ((first == 192) & (second == 168)), "private address")
+    )
+
+
+def _v6_refusal(g: Column) -> Column:
+    zero = lambda n: F.forall(F.slice(g, 1, n), lambda x: x == 0)
+    at = lambda i: F.get(g, F.lit(i))
+    return (
+        F.when(g.isNull(), "not an absolute url").when(zero(5) & (at(5) == 0xFFFF), _v4_refusal(at(6).cast("bigint") * 65536 + at(7))).when(zero(7) & (at(7) == 1), "loopback address")
+        .when(at(0).bitwiseAND(0xFFC0) == 0xFE80, "link-local address").when(at(0).bitwiseAND(0xFE00) == 0xFC00, "private address").when(zero(8), "unspecified address")
+    )
+
+
+def _name_refusal(host: Column) -> Column:
+    """Of a name. A trailing dot is no part of it; a name that ends like a number but is no address, or hides letters or
+    dots in other characters, is refused too."""
     suffix = F.lit(False)
     for s in P.PRIVATE_SUFFIXES:
-        suffix = suffix | address.endswith(s)
-    http = scheme.isin("http", "https")
+        suffix = suffix | host.endswith(s)
     return (
-        F.when(url.isNull() | (scheme == "") | (http & (host == "")) | F.trim(url).rlike(r"\s"), "not an absolute url")
-        .when(~http, F.concat(scheme, F.lit(" is not a fetchable scheme")))
-        .when(authority.rlike("^[^@]+@"), "carries credentials")
-        .when(v4 & (first == 127) | address.isin("::1", "0:0:0:0:0:0:0:1"), "loopback address")
-        .when(v6 & address.rlike("^fe[89ab]"), "link-local address")
-        .when(v6 & address.rlike("^f[cd]"), "private address")
-        .when(v6 & address.rlike("^[0:]+$"), "unspecified address")
-        .when(v6, F.lit(None))
-        .when(v4 & (first == 0), "unspecified address")
-        .when(v4 & ((first == 10) | ((first == 172) & second.between(16, 31)) | ((first == 192) & (second == 168))), "private address")
-        .when(v4 & (first == 169) & (second == 254), "link-local address")
-        .when(v4, F.lit(None))
-        .when(address == "localhost", "loopback address")
-        .when(suffix, "private network name")
-        .when(~address.contains("."), "not a public hostname")
+        F.when(host == "localhost", "loopback address").when(suffix, "private network name")
+        .when(~host.contains(".") | host.rlike(r"(^|\.)(0x[0-9a-f]*|[0-9]+)$") | host.rlike(P.DISGUISED), "not a public hostname")
     )
 
 
+def url_refusal(url: Column) -> Column:
+    """Why a URL must not be fetched; null if it may be."""
+    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*:[/\\]{2}([^/\\?#]*)", 1)
+
+    def judged(p: Column) -> Column:
+        host = F.lower(F.regexp_replace(F.regexp_replace(p["authority"], "^[^@]*@", ""), r":\d*$", ""))
+        http = p["scheme"].isin("http", "https")
+
+        def of_host(h: Column) -> Column:
+            plain = F.regexp_replace(h, r"\.$", "")
+            inner = F.regexp_replace(F.regexp_replace(h, r"^\[|\]$", ""), "%.*$", "")
+            address = F.when(h.startswith("["), let(v6_groups(inner), _v6_refusal)).otherwise(let(v4_number(plain), lambda n: F.when(n.isNotNull(), _v4_refusal(n)).otherwise(_name_refusal(plain))))
+            return (
+                F.when((p["scheme"] == "") | (http & (h == "")) | F.trim(url).rlike(r"[\s\x00-\x20]"), "not an absolute url").when(~http, F.concat(p["scheme"], F.lit(" is not a fetchable scheme")))
+                .when(p["authority"].rlike("^[^@]+@"), "carries credentials").otherwise(address)
+            )
+
+        return let(host, of_host)
+
+    return F.when(url.isNull(), "not an absolute url").otherwise(let(F.struct(scheme.alias("scheme"), authority.alias("authority")), judged))
+
+
 def status_class(status: Column) -> Column:
     return F.when(status.between(200, 299), "Resolves").when(status.isin(404, 410), "Dead").otherwise("Unreachable")
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from proseloom.functions import text as T
 from proseloom.functions.patterns import Options
+from proseloom.functions.text import let
 from proseloom.operators import structure
-from proseloom.operators.structure import let
 
 CLAIM = ["block_index", "sent_index", "text", "start_char", "end_char", "kinds", "grounded", "reason"]
 

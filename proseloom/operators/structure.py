@@ -13,17 +13,13 @@ from pyspark.sql import functions as F
 
 from proseloom.functions import patterns as P
 from proseloom.functions import text as T
+from proseloom.functions.text import let
 
 BLOCK = "block_index int, kind string, start_line int, end_line int, start_char int, end_char int, text string, heading_level int, heading string, is_prose boolean"
 SENTENCE = "sent_index int, text string, start_char int, end_char int"
 SPAN = "value string, start_char int, end_char int"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def feeds(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 

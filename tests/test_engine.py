@@ -142,12 +142,39 @@ def test_citations_and_dois(spark):
         ("https://example.org/a", None), ("notes.txt", "not an absolute url"), ("file:///etc/x", "file is not a fetchable scheme"), ("http://u:p@example.org", "carries credentials"), ("http://127.0.0.1/", "loopback address"),
         ("http://[::1]/", "loopback address"), ("http://[fe80::1]/", "link-local address"), ("http://[fd00::1]/", "private address"), ("http://[::ffff:10.0.0.1]/", "private address"), ("http://[2001:db8::1]/", None), ("http://172.32.0.1/", None),
         ("http://172.31.0.1/", "private address"), ("http://169.254.169.254/x", "link-local address"), ("http://LOCALHOST:80/", "loopback address"), ("http://a.internal", "private network name"), ("http://box/", "not a public hostname"),
+        ("http://[::ffff:7f00:1]/", "loopback address"), ("http://[::ffff:0a00:1]/", "private address"), ("http://[0::1]/", "loopback address"), ("http://[0:0:0:0:0:0:0:1]:80/x", "loopback address"), ("http://[0000::0001]/", "loopback address"),
+        ("http://127.1/", "loopback address"), ("http://0x7f.0.0.1/", "loopback address"), ("http://0177.0.0.1/", "loopback address"), ("http://2130706433/", "loopback address"), ("http://0x7f000001/", "loopback address"), ("http://10.1/", "private address"),
+        ("http://192.168.257/", "private address"), ("http://127.0.0.1./", "loopback address"), ("http://localhost./", "loopback address"), ("http://127.0.0.1\\@example.org/", "loopback address"), ("http://[::]/", "unspecified address"), ("http://[febf::1%25eth0]/", "link-local address"),
+        ("http://[fec0::1]/", None), ("http://[::ffff:8.8.8.8]/", None), ("http://[1:2:3:4:5:6:7]/", "not an absolute url"), ("http://[1::2::3]/", "not an absolute url"), ("http://[::10.0.0.300]/", "not an absolute url"), ("http://256.1.1.1/", "not a public hostname"),
+        ("http://a.b.0x1/", "not a public hostname"), ("http://8.8.8.8/", None), ("http://0/", "unspecified address"), ("http://１２７.0.0.1/", "not a public hostname"), ("http://127%2e0.0.1/", "not a public hostname"), ("HTTPS://Example.ORG:8443/a?b=1#c", None), ("http:///x", "not an absolute url"),
+        ("http://example.org/a b", "not an absolute url"), (None, "not an absolute url"), ("http://a.example.lan", "private network name"),
     ],
 )
 def test_url_policy(spark, url, expected):
     assert one(spark, T.url_refusal, url) == expected
 
 
+def test_addresses_against_the_standard_library(spark):
+    """Every spelling of many addresses, against what Python's ipaddress says of them."""
+    import ipaddress
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for _ in range(300):
+        n = r.choice([r.getrandbits(32), 0x7F000000 | r.getrandbits(24), 0x0A000000 | r.getrandbits(24), 0xAC100000 | r.getrandbits(20), 0xC0A80000 | r.getrandbits(16), 0xA9FE0000 | r.getrandbits(16)])
+        v = ipaddress.IPv4Address(n)
+        o = [n >> 24, n >> 16 & 255, n >> 8 & 255, n & 255]
+        rows += [(s, n) for s in (str(v), str(n), hex(n), f"0{o[0]:o}.{o[1]}.{o[2]}.{hex(o[3])}", f"{o[0]}.{n & 0xFFFFFF}", f"{o[0]}.{o[1]}.{n & 0xFFFF}")]
+    got = {(x.s, x.n) for x in spark.createDataFrame(rows, "s string, n long").select("s", T.v4_number(F.col("s")).alias("n")).collect()}
+    assert got == set(rows)
+    six = [ipaddress.IPv6Address(r.choice([r.getrandbits(128), r.getrandbits(32), 0xFFFF00000000 | r.getrandbits(32), r.getrandbits(16) << 112 | r.getrandbits(16)])) for _ in range(300)]
+    groups = lambda v: [int(v) >> 112 - 16 * i & 0xFFFF for i in range(8)]
+    full = lambda g: ":".join(f"{x:04x}" for x in g)
+    forms = [(s, groups(v)) for v in six for s in (str(v), full(groups(v)), full(groups(v)[:6]) + ":" + str(ipaddress.IPv4Address(int(v) & 0xFFFFFFFF)))]
+    assert all(x.g == x.want for x in spark.createDataFrame(forms, "s string, want array<int>").select("want", T.v6_groups(F.col("s")).alias("g")).collect())
+
+
 def test_probe(spark):
     def _stub(method, url):
         if "gone" in url:

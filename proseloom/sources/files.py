@@ -21,13 +21,14 @@ def read_options(spark: SparkSession, path: str | None) -> Options:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled cases; a manifest without cases, or a case without file, raises. A missing band is Clean."""
-    cases = spark.read.schema(f"cases array<{CASE}>").json(path, multiLine=True).select(F.explode("cases").alias("c")).select("c.*")
+    """Labelled cases with their position; a manifest without cases, or a case without file, raises. A missing band is
+    Clean."""
+    cases = spark.read.schema(f"cases array<{CASE}>").json(path, multiLine=True).select(F.posexplode("cases").alias("position", "c")).select("position", "c.*")
     bad = cases.agg(F.count("*"), F.count("file")).first()
     if not bad[0] or bad[1] < bad[0]:
         raise ValueError("a manifest needs cases, and each a file")
     none = F.array().cast("array<string>")
-    return cases.select("file", F.coalesce("band", F.lit("Clean")).alias("band"), F.coalesce("rules", none).alias("rules"), F.col("knownGap").alias("known_gap"), "note", F.col("knownFalsePositives").alias("known_false_positives"))
+    return cases.select("position", "file", F.coalesce("band", F.lit("Clean")).alias("band"), F.coalesce("rules", none).alias("rules"), F.col("knownGap").alias("known_gap"), "note", F.col("knownFalsePositives").alias("known_false_positives"))
 
 
 def missing_documents(cases: DataFrame, docs: DataFrame) -> DataFrame:

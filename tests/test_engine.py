@@ -1,3 +1,6 @@
+import json
+import os
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +9,8 @@ import __spark_entry__ as entry
 from proseloom.functions import text as T
 from proseloom.functions.patterns import FILLER, Options
 from proseloom.operators import scoring, structure
-from proseloom.plans.analyze import Analysis, evaluation, outcomes
+from proseloom import __main__ as cli
+from proseloom.plans.analyze import Analysis, evaluation, fired, outcomes
 from proseloom.plans.queries import QUERIES, SQL
 from proseloom.sources import files, probe
 
@@ -216,6 +220,55 @@ def test_evaluation_and_manifest(spark, tmp_path):
         files.read_manifest(spark, str(tmp_path / "bad.json"))
 
 
+CORPUS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "corpus")
+
+
+def test_labelled_corpus(spark):
+    """Our own corpus of 15 cases gives the accuracy the published one has."""
+    cases = files.read_manifest(spark, f"{CORPUS}/manifest.json")
+    summary = Analysis(files.read_documents(spark, f"{CORPUS}/cases")).summary()
+    score = {r.doc_id.removesuffix(".md"): round(r.score, 4) for r in summary.collect()}
+    told = {"watch-light-filler": 0.2, "watch-mixed-sourcing": 0.4, "slop-ungrounded-stats": 0.6, "slop-restatement": 0.7333, "slop-filler-padding": 0.4}
+    assert len(score) == 15 and {k: v for k, v in score.items() if v} == told
+    e = evaluation(outcomes(cases, fired(summary))).first()
+    assert (e.tp, e.fp, e.fn, e.tn, e.precision, e.recall, e.fpr, e.f1, e.bands_matched, e.known_gaps, e.regressions) == (6, 0, 0, 39, 1.0, 1.0, 0.0, 1.0, 14, 1, 0)
+    with pytest.raises(Exception, match="no case for the result"):
+        outcomes(cases.where("position > 0"), fired(summary)).collect()
+    with pytest.raises(Exception, match="no result for the case"):
+        outcomes(cases, fired(summary).where("score > 0")).collect()
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.chdir(tmp_path)
+
+    def run(*arguments):
+        code = cli.main(list(arguments), spark)
+        said = capsys.readouterr()
+        return code, said.out, said.err
+
+    assert run("bench", "--corpus", CORPUS) == (0, "corpus: 15 cases, 3 rules\n\n  precision  100.0%   (6 hit, 0 false)\n  recall     100.0%   (0 missed)\n  fp rate      0.0%   (of 39 that should stay quiet)\n  f1         100.0%\n  bands      14/15\n\nknown gaps (not counted against the run)\n  slop-filler-padding.md  labeled Slop, scored Watch (0.40)\n\nno regressions\n", "")
+    code, out, _ = run("analyze", f"{CORPUS}/cases/watch-light-filler.md", "--json")
+    assert code == 0 and json.loads(out)["band"] == "Watch" and json.loads(out)["findings"][0]["ruleId"] == "FILLER001" and out.startswith("{\n  ")
+    code, out, _ = run("analyze", f"{CORPUS}/cases/slop-ungrounded-stats.md")
+    assert code == 0 and out.startswith("slop-ungrounded-stats.md  -  Slop (score 0.60)\n\n  block 0\n    slop-ungrounded-stats.md:1  warning  GROUND001") and out.endswith("4 finding(s), band Slop\n")
+    assert run("analyze", "no.md") == (1, "", "error: file not found: no.md\n") and run("bench", "--corpus", "none")[0] == 1
+    assert run("analyze", f"{CORPUS}/cases/clean-terse-notes.md", "--config", "no.json")[2] == "error: config not found: no.json\n"
+    (tmp_path / "proseloom.json").write_text('{"weights": {"density": 2}}')
+    code, out, _ = run("bench", "--corpus", CORPUS)
+    assert code == 1 and "1 regression(s)\n  watch-light-filler.md\n    band      labeled Watch, scored Slop (1.00)\n" in out
+    (tmp_path / "proseloom.json").write_text('{"density": {"minFillerHits": 3}}')
+    assert "    silent    FILLER001 - labeled but never fired\n" in run("bench", "--corpus", CORPUS)[1]
+    (tmp_path / "proseloom.json").write_text("{")
+    assert run("bench", "--corpus", CORPUS)[2].startswith("error: invalid config proseloom.json")
+    (tmp_path / "proseloom.json").unlink()
+    (tmp_path / "cases").mkdir()
+    (tmp_path / "manifest.json").write_text('{"cases": [{"file": "a.md"}]}')
+    (tmp_path / "cases" / "b.md").write_text("calm")
+    assert "corpus case not found" in run("bench", "--corpus", ".")[2]
+    (tmp_path / "cases" / "a.md").write_text("It cost 5 units.")
+    assert "    fired     GROUND001 - not labeled\n" in run("bench", "--corpus", ".")[1]
+
+
 def test_files_and_stream(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "x.md").write_text("﻿# T\n\nWe grew 5%.")

@@ -52,12 +52,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def staged(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: lineage ends there, and a lost
-    executor costs a reread, not a recomputation. ``keep``: the table outlives a `scratch` around it."""
+def staged(df: DataFrame, tag: str, keep: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df once as Parquet in the shared folder, in folders by the columns ``by``, and read it back: lineage ends
+    there, and a lost executor costs a reread, not a recomputation. ``keep``: the table outlives a `scratch` around it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     if _scratch and not keep:
         _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,10 +10,14 @@ weight 1. Where counts of counts are too thin for Good-Turing (a zero, or a disc
 absolute: n1 / (n1 + 2 n2) counts.
 
 The corpus side: blocks of documents send each distinct n-gram, with its training count, to the bucket of its key. The
-buckets write count tables partitioned by kind (the n of the n-grams) and bucket, as answers to each block, plus counts
-of counts. Backing-off sums per context are gathered the same way. Each block then evaluates its tokens recursively:
-the longest n-gram, else alpha and the next shorter one, down to the unknown word. Nothing of corpus size reaches one
-task.
+buckets write the count table, in folders by kind (the n of the n-grams) and in rows by key range: keys and counts, the
+answers to each block, and counts of counts. Backoff weights per context are gathered and written the same way. Each
+block then evaluates its tokens recursively: the longest n-gram, else alpha and the next shorter one, down to the unknown
+word. Nothing of corpus size reaches one task.
+
+`score` trains and scores the same documents and keeps the weights that these need (training documents have seen all of
+their n-grams, so only contexts of documents held out back off). `train` writes a `Stored` model with the weights of all
+contexts, by which `score_by` scores other texts without counting again.
 
 Keys are 64-bit hashes of n-grams. Nulls: a null text is empty (its only token is the end); a null id has the
 crc of the empty string, so it is held out. Repeated rows train as often as they occur. Empty table: empty result. No
@@ -22,12 +26,14 @@ training rows: every token is unknown with probability 1. Extra columns are igno
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, pack, staged, table, unpack
+from .common import crc_of_id, pack, scratch, staged, table, unpack
 from .tokens import Block, blocks, bucket_count, dealt, hashes, ids_out, joined, mix, of_blocks, with_replies
 
 K, FLOOR, ORDER = 5, 0.01, 3
@@ -102,12 +108,13 @@ def asked(b: Block, buckets: int, order: int) -> list[dict]:
     return rows
 
 
-ANSWER = "kind int, block long, bucket int, answer binary, " + ", ".join(f"{c} long" for c in COUNTS)
+ANSWER = "block long, bucket int, keys binary, answer binary, " + ", ".join(f"{c} long" for c in COUNTS) + ", kind int"
 _START_KEY = mix(np.array([START], np.uint64))[0]
 
 
 def counted(rows: pd.DataFrame) -> pd.DataFrame:
-    """The corpus counts of a bucket's keys, for each block that asked; the first block that asked owns an n-gram."""
+    """The corpus counts of a bucket's keys, for each block that asked; the first block that asked owns an n-gram. Row -1
+    is the bucket's part of the count table."""
     rows = rows.sort_values("block")
     kind, bucket = int(rows["kind"].iloc[0]), int(rows["bucket"].iloc[0])
     keys = [unpack(k, np.uint64) for k in rows["keys"]]
@@ -123,10 +130,30 @@ def counted(rows: pd.DataFrame) -> pd.DataFrame:
     out = pd.DataFrame({"kind": kind, "block": rows["block"].to_numpy(), "bucket": bucket, "answer": [pack(sent[s:e]) for s, e in zip(cut, cut[1:], strict=False)]})
     real = totals[(totals > 0) & ~((own == _START_KEY) & (kind == 1))]
     size = np.bincount(np.minimum(real, K + 2), minlength=K + 3)
-    stats = {"kind": kind, "block": -1, "bucket": bucket, **{f"n{r}": size[r] for r in range(1, K + 2)}, "over": int((real > K).sum()), "types": len(real), "tokens": int(real.sum())}
+    seen = totals > 0
+    stats = {"kind": kind, "block": -1, "bucket": bucket, "keys": pack(own[seen]), "answer": pack(totals[seen]), **{f"n{r}": size[r] for r in range(1, K + 2)}, "over": int((real > K).sum()), "types": len(real), "tokens": int(real.sum())}
     return pd.concat([out, pd.DataFrame([stats])]).reindex(columns=[c.split()[0] for c in ANSWER.split(", ")]).astype({c: "Int64" for c in COUNTS})
 
 
+def looked_up(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    """What `counted` answers, from the count table of a stored model."""
+    names = [c.split()[0] for c in ANSWER.split(", ")]
+    if not len(rows):
+        return pd.DataFrame(columns=names)
+    own, totals = unpack(model["keys"].iloc[0], np.uint64) if len(model) else np.zeros(0, np.uint64), unpack(model["answer"].iloc[0], np.int64) if len(model) else np.zeros(0, np.int64)
+    rows = rows.sort_values("block")
+    out = []
+    for r in rows.itertuples(index=False):
+        keys = unpack(r.keys, np.uint64)
+        at = np.searchsorted(own, keys)
+        found = at < len(own)
+        found[found] = own[at[found]] == keys[found]
+        total = np.zeros(len(keys), np.int64)
+        total[found] = totals[at[found]]
+        out.append({"kind": r.kind, "block": r.block, "bucket": r.bucket, "answer": pack((total * 4 + 2).astype(np.uint64))})
+    return pd.DataFrame(out).reindex(columns=names).astype({c: "Int64" for c in COUNTS})
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """d[r] for r = 0..K from the counts of counts n[0] = n1, ..., n[K] = n(K+1); d[0] is unused."""
     d = np.ones(K + 1)
@@ -162,10 +189,10 @@ class Model:
         return np.where(c > 0, self.shrunk(c, self.of[1]) / max(1, self.tokens), self.unknown)
 
 
-SCORED = "part string, block long, kind int, bucket int, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
+SCORED = "part string, block long, kind int, bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
 
 
-def scored(b: Block, answers: pd.DataFrame, model: Model, buckets: int, order: int) -> pd.DataFrame:
+def scored(b: Block, answers: pd.DataFrame, model: Model, buckets: int, order: int, complete: bool = False) -> pd.DataFrame:
     """Rows of three parts: the block's documents with what their seen n-grams give, sums per context of the n-grams
     the block owns, and the contexts whose backoff weight it needs."""
     p = Grams(b, order)
@@ -197,7 +224,7 @@ def scored(b: Block, answers: pd.DataFrame, model: Model, buckets: int, order: i
         needs[k] = (g.at[backs], g.context[g.of[backs]])
     given[left] = value[0][p.word[left]]
     part = np.bincount(docs, np.log10(given), n)
-    rows, whose, place, totals, base_rank = [], [], [], [], 0
+    rows, whose, place, base_rank = [], [], [], 0
     for k in range(2, order + 1):
         raw = p.grams[k - 2].raw
         at, context = needs[k]
@@ -208,72 +235,125 @@ def scored(b: Block, answers: pd.DataFrame, model: Model, buckets: int, order: i
         rank[by_key] = np.arange(len(by_key))
         whose.append(docs[at].astype(np.int32))
         place.append((rank[where] + base_rank).astype(np.int32))
-        totals.append(counts[k - 2][need][by_key])
         base_rank += len(need)
         cut = dealt(keys[by_key], buckets)
         rows += [{"part": "ask", "block": b.block, "kind": k, "bucket": i, "a": pack(keys[by_key][s:e])} for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
         g = p.grams[k - 1]
         # All n-grams of training documents are seen, so only contexts in documents held out are asked for.
-        mine = owned[k - 1] & (counts[k - 1] > 0) & held[k - 2][g.context]
+        mine = owned[k - 1] & (counts[k - 1] > 0) & (held[k - 2][g.context] | complete)
         have, slot = np.unique(g.context[mine], return_inverse=True)
         spare = np.bincount(slot, (counts[k - 1] - model.shrunk(counts[k - 1], model.of[k]))[mine], len(have))
         below = np.bincount(slot, value[k - 2][g.lower[mine]], len(have))
+        total = counts[k - 2][have]
         keys = raw[have]
         by_key = np.argsort(keys)
         cut = dealt(keys[by_key], buckets)
-        rows += [{"part": "sum", "block": b.block, "kind": k, "bucket": i, "a": pack(keys[by_key][s:e]), "b": pack(spare[by_key][s:e]), "c": pack(below[by_key][s:e])} for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
-    whose, place, totals = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((whose, np.int32), (place, np.int32), (totals, np.int64)))
-    rows.append({"part": "docs", "block": b.block, "a": pack(b.doc_ids), "b": pack(b.lens + 1), "c": pack(np.stack([known, base, part], 1).reshape(-1)), "d": pack(whose), "e": pack(place), "f": pack(totals), "g": pack(b.has_id)})
+        rows += [{"part": "sum", "block": b.block, "kind": k, "bucket": i, "a": pack(keys[by_key][s:e]), "b": pack(spare[by_key][s:e]), "c": pack(below[by_key][s:e]), "d": pack(total[by_key][s:e])} for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
+    whose, place = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (whose, place))
+    rows.append({"part": "docs", "block": b.block, "a": pack(b.doc_ids), "b": pack(b.lens + 1), "c": pack(np.stack([known, base, part], 1).reshape(-1)), "d": pack(whose), "e": pack(place), "f": pack(b.has_id)})
     return pd.DataFrame(rows, columns=[c.split()[0] for c in SCORED.split(", ")]).astype({"kind": "Int32", "bucket": "Int32"})
 
 
-SUMS = "block long, kind int, bucket int, spare binary, below binary"
+WEIGHTS = "block long, bucket int, keys binary, alpha binary, kind int"
 
 
-def summed(rows: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's contexts: what discounts spare and lower-order mass of the words seen after each, for who asked."""
+def summed(rows: pd.DataFrame, complete: bool = False) -> pd.DataFrame:
+    """Backoff weights of a bucket's contexts, from what discounts spare and the lower-order mass of the words seen after
+    each, for the blocks that asked; row -1 is the bucket's part of the table of weights, if it is to be complete."""
     rows = rows.sort_values(["part", "block"])
     given, asks = rows[rows["part"] == "sum"], rows[rows["part"] == "ask"]
-    none = np.zeros(0, np.uint64)
-    keys = np.concatenate([none, *[unpack(a, np.uint64) for a in given["a"]]])
-    own, inverse = np.unique(keys, return_inverse=True)
-    total = [np.bincount(inverse, np.concatenate([np.zeros(0), *[unpack(x, np.float64) for x in given[c]]]), len(own)) for c in "bc"]
+    keys = np.concatenate([np.zeros(0, np.uint64), *[unpack(a, np.uint64) for a in given["a"]]])
+    own, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    spare, below = [np.bincount(inverse, np.concatenate([np.zeros(0), *[unpack(x, np.float64) for x in given[c]]]), len(own)) for c in "bc"]
+    total = np.concatenate([np.zeros(0, np.int64), *[unpack(x, np.int64) for x in given["d"]]])[first]
+    # Every discount spares something, and the unknown word is never among those seen, so neither side is 0.
+    alpha = spare / total / (1 - below)
+    out = [(r.block, r.bucket, None, pack(alpha[np.searchsorted(own, unpack(r.a, np.uint64))]), r.kind) for r in asks.itertuples(index=False)]
+    if complete:
+        out.append((-1, int(rows["bucket"].iloc[0]), pack(own), pack(alpha), int(rows["kind"].iloc[0])))
+    return pd.DataFrame(out, columns=["block", "bucket", "keys", "alpha", "kind"])
+
+
+def weighed(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    """What `summed` answers, from the table of weights of a stored model. All contexts that are asked for are there."""
     out = []
-    for r in asks.itertuples(index=False):
-        at = np.searchsorted(own, unpack(r.a, np.uint64))
-        out.append((r.block, r.kind, r.bucket, pack(total[0][at]), pack(total[1][at])))
-    return pd.DataFrame(out, columns=["block", "kind", "bucket", "spare", "below"])
+    if len(rows):
+        own, alpha = unpack(model["keys"].iloc[0], np.uint64), unpack(model["alpha"].iloc[0], np.float64)
+        out = [(r.block, r.bucket, None, pack(alpha[np.searchsorted(own, unpack(r.a, np.uint64))]), r.kind) for r in rows.itertuples(index=False)]
+    return pd.DataFrame(out, columns=["block", "bucket", "keys", "alpha", "kind"])
 
 
-def finished(docs: pd.DataFrame, sums: pd.DataFrame, tokens: int) -> pd.DataFrame:
+def finished(docs: pd.DataFrame, weights: pd.DataFrame, tokens: int) -> pd.DataFrame:
     names = [c.split()[0] for c in RESULT.split(", ")]
     if not len(docs):
         return pd.DataFrame(columns=names)
     r = next(docs.itertuples(index=False))
-    ids, lens, has_id = unpack(r.a, np.int64), unpack(r.b, np.int64), unpack(r.g, np.bool_)
+    ids, lens, has_id = unpack(r.a, np.int64), unpack(r.b, np.int64), unpack(r.f, np.bool_)
     known, base, part = unpack(r.c, np.float64).reshape(-1, 3).T
-    sums = sums.sort_values(["kind", "bucket"])
-    spare, below = (np.concatenate([np.zeros(0), *[unpack(x, np.float64) for x in sums[c]]]) for c in ("spare", "below"))
-    # Every discount spares something, and the unknown word is never among those seen, so neither side is 0.
-    alpha = spare / unpack(r.f, np.int64) / (1 - below)
+    weights = weights.sort_values(["kind", "bucket"])
+    alpha = np.concatenate([np.zeros(0), *[unpack(x, np.float64) for x in weights["alpha"]]])
     part = part + np.bincount(unpack(r.d, np.int32), np.log10(alpha)[unpack(r.e, np.int32)], len(ids))
     return pd.DataFrame({"doc_id": ids_out(ids, has_id), "held_out": held_out(ids, has_id), "n_tokens": lens, "n_known": known.astype(np.int64), "train_tokens": tokens, "base_score": base, "score": part})
 
 
-def score(docs: DataFrame, order: int = 2) -> DataFrame:
-    """By n-grams up to the order: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
-    spark = docs.sparkSession
-    parts = blocks(docs)
-    buckets = bucket_count(parts)
+def _model(counts: DataFrame, order: int) -> Model:
+    stats = counts.where("block = -1").groupBy("kind").agg(*[F.sum(c).alias(c) for c in COUNTS]).collect()  # a row for each n
+    return Model({r["kind"]: {c: int(r[c]) for c in COUNTS} for r in stats}, order)
+
+
+def _trained(parts: DataFrame, order: int, buckets: int, complete: bool) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
+    """The model, and the tables of counts, of weights and of what blocks know of their documents."""
     asks = of_blocks(parts, lambda b: asked(b, buckets, order), ASK)
-    tables = staged(asks.groupBy("kind", "bucket").applyInPandas(counted, ANSWER), "ngram-counts")
-    stats = tables.where("block = -1").groupBy("kind").agg(*[F.sum(c).alias(c) for c in COUNTS]).collect()  # a row for each n
-    model = Model({r["kind"]: {c: int(r[c]) for c in COUNTS} for r in stats}, order)
-    answers = tables.where("block >= 0").select("kind", "block", "bucket", "answer")
-    first = staged(with_replies(parts, answers, lambda b, a: scored(b, a, model, buckets, order), SCORED), "scored")
-    sums = first.where("part <> 'docs'").groupBy("kind", "bucket").applyInPandas(summed, SUMS)
-    tokens = model.tokens
-    return first.where("part = 'docs'").groupBy("block").cogroup(sums.groupBy("block")).applyInPandas(lambda d, s: finished(d, s, tokens), RESULT)
+    counts = staged(asks.groupBy("kind", "bucket").applyInPandas(counted, ANSWER), "ngram-counts", keep=complete, by=("kind",))
+    model = _model(counts, order)
+    answers = counts.where("block >= 0").select("kind", "block", "bucket", "answer")
+    first = staged(with_replies(parts, answers, lambda b, a: scored(b, a, model, buckets, order, complete), SCORED), "scored")
+    sums = first.where("part <> 'docs'").groupBy("kind", "bucket").applyInPandas(lambda rows: summed(rows, complete), WEIGHTS)
+    return model, counts, staged(sums, "ngram-backoff", keep=complete, by=("kind",)), first
+
+
+def _evaluated(first: DataFrame, weights: DataFrame, tokens: int) -> DataFrame:
+    docs = first.where("part = 'docs'").groupBy("block")
+    return docs.cogroup(weights.where("block >= 0").groupBy("block")).applyInPandas(lambda d, w: finished(d, w, tokens), RESULT)
+
+
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """By n-grams up to the order, learned from the documents that are not held out: doc_id, held_out, n_tokens, n_known,
+    train_tokens, base_score, score for every document."""
+    with scratch(docs.sparkSession):
+        parts = blocks(docs)
+        model, _, weights, first = _trained(parts, order, bucket_count(parts), False)
+        return staged(_evaluated(first, weights, model.tokens), "katz", keep=True)
+
+
+class Stored(NamedTuple):
+    """A model in tables: ``counts`` and ``weights`` by kind and bucket; row -1 of each holds keys and values."""
+
+    counts: DataFrame
+    weights: DataFrame
+    order: int
+    buckets: int
+
+
+def train(docs: DataFrame, order: int = ORDER) -> Stored:
+    """The model of the documents that are not held out, with the backoff weights of all contexts."""
+    with scratch(docs.sparkSession):
+        parts = blocks(docs)
+        buckets = bucket_count(parts)
+        _, counts, weights, _ = _trained(parts, order, buckets, True)
+    return Stored(counts.where("block = -1"), weights.where("block = -1"), order, buckets)
+
+
+def score_by(docs: DataFrame, stored: Stored) -> DataFrame:
+    """What `score` returns, by a stored model. Its buckets are looked up, not counted again."""
+    order, buckets = stored.order, stored.buckets
+    with scratch(docs.sparkSession):
+        parts, model = blocks(docs), _model(stored.counts, order)
+        asks = of_blocks(parts, lambda b: asked(b, buckets, order), ASK)
+        answers = asks.groupBy("kind", "bucket").cogroup(stored.counts.groupBy("kind", "bucket")).applyInPandas(looked_up, ANSWER)
+        first = staged(with_replies(parts, answers.select("kind", "block", "bucket", "answer"), lambda b, a: scored(b, a, model, buckets, order), SCORED), "scored")
+        weights = first.where("part = 'ask'").groupBy("kind", "bucket").cogroup(stored.weights.groupBy("kind", "bucket")).applyInPandas(weighed, WEIGHTS)
+        return staged(_evaluated(first, weights, model.tokens), "katz", keep=True)
 
 
 def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import katz, media, nearjoin, packing, pieces, quality, repeats, sharding, topk
+from . import katz, media, nearjoin, oracle, packing, pieces, quality, repeats, sharding, topk
 
 QUERIES = {
     "op1_matroska": media.op1_matroska,
@@ -16,4 +16,4 @@ QUERIES = {
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_fm_index": repeats.op10_fm_index,
 }
-SQL: dict[str, str] = {"op3_voronoi_top_k": topk.SQL}
+SQL: dict[str, str] = {"op3_voronoi_top_k": topk.SQL, "op5_sparse_suffix_array": oracle.SPANS, "op7_chosen_path": oracle.NEAR, "op10_fm_index": oracle.SUBSTRING}

@@ -365,7 +365,8 @@ def kept(b: Block, f: Found) -> pd.DataFrame:
 
 
 def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents"), fm_solver, kept, REMOVED)
+    with scratch(spark):
+        return staged(repeats(table(spark, sf_dir, "documents"), fm_solver, kept, REMOVED), "kept", keep=True)
 
 
 SPANS = "doc_id long, n_words long, n_repeated long, n_spans long, spans array<struct<start:long,length:long,first_doc_id:long>>"
@@ -391,7 +392,11 @@ def spans(b: Block, f: Found) -> pd.DataFrame:
 
 
 def op5_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents"), suffix_solver, spans, SPANS)
+    """Each document's repeated stretches, listed as start:length:smallest id."""
+    with scratch(spark):
+        found = repeats(table(spark, sf_dir, "documents"), suffix_solver, spans, SPANS)
+        listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["length"], s["first_doc_id"])), ";")
+        return staged(found.withColumn("spans", listed), "spans", keep=True)
 
 
 CUT = "doc_id long, was long, kept string, n_removed long"

@@ -107,9 +107,14 @@ def test_katz(docs, none):
         return (1 - sum(cut(two[v, x], d2) for x in after) / ctx[v]) / (1 - sum(map(prior, after))) * prior(w)
 
     assert math.isclose(sum(prob("same", w) for w in one) + prob("same", "never seen"), 1, abs_tol=1e-9)
-    got = {(r.doc_id, r.n_tokens, round(r.score, 6)) for r in katz.score(docs).collect()}
+    got = {(r.doc_id, r.n_tokens, round(r.score, 6)) for r in katz.score(docs, 2).collect()}
     want = {(i, len(t), round(sum(math.log10(prob(v, w)) for v, w in zip(["\n<", *t], t, strict=False)), 6)) for i, t in toks}
     assert got == want and katz.score(none).count() == 0
+    full = by(katz.score(docs, 2).collect(), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
+    v = len(one)
+    base = lambda t: sum(math.log10((one[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
+    for r, (i, t) in zip(full, sorted(toks, key=lambda x: repr((x[0], held(x[0]), len(x[1]), sum(one[w] > 0 for w in x[1]), n, base(x[1])))), strict=True):
+        assert r[:5] == (i, held(i), len(t), sum(one[w] > 0 for w in t), n) and math.isclose(r[5], base(t), rel_tol=1e-9)
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
@@ -147,6 +152,23 @@ def test_katz_of_any_order(spark, order):
     assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=1e-6) for i in got)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_a_stored_model_scores_other_texts(spark, order):
+    r = random.Random(5)
+    say = lambda: " ".join(r.choice("abcdefghij") for _ in range(r.randint(0, 30)))
+    old, new = [(i, say()) for i in range(150)], [(1000 + i, say() + " unseen") for i in range(40)] + [(None, None)]
+    table = spark.createDataFrame(old, "doc_id long, text string")
+    stored = katz.train(table, order)
+    kinds = {f.split("kind=")[1].split("/")[0] for f in stored.counts.inputFiles()}
+    assert kinds == {str(k) for k in range(1, order + 1)} and all("kind=" in f for f in stored.weights.inputFiles())
+    same = lambda rows: {x.doc_id: round(x.score, 9) for x in rows.collect()}
+    assert same(katz.score_by(table, stored)) == same(katz.score(table, order))
+    # Other texts beside the old ones, all of them held out by their ids: training with them learns the same model.
+    held = [(i, t) for i, (_, t) in zip((k for k in range(10**6) if zlib.crc32(str(k).encode()) % 10 == 0 and k >= 1000), new, strict=False)]
+    more = spark.createDataFrame(held, "doc_id long, text string")
+    assert same(katz.score_by(more, stored)) == {k: v for k, v in same(katz.score(table.unionByName(more), order)).items() if k in dict(held)}
+
+
 @pytest.mark.parametrize("pivots, block", [(8, 50), (None, 8192), (3, 1)])
 def test_top_k(spark, pivots, block):
     rng = np.random.default_rng(1)

@@ -66,9 +66,10 @@ PIECES = (
     "(?U)" + _W + "(?:" + _FENCES + r"|#{1,6}(?: [^\n]*+|(?=\r?(?:\n|\z)))|>[^\n]*+(?:\n" + _W + r">[^\n]*+)*+|(?:[-*+] |\d++[.)] )[^\n]*+)"
     + "|(?!" + _START + r")[^\n]*\S[^\n]*+(?:\n(?!" + _START + r")[^\n]*\S[^\n]*+)*+" + r"|\n|[^\S\n]++"
 )
-SENTENCES = (
-    r"(?sU)\s*(?=\S).*?(?:(?:[!?]|(?<!(?:^|\s)(?:(?i:" + "|".join(ABBREVIATIONS) + r")|(?:[a-zA-Z]\.){0,15}[a-zA-Z]))\.)(?=\s*(?:\p{Lu}|\z))|\z)"
-)
+# A sentence runs over everything but the marks that end one: a mark followed by a capital letter or the end, no dot of an
+# abbreviation, single letter or dotted acronym. All repeats are possessive, so each character is read once.
+_SHORT = r"(?<!(?:^|\s)(?:(?i:" + "|".join(ABBREVIATIONS) + r")|(?:[a-zA-Z]\.){0,63}[a-zA-Z])\.)"
+SENTENCES = r"(?sU)\s*(?=\S)(?:[^.!?]++|[.!?](?!(?:(?<=[!?])|" + _SHORT + r")(?=\s*(?:\p{Lu}|\z))))*+[.!?]?"
 
 
 @dataclass(frozen=True)

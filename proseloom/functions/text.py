@@ -24,7 +24,10 @@ def tokens(text: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    return F.regexp_replace(word, r"^(.{3,}?)(?:" + "|".join(P.SUFFIXES) + ")$", "$1")
+    some = F.lit(False)
+    for suffix in P.SUFFIXES:
+        some = some | word.endswith(suffix)
+    return F.when(some, F.regexp_replace(word, r"^(.{3,}?)(?:" + "|".join(P.SUFFIXES) + ")$", "$1")).otherwise(word)
 
 
 KINDS = [("Number", P.NUMBER), ("Date", P.DATE), ("Causal", P.CAUSAL), ("Comparative", P.COMPARATIVE), ("Authority", P.APPEAL)]

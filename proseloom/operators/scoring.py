@@ -17,15 +17,12 @@ def claims_of(block: Column) -> Column:
     """Claims of a block with grounded and reason: own source signal, else the preceding, else the following sentence."""
 
     def judged(found: Column) -> Column:
-        def one(s: Column, i: Column) -> Column:
-            near = lambda j, words: F.concat(F.lit(words), T.source_signal(F.get(found, j)["text"]))
-            return F.struct(s.alias("s"), T.claim_kinds(s["text"]).alias("kinds"), i.alias("i"), near(i, "").alias("own"), near(i - 1, "preceding sentence ").alias("before"), near(i + 1, "following sentence ").alias("after"))
-
-        # Signals are looked for only beside claims.
-        some = F.filter(F.transform(found, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: (F.size(T.claim_kinds(x["s"]["text"])) > 0) & ~T.self_reported(x["s"]["text"]))
-        each = F.transform(some, lambda x: one(x["s"], x["i"]))
-        why = lambda c: F.coalesce(c["own"], c["before"], c["after"])
-        return F.transform(each, lambda c: let(why(c), lambda w: F.struct(
+        near = lambda j, words: F.concat(F.lit(words), T.source_signal(F.get(found, j)["text"]))
+        every = F.transform(found, lambda s, i: F.struct(s.alias("s"), i.alias("i"), T.claim_kinds(s["text"]).alias("kinds")))
+        some = F.filter(every, lambda c: (F.size(c["kinds"]) > 0) & ~T.self_reported(c["s"]["text"]))
+        # Signals are looked for only beside claims, and no further than the first.
+        why = lambda c: F.coalesce(T.source_signal(c["s"]["text"]), near(c["i"] - 1, "preceding sentence "), near(c["i"] + 1, "following sentence "))
+        return F.transform(some, lambda c: let(why(c), lambda w: F.struct(
             block["block_index"].alias("block_index"), c["s"]["sent_index"].alias("sent_index"), c["s"]["text"].alias("text"), c["s"]["start_char"].alias("start_char"), c["s"]["end_char"].alias("end_char"),
             c["kinds"].alias("kinds"), w.isNotNull().alias("grounded"), F.coalesce(w, F.lit("no source signal near the claim")).alias("reason"),
         )))

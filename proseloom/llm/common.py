@@ -63,6 +63,11 @@ def staged(df: DataFrame, tag: str, keep: bool = False, by: tuple[str, ...] = ()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """df of at most so many narrow rows, in partitions of about ``each``, so that a small table isn't many files."""
+    return df.coalesce(1 + rows // each)
+
+
 def bucketed(df: DataFrame, tag: str, column: str) -> DataFrame:
     """As `staged`, in buckets of a column: what is grouped or joined by it later need not move this table again."""
     spark = df.sparkSession

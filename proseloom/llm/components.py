@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, staged
+from .common import sized, spread_join, staged
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -27,7 +27,7 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
         large = spread_join(both, low, "a", 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = spread_join(large, low, "a", 2 * before[0]).select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = staged(small.where("a <> b").distinct(), "edges")
+        edges = staged(sized(small.where("a <> b").distinct(), before[0]), "edges")
         after = _sum(edges)
         if after == before:
             break

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, pack, scratch, spread_join, staged, table, unpack, with_pairs, words_hash
+from .common import fresh, pack, scratch, sized, spread_join, staged, table, unpack, with_pairs, words_hash
 from .components import components
 from .repeats import Rolling, _cut
 from .tokens import NO_ID, Block, blocks, bucket_count, dealt, hashes, ids_out, joined, mix, of_blocks, with_replies
@@ -407,13 +407,14 @@ def classified(docs: DataFrame, recall: float, keyed: bool) -> DataFrame:
     meet = staged(with_replies(parts, replies, lambda b, a: members(b, a, buckets, runs, branch, keyed), PARTS), "members")
     edges = meet.where("part = 'meet'").groupBy("bucket").applyInPandas(met, "a long, b long")
     edges = edges.unionByName(meet.where("part = 'edge'").select("nodes", "docs").mapInPandas(unpacked_edges, "a long, b long"))
-    group = staged(components(edges), "groups")
+    documents = parts.agg(F.sum("n_docs")).first()[0] or 0  # no table of nodes has more rows
+    group = staged(sized(components(edges), documents), "groups")
     sizes = group.groupBy("root").agg(F.count("*").alias("n"))
     group = spread_join(group, sizes, "root", group.count()).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
 
     # A node is one row for each block that has it; the first of these speaks for it.
     flat = staged(meet.where("part = 'docs'").select("block", "nodes", "low").mapInPandas(unpacked_nodes, "block long, node long, low long"), "block-nodes")
-    homes = staged(flat.groupBy("node").agg(F.min("block").alias("block"), F.min("low").alias("low")), "node-homes")
+    homes = staged(sized(flat.groupBy("node").agg(F.min("block").alias("block"), F.min("low").alias("low")), documents), "node-homes")
     told = group.join(homes, "node").groupBy("block").agg(F.collect_list(F.struct("node", "root", "tiles")).alias("of"))  # at most a block's documents
     told = told.select(F.lit(0).alias("kind"), "block", F.lit(0).alias("bucket"), "of")
 
@@ -434,7 +435,7 @@ def classified(docs: DataFrame, recall: float, keyed: bool) -> DataFrame:
     over = components(links.where("tiled and node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "joined")
     nodes = totals.join(over, "node", "left").select("node", "n_links", F.coalesce("joined", "root").alias("root"))
     nodes = homes.join(nodes, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    nodes = staged(nodes, "linked")
+    nodes = staged(sized(nodes, documents), "linked")
     classes = nodes.groupBy("root").agg(F.min(F.struct("low", "node")).alias("best"), F.count("*").alias("n"))
     joined_up = spread_join(nodes, classes, "root", nodes.count())
     of_node = joined_up.select("node", F.col("best.low").alias("class_low"), (F.col("node") == F.col("best.node")).alias("first"), "n_links")

@@ -27,7 +27,7 @@ from .common import WORD, bucketed, keyed_texts, pack, squeeze, unpack, unsqueez
 
 WORDS_A_BLOCK, DOCS_A_BLOCK = 1_000_000, 100_000
 NO_ID = np.iinfo(np.int64).max
-BLOCK = "block long, n_words long, has_id binary, doc_ids binary, lens binary, ids binary, words binary"
+BLOCK = "block long, n_words long, n_docs long, has_id binary, doc_ids binary, lens binary, ids binary, words binary"
 _RUNS = re.compile(WORD)
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -83,7 +83,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order), dtype=np.int32)
             names = list(seen)
-            return pd.DataFrame([{"block": (part << 20) + seq, "n_words": len(numbers), "has_id": pack(np.array(has, np.bool_)), "doc_ids": pack(np.array(ids, np.int64)), "lens": pack(np.array(lens, np.int32)), "ids": pack(rank[numbers]), "words": squeeze("\n".join([names[i] for i in order]).encode("utf-8", "surrogatepass"))}])
+            return pd.DataFrame([{"block": (part << 20) + seq, "n_words": len(numbers), "n_docs": len(ids), "has_id": pack(np.array(has, np.bool_)), "doc_ids": pack(np.array(ids, np.int64)), "lens": pack(np.array(lens, np.int32)), "ids": pack(rank[numbers]), "words": squeeze("\n".join([names[i] for i in order]).encode("utf-8", "surrogatepass"))}])
 
         for b in batches:
             for known, doc_id, text in zip(b["has_id"].tolist(), b["doc_id"].tolist(), b["text"], strict=True):

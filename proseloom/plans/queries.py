@@ -1,8 +1,10 @@
-"""The registered queries of the prose-integrity engine, each with SQL that states its result independently.
+"""The registered queries of the prose-integrity engine, each with SQL for its result.
 
 ``notes`` are markdown documents derived from every order: a heading, a paragraph of two sentences, a second paragraph
 that pads, restates or reports, a list item, a quote and a fence. Their texts are built by the same expressions in both
-engines; the SQL then takes blocks and sentences from the construction instead of parsing."""
+engines; the SQL takes blocks and sentences from the construction. ``document_scores`` and ``conversation_reports`` run
+over whole texts of the tables, where the SQL splits lines and sentences itself. Patterns that decide results are those
+of `functions.patterns`, rewritten for an engine without look-arounds."""
 
 from __future__ import annotations
 
@@ -39,13 +41,21 @@ _ATTRIBUTION = P.ATTRIBUTION.removeprefix("(?Ui)").removesuffix(P.VAGUE)
 _re = lambda p: p.replace("(?Ui)", "(?i)").replace("(?U)", "").replace("'", "''")
 
 
+def _plain(t: str) -> str:
+    """Letters beyond ASCII as z: RE2 knows word bounds of ASCII only."""
+    return f"regexp_replace({t}, '[À-ÖØ-öø-ɏ]', 'z', 'g')"
+
+
 def _kinds(t: str) -> str:
+    t = _plain(t)
     return "[x FOR x IN [" + ", ".join(f"CASE WHEN regexp_matches({t}, '{_re(p)}') THEN '{k}' END" for k, p in T.KINDS) + "] IF x IS NOT NULL]"
 
 
 def _signal(t: str) -> str:
+    t = _plain(t)
     m = lambda p: f"regexp_matches({t}, '{_re(p)}')"
-    attributed = f"(regexp_matches({t}, '(?i){_re(_ATTRIBUTION)}') AND NOT regexp_matches({t}, '(?i){_re(_ATTRIBUTION)}{_VAGUE}'))"
+    without = lambda head, tail: f"(regexp_matches({t}, '(?i){_re(head)}{_re(tail)}') AND NOT regexp_matches({t}, '(?i){_re(head)}{_VAGUE}'))"
+    attributed = without(_ATTRIBUTION, "") + " OR " + without(*P.WITNESS.removeprefix("(?Ui)").split(P.VAGUE))
     return (
         f"CASE WHEN {m(P.LINK)} THEN 'carries a link or URL' WHEN {m(P.FOOTNOTE)} THEN 'carries a footnote marker' WHEN {m(P.INLINE_CITE)} THEN 'carries an inline citation' "
         f"WHEN {m(P.AUTHORITY)} THEN 'names an authority or study' WHEN {attributed} THEN 'attributes the claim to a named record' WHEN {m(P.LOCATION)} THEN 'says where the record can be found' END"
@@ -64,7 +74,12 @@ def _jaccard(a: str, b: str) -> str:
     return f"CASE WHEN coalesce(len({a}), 0) = 0 OR coalesce(len({b}), 0) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) END"
 
 
-_CTE = _sql(
+def _proper(t: str) -> str:
+    words = f"list_filter(string_split_regex({t}, '\\s+'), lambda x: x <> '')"
+    return f"len(list_filter(range(2, len({words}) + 1), lambda i: regexp_matches(trim({words}[i], '.,;:!?()\"' || chr(39)), '^[A-Z][a-z]+') AND NOT regexp_matches({words}[i - 1], '[.!?]$'))) > 0"
+
+
+_NOTES = _sql(
     "WITH base AS (SELECT o_orderkey AS k, " + ", ".join(f"{e} AS {n}" for n, e in _PARTS.items()).replace("k ", "o_orderkey ").replace("(k ", "(o_orderkey ") + " FROM orders), "
 ) + rf"""
 cuts AS (SELECT *, length('# ' || title) AS a, length(s1 || ' ' || s2) AS b, length(s3) AS c, length('- item ' || k) AS d FROM base),
@@ -79,7 +94,8 @@ sents AS (
   SELECT k AS doc_id, 1 AS block_index, 0 AS sent_index, s1 AS text, a + 2 AS start_char, 3 AS line FROM cuts
   UNION ALL SELECT k, 1, 1, s2, a + 3 + length(s1), 3 FROM cuts
   UNION ALL SELECT k, 2, 0, s3, a + b + 4, 5 FROM cuts
-  UNION ALL SELECT k, 3, 0, '- item ' || k, a + b + c + 6, 7 FROM cuts),
+  UNION ALL SELECT k, 3, 0, '- item ' || k, a + b + c + 6, 7 FROM cuts),"""
+_TAIL = rf"""
 signals AS (SELECT *, {_signal('text')} AS own, {_kinds('text')} AS kinds FROM sents),
 near AS (SELECT *, coalesce(own, 'preceding sentence ' || lag(own) OVER w, 'following sentence ' || lead(own) OVER w) AS why FROM signals WINDOW w AS (PARTITION BY doc_id, block_index ORDER BY sent_index)),
 claims AS (
@@ -92,7 +108,7 @@ dens AS (
   SELECT s.*, {_jaccard('own', 'head')} AS heading_overlap, {_jaccard('own', 'prev')} AS prev_overlap, coalesce(novel_ratio, 0.0) AS novel_ratio, list_filter({_FILLER}, lambda p: contains(lower(text), p)) AS hits
   FROM (SELECT *, lag(own) OVER (PARTITION BY doc_id ORDER BY block_index) AS prev FROM sets) s LEFT JOIN novel USING (doc_id, block_index)),
 padded AS (SELECT *, (greatest(heading_overlap, prev_overlap) >= 0.5 AND novel_ratio <= 0.35) OR len(hits) >= 2 AS pad,
-  regexp_matches(text, '{_re(P.NUMBER)}') OR regexp_matches(text, '{_re(P.DATE)}') OR text LIKE 'Later Maria%' AS fact FROM dens),
+  regexp_matches(text, '{_re(P.NUMBER)}') OR regexp_matches(text, '{_re(P.DATE)}') OR {_proper('text')} AS fact FROM dens),
 flags AS (SELECT *, pad AND NOT fact AS flagged, pad AND fact AS fact_override FROM padded),
 findings AS (
   SELECT doc_id, 'GROUND001' AS rule_id, 'Warning' AS severity, block_index, line AS start_line, line AS end_line, start_char, end_char, 'specific claim: ' || reason AS message FROM claims WHERE NOT grounded
@@ -102,12 +118,27 @@ scores AS (
   SELECT k AS doc_id, coalesce(gap, 0.0) AS gap, coalesce(rate, 0.0) AS rate, 0.6 * coalesce(gap, 0.0) + 0.4 * coalesce(rate, 0.0) AS score
   FROM base LEFT JOIN (SELECT doc_id AS k, avg(CASE WHEN grounded THEN 0.0 ELSE 1.0 END) AS gap FROM claims GROUP BY 1) USING (k)
   LEFT JOIN (SELECT doc_id AS k, avg(CASE WHEN flagged THEN 1.0 ELSE 0.0 END) AS rate FROM flags GROUP BY 1) USING (k)),
-banded AS (SELECT doc_id, round(gap, 6) AS gap, round(rate, 6) AS rate, round(score, 6) AS score, CASE WHEN score >= 0.5 THEN 'Slop' WHEN score >= 0.2 THEN 'Watch' ELSE 'Clean' END AS band FROM scores),
+banded AS (SELECT doc_id, round(gap, 6) AS gap, round(rate, 6) AS rate, round(score, 6) AS score, CASE WHEN score >= 0.5 THEN 'Slop' WHEN score >= 0.2 THEN 'Watch' ELSE 'Clean' END AS band FROM scores)"""
+_LABELS = """,
 cases AS (SELECT doc_id, ['Clean', 'Watch', 'Slop'][CAST(doc_id % 3 AS INTEGER) + 1] AS want_band, CASE doc_id % 4 WHEN 0 THEN ['GROUND001'] WHEN 1 THEN ['FILLER001'] ELSE [] END AS rules FROM banded),
 fired AS (SELECT DISTINCT doc_id, rule_id FROM findings),
 grid AS (SELECT c.doc_id, r.rule, list_contains(c.rules, r.rule) AS want, f.rule_id IS NOT NULL AS got FROM cases c CROSS JOIN (SELECT unnest(['GROUND001', 'DENSITY001', 'FILLER001']) AS rule) r LEFT JOIN fired f ON f.doc_id = c.doc_id AND f.rule_id = r.rule)
 """
 
+_CTE = _NOTES + _TAIL + _LABELS
+
+# Documents whose lines are paragraphs. Dots that end no sentence are hidden (\x02) one level of an acronym at a time, then
+# the ends of sentences are marked (\x01) and texts are split there.
+_HIDDEN = "regexp_replace(text, '(^|\\s)((?i:" + "|".join(P.ABBREVIATIONS) + "))\\.', '\\1\\2' || chr(2), 'g')"
+for _ in range(6):
+    _HIDDEN = f"regexp_replace({_HIDDEN}, '(^|\\s)((?:[a-zA-Z]\\x02)*[a-zA-Z])\\.', '\\1\\2' || chr(2), 'g')"
+_LINES = f"""WITH base AS (SELECT doc_id AS k, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT k AS doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM base),
+blocks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS block_index, 'Paragraph' AS kind, 2 * line + 1 AS start_line, 0 AS start_char, text, 0 AS heading_level, NULL::VARCHAR AS heading FROM lines WHERE regexp_matches(text, '\\S')),
+marked AS (SELECT doc_id, block_index, start_line, string_split(regexp_replace({_HIDDEN}, '([.!?])(\\s*)(\\p{{Lu}})', '\\1' || chr(1) || '\\2\\3', 'g'), chr(1)) AS parts FROM blocks),
+sents AS (SELECT doc_id, block_index, sent_index, trim(replace(part, chr(2), '.')) AS text, 0 AS start_char, start_line AS line FROM (SELECT *, unnest(parts) AS part, unnest(range(0, len(parts))) AS sent_index FROM marked)),
+"""
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -220,26 +251,44 @@ def token_freq(spark, sf_dir):
     return docs.select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query(_LINES + _TAIL + " SELECT doc_id, gap, rate, score, band FROM banded", cte=False)
 def document_scores(spark, sf_dir):
     """The flagship over the raw documents, each line a paragraph."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
-    return Analysis(docs).scores()
+    return Analysis(docs).scores().select("doc_id", *[F.round(c, 6).alias(c) for c in ("gap", "rate", "score")], "band")
 
 
-@query(None)
-def conversation_reports(spark, sf_dir):
-    """Conversations as markdown, a heading for each turn; console and JSON reports."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id is not null")
-    part = F.concat(F.lit("## "), F.coalesce("role", F.lit("")), F.lit("\n\n"), F.coalesce("text", F.lit("")))
-    docs = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))).alias("parts")).select(F.col("conv_id").alias("doc_id"), F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n").alias("text"))
-    return Analysis(docs).reports().select("doc_id", "score", "band", "report", "json")
+_REPORT = """,
+listed AS (SELECT *, lag(block_index) OVER (PARTITION BY doc_id ORDER BY block_index, start_char, rule_id) AS above FROM findings),
+told AS (SELECT doc_id, count(*) AS n, string_agg(CASE WHEN above = block_index THEN '' ELSE '  block ' || block_index || chr(10) END || '    ' || doc_id || ':' || start_line || '  ' || lower(severity) || '  ' || rule_id || '  ' || message || chr(10), '' ORDER BY block_index, start_char, rule_id) AS body FROM listed GROUP BY 1)
+SELECT doc_id, score, band, doc_id || '  -  ' || band || ' (score ' || printf('%.2f', score) || ')' || chr(10) || chr(10) || coalesce(body || chr(10), '  no findings' || chr(10) || chr(10)) || coalesce(n, 0) || ' finding(s), band ' || band || chr(10) AS report
+FROM banded LEFT JOIN told USING (doc_id)"""
+_TURNS = (
+    _LINES.replace("SELECT doc_id AS k, coalesce(text, '') AS text FROM documents", "SELECT coalesce(CAST(conv_id AS VARCHAR), '') || ':' || coalesce(CAST(turn AS VARCHAR), '') AS k, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations")
+    .replace("row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS block_index", "row_number() OVER (PARTITION BY doc_id ORDER BY line) AS block_index").replace("2 * line + 1 AS start_line", "2 * line + 3 AS start_line")
+    .replace("NULL::VARCHAR AS heading FROM lines", "role AS heading FROM lines JOIN base ON k = doc_id").replace("0 AS start_char, text, 0 AS heading_level", "0 AS start_char, lines.text, 0 AS heading_level")
+    .replace("WHERE regexp_matches(text, '\\S')", "WHERE regexp_matches(lines.text, '\\S')").replace("AS text, 0 AS start_char, start_line AS line", "AS text, sent_index AS start_char, start_line AS line")
+)
 
 
-_HOSTS = ["localhost", "10.1.2.3", "172.20.0.1", "192.168.1.9", "169.254.1.1", "0.0.0.0", "127.0.0.5", "printer.local", "intranet", "8.8.8.8", "www.example.org"]
-_WHY = ["loopback address", "private address", "private address", "private address", "link-local address", "unspecified address", "loopback address", "private network name", "not a public hostname", None, None]
-_host_case = "CASE page_id % 11 " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HOSTS)) + " END"
-_why_case = "CASE page_id % 11 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_WHY) if w) + " END"
+@query(_TURNS + _TAIL + _REPORT, cte=False)
+def conversation_reports(spark, sf_dir):
+    """Console reports of turns, each a markdown document of its own: a heading for the role, each line a paragraph. A
+    null in the conversation or turn is empty in the name; repeated turns are reported again."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    text = F.concat(F.lit("## "), said("role"), F.lit("\n\n"), F.replace(said("text"), F.lit("\n"), F.lit("\n\n")))
+    docs = turns.select(F.concat(said("conv_id"), F.lit(":"), said("turn")).alias("doc_id"), text.alias("text"))
+    return Analysis(docs).reports().select("doc_id", F.round("score", 6).alias("score"), "band", "report")
+
+
+_REFUSED = {
+    "localhost": "loopback address", "10.1.2.3": "private address", "172.20.0.1": "private address", "192.168.1.9": "private address", "169.254.1.1": "link-local address", "0.0.0.0": "unspecified address", "127.0.0.5": "loopback address",
+    "printer.local": "private network name", "intranet": "not a public hostname", "8.8.8.8": None, "www.example.org": None, "[::1]": "loopback address", "[0::1]": "loopback address", "[::ffff:7f00:1]": "loopback address", "[::ffff:10.0.0.1]": "private address",
+    "[fe80::9]": "link-local address", "[fd12::1]": "private address", "[2001:db8::1]": None, "127.1": "loopback address", "0x7f.0.0.1": "loopback address", "0177.0.0.1": "loopback address", "2130706433": "loopback address", "300.1.1.1": "not a public hostname",
+}
+_host_case = f"CASE page_id % {len(_REFUSED)} " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_REFUSED)) + " END"
+_why_case = f"CASE page_id % {len(_REFUSED)} " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_REFUSED.values()) if w) + " END"
 
 
 @query(f"SELECT page_id, 'a' AS form, {_why_case} AS refusal FROM pages UNION ALL SELECT page_id, 'b', 'carries credentials' FROM pages UNION ALL SELECT page_id, 'c', 'ftp is not a fetchable scheme' FROM pages UNION ALL SELECT page_id, 'd', 'not an absolute url' FROM pages UNION ALL SELECT page_id, 'e', CASE WHEN regexp_matches(url, '^https?://[^/]*\\.') THEN NULL ELSE 'not a public hostname' END FROM pages", cte=False)

@@ -287,7 +287,7 @@ def test_files_and_stream(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("orders", "documents", "pages", "events"):
+    for t in ("orders", "documents", "pages", "events", "conversations"):
         con.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     ours = QUERIES[name](spark, SF)
     columns = sorted(ours.columns)

@@ -18,7 +18,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,71 +47,62 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Kept(dict):
+    """Values made once for each key."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        found = self[key] = self.make(key)
+        return found
+
+
 class Coder:
     """Ids of a text by the tokenizer file. Where the file's rules drop white space and split words by the rule above,
-    words are encoded one by one and kept up to a bound; new words are put together from their parts, and new parts go
-    through the tokenizer many at once. Any other file encodes whole texts."""
+    words are encoded one by one and kept up to a bound; new words are put together from their parts, which go to the
+    file's model without its rules. Any other file encodes whole texts."""
 
     def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.by_word = (
-            (rules.get("normalizer") or {}).get("normalizers") == _NORMAL and steps[0].get("pattern") == {"Regex": _SPLIT}
+            (rules.get("normalizer") or {}).get("normalizers") == _NORMAL and steps[0].get("pattern") == {"Regex": _SPLIT} and rules["model"].get("type") == "BPE"
             and (steps[0].get("behavior"), steps[0].get("invert")) == ("Removed", True) and [x["type"] for x in steps[1:]] == ["ByteLevel"] and not steps[1].get("use_regex")
         )
         self.special = [t["content"] for t in rules.get("added_tokens") or []]
-        ends = rules["model"].get("end_of_word_suffix")
-        vocab = rules["model"].get("vocab") or {}
-        self.last = np.zeros(max([0, *vocab.values()]) + 1, bool) if ends and isinstance(vocab, dict) else None
-        if self.last is not None:
-            self.last[[i for piece, i in vocab.items() if piece.endswith(ends)]] = True
+        spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: spelt.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.model = self.tokenizer.model
+        self.words, self.parts = Kept(self._word), Kept(self._part)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_parts(self, new: list[str]) -> None:
-        """Parts that are encoded in one text end with a piece of their own each, which tells where to cut."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4") if self.last is not None else np.zeros(0, "<u4")
-        cuts = np.nonzero(self.last[ids])[0] + 1 if len(ids) else ids
-        if len(cuts) == len(new) and cuts[-1] == len(ids):
-            raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
-            self.parts.update(zip(new, [raw[s:e] for s, e in zip(cuts, cuts[1:], strict=False)], strict=True))
-        else:
-            self.parts.update(zip(new, self._whole(new), strict=True))
-
-    def _learn(self, new: set[str]) -> None:
-        known, parts = self.known, self.parts
-        plain = [w for w in new if _PLAIN.fullmatch(w) and not ("<" in w and any(t in w for t in self.special))]
-        if len(plain) < len(new):
-            odd = list(new.difference(plain))
-            known.update(zip(odd, self._whole(odd), strict=True))
-        split = [_PARTS.findall(w.lower()) for w in plain]
-        if len(parts) > self.keep:
-            parts.clear()
-        if missing := list(set().union(*split) - parts.keys()):
-            self._learn_parts(missing)
-        get = parts.__getitem__
-        for word, own in zip(plain, split, strict=True):
-            known[word] = get(own[0]) if len(own) == 1 else b"".join(map(get, own))
+    def _part(self, part: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.letters))], "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if not _PLAIN.fullmatch(word) or "<" in word and any(t in word for t in self.special):
+            return self._whole([word])[0]
+        parts = _PARTS.findall(word.lower())
+        return self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_word:
             return self._whole(texts)
-        split = [_SPACE.split(t) if _ODD.search(t) else t.split() for t in texts]
-        known = self.known
-        if len(known) > self.keep:
-            known.clear()
-        if new := set().union(*split) - known.keys():
-            self._learn(new)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        for kept in (self.words, self.parts):
+            if len(kept) > self.keep:
+                kept.clear()
+        known = self.words.__getitem__
+        return [b"".join(map(known, _SPACE.split(t) if _ODD.search(t) else t.split())) for t in texts]
 
 
 def coder(path: str) -> Coder:

@@ -423,7 +423,11 @@ def test_word_by_word_ids_are_the_tokenizers():
 
     coder, path = Tokenizer.from_file(packing.default_tokenizer()), packing.default_tokenizer()
     texts = ["Don't STOP now", "é ÉA ΑΣ ΑΣΑ a b", "x<|endoftext|>y <|startoftext|>", " odd\x1cspaces\x85​here 123abc", "  ", "…!? a_b 漢字"]
+    r = random.Random(7)
+    texts += ["".join(r.choice("abcXYZ éÉßàÿ×÷'\"'sdmtrvel019.,-<|_*#@¿") for _ in range(60)) for _ in range(3000)] + ["".join(chr(r.choice([*range(32, 128), *range(160, 600), 0x300, 0x301, 0x1E9E, 0x212A])) for _ in range(40)) for _ in range(1500)]
     assert packing.Coder(path).encode(texts) == [np.array(coder.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    other = packing.Coder(path.replace("word_bpe_49k", "byte_bpe_50k"))  # other rules: whole texts
+    assert not other.by_word and other.encode(texts[:50]) == [np.array(other.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[:50]]
 
 
 def _message(*parts):

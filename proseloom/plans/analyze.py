@@ -115,16 +115,16 @@ def outcomes(cases: DataFrame, results: DataFrame) -> DataFrame:
 
 def evaluation(results: DataFrame) -> DataFrame:
     """One row: tp, fp, fn, tn over cases and rules, precision, recall, fpr, f1, bands_matched, known_gaps, regressions."""
-    rule = F.explode(F.array(*map(F.lit, RULES))).alias("rule")
-    flat = results.select("file", "rules", "fired", rule).select(F.array_contains("rules", F.col("rule")).alias("want"), F.array_contains("fired", F.col("rule")).alias("got"))
+    each = results.select("*", F.posexplode(F.array(*map(F.lit, RULES))).alias("place", "rule"))
     count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    w, g = F.col("want"), F.col("got")
-    m = flat.agg(count(w & g).alias("tp"), count(~w & g).alias("fp"), count(w & ~g).alias("fn"), count(~w & ~g).alias("tn"))
+    want, got, once = F.array_contains("rules", F.col("rule")), F.array_contains("fired", F.col("rule")), F.col("place") == 0
+    m = each.agg(
+        count(want & got).alias("tp"), count(~want & got).alias("fp"), count(want & ~got).alias("fn"), count(~want & ~got).alias("tn"),
+        count(once & F.col("band_matched")).alias("bands_matched"), count(once & F.col("known_gap").isNotNull()).alias("known_gaps"), count(once & F.col("regressed")).alias("regressions"), count(once).alias("cases"),
+    )
     m = m.withColumn("precision", T.ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", T.ratio(F.col("tp"), F.col("tp") + F.col("fn"))).withColumn("fpr", T.ratio(F.col("fp"), F.col("fp") + F.col("tn")))
     s = F.col("precision") + F.col("recall")
-    m = m.withColumn("f1", F.when(s == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / s))
-    c = results.agg(count(F.col("band_matched")).alias("bands_matched"), count(F.col("known_gap").isNotNull()).alias("known_gaps"), count(F.col("regressed")).alias("regressions"), F.count("*").alias("cases"))
-    return m.crossJoin(c)  # one row each
+    return m.withColumn("f1", F.when(s == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / s))
 
 
 def fired(summary: DataFrame) -> DataFrame:

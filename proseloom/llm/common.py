@@ -110,10 +110,17 @@ def with_pairs(docs: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(pairs), same & (own.bitwiseXOR(other) == 0), how) if few else docs.join(pairs, same & (own == other), how)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int, count: str = "n") -> DataFrame:
-    """Inner join with a table of one row a key that counts the left rows of it. Keys of many rows (at most 100,000 keys,
-    by their number) are sent to the rows; the others are shuffled as usual."""
-    bar = max(64, rows // 100_000)
+def crowd(rows: int) -> int:
+    """Over so many of the rows a key is hot; there are at most 100,000 such keys."""
+    return max(1000, rows // 100_000)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int, most: int, count: str = "n") -> DataFrame:
+    """Inner join with a table of one row a key that counts the left rows of it, ``most`` at most. Hot keys are sent to
+    the rows; the others are shuffled as usual."""
+    bar = crowd(rows)
+    if most <= bar:
+        return left.join(right, key)
     hot, cold = right.where(F.col(count) > bar), right.where(F.col(count) <= bar)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
     return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))

@@ -9,8 +9,10 @@ from .common import sized, spread_join, staged
 
 
 def _sum(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return r[0], r[1]
+    """The number of edges, the sum of their hashes, and the most that any node has, or more."""
+    r = edges.groupBy("b").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("h"), F.max("n")).first()
+    most = edges.groupBy("a").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return r[0], r[1], (r[2] or 0) + (most or 0)
 
 
 def components(edges: DataFrame, most: int = 40) -> DataFrame:
@@ -24,9 +26,9 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
-        large = spread_join(both, low, "a", 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = spread_join(both, low, "a", 2 * before[0], before[2]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = spread_join(large, low, "a", 2 * before[0]).select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        small = spread_join(large, low, "a", 2 * before[0], before[2]).select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         edges = staged(sized(small.where("a <> b").distinct(), before[0]), "edges")
         after = _sum(edges)
         if after == before:

@@ -410,7 +410,7 @@ def classified(docs: DataFrame, recall: float, keyed: bool) -> DataFrame:
     documents = parts.agg(F.sum("n_docs")).first()[0] or 0  # no table of nodes has more rows
     group = staged(sized(components(edges), documents), "groups")
     sizes = group.groupBy("root").agg(F.count("*").alias("n"))
-    group = spread_join(group, sizes, "root", group.count()).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    group = spread_join(group, sizes, "root", group.count(), sizes.agg(F.max("n")).first()[0] or 0).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
 
     # A node is one row for each block that has it; the first of these speaks for it.
     flat = staged(meet.where("part = 'docs'").select("block", "nodes", "low").mapInPandas(unpacked_nodes, "block long, node long, low long"), "block-nodes")
@@ -437,7 +437,7 @@ def classified(docs: DataFrame, recall: float, keyed: bool) -> DataFrame:
     nodes = homes.join(nodes, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     nodes = staged(sized(nodes, documents), "linked")
     classes = nodes.groupBy("root").agg(F.min(F.struct("low", "node")).alias("best"), F.count("*").alias("n"))
-    joined_up = spread_join(nodes, classes, "root", nodes.count())
+    joined_up = spread_join(nodes, classes, "root", nodes.count(), classes.agg(F.max("n")).first()[0] or 0)
     of_node = joined_up.select("node", F.col("best.low").alias("class_low"), (F.col("node") == F.col("best.node")).alias("first"), "n_links")
     of_block = flat.select("block", "node").join(of_node, "node")
     return meet.where("part = 'docs'").select("block", "docs", "has_id", "nodes", "low", "copies", "words").groupBy("block").cogroup(of_block.groupBy("block")).applyInPandas(told_documents, FOUND)

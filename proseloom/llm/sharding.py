@@ -2,7 +2,7 @@
 
 Row numbers come from a hash order: bucket = hash of (doc_id, text), ascending doc_id inside a bucket. Only narrow
 rows (id, size, two hashes) are shuffled, buckets are even whatever the ids are, and the order does not depend on how
-the input is split. The permuted number p gives shard = p mod S and slot = p div S, so sizes differ by one row at most
+the input is split. Buckets grow with the rows (ROWS_A_BUCKET each), so no window does. The permuted number p gives shard = p mod S and slot = p div S, so sizes differ by one row at most
 and either side can be computed from the row number alone (law ``rows``).
 
 Nulls: a null id hashes as a null, a null text has size 8 and the crc of no bytes. Rows that are equal in id and text
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 
-BUCKETS = 2048
+BUCKETS, MOST_BUCKETS, ROWS_A_BUCKET = 2048, 1_000_000, 100_000
 ROUNDS = 6
 WALKS = 48
 
@@ -51,7 +51,7 @@ def permuted(x: Column, rows: int, seed: int) -> Column:
     return F.when(once < rows, once).otherwise(walk)
 
 
-def shard(docs: DataFrame, shards: int = 24, seed: int = 20, buckets: int = BUCKETS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, seed: int = 20, buckets: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law), row_number."""
     spark = docs.sparkSession
     raw = F.coalesce("text", F.lit("")).cast("binary")
@@ -60,12 +60,14 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 20, buckets: int = BUCK
         (F.length(raw) + 8).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.xxhash64("doc_id", raw).alias("h"),
-    ).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
+    )
     keyed = staged(keyed, "shard-keys")
+    rows = keyed.count()
+    buckets = buckets or min(MOST_BUCKETS, max(BUCKETS, rows // ROWS_A_BUCKET))
+    keyed = keyed.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     counts = keyed.groupBy("bucket").agg(F.count("*").alias("n"))
-    # At most `buckets` rows, a constant: one small window and a broadcast.
+    # At most MOST_BUCKETS narrow rows: one small window and a broadcast.
     first = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("base"))
-    rows = keyed.count()
     if rows == 0:
         return keyed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.lit(0).cast("long").alias("row_number"))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id", "h", "size", "text_crc32"))

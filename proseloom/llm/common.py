@@ -10,7 +10,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words everywhere in this package: runs of anything but space, tab, LF, VT, FF and CR.
@@ -110,6 +110,42 @@ def with_pairs(docs: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(pairs), same & (own.bitwiseXOR(other) == 0), how) if few else docs.join(pairs, same & (own == other), how)
 
 
+#: Bytes as they count in `terms_of`: letters of ASCII in lower case, digits and bytes of other characters; else a space.
+_TERM_BYTES = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i > 127 else 32 for i in range(256))
+
+
+def terms_of(text: bytes) -> list[bytes]:
+    """The runs of letters, digits and characters beyond ASCII of a text in UTF-8, A-Z (and nothing else) lower-cased."""
+    return text.translate(_TERM_BYTES).split()
+
+
+def keyed_bytes(df: DataFrame) -> DataFrame:
+    """As `keyed_texts`, with the text's UTF-8 bytes as ``raw``."""
+    return keyed_texts(df).select("has_id", "doc_id", F.col("text").cast("binary").alias("raw"))
+
+
+#: Narrow rows in one partition of `numbered`.
+ROWS_TO_NUMBER = 500_000
+
+
+def numbered(df: DataFrame, order: list[str], name: str, rows: int) -> DataFrame:
+    """df of about so many rows with the column ``name``: 1, 2, 3, ... over all rows in ascending order of columns. Rows
+    are dealt by ranges of the order, equal rows by their place in the input, and each range starts where the ranges
+    before it end: no range and no window grows with the table or with one key."""
+    part, place = fresh(df, "part"), fresh(df, "place")
+    dealt = df.withColumn(place, F.monotonically_increasing_id()).repartitionByRange(1 + rows // ROWS_TO_NUMBER, *order, place)
+    dealt = staged(dealt.withColumn(part, F.spark_partition_id()), "numbered")
+    # A row a range: one for each ROWS_TO_NUMBER rows.
+    counts = sorted((r[0], r[1]) for r in dealt.groupBy(part).count().collect())
+    bases, base = [], 0
+    for p, n in counts:
+        bases.append((p, base))
+        base += n
+    first = df.sparkSession.createDataFrame(bases, f"{part} int, {name} long")
+    own = F.row_number().over(Window.partitionBy(part).orderBy(*order, place))
+    return dealt.withColumn(place, own).join(F.broadcast(first), part).select(*df.columns, (F.col(name) + F.col(place)).alias(name))
+
+
 def crowd(rows: int) -> int:
     """Over so many of the rows a key is hot; there are at most 100,000 such keys."""
     return max(1000, rows // 100_000)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import katz, media, nearjoin, oracle, packing, pieces, quality, repeats, sharding, topk
+from . import katz, lexical, media, mixing, nearjoin, oracle, packing, pieces, quality, repeats, resampling, sharding, topk
 
 QUERIES = {
     "op1_matroska": media.op1_matroska,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_bounded_packing": packing.op8_bounded_packing,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_fm_index": repeats.op10_fm_index,
+    "op11_cube_mixing": mixing.op11_cube_mixing,
+    "op12_dual_tree_search": lexical.op12_dual_tree_search,
+    "op13_bit_sliced_resampling": resampling.op13_bit_sliced_resampling,
 }
-SQL: dict[str, str] = {"op3_voronoi_top_k": topk.SQL, "op5_sparse_suffix_array": oracle.SPANS, "op7_chosen_path": oracle.NEAR, "op10_fm_index": oracle.SUBSTRING}
+SQL: dict[str, str] = {"op3_voronoi_top_k": topk.SQL, "op5_sparse_suffix_array": oracle.SPANS, "op7_chosen_path": oracle.NEAR, "op10_fm_index": oracle.SUBSTRING, "op12_dual_tree_search": oracle.SEARCH, "op13_bit_sliced_resampling": oracle.RESAMPLE}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 from dataclasses import dataclass, field, replace
 
 # Patterns, as Java regular expressions ((?U): Unicode classes and word bounds, (?i): case-insensitive).
@@ -56,6 +58,8 @@ FILLER = [
 PRIVATE_SUFFIXES = [".local", ".localhost", ".internal", ".intranet", ".lan", ".home.arpa"]
 #: Digits, letters and dots that some readers of URLs take for plain ones; percent signs.
 DISGUISED = r"%|[\uff01-\uff5e\u3002\uff61]|[\p{Nd}&&[^0-9]]"
+#: Characters that no host's name has: neither letters, digits, marks, -, _ and dots nor those of DISGUISED.
+NO_NAME = r"[^\p{L}\p{M}\p{N}._%\uff01-\uff5e\u3002\uff61-]"
 RULES = ["GROUND001", "DENSITY001", "FILLER001"]
 
 # Block pieces: every character of a text belongs to one match; groups that repeat are possessive (no deep recursion).
@@ -66,14 +70,46 @@ PIECES = (
     "(?U)" + _W + "(?:" + _FENCES + r"|#{1,6}(?: [^\n]*+|(?=\r?(?:\n|\z)))|>[^\n]*+(?:\n" + _W + r">[^\n]*+)*+|(?:[-*+] |\d++[.)] )[^\n]*+)"
     + "|(?!" + _START + r")[^\n]*\S[^\n]*+(?:\n(?!" + _START + r")[^\n]*\S[^\n]*+)*+" + r"|\n|[^\S\n]++"
 )
-# A sentence runs over everything but the marks that end one: a mark followed by a capital letter or the end, no dot of an
-# abbreviation, single letter or dotted acronym. All repeats are possessive, so each character is read once.
-_SHORT = r"(?<!(?:^|\s)(?:(?i:" + "|".join(ABBREVIATIONS) + r")|(?:[a-zA-Z]\.){0,63}[a-zA-Z])\.)"
-SENTENCES = r"(?sU)\s*(?=\S)(?:[^.!?]++|[.!?](?!(?:(?<=[!?])|" + _SHORT + r")(?=\s*(?:\p{Lu}|\z))))*+[.!?]?"
+# A sentence runs over white space, abbreviations and dotted acronyms that are the start of a token, other characters, and
+# marks that aren't followed by a capital letter or the end; then comes the mark that is. All repeats are possessive, so
+# each character is read once and no run is too long.
+_ACRONYM = r"(?<!\S)(?=[a-zA-Z]{1,4}+\.)(?:(?:[a-zA-Z]\.)++|(?i:" + "|".join(ABBREVIATIONS) + r")\.)"
+SENTENCES = r"(?sU)(?=.)(?:\s++|" + _ACRONYM + r"|[^.!?\s]++|[.!?](?!\s*(?:\p{Lu}|\z)))*+[.!?]?"
+#: White space as (?U)\s has it.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def for_ascii(pattern: str) -> str:
+    """The pattern as it reads texts of ASCII, on which it matches the same: Unicode classes and word bounds take many
+    times as long as plain ones."""
+    flags, rest = pattern.removeprefix("(?").split(")", 1) if pattern.startswith("(?") and "U" in pattern[: pattern.index(")")] else ("", pattern)
+    flags = flags.replace("U", "")
+    return (f"(?{flags})" if flags else "") + rest.replace(r"\p{Lu}", "[A-Z]")
+
+
+def phrase_pattern(phrases: list[str]) -> str:
+    """A pattern that matches the longest of the phrases at each place they start at, as a group of a zero-width match: one
+    pass finds them all, overlapping ones too. Phrases that start alike share that start, so a place is left at the first
+    character that none of them has."""
+
+    def alike(some: list[str], at: int) -> str:
+        """What may follow when the first ``at`` characters, which all share, have been read; the list is sorted."""
+        own = "?+" if len(some[0]) == at else ""
+        rest, parts = some[1:] if own else some, []
+        while rest:
+            same = [p for p in rest if p[at] == rest[0][at]]
+            end = len(os.path.commonprefix([same[0], same[-1]]))
+            parts.append(re.sub(r"([^\w\s])", r"\\\1", same[0][at:end]) + alike(same, end))
+            rest = rest[len(same) :]
+        return ("(?:" + "|".join(parts) + ")" + own if own or len(parts) > 1 else parts[0]) if parts else ""
+
+    return f"(?=({alike(sorted({p for p in phrases if p}), 0)}))"
 
 
 @dataclass(frozen=True)
 class Options:
+    """Thresholds and lexicon. The fields may be Columns too (`options_of`)."""
+
     grounding_weight: float = 0.6
     density_weight: float = 0.4
     watch_at: float = 0.2

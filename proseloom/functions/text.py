@@ -2,25 +2,52 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from . import patterns as P
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+_made: dict = {}
+
+
+def once(key: object, make: Callable[[], Column]) -> Column:
+    """make(), kept for the application: a Column belongs to no plan, and thousands of calls to the JVM make a large one."""
+    application = SparkSession.active().sparkContext.applicationId
+    if _made.get("application") != application:
+        _made.clear()
+        _made["application"] = application
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
 def trimmed(text: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(P.SPACE))
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def either(text: Column, use: Callable[[Callable[[str], str]], Column]) -> Column:
+    """use(f), where f gives each pattern in the form that fits the text: the plain one for a text of ASCII."""
+    return F.when(is_ascii(text), use(P.for_ascii)).otherwise(use(lambda p: p))
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased ASCII words of two letters and more, no stopwords, stemmed; repeats kept."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
-    stop = F.array(*map(F.lit, P.STOPWORDS))
-    kept = F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
-    return F.transform(kept, stem)
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), 0)
+    return F.transform(F.filter(words, lambda w: ~w.isin(P.STOPWORDS)), stem)
 
 
 def stem(word: Column) -> Column:
@@ -35,41 +62,71 @@ KINDS = [("Number", P.NUMBER), ("Date", P.DATE), ("Causal", P.CAUSAL), ("Compara
 
 def claim_kinds(text: Column) -> Column:
     """Kinds of claim a sentence makes, in a fixed order."""
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in KINDS]))
+    return either(text, lambda form: F.array_compact(F.array(*[F.when(text.rlike(form(p)), F.lit(k)) for k, p in KINDS])))
 
 
 def source_signal(text: Column) -> Column:
     """Why a text counts as sourced; null if it doesn't. The first rule that fires decides."""
-    return (
-        F.when(text.rlike(P.LINK), "carries a link or URL")
-        .when(text.rlike(P.FOOTNOTE), "carries a footnote marker")
-        .when(text.rlike(P.INLINE_CITE), "carries an inline citation")
-        .when(text.rlike(P.AUTHORITY), "names an authority or study")
-        .when(text.rlike(P.ATTRIBUTION) | text.rlike(P.WITNESS), "attributes the claim to a named record")
-        .when(text.rlike(P.LOCATION), "says where the record can be found")
-    )
+    return either(text, lambda form: (
+        F.when((text.contains("](") | text.contains("://")) & text.rlike(form(P.LINK)), "carries a link or URL")
+        .when(text.contains("[^") & text.rlike(form(P.FOOTNOTE)), "carries a footnote marker")
+        .when((text.contains("[") | text.contains("(")) & text.rlike(form(P.INLINE_CITE)), "carries an inline citation")
+        .when(text.rlike(form(P.AUTHORITY)), "names an authority or study")
+        .when(text.rlike(form(P.ATTRIBUTION)) | text.rlike(form(P.WITNESS)), "attributes the claim to a named record")
+        .when(text.rlike(form(P.LOCATION)), "says where the record can be found")
+    ))
 
 
 def self_reported(text: Column) -> Column:
     """A clock time, and no claim once clock times are blanked."""
-    return text.rlike(P.CLOCK) & (F.size(claim_kinds(F.regexp_replace(text, P.CLOCK, " "))) == 0)
+    return text.contains(":") & text.rlike(P.CLOCK) & (F.size(claim_kinds(F.regexp_replace(text, P.CLOCK, " "))) == 0)
 
 
 def proper_noun(text: Column) -> Column:
     """A capitalised word that doesn't start a sentence."""
     words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    places = F.sequence(F.lit(1), F.size(words) - 1)
-    inner = F.exists(places, lambda i: F.btrim(F.get(words, i), F.lit(".,;:!?()\"'")).rlike(P.PROPER_NOUN) & ~F.get(words, i - 1).rlike(r"[.!?]$"))
-    return F.when(F.size(words) > 1, inner).otherwise(F.lit(False))
+
+    def inner(ws: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(ws) - 1)
+        capital = lambda i: F.btrim(F.get(ws, i), F.lit(".,;:!?()\"'")).rlike(P.PROPER_NOUN)
+        return F.when(F.size(ws) > 1, F.exists(places, lambda i: capital(i) & ~F.get(ws, i - 1).rlike(r"[.!?]$"))).otherwise(F.lit(False))
+
+    return let(words, inner)
 
 
 def concrete_fact(text: Column) -> Column:
-    return text.rlike(P.NUMBER) | text.rlike(P.DATE) | proper_noun(text)
+    return either(text, lambda form: text.rlike(form(P.NUMBER)) | text.rlike(form(P.DATE))) | proper_noun(text)
 
 
-def filler_hits(text: Column, phrases: list[str]) -> Column:
-    """Phrases of the list that the lower-cased text contains, in the list's order."""
-    return F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.lower(text), p))
+#: So many phrases are looked for one by one; more are found in one pass over the text.
+FEW_PHRASES = 16
+
+
+def filler_hits(text: Column, phrases: list[str] | Column) -> Column:
+    """Phrases of the list that the lower-cased text contains, in the list's order, repeats kept."""
+    if isinstance(phrases, Column) or len(phrases) <= FEW_PHRASES or not any(phrases):
+        listed = phrases if isinstance(phrases, Column) else F.array(*map(F.lit, phrases))
+        return let(F.lower(text), lambda low: F.filter(listed, lambda p: F.contains(low, p)))
+    return phrases_in(F.lower(text), phrases)
+
+
+def phrases_in(text: Column, phrases: list[str]) -> Column:
+    """As `filler_hits`, of a lexicon of any size: the text is read once by an automaton of all phrases, which gives the
+    longest one at each place; the phrases that start a longer one are looked up for those found."""
+    places: dict[str, list[int]] = {}
+    for i, p in enumerate(phrases):
+        places.setdefault(p, []).append(i)
+    starts = {p: sorted(i for n in range(len(p) + 1) for i in places.get(p[:n], ())) for p in places if p}
+    table = F.from_json(F.lit(json.dumps(starts)), "map<string,array<int>>")
+    every = F.from_json(F.lit(json.dumps(phrases)), "array<string>")
+    always = F.array(*map(F.lit, places.get("", []))).cast("array<int>")
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(P.phrase_pattern(phrases)), 1))
+
+    def listed(some: Column) -> Column:
+        hits = F.array_sort(F.array_distinct(F.concat(always, F.flatten(F.transform(some, lambda p: F.try_element_at(table, p))))))
+        return F.when((F.size(some) == 0) & (F.size(always) == 0), F.array().cast("array<string>")).otherwise(F.transform(hits, lambda i: F.get(every, i)))
+
+    return let(found, listed)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -82,16 +139,29 @@ def band(score: Column, options: P.Options) -> Column:
     return F.when(score >= options.slop_at, "Slop").when(score >= options.watch_at, "Watch").otherwise("Clean")
 
 
+def options_of(raw: Column) -> P.Options:
+    """The options that each row's JSON gives (null: defaults), as columns: missing fields keep their defaults, filler
+    extends the list, names count in any case; what isn't a JSON object raises when the row is read."""
+    low = lambda c: F.transform_keys(c, lambda k, _: F.lower(k))
+    parsed = let(F.from_json(raw, "map<string,string>"), lambda m: F.when(raw.isNull() | (F.trim(raw) == "null") | m.isNotNull(), low(m)).otherwise(F.raise_error(F.lit("options must be a JSON object")).cast("map<string,string>")))
+
+    def number(group: str, name: str, default: float | int) -> Column:
+        inner = low(F.from_json(F.try_element_at(parsed, F.lit(group)), "map<string,string>"))
+        return F.coalesce(F.try_element_at(inner, F.lit(name)).cast("int" if isinstance(default, int) else "double"), F.lit(default))
+
+    o = P.Options()
+    more = F.transform(F.from_json(F.try_element_at(parsed, F.lit("filler")), "array<string>"), F.lower)
+    return P.Options(
+        number("weights", "grounding", o.grounding_weight), number("weights", "density", o.density_weight), number("bands", "watch", o.watch_at), number("bands", "slop", o.slop_at), number("density", "highoverlap", o.high_overlap),
+        number("density", "lownovelty", o.low_novelty), number("density", "minfillerhits", o.min_filler_hits), number("grounding", "minclaims", o.min_claims), F.coalesce(F.concat(F.array(*map(F.lit, o.filler)), more), F.array(*map(F.lit, o.filler))),
+    )
+
+
 def ratio(n: Column, d: Column) -> Column:
     """1 where there is nothing to count."""
     return F.when(d == 0, F.lit(1.0)).otherwise(n / d)
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def v4_number(host: Column) -> Column:
     """The 32-bit number of an IPv4 host in any spelling that URLs know: one to four numbers, decimal, octal (0...) or
     hexadecimal (0x...), the last of which fills what is left. Null if it is none."""
@@ -151,33 +221,33 @@ def _v6_refusal(g: Column) -> Column:
 
 def _name_refusal(host: Column) -> Column:
     """Of a name. A trailing dot is no part of it; a name that ends like a number but is no address, or hides letters or
-    dots in other characters, is refused too."""
+    dots in other characters, is refused too. Other characters than letters, digits, - and _ make no name."""
     suffix = F.lit(False)
     for s in P.PRIVATE_SUFFIXES:
         suffix = suffix | host.endswith(s)
     return (
-        F.when(host == "localhost", "loopback address").when(suffix, "private network name")
+        F.when(host.rlike(P.NO_NAME), "not an absolute url").when(host == "localhost", "loopback address").when(suffix, "private network name")
         .when(~host.contains(".") | host.rlike(r"(^|\.)(0x[0-9a-f]*|[0-9]+)$") | host.rlike(P.DISGUISED), "not a public hostname")
     )
 
 
 def url_refusal(url: Column) -> Column:
-    """Why a URL must not be fetched; null if it may be."""
+    """Why a URL must not be fetched; null if it may be. The authority is one host and at most one port up to 65535."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*:[/\\]{2}([^/\\?#]*)", 1)
 
     def judged(p: Column) -> Column:
         host = F.lower(F.regexp_replace(F.regexp_replace(p["authority"], "^[^@]*@", ""), r":\d*$", ""))
         http = p["scheme"].isin("http", "https")
+        port = F.regexp_extract(p["authority"], r":(\d+)$", 1)
+        malformed = ~p["authority"].rlike(r"^([^@]*@)?(\[[^\[\]@]*\]|[^:\[\]@]*)(:[0-9]*)?$") | (F.ltrim(port, F.lit("0")).try_cast("bigint") > 65535) | (F.length(F.ltrim(port, F.lit("0"))) > 5)
 
         def of_host(h: Column) -> Column:
             plain = F.regexp_replace(h, r"\.$", "")
             inner = F.regexp_replace(F.regexp_replace(h, r"^\[|\]$", ""), "%.*$", "")
             address = F.when(h.startswith("["), let(v6_groups(inner), _v6_refusal)).otherwise(let(v4_number(plain), lambda n: F.when(n.isNotNull(), _v4_refusal(n)).otherwise(_name_refusal(plain))))
-            return (
-                F.when((p["scheme"] == "") | (http & (h == "")) | F.trim(url).rlike(r"[\s\x00-\x20]"), "not an absolute url").when(~http, F.concat(p["scheme"], F.lit(" is not a fetchable scheme")))
-                .when(p["authority"].rlike("^[^@]+@"), "carries credentials").otherwise(address)
-            )
+            broken = (p["scheme"] == "") | (http & ((h == "") | malformed)) | F.trim(url).rlike(r"[\s\x00-\x20]")
+            return F.when(broken, "not an absolute url").when(~http, F.concat(p["scheme"], F.lit(" is not a fetchable scheme"))).when(p["authority"].rlike("^[^@]+@"), "carries credentials").otherwise(address)
 
         return let(host, of_host)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from proseloom.functions import text as T
 from proseloom.functions.patterns import Options
-from proseloom.functions.text import let
+from proseloom.functions.text import let, once
 from proseloom.operators import structure
 
 CLAIM = ["block_index", "sent_index", "text", "start_char", "end_char", "kinds", "grounded", "reason"]
@@ -24,16 +24,16 @@ def claims_of(block: Column) -> Column:
         why = lambda c: F.coalesce(T.source_signal(c["s"]["text"]), near(c["i"] - 1, "preceding sentence "), near(c["i"] + 1, "following sentence "))
         return F.transform(some, lambda c: let(why(c), lambda w: F.struct(
             block["block_index"].alias("block_index"), c["s"]["sent_index"].alias("sent_index"), c["s"]["text"].alias("text"), c["s"]["start_char"].alias("start_char"), c["s"]["end_char"].alias("end_char"),
-            c["kinds"].alias("kinds"), w.isNotNull().alias("grounded"), F.coalesce(w, F.lit("no source signal near the claim")).alias("reason"),
+            c["s"]["start_line"].alias("start_line"), c["s"]["end_line"].alias("end_line"), c["kinds"].alias("kinds"), w.isNotNull().alias("grounded"), F.coalesce(w, F.lit("no source signal near the claim")).alias("reason"),
         )))
 
-    return let(structure.sentences_of(block["text"], block["start_char"]), judged)
+    return let(structure.sentences_of(block["text"], block["start_char"], block["start_line"]), judged)
 
 
 def grounding(prose_rows: DataFrame) -> DataFrame:
     """doc_id and CLAIM of prose blocks."""
-    block = F.struct("block_index", "text", "start_char")
-    return structure.rows(prose_rows, claims_of(block), "doc_id")
+    claims = once("claims of a block", lambda: claims_of(F.struct("block_index", "text", "start_char", "start_line")))
+    return structure.rows(prose_rows, claims, "doc_id").select("doc_id", *CLAIM)
 
 
 def grounding_gap(claims: DataFrame, docs: DataFrame, keys: list[str], min_claims: int = 3) -> DataFrame:
@@ -43,6 +43,22 @@ def grounding_gap(claims: DataFrame, docs: DataFrame, keys: list[str], min_claim
     return every.select(*keys, "total", "ungrounded", F.when(F.col("total") == 0, 0.0).otherwise(F.col("ungrounded") / F.col("total")).alias("gap"), (F.col("total") < min_claims).alias("low_reliability"))
 
 
+def novel_counts(sets: Column) -> Column:
+    """array<int>: how many tokens of each set no set before it has. One sorted array of (token, set): the first of a run of
+    equal tokens is where a token is new. Those places, sorted among one mark for each set, are runs whose lengths count."""
+
+    def firsts(pairs: Column) -> Column:
+        new = F.filter(pairs, lambda e, j: (j == 0) | (F.get(pairs, j - 1)["token"] != e["token"]))
+        return F.array_sort(F.concat(F.transform(new, lambda e: e["at"]), F.transform(sets, lambda _, i: i)))
+
+    def counts(places: Column) -> Column:
+        edges = F.filter(F.transform(places, lambda p, j: F.when((j == 0) | (F.get(places, j - 1) != p), j)), lambda j: j.isNotNull())
+        return let(edges, lambda e: F.transform(e, lambda start, i: F.coalesce(F.get(e, i + 1), F.size(places)) - start - 1))
+
+    pairs = F.flatten(F.transform(sets, lambda tokens, i: F.transform(tokens, lambda t: F.struct(t.alias("token"), i.alias("at")))))
+    return let(let(F.array_sort(pairs), firsts), counts)
+
+
 def density_of(prose: Column, options: Options) -> Column:
     """Of a document's prose blocks: where they are, heading_overlap, prev_overlap, novel_ratio, filler_hits, flagged,
     fact_override. novel_ratio is the share of a block's distinct tokens that no earlier prose block has."""
@@ -51,29 +67,37 @@ def density_of(prose: Column, options: Options) -> Column:
     sets = F.transform(prose, lambda b: F.struct(b.alias("b"), words(b["text"]).alias("own"), words(F.coalesce(b["heading"], F.lit(""))).alias("head"), T.filler_hits(b["text"], o.filler).alias("hits")))
 
     def scored(s: Column) -> Column:
-        start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<double>").alias("out"))
-        new = lambda a, x: F.when(F.size(x["own"]) == 0, 0.0).otherwise(F.size(F.array_except(x["own"], a["seen"])) / F.size(x["own"]))
-        novel = F.aggregate(s, start, lambda a, x: F.struct(F.array_union(a["seen"], x["own"]).alias("seen"), F.concat(a["out"], F.array(new(a, x))).alias("out")), lambda a: a["out"])
-
-        def one(x: Column, i: Column, ratio: Column) -> Column:
+        def one(x: Column, i: Column, new: Column) -> Column:
             heading, before = T.jaccard(x["own"], x["head"]), T.jaccard(x["own"], F.get(s, i - 1)["own"])
+            ratio = F.when(F.size(x["own"]) == 0, 0.0).otherwise(new / F.size(x["own"]))
 
             def flags(h: Column) -> Column:
-                restates = (F.greatest(h["heading"], h["before"]) >= o.high_overlap) & (ratio <= o.low_novelty)
+                restates = (F.greatest(h["heading"], h["before"]) >= o.high_overlap) & (h["ratio"] <= o.low_novelty)
                 padded = restates | (F.size(x["hits"]) >= o.min_filler_hits)
                 return let(F.struct(padded.alias("padded"), (padded & T.concrete_fact(x["b"]["text"])).alias("fact")), lambda f: F.struct(
                     *[x["b"][c].alias(c) for c in ("block_index", "start_line", "end_line", "start_char", "end_char", "text")], h["heading"].alias("heading_overlap"), h["before"].alias("prev_overlap"),
-                    ratio.alias("novel_ratio"), x["hits"].alias("filler_hits"), f["fact"].alias("fact_override"), (f["padded"] & ~f["fact"]).alias("flagged"),
+                    h["ratio"].alias("novel_ratio"), x["hits"].alias("filler_hits"), f["fact"].alias("fact_override"), (f["padded"] & ~f["fact"]).alias("flagged"),
                 ))
 
-            return let(F.struct(heading.alias("heading"), before.alias("before")), flags)
+            return let(F.struct(heading.alias("heading"), before.alias("before"), ratio.alias("ratio")), flags)
 
-        return let(novel, lambda n: F.transform(s, lambda x, i: one(x, i, F.get(n, i))))
+        return let(novel_counts(F.transform(s, lambda x: x["own"])), lambda n: F.transform(s, lambda x, i: one(x, i, F.get(n, i))))
 
     return let(sets, scored)
 
 
+def prose_of(column: str = "blocks") -> Column:
+    """The prose blocks in a column of blocks."""
+    return once(("prose", column), lambda: F.filter(column, lambda b: b["is_prose"]))
+
+
+def densities(options: Options) -> Column:
+    """`density_of` the column prose."""
+    make = lambda: density_of(F.col("prose"), options)
+    return make() if isinstance(options.high_overlap, Column) else once(("density", repr(options)), make)
+
+
 def density(docs: DataFrame, options: Options | None = None) -> DataFrame:
     """doc_id and `density_of` of documents, a row for each prose block."""
-    found = docs.select("doc_id", F.filter(structure.blocks_of(F.col("text")), lambda b: b["is_prose"]).alias("prose"))
-    return structure.rows(found, density_of(F.col("prose"), options or Options()), "doc_id")
+    found = docs.select("doc_id", structure.parsed().alias("blocks")).select("doc_id", prose_of().alias("prose"))
+    return structure.rows(found, densities(options or Options()), "doc_id")

@@ -1,8 +1,9 @@
 """Blocks, sentences, citations and DOIs of documents (doc_id, text). Offsets count code points. Null texts have none.
 
 Nothing here looks beyond its own row: each function of a Column turns a text into an array of structs, with running
-offsets by ``aggregate``, and the relations below explode those arrays. So documents are parsed where they are read,
-without a shuffle, and rows with equal or null ids stay apart."""
+offsets by ``aggregate``, and the relations below explode those arrays, each computed once. So documents are parsed where
+they are read, without a shuffle, and rows with equal or null ids stay apart. All of it is linear in the length of a text:
+folds append to arrays of CHUNK, matches are looked for from the end of the one before."""
 
 from __future__ import annotations
 
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 
 from proseloom.functions import patterns as P
 from proseloom.functions import text as T
-from proseloom.functions.text import let
+from proseloom.functions.text import let, once
 
 BLOCK = "block_index int, kind string, start_line int, end_line int, start_char int, end_char int, text string, heading_level int, heading string, is_prose boolean"
-SENTENCE = "sent_index int, text string, start_char int, end_char int"
+SENTENCE = "sent_index int, text string, start_char int, end_char int, start_line int, end_line int"
 SPAN = "value string, start_char int, end_char int"
 
 
@@ -28,9 +29,25 @@ def _none(schema: str) -> Column:
     return F.array().cast(f"array<struct<{', '.join(c.replace(' ', ': ', 1) for c in schema.split(', '))}>>")
 
 
-def _running(items: Column, schema: str, start: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """The structs that ``step`` appends to ``out`` while it goes over the items."""
-    return F.aggregate(items, F.struct(*start, _none(schema).alias("out")), step, lambda s: s["out"])
+#: Structs that are appended to one array of a fold.
+CHUNK = 256
+
+
+def _running(items: Column, schema: str, start: dict[str, Column], step: Callable[[Column, Column], tuple[dict[str, Column], Column, Column | None]]) -> Column:
+    """The structs that ``step`` makes of the items, one after another: it returns the next state, a struct, and whether
+    the struct counts (null: it does). Appending copies an array, so full arrays of CHUNK are set aside."""
+    none = _none(schema)
+    first = F.struct(*[c.alias(n) for n, c in start.items()], none.alias("some"), F.filter(F.array(none), lambda x: F.lit(False)).alias("full"))
+
+    def over(s: Column, item: Column) -> Column:
+        after, made, counts = step(s, item)
+        room = F.size(s["some"]) < CHUNK
+        some, full = F.when(room, F.array_append(s["some"], made)).otherwise(F.array(made)), F.when(room, s["full"]).otherwise(F.array_append(s["full"], s["some"]))
+        if counts is not None:
+            some, full = F.when(counts, some).otherwise(s["some"]), F.when(counts, full).otherwise(s["full"])
+        return F.struct(*[c.alias(n) for n, c in after.items()], some.alias("some"), full.alias("full"))
+
+    return F.aggregate(items, first, over, lambda s: F.when(F.size(s["full"]) == 0, s["some"]).otherwise(F.flatten(F.array_append(s["full"], s["some"]))))
 
 
 def _kind(flat: Column) -> Column:
@@ -48,62 +65,72 @@ def _piece(p: Column) -> Column:
         return let(kind, lambda k: F.struct(
             F.length(p).alias("size"), feeds(p).alias("lines"), k.alias("kind"),
             # No phantom last line in an open fence; one carriage return before the line end is not text.
-            F.when(k.isNotNull(), F.regexp_replace(F.when(k == "CodeFence", F.regexp_replace(p, r"\n\z", "")).otherwise(p), r"\r\z", "")).alias("text"),
-            F.when(k == "Heading", F.length(F.regexp_extract(flat, "^#+", 0))).otherwise(0).alias("level"),
-            F.when(k == "Heading", T.trimmed(F.regexp_replace(flat, "^#+", ""))).alias("title"),
+            F.when(k.isNotNull(), _without(F.when(k == "CodeFence", _without(p, "\n")).otherwise(p), "\r")).alias("text"),
+            F.when(k == "Heading", F.length(flat) - F.length(F.ltrim(flat, F.lit("#")))).otherwise(0).alias("level"),
+            F.when(k == "Heading", T.trimmed(F.ltrim(flat, F.lit("#")))).alias("title"),
         ))
 
-    return let(F.regexp_replace(p, r"(?U)^\s+", ""), shaped)
+    return let(F.ltrim(p, F.lit(P.SPACE)), shaped)
+
+
+def _without(text: Column, end: str) -> Column:
+    """Without one such character at its end."""
+    return F.when(text.endswith(end), F.left(text, F.length(text) - 1)).otherwise(text)
 
 
 def blocks_of(text: Column) -> Column:
     """array<struct<BLOCK>> of a text."""
-    pieces = F.transform(F.regexp_extract_all(F.regexp_replace(text, "^﻿", ""), F.lit(P.PIECES), 0), _piece)
-    start = [F.lit(0).alias("char"), F.lit(1).alias("line"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("above")]
+    plain = F.when(text.startswith("\ufeff"), F.substring(text, F.lit(2), F.length(text))).otherwise(text)
+    pieces = F.transform(let(plain, lambda t: T.either(t, lambda form: F.regexp_extract_all(t, F.lit(form(P.PIECES)), 0))), _piece)
+    start = {"char": F.lit(0), "line": F.lit(1), "n": F.lit(0), "above": F.lit(None).cast("string")}
 
-    def step(s: Column, p: Column) -> Column:
+    def step(s: Column, p: Column) -> tuple[dict[str, Column], Column, Column]:
         prose = p["kind"].isin("Paragraph", "ListItem")
         block = F.struct(
             s["n"].alias("block_index"), p["kind"].alias("kind"), s["line"].alias("start_line"), (s["line"] + feeds(p["text"])).alias("end_line"), s["char"].alias("start_char"),
             (s["char"] + F.length(p["text"])).alias("end_char"), p["text"].alias("text"), p["level"].alias("heading_level"), F.when(prose | (p["kind"] == "BlockQuote"), s["above"]).alias("heading"), prose.alias("is_prose"),
         )
         some = p["kind"].isNotNull()
-        return F.struct(
-            (s["char"] + p["size"]).alias("char"), (s["line"] + p["lines"]).alias("line"), (s["n"] + some.cast("int")).alias("n"),
-            F.when(p["kind"] == "Heading", p["title"]).otherwise(s["above"]).alias("above"), F.when(some, F.concat(s["out"], F.array(block))).otherwise(s["out"]).alias("out"),
-        )
+        return {"char": s["char"] + p["size"], "line": s["line"] + p["lines"], "n": s["n"] + some.cast("int"), "above": F.when(p["kind"] == "Heading", p["title"]).otherwise(s["above"])}, block, some
 
     return _running(pieces, BLOCK, start, step)
 
 
-def sentences_of(text: Column, base: Column) -> Column:
-    """array<struct<SENTENCE>> of a block that starts at ``base``."""
-    raw = F.regexp_extract_all(text, F.lit(P.SENTENCES), 0)
-    shaped = F.transform(raw, lambda r: F.struct(F.length(r).alias("size"), F.length(F.regexp_extract(r, r"(?U)^\s*", 0)).alias("lead"), T.trimmed(r).alias("text")))
+def sentences_of(text: Column, base: Column, line: Column) -> Column:
+    """array<struct<SENTENCE>> of a block that starts at offset ``base`` in ``line``."""
+    raw = T.either(text, lambda form: F.regexp_extract_all(text, F.lit(form(P.SENTENCES)), 0))
 
-    def step(s: Column, r: Column) -> Column:
-        at = s["char"] + r["lead"]
-        sentence = F.struct(s["n"].alias("sent_index"), r["text"].alias("text"), at.alias("start_char"), (at + F.length(r["text"])).alias("end_char"))
+    def shaped(r: Column) -> Column:
+        return let(F.ltrim(r, F.lit(P.SPACE)), lambda own: F.struct(
+            F.length(r).alias("size"), feeds(r).alias("lines"), (F.length(r) - F.length(own)).alias("lead"), (feeds(r) - feeds(own)).alias("above"), F.rtrim(own, F.lit(P.SPACE)).alias("text"),
+        ))
+
+    def step(s: Column, r: Column) -> tuple[dict[str, Column], Column, Column]:
+        at, first = s["char"] + r["lead"], s["line"] + r["above"]
+        sentence = F.struct(
+            s["n"].alias("sent_index"), r["text"].alias("text"), at.alias("start_char"), (at + F.length(r["text"])).alias("end_char"), first.alias("start_line"), (first + feeds(r["text"])).alias("end_line"),
+        )
         some = r["text"] != ""
-        return F.struct((s["char"] + r["size"]).alias("char"), (s["n"] + some.cast("int")).alias("n"), F.when(some, F.concat(s["out"], F.array(sentence))).otherwise(s["out"]).alias("out"))
+        return {"char": s["char"] + r["size"], "line": s["line"] + r["lines"], "n": s["n"] + some.cast("int")}, sentence, some
 
-    return _running(shaped, SENTENCE, [base.cast("int").alias("char"), F.lit(0).alias("n")], step)
+    return _running(F.transform(raw, shaped), SENTENCE, {"char": base.cast("int"), "line": line.cast("int"), "n": F.lit(0)}, step)
 
 
-def spans_of(text: Column, base: Column, pattern: str, group: int, trim: str) -> Column:
-    """array<struct<SPAN>> of the matches in a block: each is taken with the gap before it."""
-    gap = pattern.replace("(?Ui)", "(?sUi)(.*?)(", 1) + ")"
-    part = lambda g: F.regexp_extract_all(text, F.lit(gap), g)
-    found = F.arrays_zip(part(1).alias("gap"), part(2).alias("all"), part(group + 2).alias("value"))
+def spans_of(text: Column, base: Column, pattern: str, group: int, trim: str, sure: str) -> Column:
+    """array<struct<SPAN>> of the matches in a block; each match contains the text ``sure``. A match is taken with the gap
+    before it and starts where the one before ended (\\G), so the text after the last match is looked at once."""
+    gap = lambda form: form(pattern.replace("(?Ui)", r"(?sUi)\G.*?(?:", 1) + ")")
 
-    def step(s: Column, m: Column) -> Column:
-        cut = F.rtrim(m["value"], F.lit(trim))
-        at = s["char"] + F.length(m["gap"])
-        end = at + F.length(m["all"])
-        span = F.struct(cut.alias("value"), at.alias("start_char"), (end - F.length(m["value"]) + F.length(cut)).alias("end_char"))
-        return F.struct(end.alias("char"), F.concat(s["out"], F.array(span)).alias("out"))
+    def shaped(form: Callable[[str], str]) -> Column:
+        cut = F.regexp_extract_all(text, F.lit(gap(form)), 0)
+        return F.transform(cut, lambda p: F.struct(F.length(p).alias("size"), F.regexp_extract(p, form(pattern), 0).alias("all"), F.regexp_extract(p, form(pattern), group).alias("value")))
 
-    return _running(found, SPAN, [base.cast("int").alias("char")], step)
+    def step(s: Column, m: Column) -> tuple[dict[str, Column], Column, None]:
+        end, cut = s["char"] + m["size"], F.rtrim(m["value"], F.lit(trim))
+        span = F.struct(cut.alias("value"), (end - F.length(m["all"])).alias("start_char"), (end - F.length(m["value"]) + F.length(cut)).alias("end_char"))
+        return {"char": end}, span, None
+
+    return F.when(text.contains(sure), _running(T.either(text, shaped), SPAN, {"char": base.cast("int")}, step)).otherwise(_none(SPAN))
 
 
 def line_of(text: Column, offset: Column) -> Column:
@@ -112,13 +139,19 @@ def line_of(text: Column, offset: Column) -> Column:
 
 
 def rows(df: DataFrame, column: Column, *keep: str) -> DataFrame:
-    """The structs of an array column as rows, after the columns to keep."""
-    return df.select(*keep, F.explode(column).alias("one_")).select(*keep, "one_.*")
+    """The structs of an array column as rows, after the columns to keep. The generator is an outer one, for which the
+    optimizer doesn't repeat the array in a filter below it."""
+    return df.select(*keep, F.explode_outer(column).alias("one_")).where("one_ is not null").select(*keep, "one_.*")
 
 
 def blocks(docs: DataFrame) -> DataFrame:
     """doc_id, block_index, kind, start_line, end_line, start_char, end_char, text, heading_level, heading, is_prose."""
-    return rows(docs, blocks_of(F.col("text")), "doc_id")
+    return rows(docs, parsed(), "doc_id")
+
+
+def parsed() -> Column:
+    """`blocks_of` the column text."""
+    return once("blocks", lambda: blocks_of(F.col("text")))
 
 
 def prose(block_rows: DataFrame) -> DataFrame:
@@ -127,30 +160,35 @@ def prose(block_rows: DataFrame) -> DataFrame:
 
 def sentences(block_rows: DataFrame) -> DataFrame:
     """Of the given blocks: doc_id, block_index, sent_index, text, start_char, end_char (in the document)."""
-    return rows(block_rows, sentences_of(F.col("text"), F.col("start_char")), "doc_id", "block_index")
+    found = rows(block_rows, once("sentences", lambda: sentences_of(F.col("text"), F.col("start_char"), F.col("start_line"))), "doc_id", "block_index")
+    return found.select("doc_id", "block_index", "sent_index", "text", "start_char", "end_char")
+
+
+URLS = (P.URL, 0, ".,;:!?'\"", "://")
+DOIS = (P.DOI, 1, ".,;:!?'\")]}", "10.")
 
 
-def _found(block_rows: DataFrame, name: str, pattern: str, group: int, trim: str) -> DataFrame:
-    found = spans_of(F.col("text"), F.col("start_char"), pattern, group, trim)
+def _found(block_rows: DataFrame, name: str, kind: tuple) -> DataFrame:
+    found = once(f"spans {name}", lambda: spans_of(F.col("text"), F.col("start_char"), *kind))
     return rows(block_rows.where("kind <> 'CodeFence'"), found, "doc_id", "block_index").withColumnRenamed("value", name)
 
 
 def citations(block_rows: DataFrame) -> DataFrame:
     """doc_id, block_index, url, start_char, end_char; repeats kept."""
-    return _found(block_rows, "url", P.URL, 0, ".,;:!?'\"")
+    return _found(block_rows, "url", URLS)
 
 
 def dois(block_rows: DataFrame) -> DataFrame:
     """doc_id, block_index, doi (lower-cased), start_char, end_char; the span includes a resolver or doi: prefix."""
-    return _found(block_rows, "doi", P.DOI, 1, ".,;:!?'\")]}").withColumn("doi", F.lower("doi"))
+    return _found(block_rows, "doi", DOIS).withColumn("doi", F.lower("doi"))
 
 
 def distinct_dois_of(blocks_: Column) -> Column:
     """array<struct<doi, place>> of a document's blocks: each once, in order of first appearance."""
-    each = F.flatten(F.transform(F.filter(blocks_, lambda b: b["kind"] != "CodeFence"), lambda b: F.transform(spans_of(b["text"], b["start_char"], P.DOI, 1, ".,;:!?'\")]}"), lambda s: F.lower(s["value"]))))
+    each = F.flatten(F.transform(F.filter(blocks_, lambda b: b["kind"] != "CodeFence"), lambda b: F.transform(spans_of(b["text"], b["start_char"], *DOIS), lambda s: F.lower(s["value"]))))
     return F.transform(F.array_distinct(each), lambda d, i: F.struct(d.alias("doi"), (i + 1).alias("place")))
 
 
 def distinct_dois(docs: DataFrame) -> DataFrame:
     """doc_id, doi, place of documents."""
-    return rows(docs, distinct_dois_of(blocks_of(F.col("text"))), "doc_id")
+    return rows(docs.select("doc_id", parsed().alias("blocks")), once("distinct dois", lambda: distinct_dois_of(F.col("blocks"))), "doc_id")

@@ -5,6 +5,9 @@ scores are computed beside them. Nothing is shuffled before labels are joined.""
 
 from __future__ import annotations
 
+from dataclasses import fields
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +22,8 @@ def _bare(blocks: Column) -> Column:
     """Ungrounded claims of prose blocks as findings."""
 
     def one(b: Column, c: Column) -> Column:
-        line = lambda at: (b["start_line"] - 1 + structure.line_of(b["text"], c[at] - b["start_char"])).cast("int")
         return F.struct(
-            F.lit("GROUND001").alias("rule_id"), F.lit("Warning").alias("severity"), b["block_index"].alias("block_index"), line("start_char").alias("start_line"), line("end_char").alias("end_line"),
+            F.lit("GROUND001").alias("rule_id"), F.lit("Warning").alias("severity"), b["block_index"].alias("block_index"), c["start_line"].alias("start_line"), c["end_line"].alias("end_line"),
             c["start_char"].alias("start_char"), c["end_char"].alias("end_char"), F.concat(F.lit("specific claim: "), c["reason"]).alias("message"),
         )
 
@@ -47,35 +49,66 @@ def _share(part: Column, whole: Column) -> Column:
 
 class Analysis:
     """The relations of one collection of documents (doc_id, text), all lazy and derived from one parse. A null text has
-    no blocks and scores 0; rows with equal or null ids are documents of their own."""
-
-    def __init__(self, docs: DataFrame, options: Options | None = None):
+    no blocks and scores 0; rows with equal or null ids are documents of their own. ``options`` may be a Column of docs
+    with a JSON text: then each document is judged by its own thresholds and lexicon."""
+
+    def __init__(self, docs: DataFrame, options: Options | Column | None = None):
+        own = []
+        if isinstance(options, Column):
+            each = T.options_of(options)
+            own = [F.struct(*[getattr(each, f.name).alias(f.name) for f in fields(Options)]).alias("options_")]
+            options = Options(*[F.col("options_")[f.name] for f in fields(Options)])
         o = self.options = options or Options()
+        self.own = ["options_"] if own else []
         self.docs = docs
-        self.parsed = docs.select("doc_id", F.coalesce(structure.blocks_of(F.col("text")), structure._none(structure.BLOCK)).alias("blocks"))
-        judged = lambda b: F.struct(*[b[c].alias(c) for c in ("block_index", "start_line", "end_line", "start_char", "end_char", "text", "heading")], scoring.claims_of(b).alias("claims"))
-        self.prosed = self.parsed.select("doc_id", F.filter("blocks", lambda b: b["is_prose"]).alias("prose"))
-        self.judged = self.prosed.select("doc_id", F.transform("prose", judged).alias("prose"), scoring.density_of(F.col("prose"), o).alias("density"))
-        self.blocks = structure.rows(self.parsed, F.col("blocks"), "doc_id")
-        self.prose = structure.rows(self.prosed, F.col("prose"), "doc_id")
-        self.sentences = structure.sentences(self.prose)
-        self.claims = structure.rows(self.prosed.select("doc_id", F.flatten(F.transform("prose", scoring.claims_of)).alias("claims")), F.col("claims"), "doc_id")
-        self.density = structure.rows(self.prosed.select("doc_id", scoring.density_of(F.col("prose"), o).alias("density")), F.col("density"), "doc_id")
+        empty = structure._none(structure.BLOCK)
+        self.parsed = docs.select("doc_id", *own, F.coalesce(structure.parsed(), empty).alias("blocks"))
+        self.prosed = self.parsed.select("doc_id", *self.own, scoring.prose_of().alias("prose"))
+
+    @cached_property
+    def judged(self) -> DataFrame:
+        """doc_id, prose (blocks with their claims), density."""
+        kept = ("block_index", "start_line", "end_line", "start_char", "end_char", "text", "heading")
+        judged = T.once("judged", lambda: F.transform("prose", lambda b: F.struct(*[b[c].alias(c) for c in kept], scoring.claims_of(b).alias("claims"))))
+        return self.prosed.select("doc_id", *self.own, judged.alias("prose"), scoring.densities(self.options).alias("density"))
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return structure.rows(self.parsed, F.col("blocks"), "doc_id")
+
+    @cached_property
+    def prose(self) -> DataFrame:
+        return structure.rows(self.prosed, F.col("prose"), "doc_id")
+
+    @cached_property
+    def sentences(self) -> DataFrame:
+        return structure.sentences(self.prose)
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        each = T.once("claims", lambda: F.flatten(F.transform("prose", scoring.claims_of)))
+        return structure.rows(self.prosed, each, "doc_id").select("doc_id", *scoring.CLAIM)
+
+    @cached_property
+    def density(self) -> DataFrame:
+        return structure.rows(self.prosed, scoring.densities(self.options), "doc_id")
 
     def summary(self) -> DataFrame:
         """doc_id, gap, rate, score, band, findings (sorted by block, start, rule); documents without prose score 0."""
         o = self.options
         claims = F.flatten(F.transform("prose", lambda b: b["claims"]))
-        keyed = F.transform(F.concat(_bare(F.col("prose")), _padded(F.col("density"))), lambda f: F.struct(*[f[c].alias(c) for c in ("block_index", "start_char", "rule_id", "severity", "start_line", "end_line", "end_char", "message")]))
+        keyed = lambda: F.array_sort(F.transform(F.concat(_bare(F.col("prose")), _padded(F.col("density"))), lambda f: F.struct(*[f[c].alias(c) for c in ("block_index", "start_char", "rule_id", "severity", "start_line", "end_line", "end_char", "message")])))
         both = self.judged.select(
-            "doc_id", _share(F.filter(claims, lambda c: ~c["grounded"]), claims).alias("gap"), _share(F.filter("density", lambda d: d["flagged"]), F.col("density")).alias("rate"), F.array_sort(keyed).alias("findings"),
+            "doc_id", *self.own, T.once("gap", lambda: _share(F.filter(claims, lambda c: ~c["grounded"]), claims)).alias("gap"),
+            T.once("rate", lambda: _share(F.filter("density", lambda d: d["flagged"]), F.col("density"))).alias("rate"), T.once("keyed", keyed).alias("findings"),
         )
         score = F.lit(o.grounding_weight) * F.col("gap") + F.lit(o.density_weight) * F.col("rate")
         return both.withColumn("score", score).withColumn("band", T.band(F.col("score"), o)).select("doc_id", "gap", "rate", "score", "band", "findings")
 
     def findings(self) -> DataFrame:
         """Ungrounded claims (Warning) and flagged blocks (Info), one row each."""
-        return structure.rows(self.judged, F.concat(_bare(F.col("prose")), _padded(F.col("density"))), "doc_id").select("doc_id", *FINDING)
+        every = T.once("findings", lambda: F.concat(_bare(F.col("prose")), _padded(F.col("density"))))
+        return structure.rows(self.judged, every, "doc_id").select("doc_id", *FINDING)
 
     def scores(self) -> DataFrame:
         """doc_id, gap, rate, score, band."""

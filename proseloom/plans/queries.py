@@ -27,8 +27,14 @@ _PARTS = {
 _TEXT = "'# ' || title || chr(10) || chr(10) || s1 || ' ' || s2 || chr(10) || chr(10) || s3 || chr(10) || chr(10) || '- item ' || CAST(k AS STRING) || chr(10) || '> quoted 5% http://q.example.org/a' || chr(10) || chr(10) || '```' || chr(10) || 'code 7% http://x.example.org' || chr(10) || '```' || chr(10)"
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all cores: a table of fewer partitions than that is small, and its parse takes longer than a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores)
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"))
+    k = dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k")))
     return k.select("k", *[F.expr(e).alias(n) for n, e in _PARTS.items()]).select(F.col("k").alias("doc_id"), F.expr(_TEXT).alias("text"))
 
 
@@ -247,14 +253,14 @@ def bench_outcomes(spark, sf_dir):
 
 @query(f"SELECT token, count(*) AS n FROM (SELECT unnest({_tokens('text')}) AS token FROM documents) GROUP BY token", cte=False)
 def token_freq(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text"))
+    return docs.select(F.explode_outer(T.tokens(F.col("text"))).alias("token")).where("token is not null").groupBy("token").agg(F.count("*").alias("n"))
 
 
 @query(_LINES + _TAIL + " SELECT doc_id, gap, rate, score, band FROM banded", cte=False)
 def document_scores(spark, sf_dir):
     """The flagship over the raw documents, each line a paragraph."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return Analysis(docs).scores().select("doc_id", *[F.round(c, 6).alias(c) for c in ("gap", "rate", "score")], "band")
 
 
@@ -275,7 +281,7 @@ _TURNS = (
 def conversation_reports(spark, sf_dir):
     """Console reports of turns, each a markdown document of its own: a heading for the role, each line a paragraph. A
     null in the conversation or turn is empty in the name; repeated turns are reported again."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = dealt(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
     said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     text = F.concat(F.lit("## "), said("role"), F.lit("\n\n"), F.replace(said("text"), F.lit("\n"), F.lit("\n\n")))
     docs = turns.select(F.concat(said("conv_id"), F.lit(":"), said("turn")).alias("doc_id"), text.alias("text"))

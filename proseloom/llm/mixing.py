@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import WORD, numbered, scratch, spread_join, staged, table
 
 WEIGHTS, MOST_REPEATS, SEED = (1, 2, 3), 3, 11
-CELL, CELLS_TOGETHER = 20_000, 5_000
+CELL, CELLS_TOGETHER = 1_000, 500
 NEAR = 1e-9
 
 

@@ -34,7 +34,7 @@ from .common import keyed_bytes, pack, scratch, staged, table, terms_of, unpack,
 TOP = 50
 GROUP_ITEMS, GROUP_BYTES = 256, 8 << 20
 NODES_1, LEAF_ITEMS = 8, 8
-DOCS_A_BLOCK, POSTINGS_A_BLOCK, DOCS_1, LEAF_DOCS = 4096, 1 << 20, 512, 64
+DOCS_A_BLOCK, POSTINGS_A_BLOCK, DOCS_1, LEAF_DOCS = 4096, 1 << 20, 256, 16
 NO_ID = np.iinfo(np.int64).max
 BLOCK = "seq int, n_docs long, n_terms long, has_id binary, ids binary, sizes binary, lens binary, terms binary, tfs binary"
 FOUND = "item int, has_id boolean, doc_id long, score long"
@@ -104,14 +104,14 @@ def frequencies(blocks: DataFrame, width: int) -> tuple[int, int, np.ndarray]:
 
 def halves(order: np.ndarray, vectors: list[dict], least: int) -> np.ndarray:
     """The items in an order whose runs are alike: split by which of two far items they share more weight with, in two
-    equal halves, again and again."""
+    halves of whole leaves, again and again."""
     if len(order) <= least:
         return order
     shared = lambda a, b: sum(w for t, w in vectors[a].items() if t in vectors[b])
     one = min(order, key=lambda i: (shared(order[0], i), i))
     other = min(order, key=lambda i: (shared(one, i), i))
     ranked = np.array(sorted(order, key=lambda i: (shared(other, i) - shared(one, i), i)))
-    half = -(-len(ranked) // 2)
+    half = -(-len(ranked) // (2 * least)) * least
     return np.concatenate([halves(ranked[:half], vectors, least), halves(ranked[half:], vectors, least)])
 
 

@@ -7,6 +7,8 @@ there and relaxes the best way to reach it:
   10 and is spelt in byte pieces. Ties keep the longer last piece.
 * BPE models: their scores are merge ranks, which don't add up. A way is right exactly if merging would leave each two
   neighbouring pieces apart, which their merge trees tell (`Merges.apart`); a position has just one such last piece.
+  Pieces that are nothing but space marks share the worst rank of all, so what a run of marks becomes is decided after
+  all else, from the left: the pass leaves them single, and one rule joins runs of any length (`Pieces.run`).
 
 Either way the ids are those of the library for the same model file (tests hold them together). Normalisation is the
 model's. Where no piece crosses from a character into a space mark, as in the given file, words met before are taken
@@ -24,6 +26,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -139,9 +142,15 @@ class Pieces:
         if any(kind == 4 for kind in (dict(fields(v)).get(3) for f, v in fields(sp.serialized_model_proto()) if f == 1)):
             raise ValueError("the model has user-defined symbols")
         self.automaton = ahocorasick.Automaton()
+        self.runs: dict[int, int] = {}
         if self.kind == BPE:
-            self.rank = {p: -s for p, s in score.items()}
-            self.merges = Merges(self.rank, number)
+            rank = {p: -s for p, s in score.items()}
+            runs = [p for p in rank if len(p) > 1 and not p.strip(MARK)]
+            if runs:
+                if {rank.pop(p) for p in runs} != {max(-s for s in score.values())} or MARK not in rank or any(p.startswith(MARK + MARK) for p in rank):
+                    raise ValueError("runs of space marks are no pieces of their own, worst rank")
+                self.runs = {len(p): number[p] for p in runs} | {1: number[MARK]}
+            self.merges = Merges(rank, {p: n for p, n in number.items() if p in rank})
             for piece, n in self.merges.number.items():
                 if n in self.merges.rank:
                     self.automaton.add_word(piece, (len(piece), n))
@@ -194,8 +203,6 @@ class Pieces:
 
     def merged(self, text: str) -> list[int]:
         """What merging leaves of a text with marks for spaces."""
-        if MARK + MARK in text:  # pieces of equal rank
-            return self._merged_step_by_step(text)
         n = len(text)
         back: list = [None] * (n + 1)
         last = [-1] * (n + 1)  # the piece that ends here, -1 at the start and after an unknown character
@@ -217,18 +224,19 @@ class Pieces:
             if not reached[end] and reached[start] and (last[start] < 0 or apart(last[start], i)):
                 reached[end], last[end], back[end] = 1, i, (start, i)
         settle(n)
-        return self._path(text, back)
-
-    def _merged_step_by_step(self, text: str) -> list[int]:
-        parts = list(text)
-        while True:
-            ranks = [self.rank.get(a + b, float("inf")) for a, b in zip(parts, parts[1:], strict=False)]
-            if not ranks or min(ranks) == float("inf"):
-                break
-            at = ranks.index(min(ranks))
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        number = self.merges.number
-        return [i for p in parts for i in ([number[p]] if number.get(p, self.size) < self.size else self._spelt(p))]
+        path = self._path(text, back)
+        if not self.runs or MARK + MARK not in text:
+            return path
+        return [i for one, same in groupby(path, self.runs[1].__eq__) for i in (self.run(sum(1 for _ in same)) if one else same)]
+
+    def run(self, marks: int) -> list[int]:
+        """The pieces of a run of marks: of two neighbours that make a piece the leftmost are joined first."""
+        lens: list[int] = []
+        for _ in range(marks):
+            lens.append(1)
+            while len(lens) > 1 and lens[-2] + lens[-1] in self.runs:
+                lens[-2:] = [lens[-2] + lens[-1]]
+        return [self.runs[n] for n in lens]
 
     def _ids(self, word: str) -> bytes:
         return np.array(self.merged(word) if self.kind == BPE else self.viterbi(word), "<u4").tobytes()

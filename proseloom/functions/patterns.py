@@ -92,16 +92,25 @@ def phrase_pattern(phrases: list[str]) -> str:
     pass finds them all, overlapping ones too. Phrases that start alike share that start, so a place is left at the first
     character that none of them has."""
 
+    escaped = lambda text: re.sub(r"([^\w\s])", r"\\\1", text)
+
+    def either(ways: list[tuple[str, str]]) -> str:
+        """Ways by their first characters, halved by a look at the next character until few are left to try."""
+        if len(ways) <= 8:
+            return "|".join(way for _, way in ways)
+        half = len(ways) // 2
+        return f"(?=[{''.join(escaped(c) for c, _ in ways[:half])}])(?:{either(ways[:half])})|{either(ways[half:])}"
+
     def alike(some: list[str], at: int) -> str:
         """What may follow when the first ``at`` characters, which all share, have been read; the list is sorted."""
         own = "?+" if len(some[0]) == at else ""
-        rest, parts = some[1:] if own else some, []
+        rest, ways = some[1:] if own else some, []
         while rest:
             same = [p for p in rest if p[at] == rest[0][at]]
             end = len(os.path.commonprefix([same[0], same[-1]]))
-            parts.append(re.sub(r"([^\w\s])", r"\\\1", same[0][at:end]) + alike(same, end))
+            ways.append((rest[0][at], escaped(same[0][at:end]) + alike(same, end)))
             rest = rest[len(same) :]
-        return ("(?:" + "|".join(parts) + ")" + own if own or len(parts) > 1 else parts[0]) if parts else ""
+        return ("(?:" + either(ways) + ")" + own if own or len(ways) > 1 else ways[0][1]) if ways else ""
 
     return f"(?=({alike(sorted({p for p in phrases if p}), 0)}))"
 

@@ -3,7 +3,7 @@
 Nothing here looks beyond its own row: each function of a Column turns a text into an array of structs, with running
 offsets by ``aggregate``, and the relations below explode those arrays, each computed once. So documents are parsed where
 they are read, without a shuffle, and rows with equal or null ids stay apart. All of it is linear in the length of a text:
-folds append to arrays of CHUNK, matches are looked for from the end of the one before."""
+folds keep numbers only, matches are looked for from the end of the one before."""
 
 from __future__ import annotations
 
@@ -29,25 +29,35 @@ def _none(schema: str) -> Column:
     return F.array().cast(f"array<struct<{', '.join(c.replace(' ', ': ', 1) for c in schema.split(', '))}>>")
 
 
-#: Structs that are appended to one array of a fold.
-CHUNK = 256
+#: Items of one inner fold.
+CHUNK = 128
 
 
-def _running(items: Column, schema: str, start: dict[str, Column], step: Callable[[Column, Column], tuple[dict[str, Column], Column, Column | None]]) -> Column:
-    """The structs that ``step`` makes of the items, one after another: it returns the next state, a struct, and whether
-    the struct counts (null: it does). Appending copies an array, so full arrays of CHUNK are set aside."""
-    none = _none(schema)
-    first = F.struct(*[c.alias(n) for n, c in start.items()], none.alias("some"), F.filter(F.array(none), lambda x: F.lit(False)).alias("full"))
+def _running(items: Column, start: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]], make: Callable[[Column, Column, Column], Column], counts: Callable[[Column], Column] | None = None) -> Column:
+    """What ``make`` gives of the state before each item, the item, and all items; for those that count. ``step`` is the
+    state after an item, a few numbers, which starts as ``start``. A fold copies its state with each step, so no array in
+    it may grow with the items: one fold finds the state before each chunk, and one in each chunk those within."""
+    after = lambda s, x: F.struct(*[c.alias(n) for n, c in step(s, x).items()])
+    first = F.struct(*[c.alias(n) for n, c in start.items()])
+    none = F.filter(F.array(first), lambda _: F.lit(False))
 
-    def over(s: Column, item: Column) -> Column:
-        after, made, counts = step(s, item)
-        room = F.size(s["some"]) < CHUNK
-        some, full = F.when(room, F.array_append(s["some"], made)).otherwise(F.array(made)), F.when(room, s["full"]).otherwise(F.array_append(s["full"], s["some"]))
-        if counts is not None:
-            some, full = F.when(counts, some).otherwise(s["some"]), F.when(counts, full).otherwise(s["full"])
-        return F.struct(*[c.alias(n) for n, c in after.items()], some.alias("some"), full.alias("full"))
+    def listed(chunk: Column, at: Column) -> Column:
+        """The state before each item of a chunk that is entered with ``at``."""
+        return F.aggregate(chunk, F.struct(at.alias("now"), none.alias("out")), lambda s, x: F.struct(after(s["now"], x).alias("now"), F.array_append(s["out"], s["now"]).alias("out")), lambda s: s["out"])
 
-    return F.aggregate(items, first, over, lambda s: F.when(F.size(s["full"]) == 0, s["some"]).otherwise(F.flatten(F.array_append(s["full"], s["some"]))))
+    def entries(chunks: Column) -> Column:
+        """The state before each chunk."""
+        return F.aggregate(chunks, F.struct(first.alias("now"), none.alias("out")), lambda s, c: F.struct(F.aggregate(c, s["now"], after).alias("now"), F.array_append(s["out"], s["now"]).alias("out")), lambda s: s["out"])
+
+    def over(all_: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(all_) / CHUNK) - 1), lambda c: F.slice(all_, (c * CHUNK + 1).cast("int"), CHUNK))
+        long = let(cut, lambda chunks: let(entries(chunks), lambda at: F.flatten(F.transform(chunks, lambda c, i: listed(c, F.get(at, i))))))
+        states = F.when(F.size(all_) > CHUNK, long).otherwise(listed(all_, first))
+        one = lambda s, x: make(s, x, all_) if counts is None else F.when(counts(x), make(s, x, all_))
+        made = let(states, lambda s: F.transform(all_, lambda x, i: one(F.get(s, i), x)))
+        return made if counts is None else F.filter(made, lambda m: m.isNotNull())
+
+    return let(items, over)
 
 
 def _kind(flat: Column) -> Column:
@@ -78,22 +88,25 @@ def _without(text: Column, end: str) -> Column:
     return F.when(text.endswith(end), F.left(text, F.length(text) - 1)).otherwise(text)
 
 
-def blocks_of(text: Column) -> Column:
-    """array<struct<BLOCK>> of a text."""
-    plain = F.when(text.startswith("\ufeff"), F.substring(text, F.lit(2), F.length(text))).otherwise(text)
+def blocks_of(text: Column, bare: bool = False) -> Column:
+    """array<struct<BLOCK>> of a text; ``bare``: one that can't have a byte-order mark."""
+    plain = text if bare else F.when(text.startswith("\ufeff"), F.substring(text, F.lit(2), F.length(text))).otherwise(text)
     pieces = F.transform(let(plain, lambda t: T.either(t, lambda form: F.regexp_extract_all(t, F.lit(form(P.PIECES)), 0))), _piece)
-    start = {"char": F.lit(0), "line": F.lit(1), "n": F.lit(0), "above": F.lit(None).cast("string")}
+    start = {"char": F.lit(0), "line": F.lit(1), "n": F.lit(0), "at": F.lit(0), "above": F.lit(-1)}
+
+    def step(s: Column, p: Column) -> dict[str, Column]:
+        return {
+            "char": s["char"] + p["size"], "line": s["line"] + p["lines"], "n": s["n"] + p["kind"].isNotNull().cast("int"), "at": s["at"] + 1, "above": F.when(p["kind"] == "Heading", s["at"]).otherwise(s["above"]),
+        }
 
-    def step(s: Column, p: Column) -> tuple[dict[str, Column], Column, Column]:
+    def block(s: Column, p: Column, all_: Column) -> Column:
         prose = p["kind"].isin("Paragraph", "ListItem")
-        block = F.struct(
-            s["n"].alias("block_index"), p["kind"].alias("kind"), s["line"].alias("start_line"), (s["line"] + feeds(p["text"])).alias("end_line"), s["char"].alias("start_char"),
-            (s["char"] + F.length(p["text"])).alias("end_char"), p["text"].alias("text"), p["level"].alias("heading_level"), F.when(prose | (p["kind"] == "BlockQuote"), s["above"]).alias("heading"), prose.alias("is_prose"),
+        return F.struct(
+            s["n"].alias("block_index"), p["kind"].alias("kind"), s["line"].alias("start_line"), (s["line"] + feeds(p["text"])).alias("end_line"), s["char"].alias("start_char"), (s["char"] + F.length(p["text"])).alias("end_char"),
+            p["text"].alias("text"), p["level"].alias("heading_level"), F.when(prose | (p["kind"] == "BlockQuote"), F.get(all_, s["above"])["title"]).alias("heading"), prose.alias("is_prose"),
         )
-        some = p["kind"].isNotNull()
-        return {"char": s["char"] + p["size"], "line": s["line"] + p["lines"], "n": s["n"] + some.cast("int"), "above": F.when(p["kind"] == "Heading", p["title"]).otherwise(s["above"])}, block, some
 
-    return _running(pieces, BLOCK, start, step)
+    return _running(pieces, start, step, block, lambda p: p["kind"].isNotNull())
 
 
 def sentences_of(text: Column, base: Column, line: Column) -> Column:
@@ -105,15 +118,16 @@ def sentences_of(text: Column, base: Column, line: Column) -> Column:
             F.length(r).alias("size"), feeds(r).alias("lines"), (F.length(r) - F.length(own)).alias("lead"), (feeds(r) - feeds(own)).alias("above"), F.rtrim(own, F.lit(P.SPACE)).alias("text"),
         ))
 
-    def step(s: Column, r: Column) -> tuple[dict[str, Column], Column, Column]:
+    def step(s: Column, r: Column) -> dict[str, Column]:
+        return {"char": s["char"] + r["size"], "line": s["line"] + r["lines"], "n": s["n"] + (r["text"] != "").cast("int")}
+
+    def sentence(s: Column, r: Column, _: Column) -> Column:
         at, first = s["char"] + r["lead"], s["line"] + r["above"]
-        sentence = F.struct(
+        return F.struct(
             s["n"].alias("sent_index"), r["text"].alias("text"), at.alias("start_char"), (at + F.length(r["text"])).alias("end_char"), first.alias("start_line"), (first + feeds(r["text"])).alias("end_line"),
         )
-        some = r["text"] != ""
-        return {"char": s["char"] + r["size"], "line": s["line"] + r["lines"], "n": s["n"] + some.cast("int")}, sentence, some
 
-    return _running(F.transform(raw, shaped), SENTENCE, {"char": base.cast("int"), "line": line.cast("int"), "n": F.lit(0)}, step)
+    return _running(F.transform(raw, shaped), {"char": base.cast("int"), "line": line.cast("int"), "n": F.lit(0)}, step, sentence, lambda r: r["text"] != "")
 
 
 def spans_of(text: Column, base: Column, pattern: str, group: int, trim: str, sure: str) -> Column:
@@ -125,12 +139,12 @@ def spans_of(text: Column, base: Column, pattern: str, group: int, trim: str, su
         cut = F.regexp_extract_all(text, F.lit(gap(form)), 0)
         return F.transform(cut, lambda p: F.struct(F.length(p).alias("size"), F.regexp_extract(p, form(pattern), 0).alias("all"), F.regexp_extract(p, form(pattern), group).alias("value")))
 
-    def step(s: Column, m: Column) -> tuple[dict[str, Column], Column, None]:
+    def span(s: Column, m: Column, _: Column) -> Column:
         end, cut = s["char"] + m["size"], F.rtrim(m["value"], F.lit(trim))
-        span = F.struct(cut.alias("value"), (end - F.length(m["all"])).alias("start_char"), (end - F.length(m["value"]) + F.length(cut)).alias("end_char"))
-        return {"char": end}, span, None
+        return F.struct(cut.alias("value"), (end - F.length(m["all"])).alias("start_char"), (end - F.length(m["value"]) + F.length(cut)).alias("end_char"))
 
-    return F.when(text.contains(sure), _running(T.either(text, shaped), SPAN, {"char": base.cast("int")}, step)).otherwise(_none(SPAN))
+    found = _running(T.either(text, shaped), {"char": base.cast("int")}, lambda s, m: {"char": s["char"] + m["size"]}, span)
+    return F.when(text.contains(sure), found).otherwise(_none(SPAN))
 
 
 def line_of(text: Column, offset: Column) -> Column:
@@ -160,17 +174,21 @@ def prose(block_rows: DataFrame) -> DataFrame:
 
 def sentences(block_rows: DataFrame) -> DataFrame:
     """Of the given blocks: doc_id, block_index, sent_index, text, start_char, end_char (in the document)."""
-    found = rows(block_rows, once("sentences", lambda: sentences_of(F.col("text"), F.col("start_char"), F.col("start_line"))), "doc_id", "block_index")
-    return found.select("doc_id", "block_index", "sent_index", "text", "start_char", "end_char")
+    each = rows(block_rows, once("sentences", lambda: sentences_of(F.col("text"), F.col("start_char"), F.col("start_line"))), "doc_id", "block_index")
+    return each.select("doc_id", "block_index", "sent_index", "text", "start_char", "end_char")
 
 
 URLS = (P.URL, 0, ".,;:!?'\"", "://")
 DOIS = (P.DOI, 1, ".,;:!?'\")]}", "10.")
 
 
+def found(kind: tuple) -> Column:
+    """`spans_of` the columns text and start_char."""
+    return once(kind, lambda: spans_of(F.col("text"), F.col("start_char"), *kind))
+
+
 def _found(block_rows: DataFrame, name: str, kind: tuple) -> DataFrame:
-    found = once(f"spans {name}", lambda: spans_of(F.col("text"), F.col("start_char"), *kind))
-    return rows(block_rows.where("kind <> 'CodeFence'"), found, "doc_id", "block_index").withColumnRenamed("value", name)
+    return rows(block_rows.where("kind <> 'CodeFence'"), found(kind), "doc_id", "block_index").withColumnRenamed("value", name)
 
 
 def citations(block_rows: DataFrame) -> DataFrame:

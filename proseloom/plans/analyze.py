@@ -47,6 +47,27 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(F.size(whole) == 0, 0.0).otherwise(F.size(part) / F.size(whole))
 
 
+def judged_prose() -> Column:
+    """The column prose with the claims of each block."""
+    kept = ("block_index", "start_line", "end_line", "start_char", "end_char", "text", "heading")
+    return T.once("judged", lambda: F.transform("prose", lambda b: F.struct(*[b[c].alias(c) for c in kept], scoring.claims_of(b).alias("claims"))))
+
+
+def every_claim() -> Column:
+    """The claims of the column prose."""
+    return T.once("claims", lambda: F.flatten(F.transform("prose", scoring.claims_of)))
+
+
+def summary_columns() -> tuple[Column, Column, Column]:
+    """gap, rate and sorted findings of the columns prose (judged) and density."""
+    claims = F.flatten(F.transform("prose", lambda b: b["claims"]))
+    place = ("block_index", "start_char", "rule_id", "severity", "start_line", "end_line", "end_char", "message")
+    gap = T.once("gap", lambda: _share(F.filter(claims, lambda c: ~c["grounded"]), claims))
+    rate = T.once("rate", lambda: _share(F.filter("density", lambda d: d["flagged"]), F.col("density")))
+    keyed = T.once("keyed", lambda: F.array_sort(F.transform(F.concat(_bare(F.col("prose")), _padded(F.col("density"))), lambda f: F.struct(*[f[c].alias(c) for c in place]))))
+    return gap, rate, keyed
+
+
 class Analysis:
     """The relations of one collection of documents (doc_id, text), all lazy and derived from one parse. A null text has
     no blocks and scores 0; rows with equal or null ids are documents of their own. ``options`` may be a Column of docs
@@ -68,9 +89,7 @@ class Analysis:
     @cached_property
     def judged(self) -> DataFrame:
         """doc_id, prose (blocks with their claims), density."""
-        kept = ("block_index", "start_line", "end_line", "start_char", "end_char", "text", "heading")
-        judged = T.once("judged", lambda: F.transform("prose", lambda b: F.struct(*[b[c].alias(c) for c in kept], scoring.claims_of(b).alias("claims"))))
-        return self.prosed.select("doc_id", *self.own, judged.alias("prose"), scoring.densities(self.options).alias("density"))
+        return self.prosed.select("doc_id", *self.own, judged_prose().alias("prose"), scoring.densities(self.options).alias("density"))
 
     @cached_property
     def blocks(self) -> DataFrame:
@@ -86,8 +105,7 @@ class Analysis:
 
     @cached_property
     def claims(self) -> DataFrame:
-        each = T.once("claims", lambda: F.flatten(F.transform("prose", scoring.claims_of)))
-        return structure.rows(self.prosed, each, "doc_id").select("doc_id", *scoring.CLAIM)
+        return structure.rows(self.prosed, every_claim(), "doc_id").select("doc_id", *scoring.CLAIM)
 
     @cached_property
     def density(self) -> DataFrame:
@@ -96,12 +114,8 @@ class Analysis:
     def summary(self) -> DataFrame:
         """doc_id, gap, rate, score, band, findings (sorted by block, start, rule); documents without prose score 0."""
         o = self.options
-        claims = F.flatten(F.transform("prose", lambda b: b["claims"]))
-        keyed = lambda: F.array_sort(F.transform(F.concat(_bare(F.col("prose")), _padded(F.col("density"))), lambda f: F.struct(*[f[c].alias(c) for c in ("block_index", "start_char", "rule_id", "severity", "start_line", "end_line", "end_char", "message")])))
-        both = self.judged.select(
-            "doc_id", *self.own, T.once("gap", lambda: _share(F.filter(claims, lambda c: ~c["grounded"]), claims)).alias("gap"),
-            T.once("rate", lambda: _share(F.filter("density", lambda d: d["flagged"]), F.col("density"))).alias("rate"), T.once("keyed", keyed).alias("findings"),
-        )
+        gap, rate, findings = summary_columns()
+        both = self.judged.select("doc_id", *self.own, gap.alias("gap"), rate.alias("rate"), findings.alias("findings"))
         score = F.lit(o.grounding_weight) * F.col("gap") + F.lit(o.density_weight) * F.col("rate")
         return both.withColumn("score", score).withColumn("band", T.band(F.col("score"), o)).select("doc_id", "gap", "rate", "score", "band", "findings")
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import groupby
@@ -74,7 +75,7 @@ class Merges:
         self.rank: dict[int, int] = {n: -1 for p, n in self.number.items() if len(p) == 1}
         self.halves: dict[int, tuple[int, int]] = {}
         self.pair: dict[tuple[int, int], int] = {}
-        self.seen: dict[tuple[int, int], bool] = {}
+        self.seen: dict[int, bool] = {}  # by both numbers, 22 bits each
         for piece in sorted((p for p in rank if len(p) > 1), key=rank.__getitem__):
             own = self.number[piece]
             for cut in range(1, len(piece)):
@@ -102,11 +103,11 @@ class Merges:
 
     def apart(self, a: int, b: int) -> bool:
         """Whether the pieces a and b, side by side, are what merging leaves of their text."""
-        found = self.seen.get((a, b))
+        found = self.seen.get(a << 22 | b)
         if found is None:
             if len(self.seen) > 500_000:
                 self.seen.clear()
-            found = self.seen[a, b] = self._stay(a, b)
+            found = self.seen[a << 22 | b] = self._stay(a, b)
         return found
 
 
@@ -204,27 +205,37 @@ class Pieces:
     def merged(self, text: str) -> list[int]:
         """What merging leaves of a text with marks for spaces."""
         n = len(text)
-        back: list = [None] * (n + 1)
-        last = [-1] * (n + 1)  # the piece that ends here, -1 at the start and after an unknown character
-        reached = bytearray(n + 1)
-        reached[0] = 1
-        at, apart = 0, self.merges.apart
-
-        def settle(to: int) -> None:
-            nonlocal at
-            while at < to:
-                at += 1
-                if not reached[at]:
-                    if reached[at - 1]:
-                        back[at], reached[at] = (at - 1, -1), 1
-
+        #: The piece that ends at a position (None: not reached, -1: the start or an unknown character) and where it starts.
+        last: list = [None] * (n + 1)
+        back = [0] * (n + 1)
+        last[0], at = -1, 0  # positions up to ``at`` are final
+        seen, apart = self.merges.seen, self.merges.apart
         for end, (length, i) in self.automaton.iter(text):
-            settle(end)
-            start, end = end + 1 - length, end + 1
-            if not reached[end] and reached[start] and (last[start] < 0 or apart(last[start], i)):
-                reached[end], last[end], back[end] = 1, i, (start, i)
-        settle(n)
-        path = self._path(text, back)
+            if last[end + 1] is not None:
+                continue
+            while at < end:
+                at += 1
+                if last[at] is None and last[at - 1] is not None:
+                    last[at], back[at] = -1, at - 1
+            start = end + 1 - length
+            left = last[start]
+            if left is None:
+                continue
+            if left >= 0:
+                stay = seen.get(left << 22 | i)
+                if not (apart(left, i) if stay is None else stay):
+                    continue
+            last[end + 1], back[end + 1] = i, start
+        while at < n:
+            at += 1
+            if last[at] is None and last[at - 1] is not None:
+                last[at], back[at] = -1, at - 1
+        path, end = [], n
+        while end:
+            i, start = last[end], back[end]
+            path += [i] if 0 <= i < self.size else self._spelt(text[start:end])[::-1]
+            end = start
+        path.reverse()
         if not self.runs or MARK + MARK not in text:
             return path
         return [i for one, same in groupby(path, self.runs[1].__eq__) for i in (self.run(sum(1 for _ in same)) if one else same)]
@@ -239,7 +250,8 @@ class Pieces:
         return [self.runs[n] for n in lens]
 
     def _ids(self, word: str) -> bytes:
-        return np.array(self.merged(word) if self.kind == BPE else self.viterbi(word), "<u4").tobytes()
+        ids = self.merged(word) if self.kind == BPE else self.viterbi(word)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str, lossless: bool = False) -> bytes:
         """Little-endian unsigned 32-bit ids."""

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from proseloom.functions import patterns as P
 from proseloom.functions import text as T
-from proseloom.operators import scoring, structure
+from proseloom.operators import scoring, segments, structure
+from proseloom.plans import sql
 from proseloom.plans.analyze import Analysis, evaluation, fired, outcomes
 
 _PARTS = {
@@ -230,10 +231,10 @@ def doi_distinct(spark, sf_dir):
     return structure.distinct_dois(notes(spark, sf_dir))
 
 
-def _results(spark, sf_dir) -> DataFrame:
+def _results(spark, sf_dir, gaps: bool = False) -> DataFrame:
     scores = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("file"))
     rule = F.when(F.col("file") % 4 == 0, F.array(F.lit("GROUND001"))).when(F.col("file") % 4 == 1, F.array(F.lit("FILLER001"))).otherwise(F.array().cast("array<string>"))
-    cases = scores.select("file", F.element_at(F.array(F.lit("Clean"), F.lit("Watch"), F.lit("Slop")), (F.col("file") % 3 + 1).cast("int")).alias("band"), rule.alias("rules"), F.lit(None).cast("string").alias("known_gap"), F.lit(None).cast("array<string>").alias("known_false_positives"))
+    cases = scores.select("file", F.element_at(F.array(F.lit("Clean"), F.lit("Watch"), F.lit("Slop")), (F.col("file") % 3 + 1).cast("int")).alias("band"), rule.alias("rules"), F.when(F.lit(gaps) & (F.col("file") % 7 == 0), "later").alias("known_gap"), F.when(F.lit(gaps) & (F.col("file") % 5 == 0), F.array(F.lit("DENSITY001"), F.lit("GROUND001"))).alias("known_false_positives"))
     return outcomes(cases, fired(Analysis(notes(spark, sf_dir)).summary()))
 
 
@@ -297,11 +298,20 @@ _host_case = f"CASE page_id % {len(_REFUSED)} " + " ".join(f"WHEN {i} THEN '{h}'
 _why_case = f"CASE page_id % {len(_REFUSED)} " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_REFUSED.values()) if w) + " END"
 
 
-@query(f"SELECT page_id, 'a' AS form, {_why_case} AS refusal FROM pages UNION ALL SELECT page_id, 'b', 'carries credentials' FROM pages UNION ALL SELECT page_id, 'c', 'ftp is not a fetchable scheme' FROM pages UNION ALL SELECT page_id, 'd', 'not an absolute url' FROM pages UNION ALL SELECT page_id, 'e', CASE WHEN regexp_matches(url, '^https?://[^/]*\\.') THEN NULL ELSE 'not a public hostname' END FROM pages", cte=False)
+#: Authorities that are no host with at most one port, beside some that are.
+_ODD = {
+    "127.0.0.1:80:90": "not an absolute url", "a.example:99999": "not an absolute url", "a.example:65536": "not an absolute url", "a.example:8o": "not an absolute url", "a.example:65535": None, "a.example:": None, "a,b.example": "not an absolute url",
+    "[::1]:1:2": "not an absolute url", "[::1]x": "not an absolute url", "a_b.example.org:80": None, "u@127.0.0.1:80": "carries credentials", "@127.0.0.1:80": "loopback address",
+}
+_odd_case = f"CASE page_id % {len(_ODD)} " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_ODD)) + " END"
+_odd_why = f"CASE page_id % {len(_ODD)} " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_ODD.values()) if w) + " END"
+
+
+@query(f"SELECT page_id, 'f' AS form, {_odd_why} AS refusal FROM pages UNION ALL SELECT page_id, 'a', {_why_case} FROM pages UNION ALL SELECT page_id, 'b', 'carries credentials' FROM pages UNION ALL SELECT page_id, 'c', 'ftp is not a fetchable scheme' FROM pages UNION ALL SELECT page_id, 'd', 'not an absolute url' FROM pages UNION ALL SELECT page_id, 'e', CASE WHEN regexp_matches(url, '^https?://[^/]*\\.') THEN NULL ELSE 'not a public hostname' END FROM pages", cte=False)
 def url_policy(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     host, path = F.expr(_host_case), F.concat(F.lit("/p/"), F.col("page_id").cast("string"))
-    forms = {"a": F.concat(F.lit("http://"), host, path), "b": F.concat(F.lit("https://u:p@"), host, path), "c": F.concat(F.lit("ftp://"), host, path), "d": path, "e": F.col("url")}
+    forms = {"f": F.concat(F.lit("http://"), F.expr(_odd_case), path), "a": F.concat(F.lit("http://"), host, path), "b": F.concat(F.lit("https://u:p@"), host, path), "c": F.concat(F.lit("ftp://"), host, path), "d": path, "e": F.col("url")}
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("u")) for k, v in forms.items()])).alias("f")
     return pages.select("page_id", each).select("page_id", "f.form", T.url_refusal(F.col("f.u")).alias("refusal"))
 
@@ -310,3 +320,82 @@ def url_policy(spark, sf_dir):
 def status_classify(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("c", 200 + F.col("event_id") % 301)
     return e.select("event_id", T.status_class(F.col("c")).alias("status"), T.status_text(F.col("c")).alias("reason"))
+
+
+@query("SELECT doc_id, gap, rate, score, band FROM banded")
+def sql_scores(spark, sf_dir):
+    """The flagship by SQL text alone, over the functions that `plans.sql` registers."""
+    sql.register(spark, names=["prose_score"])
+    scored = spark.sql("SELECT doc_id, s.* FROM (SELECT doc_id, prose_score(text) AS s FROM {notes})", notes=notes(spark, sf_dir))
+    return scored.select("doc_id", *[F.round(c, 6).alias(c) for c in ("gap", "rate", "score")], "band")
+
+
+@query(SQL["block_spans"].removeprefix(_CTE))
+def segmented_blocks(spark, sf_dir):
+    """Blocks of the notes in pieces of 40 characters, parsed apart."""
+    return segments.blocks(segments.cut(notes(spark, sf_dir), 40))
+
+
+#: Phrases of two frequent words each, thousands of them.
+_PAIRS = [f"{a} {b}" for a in P.STOPWORDS[:72] for b in P.STOPWORDS[:72]]
+
+
+@query(f"""SELECT doc_id, len(hits) AS n_hits, array_to_string(hits, ',') AS hits FROM (SELECT doc_id, list_filter(lexicon, lambda p: contains(low, p)) AS hits FROM
+(SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents), (SELECT list(a || ' ' || b ORDER BY i, j) AS lexicon FROM (SELECT unnest([{_STOP}][:72]) AS a, unnest(range(72)) AS i), (SELECT unnest([{_STOP}][:72]) AS b, unnest(range(72)) AS j)))""", cte=False)
+def lexicon_hits(spark, sf_dir):
+    """Of a lexicon of thousands of phrases, those that each whole text contains."""
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    hits = docs.select("doc_id", T.filler_hits(F.coalesce("text", F.lit("")), _PAIRS).alias("hits"))
+    return hits.select("doc_id", F.size("hits").cast("long").alias("n_hits"), F.array_join("hits", ",").alias("hits"))
+
+
+_VARIANT = {
+    "b0": "'### ' || r || ' ##'", "b1": "chr(9) || '* item ' || n", "b2": "n || ') second'", "b3": "'> q' || chr(10) || '>r'", "b4": "'~~~ x' || chr(10) || '```' || chr(10) || '# no' || chr(10) || '~~~'", "b5": "'tail ' || n", "b6": "'```' || chr(10) || 'open ' || n",
+}
+_CRLF = "chr(13) || chr(10)"
+_VARIANT_TEXT = f"b0 || {_CRLF} || {_CRLF} || b1 || {_CRLF} || b2 || {_CRLF} || b3 || chr(10) || chr(10) || b4 || chr(10) || b5 || chr(10) || b6"
+_VARIANT_ROWS = " UNION ALL ".join(
+    f"SELECT doc_id, {i} AS block_index, '{kind}' AS kind, {first} AS start_line, {last} AS end_line, CAST({at} AS INTEGER) AS start_char, CAST({at} + length(b{i}) AS INTEGER) AS end_char, b{i} AS text, {level} AS heading_level, {heading} AS heading, {prose} AS is_prose FROM v"
+    for i, (kind, first, last, at, level, heading, prose) in enumerate([
+        ("Heading", 1, 1, "0", 3, "NULL", "false"), ("ListItem", 3, 3, "length(b0) + 4", 0, "r || ' ##'", "true"), ("ListItem", 4, 4, "length(b0) + length(b1) + 6", 0, "r || ' ##'", "true"),
+        ("BlockQuote", 5, 6, "length(b0) + length(b1) + length(b2) + 8", 0, "r || ' ##'", "false"), ("CodeFence", 8, 11, "length(b0) + length(b1) + length(b2) + length(b3) + 10", 0, "NULL", "false"),
+        ("Paragraph", 12, 12, "length(b0) + length(b1) + length(b2) + length(b3) + length(b4) + 11", 0, "r || ' ##'", "true"), ("CodeFence", 13, 14, "length(b0) + length(b1) + length(b2) + length(b3) + length(b4) + length(b5) + 12", 0, "NULL", "false"),
+    ])
+)
+
+
+@query(_sql(f"WITH k AS (SELECT coalesce(conv_id, -1) * 1000 + coalesce(turn, -1) AS doc_id, coalesce(role, 'none') AS r, CAST(coalesce(turn, 0) + 7 AS STRING) AS n FROM conversations), v AS (SELECT *, {', '.join(f'{e} AS {b}' for b, e in _VARIANT.items())} FROM k) {_VARIANT_ROWS}"), cte=False)
+def markdown_variants(spark, sf_dir):
+    """Blocks of turns written with CRLF, tabs, numbered items, quotes without spaces, tilde fences that hold others, and a
+    fence that is left open."""
+    turns = dealt(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role"))
+    k = turns.selectExpr("coalesce(conv_id, -1) * 1000 + coalesce(turn, -1) AS doc_id", "coalesce(role, 'none') AS r", "CAST(coalesce(turn, 0) + 7 AS STRING) AS n")
+    v = k.selectExpr("doc_id", *[f"{e} AS {b}" for b, e in _VARIANT.items()])
+    return structure.blocks(v.selectExpr("doc_id", f"{_VARIANT_TEXT} AS text"))
+
+
+#: Sentences about a number n, the kinds of claim they make and why they count as sourced.
+_SAID = [
+    ("'The WHO counted ' || n || ' cases.'", "Number", "names an authority or study"), ("'As the counter in the hall shows, ' || n || ' came.'", "Number", "attributes the claim to a named record"), ("'As per the log, ' || n || ' came.'", "Number", "attributes the claim to a named record"),
+    ("'The logs are under the stairs, ' || n || ' of them.'", "Number", "says where the record can be found"), ("'It was ' || n || ' (Lee, 2020).'", "Number,Date", "carries an inline citation"), ("'It was ' || n || ' [7].'", "Number", "carries an inline citation"),
+    ("'It was ' || n || '[^a].'", "Number", "carries a footnote marker"), ("'See [it](' || n || ').'", "Number", "carries a link or URL"), ("'Per the experts it was ' || n || '.'", "Number", None), ("'It was ' || n || ' here.'", "Number", None),
+    ("'Smith et al said ' || n || '.'", "Number", "names an authority or study"), ("'Published in Nature, ' || n || '.'", "Number", "names an authority or study"), ("'Élodie était là, la WHOLE ' || n || '.'", "Number", None), ("'Über dem Haus: nach 5 jours, ' || n || ' in the NIH.'", "Number", "names an authority or study"),
+]
+_said = lambda part: f"CASE event_id % {len(_SAID)} " + " ".join(f"WHEN {i} THEN " + (x if part == 0 else "NULL" if x is None else f"'{x}'") for i, x in enumerate(s[part] for s in _SAID)) + " END"
+
+
+@query(f"SELECT event_id, {_said(1)} AS kinds, {_said(2)} AS signal FROM events", cte=False)
+def signal_forms(spark, sf_dir):
+    """Each rule of claims and sources, on sentences whose outcome is known."""
+    e = dealt(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")).selectExpr("event_id", "CAST(100 + event_id % 90 AS STRING) AS n")
+    said = e.selectExpr("event_id", f"{_said(0)} AS text")
+    return said.select("event_id", F.array_join(T.claim_kinds(F.col("text")), ",").alias("kinds"), T.source_signal(F.col("text")).alias("signal"))
+
+
+@query("""SELECT count(*) AS n_cases, count(*) FILTER (WHERE known) AS known_gaps, count(*) FILTER (WHERE want_band = band) AS bands_matched, count(*) FILTER (WHERE (want_band <> band AND NOT known) OR unexpected > 0 OR missed > 0) AS regressions,
+(SELECT round(2.0 * tp / (2 * tp + fp + fn), 6) FROM (SELECT count(*) FILTER (WHERE want AND got) AS tp, count(*) FILTER (WHERE NOT want AND got) AS fp, count(*) FILTER (WHERE want AND NOT got) AS fn FROM grid)) AS f1
+FROM (SELECT c.doc_id, c.doc_id % 7 = 0 AS known, want_band, count(*) FILTER (WHERE got AND NOT want AND NOT (c.doc_id % 5 = 0 AND rule IN ('DENSITY001', 'GROUND001'))) AS unexpected, count(*) FILTER (WHERE want AND NOT got) AS missed FROM cases c JOIN grid USING (doc_id) GROUP BY ALL) JOIN banded USING (doc_id)""")
+def bench_totals(spark, sf_dir):
+    """Known gaps, known false positives and regressions of labelled notes."""
+    e = evaluation(_results(spark, sf_dir, gaps=True)).select("cases", "known_gaps", "bands_matched", "regressions", F.round("f1", 6).alias("f1"))
+    return e.withColumnRenamed("cases", "n_cases")

@@ -1,8 +1,9 @@
 """The engine as Spark SQL functions: after `register`, SQL text alone parses, scores and extracts.
 
-Scalar functions take a text (or a URL) and give what the Column functions of `functions.text` give; table functions are
-for lateral joins: ``SELECT d.doc_id, b.* FROM documents d, LATERAL prose_blocks(d.text) b``. Their bodies are the SQL of
-the same expressions, so plans are the same: no Python, no shuffle."""
+Functions take a text (or a URL). Those that give rows give an array of structs; Spark wants it named before a generator:
+``SELECT doc_id, b.* FROM (SELECT doc_id, prose_blocks(text) AS a FROM documents) LATERAL VIEW OUTER explode(a) AS b``.
+`prose_score` gives one struct: ``SELECT doc_id, s.* FROM (SELECT doc_id, prose_score(text) AS s FROM documents)``.
+Their bodies are the SQL of the expressions that the plans use: no Python, no shuffle."""
 
 from __future__ import annotations
 
@@ -26,53 +27,48 @@ def sql_of(column: Column) -> str:
     return "".join(part if i % 2 else _OPERATOR.sub(r"`\1`(", part) for i, part in enumerate(_LITERAL.split(said)))
 
 
-FINDING = "rule_id STRING, severity STRING, block_index INT, start_line INT, end_line INT, start_char INT, end_char INT, message STRING"
-CLAIM = "block_index INT, sent_index INT, text STRING, start_char INT, end_char INT, kinds ARRAY<STRING>, grounded BOOLEAN, reason STRING"
-DENSITY = "block_index INT, start_line INT, end_line INT, start_char INT, end_char INT, text STRING, heading_overlap DOUBLE, prev_overlap DOUBLE, novel_ratio DOUBLE, filler_hits ARRAY<STRING>, fact_override BOOLEAN, flagged BOOLEAN"
+def _with(name: str, value: str, body: str) -> str:
+    """body, in which ``name`` is the value, computed once: SQL's lambdas are the only names within an expression."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _names(schema: str) -> list[str]:
-    return re.findall(r"(\w+) (?:\w+(?:<\w+>)?)", schema)
+def _only(structs: str, names: list[str]) -> str:
+    """The structs of an array with some of their fields."""
+    fields = ", ".join(f"'{n}', x.{n}" for n in names)
+    return f"transform({structs}, x -> named_struct({fields}))"
 
 
-def _each(array: str, source: str, schema: str) -> str:
-    return f"SELECT {', '.join(f'one.{n} AS {n}' for n in _names(schema))} FROM (SELECT explode({array}) AS one FROM ({source}))"
+def _spans(blocks: str, kind: tuple, name: str, value: str) -> str:
+    """What is found in blocks other than fences: block_index, the value under a name, start_char, end_char."""
+    each = f"transform({sql_of(structure.found(kind))}, s -> named_struct('block_index', b.block_index, '{name}', {value}, 'start_char', s.start_char, 'end_char', s.end_char))"
+    return f"flatten(transform(filter({blocks}, b -> b.kind <> 'CodeFence'), b -> {_with('text', 'b.text', _with('start_char', 'b.start_char', each))}))"
 
 
-def scalars(options: Options) -> dict[str, tuple[str, str, Column]]:
-    """name: parameter, type of the result, expression of the parameter."""
+def expressions(options: Options) -> dict[str, tuple[str, str]]:
+    """name: parameter, SQL expression of it."""
     t, u = F.col("text"), F.col("url")
-    return {
-        "prose_tokens": ("text", "ARRAY<STRING>", T.tokens(t)), "claim_kinds": ("text", "ARRAY<STRING>", T.claim_kinds(t)), "source_signal": ("text", "STRING", T.source_signal(t)),
-        "self_reported": ("text", "BOOLEAN", T.self_reported(t)), "concrete_fact": ("text", "BOOLEAN", T.concrete_fact(t)), "filler_hits": ("text", "ARRAY<STRING>", T.filler_hits(t, options.filler)),
-        "url_refusal": ("url", "STRING", T.url_refusal(u)),
-    }
-
-
-def tables(options: Options) -> dict[str, tuple[str, str]]:
-    """name: columns of the result, query over the parameter text."""
-    parsed = f"SELECT {sql_of(structure.parsed())} AS blocks"
-    prose = f"SELECT {sql_of(scoring.prose_of())} AS prose FROM ({parsed})"
-    judged = f"SELECT {sql_of(analyze.judged_prose())} AS prose, {sql_of(scoring.densities(options))} AS density FROM ({prose})"
+    blocks, prose, density = sql_of(structure.parsed()), sql_of(scoring.prose_of()), sql_of(scoring.densities(options))
+    of_prose = lambda body: _with("blocks", blocks, _with("prose", prose, body))
     gap, rate, findings = (sql_of(c) for c in analyze.summary_columns())
-    summed = f"SELECT {gap} AS gap, {rate} AS rate, {findings} AS findings FROM ({judged})"
+    judged = lambda body: of_prose(_with("density", density, _with("prose", sql_of(analyze.judged_prose()), body)))
     score = sql_of(F.lit(options.grounding_weight) * F.col("gap") + F.lit(options.density_weight) * F.col("rate"))
-    scored = f"SELECT gap, rate, score, {sql_of(T.band(F.col('score'), options))} AS band, findings FROM (SELECT *, {score} AS score FROM ({summed}))"
+    band = sql_of(T.band(F.col("score"), options))
+    summed = _with("gap", gap, _with("rate", rate, _with("score", score, f"named_struct('gap', gap, 'rate', rate, 'score', score, 'band', {band})")))
+    found, claims = _only(findings, analyze.FINDING), _only(sql_of(analyze.every_claim()), scoring.CLAIM)
     return {
-        "prose_blocks": (structure.BLOCK, _each("blocks", parsed, structure.BLOCK)),
-        "prose_claims": (CLAIM, _each(sql_of(analyze.every_claim()), prose, CLAIM)),
-        "prose_density": (DENSITY, _each(sql_of(scoring.densities(options)), prose, DENSITY)),
-        "prose_findings": (FINDING, _each("findings", summed, FINDING)),
-        "prose_citations": (structure.SPAN.replace("value", "url") + ", block_index INT", f"SELECT s.value AS url, s.start_char AS start_char, s.end_char AS end_char, block_index FROM (SELECT block_index, explode({sql_of(structure.found(structure.URLS))}) AS s FROM ({_each('blocks', parsed, structure.BLOCK)}) WHERE kind <> 'CodeFence')"),
-        "prose_score": ("gap DOUBLE, rate DOUBLE, score DOUBLE, band STRING", f"SELECT gap, rate, score, band FROM ({scored})"),
+        "prose_tokens": ("text", sql_of(T.tokens(t))), "claim_kinds": ("text", sql_of(T.claim_kinds(t))), "source_signal": ("text", sql_of(T.source_signal(t))), "self_reported": ("text", sql_of(T.self_reported(t))),
+        "concrete_fact": ("text", sql_of(T.concrete_fact(t))), "filler_hits": ("text", sql_of(T.filler_hits(t, options.filler))), "url_refusal": ("url", sql_of(T.url_refusal(u))),
+        "prose_blocks": ("text", blocks), "prose_claims": ("text", of_prose(claims)), "prose_density": ("text", of_prose(density)), "prose_findings": ("text", judged(found)), "prose_score": ("text", judged(summed)),
+        "prose_citations": ("text", _spans(blocks, structure.URLS, "url", "s.value")), "prose_dois": ("text", _spans(blocks, structure.DOIS, "doi", "lower(s.value)")),
     }
 
 
-def register(spark: SparkSession, options: Options | None = None, prefix: str = "") -> list[str]:
-    """Creates the functions, with the given options, for the session; their names, each with the prefix."""
-    o = options or Options()
-    for name, (parameter, kind, made) in scalars(o).items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({parameter} STRING) RETURNS {kind} RETURN {sql_of(made)}")
-    for name, (columns, query) in tables(o).items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}(text STRING) RETURNS TABLE ({columns}) RETURN {query}")
-    return [prefix + n for n in (*scalars(o), *tables(o))]
+def register(spark: SparkSession, options: Options | None = None, prefix: str = "", names: list[str] | None = None) -> list[str]:
+    """Creates the functions (those named, else all), with the given options, for the session; their names, each with the
+    prefix."""
+    made = expressions(options or Options())
+    for name in names or made:
+        parameter, body = made[name]
+        kind = spark.sql(f"SELECT {body} AS made FROM (SELECT CAST(NULL AS STRING) AS {parameter})").schema["made"].dataType.simpleString()
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({parameter} STRING) RETURNS {kind} RETURN {body}")
+    return [prefix + n for n in names or made]

@@ -40,7 +40,7 @@ def cases_of(text: str) -> list[dict]:
     if not cases or not all(c.get("file") for c in cases):
         raise ValueError("a manifest needs cases, and each a file")
     return [
-        {"file": c["file"], "position": i, "band": c.get("band") or "Clean", "rules": c.get("rules") or [], "known_gap": c.get("knownGap"), "note": c.get("note"), "known_false_positives": c.get("knownFalsePositives") or []}
+        {"file": c["file"], "position": i, "band": c.get("band") or "Clean", "rules": c.get("rules") or [], "known_gap": c.get("knownGap"), "note": c.get("note"), "known_false_positives": c.get("knownFalsePositives")}
         for i, c in enumerate(cases)
     ]
 

@@ -14,18 +14,25 @@ in a hundred), so they are what is copied; data moves once, and groups are cut i
 The blocks are solved locally and the local tops merged. Where vectors are spread evenly over many dimensions no bound
 can tell cells apart, and every block is met; `cells_reached` tells how many are.
 
-Components become floor(1024 x), held within the range of a long. Products are exact: pairs whose norms allow sums of
-2^53 or more are computed in whole numbers of any size; scores outside the range of a long are held at its ends.
-
-Nulls: vectors that are null, or hold a null or non-finite component, take no part; nor does a null vec_id. Shorter
-vectors count as padded with zeros. Repeated rows all take part; rows with the query's own vec_id are its own row. Of
-several vectors of one query id the smallest (compared component by component) asks. An empty table, or one without
-queries, gives an empty result. Extra columns are ignored.
+Components become floor(1024 x), whole numbers in doubles of any size a double has. Products are exact: pairs whose
+norms allow sums of 2^53 or more are computed in whole numbers of any size, and ranked by them; only the score returned
+is held within the range of a long. Vectors with a component beyond FAR get no bounds: their cells are always met, and
+they meet every cell.
+
+Every row divisible by ``every`` asks, and every row but the one that asks answers (``by_row``, as op3's contract has it):
+rows that repeat an id ask each for itself and answer each other. Without ``by_row`` an id asks once, by the smallest
+(compared component by component) of its vectors, and none of its rows answers. For tables whose ids are there and unique
+the two, and the SQL, are the same.
+
+Nulls: vectors that are null, or hold a null or non-finite component, take no part. Rows with a null vec_id don't ask,
+but answer, after all others in ties. Shorter vectors count as padded with zeros. Repeated rows all take part. An empty
+table, or one without queries, gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,15 +43,20 @@ from pyspark.sql import functions as F
 from .common import scratch, staged, table
 
 MOST_PIVOTS, BLOCK = 16_384, 8192
-EXACT, LONG = 2.0**53, 2**63
+EXACT, LONG, FAR = 2.0**53, 2**63, 2.0**100
 
 
 def integers(vectors: DataFrame) -> DataFrame:
-    """vec_id, v: arrays of floor(1024 x); rows that take no part are left out."""
-    e = F.col("embedding")
+    """has_id, vec_id (0 for null), v: arrays of floor(1024 x); rows that take no part are left out."""
+    e, most = F.col("embedding"), F.lit(sys.float_info.max)
     odd = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    return vectors.where(F.col("vec_id").isNotNull() & e.isNotNull() & ~F.coalesce(odd, F.lit(False))).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(x.cast("double") * 1024).cast("double")).alias("v"))
+
+    def whole(x):
+        y = F.greatest(F.least(x.cast("double") * 1024, most), -most)
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)  # from 2^53 on doubles are whole
+
+    return vectors.where(e.isNotNull() & ~F.coalesce(odd, F.lit(False))).select(
+        F.col("vec_id").isNotNull().alias("has_id"), F.coalesce(F.col("vec_id").cast("long"), F.lit(0)).alias("vec_id"), F.transform(e, whole).alias("v"))
 
 
 def _matrix(vectors, width: int) -> np.ndarray:
@@ -56,32 +68,47 @@ def _matrix(vectors, width: int) -> np.ndarray:
     return out
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each query the places of its best k of a block that reach its floor, ties to smaller ids."""
-    for i in range(len(scores)):
-        s = scores[i]
-        at = np.nonzero((ids != own[i]) & (s >= floor[i] - 1e-9 * abs(floor[i]) if np.isfinite(floor[i]) else ids != own[i]))[0]
-        if len(at) > k:
-            least = np.partition(s[at], len(at) - k)[len(at) - k]
-            at = at[s[at] >= least]
-            at = at[np.lexsort((ids[at], -s[at]))][:k]
-        yield i, at
-
-
-def products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Inner products of rows of whole numbers, exact; longs."""
-    scores = q @ d.T
-    large = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((d * d).sum(1)) >= EXACT
+def _best(scores: np.ndarray, exact: dict[int, dict[int, int]], ids: np.ndarray, has_id: np.ndarray, own: np.ndarray, k: int, floor: float) -> np.ndarray:
+    """The places of a query's best k of a block that reach its floor, ties to smaller ids, null last."""
+    bar = min(floor, float(LONG))  # scores are held there
+    at = np.nonzero(~own & (scores >= bar - 1e-9 * abs(bar)) if np.isfinite(bar) else ~own)[0]
+    if len(at) > k:
+        least = np.partition(scores[at], len(at) - k)[len(at) - k]
+        at = at[scores[at] >= least]
+        if exact:
+            at = np.array(sorted(at.tolist(), key=lambda j: (-exact.get(j, int(scores[j])), not has_id[j], ids[j])), np.int64)[:k]
+        else:
+            at = at[np.lexsort((ids[at], ~has_id[at], ~scores[at]))][:k]
+    return at
+
+
+def products(q: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, dict[int, dict[int, int]]]:
+    """Inner products of rows of whole numbers, exact, held within longs; and by row and column those that were computed
+    in whole numbers of any size, as they are."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        scores = q @ d.T
+        large = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((d * d).sum(1)) >= 0.99 * EXACT
+    exact: dict[int, dict[int, int]] = {}
     if not large.any():
-        return scores.astype(np.int64)
+        return scores.astype(np.int64), exact
     out = np.where(large, 0, scores).astype(np.int64)
     whole = {}
-    for i, j in np.argwhere(large):
+    for i, j in np.argwhere(large).tolist():
         for side, m, n in (("q", q, i), ("d", d, j)):
             if (side, n) not in whole:
                 whole[side, n] = [int(x) for x in m[n]]
-        out[i, j] = min(LONG - 1, max(-LONG, sum(a * b for a, b in zip(whole["q", i], whole["d", j], strict=True))))
-    return out
+        true = exact.setdefault(i, {})[j] = sum(a * b for a, b in zip(whole["q", i], whole["d", j], strict=True))
+        out[i, j] = min(LONG - 1, max(-LONG, true))
+    return out, exact
+
+
+def beyond(score: int) -> bytes | None:
+    """Bytes that sort like the scores at and beyond the ends of a long; none within."""
+    if -LONG < score < LONG - 1:
+        return None
+    raw = abs(score).to_bytes((abs(score).bit_length() + 7) // 8)
+    raw = len(raw).to_bytes(4) + raw
+    return b"\x01" + raw if score > 0 else b"\x00" + bytes(255 - x for x in raw)
 
 
 class Summary:
@@ -95,11 +122,13 @@ class Summary:
         for r in rows:
             c = r["cell"]
             self.count[c], self.norm[c], self.low[c], self.high[c] = r["n"], r["norm"], r["low"], r["high"]
-            self.near[c, : len(r["near"])] = sorted(r["near"])
+            self.near[c, : len(r["near"] or [])] = sorted(r["near"] or [])
         self.between = None
 
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each query its floor, and the ceiling of each cell (minus infinity: empty)."""
+        far_out = (np.abs(q) > FAR).any(1)
+        q = q.clip(-FAR, FAR)
         size = np.sqrt((q * q).sum(1))[:, None]
         dot = q @ self.centre.T
         own = (self.centre * self.centre).sum(1)
@@ -107,23 +136,27 @@ class Summary:
         home = away.argmin(1)
         slack = 1e-9 * (size * (self.norm + np.sqrt(own)) + size**2 + self.norm**2) + 1e-3
         with np.errstate(invalid="ignore", divide="ignore"):
-            bisector = (away**2 - away[np.arange(len(q)), home][:, None] ** 2) / (2 * np.sqrt(np.maximum(0, own[home][:, None] - 2 * self.centre[home] @ self.centre.T + own)))
+            gap = own[home][:, None] - 2 * self.centre[home] @ self.centre.T + own
+            bisector = (away**2 - away[np.arange(len(q)), home][:, None] ** 2) / (2 * np.sqrt(np.maximum(0, gap)))
+            bisector = np.where(gap > 1e-6 * (own[home][:, None] + own), bisector, 0)  # of near pivots the gap is not sure
             far = np.maximum(np.maximum(away - self.high, self.low - away), np.nan_to_num(bisector, nan=0.0, posinf=0.0, neginf=0.0))
             far = np.maximum(0, far - 1e-6 * (size + np.sqrt(own)))
             ceiling = np.minimum(np.minimum(dot + size * self.high, size * self.norm), (size**2 + self.norm**2 - far**2) / 2) + slack
             sure = dot - size * self.near[:, -1] - slack
             one = dot - size * self.near[:, 0] - slack
+        ceiling = np.where(np.isinf(self.norm) | far_out[:, None], np.inf, ceiling)
         floor = np.where(np.isnan(sure), -np.inf, sure).max(1)
         if one.shape[1] > self.k:  # one row each of k + 1 cells
             floor = np.maximum(floor, np.partition(np.where(np.isnan(one), -np.inf, one), -self.k - 1, axis=1)[:, -self.k - 1])
-        return floor, np.where(self.count > 0, ceiling, -np.inf)
+        return np.where(far_out, -np.inf, floor), np.where(self.count > 0, ceiling, -np.inf)
 
 
 class Join:
     """The staged vectors in their cells, the summary, and the groups that cells are solved in."""
 
-    def __init__(self, vectors: DataFrame, k: int, every: int, pivots: int | None, block: int):
-        data = staged(integers(vectors), "vectors")
+    def __init__(self, vectors: DataFrame, k: int, every: int, pivots: int | None, block: int, by_row: bool):
+        # The key tells the row that asks from the others.
+        data = staged(integers(vectors).withColumn("key", F.monotonically_increasing_id() if by_row else F.col("vec_id")), "vectors")
         size = data.agg(F.max(F.size("v")), F.count("*")).first()
         self.any = size[1] > 0
         if not self.any:
@@ -131,7 +164,7 @@ class Join:
         width = self.width = max(1, size[0])
         count = pivots or min(MOST_PIVOTS, max(16, math.isqrt(size[1])))
         chosen = data.select("vec_id", "v").distinct().orderBy(F.xxhash64("vec_id", "v"), "vec_id", "v").limit(count).collect()  # a bounded number
-        centre = np.unique(_matrix([r["v"] for r in chosen], width), axis=0)
+        centre = np.unique(_matrix([r["v"] for r in chosen], width).clip(-FAR, FAR), axis=0)
         centre = centre[np.random.default_rng(3).permutation(len(centre))]
 
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,16 +173,20 @@ class Join:
                 for at in range(0, len(b), 1024):
                     some = b.iloc[at : at + 1024]
                     m = _matrix(some["v"].tolist(), width)
+                    out = (np.abs(m) > FAR).any(1)
+                    m = m.clip(-FAR, FAR)
                     norm = (m * m).sum(1)
                     d = norm[:, None] - 2 * m @ centre.T + own
                     cell = d.argmin(1)
-                    yield some.assign(cell=cell.astype(np.int32), far=np.sqrt(((m - centre[cell]) ** 2).sum(1)), norm=np.sqrt(norm))
+                    yield some.assign(cell=cell.astype(np.int32), far=np.where(out, np.inf, np.sqrt(((m - centre[cell]) ** 2).sum(1))), norm=np.where(out, np.inf, np.sqrt(norm)))
 
-        self.celled = staged(data.mapInPandas(assign, "vec_id long, v array<double>, cell int, far double, norm double"), "celled")
-        nearest = self.celled.select("cell", "far", F.row_number().over(Window.partitionBy("cell").orderBy("far")).alias("r")).where(F.col("r") <= k + 1)
+        self.celled = staged(data.mapInPandas(assign, "has_id boolean, vec_id long, v array<double>, key long, cell int, far double, norm double"), "celled")
+        # At most one of these rows is a query's own: without by_row, the nearest of each id.
+        sole = self.celled if by_row else self.celled.groupBy("has_id", "vec_id").agg(F.min(F.struct("far", "cell")).alias("s")).select("s.*")
+        nearest = sole.select("cell", "far", F.row_number().over(Window.partitionBy("cell").orderBy("far")).alias("r")).where(F.col("r") <= k + 1)
         nearest = nearest.groupBy("cell").agg(F.collect_list("far").alias("near"))  # k + 1 a cell
         cells = self.celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("norm").alias("norm"), F.min("far").alias("low"), F.max("far").alias("high"))
-        self.summary = Summary(centre, cells.join(nearest, "cell").collect(), k)  # one row a pivot
+        self.summary = Summary(centre, cells.join(nearest, "cell", "left").collect(), k)  # one row a pivot
         # Groups: pivots by the nearest of the first few.
         few = centre[: max(1, -(-size[1] // block))]
         self.group = ((few * few).sum(1) - 2 * centre @ few.T).argmin(1).astype(np.int32)
@@ -157,43 +194,57 @@ class Join:
         self.parts = np.maximum(1, -(-rows // block))
         maps = self.celled.sparkSession.createDataFrame(pd.DataFrame({"cell": np.arange(len(centre), dtype=np.int32), "group": self.group, "cuts": self.parts[self.group].astype(np.int32)}))
         grouped = self.celled.join(F.broadcast(maps), "cell")  # one row a pivot
-        self.dealt = grouped.select("vec_id", "v", "cell", "group", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("cuts")).cast("int").alias("part"))
-        asking = self.celled.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))  # the smallest vector asks
-        self.queries = staged(asking, "queries")
+        self.dealt = grouped.select("key", "has_id", "vec_id", "v", "group", F.pmod(F.xxhash64("key", "v", F.lit(3)), F.col("cuts")).cast("int").alias("part"))
+        asking = self.celled.where(F.col("has_id") & (F.col("vec_id") % every == 0))
+        asking = asking if by_row else asking.groupBy("key", "vec_id").agg(F.min("v").alias("v"))  # the smallest vector asks
+        self.queries = staged(asking.select("key", F.col("vec_id").alias("query_id"), "v"), "queries")
 
 
-ASKED = "vec_id long, v array<double>, group int, cuts int, floor double"
+ASKED = "key long, query_id long, v array<double>, group int, cuts int, floor double"
+SOLVED = "key long, query_id long, has_id boolean, vec_id long, score long, beyond binary"
+_NAMES = [c.split()[0] for c in ASKED.split(", ")]
 
 
-def reached(join: Join, known: DataFrame, home: bool) -> DataFrame:
-    """ASKED: queries (vec_id, v, floor) with each group they need: their home group, or all others with a cell whose
-    ceiling reaches the floor."""
+def at_home(join: Join) -> DataFrame:
+    """ASKED: the queries with their home groups."""
     summary, group, parts, width = join.summary, join.group, join.parts, join.width
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 256):
-                some = b.iloc[at : at + 256].reset_index(drop=True)
+                some = b.iloc[at : at + 256]
                 m = _matrix(some["v"].tolist(), width)
-                floor, ceiling = summary.bounds(m)
-                floor = np.maximum(floor, some["floor"].to_numpy())
+                floor, _ = summary.bounds(m)
+                m = m.clip(-FAR, FAR)
                 own = group[((m * m).sum(1)[:, None] - 2 * m @ summary.centre.T + (summary.centre**2).sum(1)).argmin(1)]
-                if home:
-                    yield some.assign(group=own, cuts=parts[own].astype(np.int32), floor=floor)[["vec_id", "v", "group", "cuts", "floor"]]
-                    continue
+                yield some.assign(group=own, cuts=parts[own].astype(np.int32), floor=floor)[_NAMES]
+
+    return join.queries.mapInPandas(run, ASKED)
+
+
+def reached(join: Join, known: DataFrame) -> DataFrame:
+    """ASKED: the queries, which come with their home group and the floor known, with all other groups that have a cell
+    whose ceiling reaches the floor."""
+    summary, group, parts, width = join.summary, join.group, join.parts, join.width
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 256):
+                some = b.iloc[at : at + 256].reset_index(drop=True)
+                floor = some["floor"].to_numpy()
                 need = np.zeros((len(some), len(parts)), bool)
-                i, c = np.nonzero(ceiling >= floor[:, None])
+                i, c = np.nonzero(summary.bounds(_matrix(some["v"].tolist(), width))[1] >= floor[:, None])
                 need[i, group[c]] = True
-                need[np.arange(len(some)), own] = False
+                need[np.arange(len(some)), some["group"]] = False
                 i, g = np.nonzero(need)
-                yield some.iloc[i].assign(group=g.astype(np.int32), cuts=parts[g].astype(np.int32), floor=floor[i])[["vec_id", "v", "group", "cuts", "floor"]]
+                yield some.iloc[i].assign(group=g.astype(np.int32), cuts=parts[g].astype(np.int32))[_NAMES]
 
-    return known.select("vec_id", "v", "floor").mapInPandas(run, ASKED)
+    return known.select(*_NAMES).mapInPandas(run, ASKED)
 
 
 def cells_reached(vectors: DataFrame, k: int = 10, every: int = 100, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
     """query_id, cells, cells_reached by the summaries alone: what the bounds spare before any vector is compared."""
-    join = Join(vectors, k, every, pivots, block)
+    join = Join(vectors, k, every, pivots, block, False)
     schema = "query_id long, cells int, cells_reached int"
     if not join.any:
         return vectors.sparkSession.createDataFrame([], schema)
@@ -202,51 +253,55 @@ def cells_reached(vectors: DataFrame, k: int = 10, every: int = 100, pivots: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             floor, ceiling = summary.bounds(_matrix(b["v"].tolist(), width))
-            yield pd.DataFrame({"query_id": b["vec_id"], "cells": np.int32((summary.count > 0).sum()), "cells_reached": (ceiling >= floor[:, None]).sum(1).astype(np.int32)})
+            yield pd.DataFrame({"query_id": b["query_id"], "cells": np.int32((summary.count > 0).sum()), "cells_reached": (ceiling >= floor[:, None]).sum(1).astype(np.int32)})
 
     return join.queries.mapInPandas(run, schema)
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows whose vec_id is divisible by ``every``."""
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, pivots: int | None = None, block: int = BLOCK, by_row: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score for the ids that are divisible by ``every``, or for each row that has such an id."""
     with scratch(vectors.sparkSession):
-        return _top_k(vectors, k, every, pivots, block)
+        return _top_k(vectors, k, every, pivots, block, by_row)
 
 
-def _top_k(vectors: DataFrame, k: int, every: int, pivots: int | None, block: int) -> DataFrame:
-    join = Join(vectors, k, every, pivots, block)
+def _top_k(vectors: DataFrame, k: int, every: int, pivots: int | None, block: int, by_row: bool) -> DataFrame:
+    join = Join(vectors, k, every, pivots, block, by_row)
     if not join.any:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = join.width
+    names = [c.split()[0] for c in SOLVED.split(", ")]
 
     def solve(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)]
+        out = [pd.DataFrame(columns=names)]
         if len(q) and len(d):
-            ids, m = d["vec_id"].to_numpy(), _matrix(d["v"].tolist(), width)
+            ids, has_id, keys, m = d["vec_id"].to_numpy(), d["has_id"].to_numpy(bool), d["key"].to_numpy(), _matrix(d["v"].tolist(), width)
             for at in range(0, len(q), 256):
                 some = q.iloc[at : at + 256]
-                own = some["vec_id"].to_numpy()
-                scores = products(_matrix(some["v"].tolist(), width), m)
-                for i, best in _best(scores, ids, own, k, some["floor"].to_numpy()):
-                    out.append(pd.DataFrame({"query_id": np.full(len(best), own[i]), "vec_id": ids[best], "score": scores[i, best]}))
-        return pd.concat(out)
+                scores, exact = products(_matrix(some["v"].tolist(), width), m)
+                for i, r in enumerate(some[["key", "query_id", "floor"]].itertuples(index=False)):
+                    true = exact.get(i, {})
+                    best = _best(scores[i], true, ids, has_id, (keys == r.key) & (by_row | has_id), k, r.floor)
+                    out.append(pd.DataFrame({"key": r.key, "query_id": r.query_id, "has_id": has_id[best], "vec_id": ids[best], "score": scores[i, best], "beyond": [beyond(true[j]) if j in true else None for j in best.tolist()]}))
+        return pd.concat([x for x in out if len(x)] or out)
 
     def local(asked: DataFrame) -> DataFrame:
         """The asked queries meet every block of their group."""
         each = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        return each.groupBy("group", "part").cogroup(join.dealt.groupBy("group", "part")).applyInPandas(solve, "query_id long, vec_id long, score long")
-
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    first = join.queries.withColumn("floor", F.lit(float("-inf")))
-    home = staged(local(reached(join, first, True)), "home")
-    kth = home.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
-    known = join.queries.join(kth, "vec_id", "left").fillna(float("-inf"), ["floor"])
-    every_ = home.unionByName(local(reached(join, known, False))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        solved = each.groupBy("group", "part").cogroup(join.dealt.groupBy("group", "part")).applyInPandas(solve, SOLVED)
+        return solved.withColumn("vec_id", F.when(F.col("has_id"), F.col("vec_id"))).drop("has_id")
+
+    order = Window.partitionBy("key").orderBy(F.desc("score"), F.desc("beyond"), F.asc_nulls_last("vec_id"))
+    first = staged(at_home(join), "at-home")
+    home = staged(local(first), "home")
+    score = F.when(F.col("score") > -LONG, F.col("score").cast("double"))  # a score held at the low end says nothing
+    kth = home.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("key", score.alias("kth"))
+    known = first.join(kth, "key", "left").withColumn("floor", F.greatest("floor", "kth"))
+    every_ = home.unionByName(local(reached(join, known))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return staged(every_.select("query_id", "rank", "vec_id", "score"), "top-k", keep=True)
 
 
 def op3_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(table(spark, sf_dir, "embeddings"))
+    return top_k(table(spark, sf_dir, "embeddings"), by_row=True)
 
 
 SQL = """

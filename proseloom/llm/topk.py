@@ -192,7 +192,8 @@ class Join:
         self.group = ((few * few).sum(1) - 2 * centre @ few.T).argmin(1).astype(np.int32)
         rows = np.bincount(self.group, self.summary.count, len(few)).astype(np.int64)
         self.parts = np.maximum(1, -(-rows // block))
-        maps = self.celled.sparkSession.createDataFrame(pd.DataFrame({"cell": np.arange(len(centre), dtype=np.int32), "group": self.group, "cuts": self.parts[self.group].astype(np.int32)}))
+        # Of the types that the queries' keys have: a cogroup hashes an int and a long of one value to different partitions.
+        maps = self.celled.sparkSession.createDataFrame(list(zip(range(len(centre)), self.group.tolist(), self.parts[self.group].tolist(), strict=True)), "cell int, group int, cuts int")
         grouped = self.celled.join(F.broadcast(maps), "cell")  # one row a pivot
         self.dealt = grouped.select("key", "has_id", "vec_id", "v", "group", F.pmod(F.xxhash64("key", "v", F.lit(3)), F.col("cuts")).cast("int").alias("part"))
         asking = self.celled.where(F.col("has_id") & (F.col("vec_id") % every == 0))

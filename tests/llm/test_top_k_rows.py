@@ -55,3 +55,19 @@ def test_an_id_asks_once(spark):
     rows = [(r.vec_id, [math.floor(1024 * x) for x in r.embedding]) for r in table.collect()]
     asks = [(q, min(v for i, v in rows if i == q), {at for at, (i, _) in enumerate(rows) if i == q}) for q in (0, 100, 200, 300)]
     assert got(topk.top_k(table, pivots=300, block=64)) == best(asks, rows)
+
+
+def test_queries_meet_their_groups_in_any_partition(spark):
+    """With as many shuffle partitions as are asked for, not merged into one."""
+    table = spark.createDataFrame(vectors(700), SCHEMA)
+    rows = [(r.vec_id, [math.floor(1024 * x) for x in r.embedding]) for r in table.collect()]
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = got(topk.top_k(table, block=100))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == best([(i, v, {at}) for at, (i, v) in enumerate(rows) if i % 100 == 0], rows)

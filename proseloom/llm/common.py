@@ -52,14 +52,28 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def staged(df: DataFrame, tag: str, keep: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+@contextmanager
+def one_exchange(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query are dropped when it ends, and not when the driver gets to it. For queries that
+    are each written once and read back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def staged(df: DataFrame, tag: str, keep: bool = False, by: tuple[str, ...] = (), up: int = 0) -> DataFrame:
     """Write df once as Parquet in the shared folder, in folders by the columns ``by``, and read it back: lineage ends
-    there, and a lost executor costs a reread, not a recomputation. ``keep``: the table outlives a `scratch` around it."""
+    there, and a lost executor costs a reread, not a recomputation. ``keep``: the table outlives a `scratch` around it;
+    ``up``: it outlives so many of those around it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    if len(_scratch) > up and not keep:
+        _scratch[-1 - up].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

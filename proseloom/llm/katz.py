@@ -9,9 +9,11 @@ the probabilities of a context, the one unknown word included, sum to exactly 1.
 weight 1. Where counts of counts are too thin for Good-Turing (a zero, or a discount outside (0, 1)), that discount is
 absolute: n1 / (n1 + 2 n2) counts.
 
-The corpus side: blocks of documents send each distinct n-gram, with its training count, to the bucket of its key. The
-buckets write the count table, in folders by kind (the n of the n-grams) and in rows by key range: keys and counts, the
-answers to each block, and counts of counts. Backoff weights per context are gathered and written the same way. Each
+The corpus side: blocks of documents send each distinct n-gram, with its training count, to the bucket of its key. Words
+and pairs go first, then each longer kind by itself, and Spark drops the files of an exchange when its table is written,
+so that the disk holds one exchange at a time. The buckets write the count tables, in folders by kind (the n of the
+n-grams) and in rows by key range: the answers to each block, counts of counts, and, for a stored model, keys and counts.
+Backoff weights per context are gathered and written the same way. Each
 block then evaluates its tokens recursively: the longest n-gram, else alpha and the next shorter one, down to the unknown
 word. Nothing of corpus size reaches one task.
 
@@ -30,15 +32,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, pack, scratch, staged, table, unpack
+from .common import crc_of_id, one_exchange, pack, scratch, staged, table, unpack
 from .tokens import Block, blocks, bucket_count, dealt, hashes, ids_out, joined, mix, of_blocks, with_replies
 
 K, FLOOR, ORDER = 5, 0.01, 3
 END, START = hashes(["\n</s>", "\n<s>"])  # no word has a line feed
-_UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 COUNTS = [f"n{r}" for r in range(1, K + 2)] + ["over", "types", "tokens"]
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -47,6 +50,18 @@ def held_out(ids: np.ndarray, has_id: np.ndarray) -> np.ndarray:
     return np.array([crc_of_id(i if known else None) % 10 == 0 for i, known in zip(ids.tolist(), has_id.tolist(), strict=True)], bool)
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in ascending order, the place of one of each, and for each entry which it is. As np.unique,
+    which takes four times as long since it looks for the first place."""
+    order = np.argsort(x)
+    values = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = values[1:] != values[:-1]
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return values[new], order[new], which
+
+
 class Gram:
     """A block's distinct n-grams of one n. ``at``: the tokens that end one, ``of``: which; ``context`` and ``lower``:
     the n-grams of one less without the last and the first token; ``sent``: twice the training count, plus 1 if a
@@ -62,10 +77,10 @@ class Grams:
     """A block's tokens and its distinct n-grams up to the order; ``grams[0]`` are the words."""
 
     def __init__(self, b: Block, order: int):
-        low, number = [w.translate(_UPPER) for w in b.words], {}
+        low, number = "\n".join(b.words).encode("utf-8", "surrogatepass").translate(_LOWER).split(b"\n") if b.words else [], {}
         to = np.array([number.setdefault(w, len(number)) for w in low], np.int64)
         v = len(number)
-        self.hash = np.concatenate([hashes(list(number)), [END, START]]).astype(np.uint64)
+        self.hash = np.concatenate([np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, v), [END, START]]).astype(np.uint64)
         n = len(b.lens)
         ends = b.starts[1:] + np.arange(n)
         self.word = np.full(len(b.ids) + n, v, np.int64)
@@ -87,11 +102,11 @@ class Grams:
         for k in range(2, order + 1):
             at = np.nonzero(place >= k - 2)[0]
             context = np.where(place[at] > 0, ending[at - 1], v + 1)  # the start comes before a first token
-            own, first, of = np.unique(context * (v + 2) + self.word[at], return_index=True, return_inverse=True)
+            own, some, of = distinct(context * (v + 2) + self.word[at])
             context = own // (v + 2)
             raw = mix(self.grams[-1].raw[context] + self.hash[own % (v + 2)] * np.uint64(0x9E3779B97F4A7C15))
             counts, held = (np.bincount(of[x[at]], minlength=len(own)) for x in (self.train, ~self.train))
-            self.grams.append(Gram(at, of, context, ending[at[first]], raw, counts, held > 0))
+            self.grams.append(Gram(at, of, context, ending[at[some]], raw, counts, held > 0))
             ending = np.full(len(self.word), -1, np.int64)
             ending[at] = of
 
@@ -99,9 +114,14 @@ class Grams:
 ASK = "kind int, block long, bucket int, keys binary, counts binary"
 
 
-def asked(b: Block, buckets: int, order: int) -> list[dict]:
+def rounds(order: int) -> list[list[int]]:
+    """The kinds whose counts are asked for together."""
+    return [[k for k in (1, 2) if k <= order], *[[k] for k in range(3, order + 1)]]
+
+
+def asked(b: Block, buckets: int, kinds: list[int]) -> list[dict]:
     rows = []
-    for kind, g in enumerate(Grams(b, order).grams, 1):
+    for kind, g in list(enumerate(Grams(b, kinds[-1]).grams, 1))[kinds[0] - 1 :]:
         keys, counts = g.keys, g.sent
         cut = dealt(keys, buckets)
         rows += [{"kind": kind, "block": b.block, "bucket": i, "keys": pack(keys[s:e]), "counts": pack(counts[s:e])} for i, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
@@ -112,26 +132,26 @@ ANSWER = "block long, bucket int, keys binary, answer binary, " + ", ".join(f"{c
 _START_KEY = mix(np.array([START], np.uint64))[0]
 
 
-def counted(rows: pd.DataFrame) -> pd.DataFrame:
-    """The corpus counts of a bucket's keys, for each block that asked; the first block that asked owns an n-gram. Row -1
-    is the bucket's part of the count table."""
+def counted(rows: pd.DataFrame, complete: bool = False) -> pd.DataFrame:
+    """The corpus counts of a bucket's keys, for each block that asked; one block that asked owns an n-gram. Row -1 holds
+    the bucket's counts of counts and, if the table is to be complete, its keys and counts."""
     rows = rows.sort_values("block")
     kind, bucket = int(rows["kind"].iloc[0]), int(rows["bucket"].iloc[0])
     keys = [unpack(k, np.uint64) for k in rows["keys"]]
     flat = np.concatenate(keys)
-    own, first, inverse = np.unique(flat, return_index=True, return_inverse=True)
+    own, some, inverse = distinct(flat)
     sent = np.concatenate([unpack(c, np.uint32) for c in rows["counts"]])
     totals = np.bincount(inverse, (sent >> np.uint32(1)).astype(np.float64), len(own)).astype(np.int64)
     held = np.bincount(inverse, sent & np.uint32(1), len(own)) > 0
     owner = np.zeros(len(flat), np.uint64)
-    owner[first] = 1
+    owner[some] = 1
     sent = (totals * 4 + held * 2)[inverse].astype(np.uint64) + owner
     cut = np.cumsum([0, *map(len, keys)])
     out = pd.DataFrame({"kind": kind, "block": rows["block"].to_numpy(), "bucket": bucket, "answer": [pack(sent[s:e]) for s, e in zip(cut, cut[1:], strict=False)]})
     real = totals[(totals > 0) & ~((own == _START_KEY) & (kind == 1))]
     size = np.bincount(np.minimum(real, K + 2), minlength=K + 3)
     seen = totals > 0
-    stats = {"kind": kind, "block": -1, "bucket": bucket, "keys": pack(own[seen]), "answer": pack(totals[seen]), **{f"n{r}": size[r] for r in range(1, K + 2)}, "over": int((real > K).sum()), "types": len(real), "tokens": int(real.sum())}
+    stats = {"kind": kind, "block": -1, "bucket": bucket, "keys": pack(own[seen]) if complete else None, "answer": pack(totals[seen]) if complete else None, **{f"n{r}": size[r] for r in range(1, K + 2)}, "over": int((real > K).sum()), "types": len(real), "tokens": int(real.sum())}
     return pd.concat([out, pd.DataFrame([stats])]).reindex(columns=[c.split()[0] for c in ANSWER.split(", ")]).astype({c: "Int64" for c in COUNTS})
 
 
@@ -228,7 +248,7 @@ def scored(b: Block, answers: pd.DataFrame, model: Model, buckets: int, order: i
     for k in range(2, order + 1):
         raw = p.grams[k - 2].raw
         at, context = needs[k]
-        need, where = np.unique(context, return_inverse=True)
+        need, _, where = distinct(context)
         keys = raw[need]
         by_key = np.argsort(keys)
         rank = np.empty(len(by_key), np.int32)
@@ -241,7 +261,7 @@ def scored(b: Block, answers: pd.DataFrame, model: Model, buckets: int, order: i
         g = p.grams[k - 1]
         # All n-grams of training documents are seen, so only contexts in documents held out are asked for.
         mine = owned[k - 1] & (counts[k - 1] > 0) & (held[k - 2][g.context] | complete)
-        have, slot = np.unique(g.context[mine], return_inverse=True)
+        have, _, slot = distinct(g.context[mine])
         spare = np.bincount(slot, (counts[k - 1] - model.shrunk(counts[k - 1], model.of[k]))[mine], len(have))
         below = np.bincount(slot, value[k - 2][g.lower[mine]], len(have))
         total = counts[k - 2][have]
@@ -263,9 +283,9 @@ def summed(rows: pd.DataFrame, complete: bool = False) -> pd.DataFrame:
     rows = rows.sort_values(["part", "block"])
     given, asks = rows[rows["part"] == "sum"], rows[rows["part"] == "ask"]
     keys = np.concatenate([np.zeros(0, np.uint64), *[unpack(a, np.uint64) for a in given["a"]]])
-    own, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    own, some, inverse = distinct(keys)
     spare, below = [np.bincount(inverse, np.concatenate([np.zeros(0), *[unpack(x, np.float64) for x in given[c]]]), len(own)) for c in "bc"]
-    total = np.concatenate([np.zeros(0, np.int64), *[unpack(x, np.int64) for x in given["d"]]])[first]
+    total = np.concatenate([np.zeros(0, np.int64), *[unpack(x, np.int64) for x in given["d"]]])[some]
     # Every discount spares something, and the unknown word is never among those seen, so neither side is 0.
     alpha = spare / total / (1 - below)
     out = [(r.block, r.bucket, None, pack(alpha[np.searchsorted(own, unpack(r.a, np.uint64))]), r.kind) for r in asks.itertuples(index=False)]
@@ -301,15 +321,27 @@ def _model(counts: DataFrame, order: int) -> Model:
     return Model({r["kind"]: {c: int(r[c]) for c in COUNTS} for r in stats}, order)
 
 
-def _trained(parts: DataFrame, order: int, buckets: int, complete: bool) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
-    """The model, and the tables of counts, of weights and of what blocks know of their documents."""
-    asks = of_blocks(parts, lambda b: asked(b, buckets, order), ASK)
-    counts = staged(asks.groupBy("kind", "bucket").applyInPandas(counted, ANSWER), "ngram-counts", keep=complete, by=("kind",))
+def _counted(docs: DataFrame, order: int, complete: bool) -> tuple[Model, DataFrame, DataFrame, int]:
+    """The model, the table of counts, what blocks know of their documents and contexts, and the number of buckets."""
+    parts = blocks(docs)
+    buckets = bucket_count(parts)
+    counts = None
+    for kinds in rounds(order):
+        asks = of_blocks(parts, lambda b, kinds=kinds: asked(b, buckets, kinds), ASK)
+        some = staged(asks.groupBy("kind", "bucket").applyInPandas(lambda rows: counted(rows, complete), ANSWER), "ngram-counts", keep=complete, by=("kind",))
+        counts = some if counts is None else counts.unionByName(some)
     model = _model(counts, order)
     answers = counts.where("block >= 0").select("kind", "block", "bucket", "answer")
-    first = staged(with_replies(parts, answers, lambda b, a: scored(b, a, model, buckets, order, complete), SCORED), "scored")
+    first = with_replies(parts, answers, lambda b, a: scored(b, a, model, buckets, order, complete), SCORED)
+    return model, counts, staged(first, "scored", up=1), buckets
+
+
+def _trained(docs: DataFrame, order: int, complete: bool) -> tuple[Model, DataFrame, DataFrame, DataFrame, int]:
+    """As `_counted`, with the table of weights third. Blocks, and counts unless kept, are gone when weights are summed."""
+    with scratch(docs.sparkSession):
+        model, counts, first, buckets = _counted(docs, order, complete)
     sums = first.where("part <> 'docs'").groupBy("kind", "bucket").applyInPandas(lambda rows: summed(rows, complete), WEIGHTS)
-    return model, counts, staged(sums, "ngram-backoff", keep=complete, by=("kind",)), first
+    return model, counts, staged(sums, "ngram-backoff", keep=complete, by=("kind",)), first, buckets
 
 
 def _evaluated(first: DataFrame, weights: DataFrame, tokens: int) -> DataFrame:
@@ -320,9 +352,8 @@ def _evaluated(first: DataFrame, weights: DataFrame, tokens: int) -> DataFrame:
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """By n-grams up to the order, learned from the documents that are not held out: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score for every document."""
-    with scratch(docs.sparkSession):
-        parts = blocks(docs)
-        model, _, weights, first = _trained(parts, order, bucket_count(parts), False)
+    with scratch(docs.sparkSession), one_exchange(docs.sparkSession):
+        model, _, weights, first, _ = _trained(docs, order, False)
         return staged(_evaluated(first, weights, model.tokens), "katz", keep=True)
 
 
@@ -337,10 +368,8 @@ class Stored(NamedTuple):
 
 def train(docs: DataFrame, order: int = ORDER) -> Stored:
     """The model of the documents that are not held out, with the backoff weights of all contexts."""
-    with scratch(docs.sparkSession):
-        parts = blocks(docs)
-        buckets = bucket_count(parts)
-        _, counts, weights, _ = _trained(parts, order, buckets, True)
+    with scratch(docs.sparkSession), one_exchange(docs.sparkSession):
+        _, counts, weights, _, buckets = _trained(docs, order, True)
     return Stored(counts.where("block = -1"), weights.where("block = -1"), order, buckets)
 
 
@@ -349,7 +378,7 @@ def score_by(docs: DataFrame, stored: Stored) -> DataFrame:
     order, buckets = stored.order, stored.buckets
     with scratch(docs.sparkSession):
         parts, model = blocks(docs), _model(stored.counts, order)
-        asks = of_blocks(parts, lambda b: asked(b, buckets, order), ASK)
+        asks = of_blocks(parts, lambda b: asked(b, buckets, list(range(1, order + 1))), ASK)
         answers = asks.groupBy("kind", "bucket").cogroup(stored.counts.groupBy("kind", "bucket")).applyInPandas(looked_up, ANSWER)
         first = staged(with_replies(parts, answers.select("kind", "block", "bucket", "answer"), lambda b, a: scored(b, a, model, buckets, order), SCORED), "scored")
         weights = first.where("part = 'ask'").groupBy("kind", "bucket").cogroup(stored.weights.groupBy("kind", "bucket")).applyInPandas(weighed, WEIGHTS)

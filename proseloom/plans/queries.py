@@ -15,7 +15,7 @@ from proseloom.functions import patterns as P
 from proseloom.functions import text as T
 from proseloom.operators import scoring, segments, structure
 from proseloom.plans import sql
-from proseloom.plans.analyze import Analysis, evaluation, fired, outcomes
+from proseloom.plans.analyze import Analysis, evaluation, outcomes
 
 _PARTS = {
     "title": "'Order ' || CAST(k AS STRING) || ' notes'",
@@ -235,7 +235,7 @@ def _results(spark, sf_dir, gaps: bool = False) -> DataFrame:
     scores = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("file"))
     rule = F.when(F.col("file") % 4 == 0, F.array(F.lit("GROUND001"))).when(F.col("file") % 4 == 1, F.array(F.lit("FILLER001"))).otherwise(F.array().cast("array<string>"))
     cases = scores.select("file", F.element_at(F.array(F.lit("Clean"), F.lit("Watch"), F.lit("Slop")), (F.col("file") % 3 + 1).cast("int")).alias("band"), rule.alias("rules"), F.when(F.lit(gaps) & (F.col("file") % 7 == 0), "later").alias("known_gap"), F.when(F.lit(gaps) & (F.col("file") % 5 == 0), F.array(F.lit("DENSITY001"), F.lit("GROUND001"))).alias("known_false_positives"))
-    return outcomes(cases, fired(Analysis(notes(spark, sf_dir)).summary()))
+    return outcomes(cases, Analysis(notes(spark, sf_dir)).fired())
 
 
 @query("""SELECT tp, fp, fn, tn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(fp / (fp + tn), 6) AS fpr, (SELECT count(*) FROM cases JOIN banded USING (doc_id) WHERE want_band = band) AS bands_matched
